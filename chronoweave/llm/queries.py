@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoweave.llm.ann import op10_ann
 from chronoweave.llm.sentencepiece_codec import op3_sentencepiece
+from chronoweave.llm.sharding import op5_sharding
+from chronoweave.llm.simhash import op2_simhash
 from chronoweave.llm.token_counts import op4_token_counts
+from chronoweave.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_counts": op4_token_counts,
+        "op5_sharding": op5_sharding,
+        "op8_toxicity": op8_toxicity,
+        "op10_ann": op10_ann,
     }
 
 
