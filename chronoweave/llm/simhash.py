@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.llm.rowkeys import without
 from chronoweave.operators.graph import connected_components
 from chronoweave.plans.storage import materialize, pick
 
@@ -184,8 +185,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     classes = near_duplicates(docs, id_col, text_col, shingle)
     gone = classes.where("doc_id <> component_id or doc_id is null and component_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return without(docs, materialize(gone.select("doc_id").distinct(), "near-duplicates"), id_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
