@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoweave.llm.ann import op10_ann
+from chronoweave.llm.decontaminate import op9_decontaminate
+from chronoweave.llm.line_dedup import OP1_SQL, op1_line_dedup
 from chronoweave.llm.sentencepiece_codec import op3_sentencepiece
 from chronoweave.llm.sharding import op5_sharding
 from chronoweave.llm.simhash import op2_simhash
@@ -16,14 +18,16 @@ from chronoweave.llm.toxicity import op8_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
         "op8_toxicity": op8_toxicity,
+        "op9_decontaminate": op9_decontaminate,
         "op10_ann": op10_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
