@@ -5,8 +5,8 @@ the document's is their noisy-or, 1 - prod(1 - p). The model is trained from doc
 noisy-or, so that labels of whole documents teach which sentences offend; those are then located.
 
 Only rows whose crc32(doc_id as text) mod 3 is not 1 teach. Training takes at most ``SAMPLE`` labelled rows
-of either class, those with the smallest hash of doc_id, and runs on the driver over hashed words, whose
-number the sample bounds. Scoring is a map over whole texts, without shuffle.
+of either class, those with the smallest hash of doc_id. Executors count which features part the classes
+(2^BITS exist) and reduce each text to its chosen features; the driver trains on those. Scoring is a map over whole texts, without shuffle.
 
 Cases: a null or empty text has one empty sentence and so the score of the bias; labels that are null or of
 documents not at hand teach nothing; with no label of one class every score is 0.5; null doc_ids are kept
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.plans.storage import pick
+from chronoweave.plans.storage import materialize, pick
 
 #: Labelled rows of either class that teach, at most.
 SAMPLE = 4000
@@ -108,23 +108,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def screened(features: np.ndarray, document: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which features part the classes by more than chance."""
-    documents = len(label)
-    once = np.unique(features.astype(np.int64) * documents + document)
-    toxic = label[once % documents] == 1
-    n1, n0 = max(1, label.sum()), max(1, documents - label.sum())
-    a = np.bincount(once[toxic] // documents, minlength=1 << BITS)
-    b = np.bincount(once[~toxic] // documents, minlength=1 << BITS)
-    q = (a + b + 0.5) / (n1 + n0 + 1)
-    return np.abs(a / n1 - b / n0) >= LEAST_Z * np.sqrt(q * (1 - q) * (1 / n1 + 1 / n0))
+def screened(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Features that part the classes by more than chance, from their document counts in both."""
+    n1, n0 = max(1, n_toxic), max(1, n_clean)
+    q = (toxic + clean + 0.5) / (n1 + n0 + 1)
+    return np.flatnonzero(np.abs(toxic / n1 - clean / n0) >= LEAST_Z * np.sqrt(q * (1 - q) * (1 / n1 + 1 / n0)))
 
 
 def train(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
     """Word weights and bias that fit the documents' labels through the noisy-or (Adagrad, whole batch)."""
     sentences, documents = len(owner), len(label)
-    chosen = screened(features, owner[sentence], label)[features]
-    features, sentence = features[chosen], sentence[chosen]
     used, column = np.unique(features, return_inverse=True)
     weight, bias = np.zeros(len(used)), -4.0
     seen, seen_bias = np.full(len(used), 1e-8), 1e-8
@@ -145,11 +138,15 @@ def train(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label:
     return out, float(bias)
 
 
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", errors="replace")
+
+
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``SLICE`` bytes, with the place of the first."""
     held, size, first = [], 0, 0
     for place, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", errors="replace")
+        raw = _raw(text)
         if held and size + len(raw) > SLICE:
             yield first, held
             held, size, first = [], 0, place
@@ -186,31 +183,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taken = marks.where("label = 1").orderBy(*order).limit(SAMPLE).unionByName(marks.where("label = 0").orderBy(*order).limit(SAMPLE))
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "text", "label")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = materialize(rows, "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, clean = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+            for label, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(bags([_raw(text)])[0])
+                (toxic if label else clean)[own] += 1
+            seen = np.flatnonzero(toxic + clean)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(toxic[seen]), pa.array(clean[seen])], ["feature", "toxic", "clean"])
+
+    # at most 2^BITS rows
+    counts = rows.mapInArrow(count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic"), F.sum("clean")).toPandas()
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    by_class = np.zeros((2, 1 << BITS))
+    by_class[0, counts["feature"]], by_class[1, counts["feature"]] = counts["sum(toxic)"], counts["sum(clean)"]
+    chosen = screened(by_class[0], by_class[1], sizes[1], sizes[0]).astype(np.int32)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, label = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            words, sentences = [], []
+            words, sentences, sizes = [], [], []
             for text in batch.column(1).to_pylist():
-                features, sentence, _ = bags([(text or "").encode("utf-8", errors="replace")])
-                words.append(features.astype(np.int32).tobytes())
-                sentences.append(sentence.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(label, pa.int32()), pa.array(words, pa.binary()), pa.array(sentences, pa.binary())],
-                ["doc_id", "label", "words", "sentences"],
-            )
+                features, sentence, owner = bags([_raw(text)])
+                used = np.isin(features, chosen)
+                words.append(features[used].astype(np.int32).tobytes())
+                sentences.append(sentence[used].astype(np.int32).tobytes())
+                sizes.append(len(owner))
+            columns = [batch.column(0), batch.column(2), pa.array(words, pa.binary()), pa.array(sentences, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "words", "sentences", "n"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, label int, words binary, sentences binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.words))
+    found = rows.mapInArrow(reduce, f"doc_id {kind}, label int, words binary, sentences binary, n int").collect()
+    found.sort(key=lambda r: (r.doc_id, r.n, r.words))
+    base = np.concatenate(([0], np.cumsum([r.n for r in found])[:-1]))
+    sentence = np.concatenate([np.frombuffer(r.sentences, np.int32) + b for r, b in zip(found, base, strict=True)])
+    features = np.concatenate([np.frombuffer(r.words, np.int32) for r in found])
     label = np.array([r.label for r in found], dtype=np.int64)
-    if not len(label) or label.min() == label.max():
-        return np.zeros(1 << BITS, np.float32), 0.0
-    words = [np.frombuffer(r.words, np.int32) for r in found]
-    own = [np.frombuffer(r.sentences, np.int32) for r in found]
-    count = [int(s.max()) + 1 if len(s) else 0 for s in own]
-    base = np.concatenate(([0], np.cumsum(count)[:-1]))
-    sentence = np.concatenate([s + b for s, b in zip(own, base, strict=True)])
-    return train(np.concatenate(words), sentence, np.repeat(np.arange(len(label)), count), label)
+    return train(features, sentence, np.repeat(np.arange(len(label)), [r.n for r in found]), label)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +250,7 @@ def offending_sentences(
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", errors="replace")
+                raw = _raw(text)
                 cuts = np.concatenate(([0], np.flatnonzero(_STOP[np.frombuffer(raw, np.uint8)]) + 1, [len(raw)]))
                 parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if raw[a:b].strip()]
                 if parts:
