@@ -12,6 +12,8 @@ from chronoweave.llm.line_dedup import OP1_SQL, op1_line_dedup
 from chronoweave.llm.sentencepiece_codec import op3_sentencepiece
 from chronoweave.llm.sharding import op5_sharding
 from chronoweave.llm.simhash import op2_simhash
+from chronoweave.llm.substring_dedup import op6_substring_dedup
+from chronoweave.llm.suffix_array import op7_suffix_array
 from chronoweave.llm.token_counts import op4_token_counts
 from chronoweave.llm.toxicity import op8_toxicity
 
@@ -23,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_suffix_array": op7_suffix_array,
         "op8_toxicity": op8_toxicity,
         "op9_decontaminate": op9_decontaminate,
         "op10_ann": op10_ann,
