@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.llm.anchors import mixed
 from chronoweave.llm.rowkeys import without
 from chronoweave.operators.graph import connected_components
 from chronoweave.plans.storage import materialize, pick
@@ -38,15 +39,23 @@ SEED = 42
 SEGMENT_BITS = 2
 BLOCKS = 7
 AGREEING = BLOCKS - MAX_BITS
+#: Wide fingerprints: words of 64 bits, differing bits that link, and the grids where they meet.
+WIDE = 4
+WIDE_SHINGLE = 5
+WIDE_BITS = 46
+WIDE_GRIDS = 64
+WIDE_SEGMENTS = 12
+#: Rows of a cell whose pairs are all compared at once.
+SMALL = 6
 #: Rows of hash bits counted at once.
 BIT_ROWS = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text's word shingles (A-Z lower-cased, split at ASCII white space)."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles (A-Z lower-cased, split at ASCII white space), repeats included."""
     words = (text or "").encode("utf-8", errors="replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -56,13 +65,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     spans = zip(starts.tolist(), ends.tolist(), strict=True)
-    hashes = np.array([digest(line[a:b], SEED) for a, b in spans], dtype=np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in spans], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), BIT_ROWS):
         part = hashes[at : at + BIT_ROWS]
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint16 if len(part) < 65536 else np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text's word shingles; zero without words."""
+    return int(majority(shingle_hashes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -170,20 +188,140 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, fp, component_id)``; component_id is the smallest doc_id that links reach, its own included."""
     found = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    labels = connected_components(links(first.select("fp")))
-    members = first.join(labels, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
+    classes = _classes(found.withColumnRenamed("fp", "node"), first.withColumnRenamed("fp", "node"), links(first.select("fp")))
+    return classes.select("doc_id", F.col("node").alias("fp"), "component_id")
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """A SimHash of ``WIDE`` words of 64 bits; each word takes another mix of the same shingle hashes."""
+    hashes = shingle_hashes(text, shingle)
+    out = np.zeros(WIDE, np.uint64)
+    for word in range(WIDE if len(hashes) else 0):
+        out[word] = majority(mixed(hashes * np.uint64(2 * word + 1) + np.uint64(word)) if word else hashes)
+    return out
+
+
+def wide_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of every wide fingerprint in every wide grid."""
+    counts = np.concatenate([segment_counts(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)], axis=1).astype(np.int64)
+    chosen = np.random.default_rng(SEED)
+    out = []
+    for grid in range(WIDE_GRIDS):
+        segments = chosen.choice(counts.shape[1], WIDE_SEGMENTS, replace=False)
+        out.append((counts[:, segments] @ 3 ** np.arange(WIDE_SEGMENTS)) * WIDE_GRIDS + grid)
+    return np.concatenate(out), np.tile(np.arange(len(fps)), WIDE_GRIDS)
+
+
+def _wide_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows are near: the Manhattan distance of bit counts first, as it bounds from below, then the bits."""
+    lower = np.abs(np.bitwise_count(a).astype(np.int16) - np.bitwise_count(b).astype(np.int16)).sum(axis=1)
+    near = lower <= WIDE_BITS
+    if near.any():
+        near[near] = np.bitwise_count(a[near] ^ (b[near] if len(b) == len(a) else b)).sum(axis=1) <= WIDE_BITS
+    return near
+
+
+def _wide_forest(fps: np.ndarray) -> list[tuple[int, int]]:
+    """As :func:`forest`, of wide fingerprints."""
+    left = np.arange(1, len(fps))
+    queue, links = [0], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        here = queue.pop()
+        near = _wide_near(fps[left], fps[here : here + 1])
+        if near.any():
+            reached = left[near]
+            links += [(here, int(x)) for x in reached]
+            queue += reached.tolist()
+            left = left[~near]
+    return links
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the wide cells of a partition whose rows (cell, node, words) are sorted by cell and node."""
+    names = ["cell", "node", *[f"f{i}" for i in range(WIDE)]]
+    held = np.zeros((0, len(names)), np.int64)
+    end = False
+    batches = iter(batches)
+    while not end:
+        batch = next(batches, None)
+        end = batch is None
+        if not end:
+            held = np.concatenate((held, np.stack([batch.column(i).to_numpy() for i in range(len(names))], axis=1)))
+        if not len(held):
+            continue
+        cell, node = held[:, 0], held[:, 1]
+        fps = np.ascontiguousarray(held[:, 2:]).view(np.uint64)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(held)]))
+        whole = len(edges) - 1 if end else len(edges) - 2  # the last cell may go on in the next batch
+        sizes = np.diff(edges)[:whole]
+        size = np.repeat(sizes, sizes)
+        a, b = [], []
+        for lag in range(1, SMALL):  # cells of a few rows: all pairs at once
+            first = np.flatnonzero((size[:-lag] <= SMALL) & (cell[: len(size) - lag] == cell[lag : len(size)]))
+            first = first[_wide_near(fps[first], fps[first + lag])]
+            a.append(node[first])
+            b.append(node[first + lag])
+        for at in np.flatnonzero(sizes > SMALL):
+            first = edges[at]
+            links = np.array(_wide_forest(fps[first : edges[at + 1]]), dtype=np.int64).reshape(-1, 2) + first
+            a.append(node[links[:, 0]])
+            b.append(node[links[:, 1]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held = held[edges[whole] :]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """``(doc_id, component_id)`` where texts link at a similarity of about 0.8 of their shingles or more.
+
+    At that similarity fingerprints differ in some 15 of 100 bits, too many for 64 bits to tell or for exact
+    grids to find. So fingerprints are of ``WIDE`` words, link at ``WIDE_BITS`` or fewer differing bits, and
+    meet in ``WIDE_GRIDS`` grids of ``WIDE_SEGMENTS`` segments drawn at random from the same embedding.
+    """
+    words = [f"f{i}" for i in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i]) for i in range(WIDE)]], ["doc_id", *words])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([batch.column(i + 1).to_numpy() for i in range(WIDE)], axis=1)
+            cell, row = wide_cells(rows.view(np.uint64))
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *taken.columns], ["cell", "node", *words])
+
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    longs = ", ".join(f"{w} long" for w in words)
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {longs}")
+    found = materialize(found.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
+    first = materialize(found.groupBy("node", *words).agg(F.min("doc_id").alias("first")), "distinct-wide-fingerprints")
+    cells_ = first.select("node", *words).mapInArrow(spread, f"cell long, node long, {longs}")
+    met = cells_.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_wide_links, "a long, b long")
+    return _classes(found.select("doc_id", "node"), first.select("node", "first"), met.distinct()).select("doc_id", "component_id")
+
+
+def _classes(found: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:
+    """Adds component_id to ``(doc_id, node)`` rows, from the nodes' smallest doc_ids and their links."""
+    labels = connected_components(met).withColumnRenamed("node", "_node")
+    members = first.join(labels, F.col("node") == F.col("_node"), "left").select(
+        "node", "first", F.coalesce("component", "node").alias("component")
     )
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    return found.join(members.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(members.join(smallest, "component").select("node", "component_id"), "node")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without those of a component other than its smallest doc_id's.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without those of a component of similar texts other than its smallest doc_id's.
 
     Rows without doc_id stay only where nothing linked to them has one. Repeated rows of the kept doc_id stay.
     """
-    classes = near_duplicates(docs, id_col, text_col, shingle)
+    classes = similar_texts(docs, id_col, text_col, shingle)
     gone = classes.where("doc_id <> component_id or doc_id is null and component_id is not null")
     return without(docs, materialize(gone.select("doc_id").distinct(), "near-duplicates"), id_col)
 
