@@ -1,0 +1,128 @@
+"""Greedy template matching, window-by-window folds and a small detector-and-clusterer.
+
+Order matters within a group and nowhere else, so folds run as one task per group over its windows in order.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def pursue(trace: np.ndarray, bank: np.ndarray, threshold: float, most: int = 1000) -> list[tuple[int, int, float]]:
+    """Matching pursuit of a (frames, channels) trace: (start, template, scale), best explained energy first (EX4).
+
+    Each step takes the template and place whose projection explains most energy, subtracts it, and goes on
+    until less than ``threshold`` is left to gain. A template never fires twice within its own length.
+    """
+    rest = trace.astype(float).copy()
+    samples = bank.shape[1]
+    energy = (bank**2).sum(axis=(1, 2))
+    places = len(rest) - samples + 1
+    if places <= 0 or not len(bank):
+        return []
+    score = np.array([sum(np.correlate(rest[:, c], t[:, c], "valid") for c in range(bank.shape[2])) for t in bank])
+    open_ = np.ones_like(score, dtype=bool)
+    found = []
+    for _ in range(most):
+        gain = np.where(open_ & (score > 0) & (energy[:, None] > 0), score**2 / np.maximum(energy[:, None], 1e-30), -1.0)
+        k, at = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[k, at] < threshold:
+            break
+        scale = score[k, at] / energy[k]
+        rest[at : at + samples] -= scale * bank[k]
+        found.append((int(at), int(k), float(scale)))
+        open_[k, max(0, at - samples + 1) : at + samples] = False
+        a, b = max(0, at - samples + 1), min(places, at + samples)
+        part = rest[a : b - 1 + samples]
+        for j, t in enumerate(bank):
+            score[j, a:b] = sum(np.correlate(part[:, c], t[:, c], "valid") for c in range(bank.shape[2]))
+    return found
+
+
+def matcher_parameters(threshold: float | None = None, *, factor: float | None = None, norms_sq: list[float] | None = None, **given) -> dict:
+    """Parameters of a matcher: explicit ones win; else the threshold is factor x median squared norm (EX3, AG19)."""
+    out = {"approx_rank": 4, "amplitude_variance": 1.0, "jitter_factor": 8, "max_iter": 1000, "refractory_period_frames": 10} | given
+    if threshold is not None:
+        return out | {"threshold": threshold}
+    if factor is None:
+        raise ValueError("a threshold or a factor of the median norm is needed")
+    return out | {"threshold": factor * float(np.median(norms_sq))}
+
+
+def carry_forward(
+    snippets: DataFrame, bank: DataFrame, gate: float, least: int, cap: float | None = None, every: int = 0, new_below: float = 0.8
+) -> DataFrame:
+    """Windows in order: match with the bank at hand, then learn from what matched (IT2, IT3).
+
+    snippets: ``(grp, win, spike, wf)``; bank: ``(grp, unit, wf)``. A unit with at least ``least`` matches in a
+    window takes their mean as its template unless that is less like the old one than ``cap``. Every ``every``
+    windows the mean of the unmatched snippets founds a unit if no template of the group is as like it as
+    ``new_below``. Returns ``(grp, win, spike, unit, r)``; founded units have negative numbers.
+    """
+    both = snippets.select("grp", "win", "spike", F.lit(None).cast("long").alias("unit"), "wf").unionByName(
+        bank.select("grp", F.lit(-1).cast("long").alias("win"), F.lit(None).cast("long").alias("spike"), "unit", "wf")
+    )
+
+    def unit_rows(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf.win < 0].sort_values("unit")
+        templates = {int(u): np.asarray(w, float) for u, w in zip(own.unit, own.wf, strict=True)}
+        out: list[tuple] = []
+        born = 0
+        for number, (win, part) in enumerate(pdf[pdf.win >= 0].groupby("win", sort=True), 1):
+            part = part.sort_values("spike")
+            x = np.stack(part.wf.to_numpy()).astype(float)
+            names = list(templates)
+            r = unit_rows(x) @ unit_rows(np.stack([templates[n] for n in names])).T if names else np.zeros((len(x), 0))
+            best = r.argmax(axis=1) if names else np.zeros(len(x), int)
+            top = r[np.arange(len(x)), best] if names else np.full(len(x), -1.0)
+            hit = top >= gate
+            out += [(int(pdf.grp.iloc[0]), int(win), int(s), names[b] if h else None, float(t)) for s, b, h, t in zip(part.spike, best, hit, top, strict=True)]
+            for k, name in enumerate(names):
+                mine = hit & (best == k)
+                if mine.sum() >= least:
+                    mean = x[mine].mean(axis=0)
+                    if cap is None or float(unit_rows(mean) @ unit_rows(templates[name])) >= cap:
+                        templates[name] = mean
+            if every and number % every == 0 and (~hit).sum() >= least:
+                mean = x[~hit].mean(axis=0)
+                like = max((float(unit_rows(mean) @ unit_rows(t)) for t in templates.values()), default=-1.0)
+                if like < new_below:
+                    born += 1
+                    templates[-born] = mean
+        return pd.DataFrame(out, columns=["grp", "win", "spike", "unit", "r"]).astype({"unit": "Int64"})
+
+    return both.groupBy("grp").applyInPandas(run, "grp long, win long, spike long, unit long, r double")
+
+
+def cluster(snippets: DataFrame, parts: int = 3, components: int = 3, rounds: int = 25) -> DataFrame:
+    """``(grp, spike, cluster)``: principal components, then k-means from spread-out seeds, per group (EX1, IT11).
+
+    Deterministic: the first seed is the snippet of most energy, each next the one farthest from those taken.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spike")
+        x = np.stack(pdf.wf.to_numpy()).astype(float)
+        centred = x - x.mean(axis=0)
+        _, _, axes = np.linalg.svd(centred, full_matrices=False)
+        axes = axes[:components] * np.sign(axes[:components].sum(axis=1, keepdims=True) + 1e-12)
+        y = centred @ axes.T
+        seeds = [int(np.argmax((y**2).sum(axis=1)))]
+        while len(seeds) < min(parts, len(y)):
+            seeds.append(int(np.argmax(np.min([((y - y[s]) ** 2).sum(axis=1) for s in seeds], axis=0))))
+        middle = y[seeds]
+        for _ in range(rounds):
+            label = ((y[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1)
+            then = np.array([y[label == k].mean(axis=0) if (label == k).any() else middle[k] for k in range(len(middle))])
+            if np.allclose(then, middle):
+                break
+            middle = then
+        return pd.DataFrame({"grp": pdf.grp.to_numpy(), "spike": pdf.spike.to_numpy(), "cluster": label})
+
+    return snippets.select("grp", "spike", "wf").groupBy("grp").applyInPandas(run, "grp long, spike long, cluster long")
