@@ -2,7 +2,7 @@
 
 Every byte covered by a 100-byte string that also starts earlier (smaller doc_id, or earlier in the same
 document) goes. :mod:`anchors` gathers segments of strings that could be equal into reference shards; a
-shard's suffix array starts from buckets of 4-grams, and each pass sorts the suffixes within a bucket by the
+shard's suffix array starts from buckets of 8-grams, and each pass sorts the suffixes within a bucket by the
 bucket pointers at a later offset. Pointers are updated as buckets split, so each pass doubles the depth
 that the next one reuses; only buckets of several suffixes are sorted again, and refinement stops at depth
 100, where suffixes share a bucket exactly if their 100 bytes are equal.
@@ -26,40 +26,40 @@ from chronoweave.llm.anchors import Unit, covered, repeated_spans
 from chronoweave.llm.rowkeys import keyed
 
 LENGTH = 100
-GRAM = 4
+GRAM = 8
 _SYMBOL = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def buckets(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, bucket pointer of each suffix) of bytes, sorted and told apart by their first ``depth`` bytes."""
+    """(suffix array, bucket pointer of each suffix) of bytes, told apart by their first ``depth`` bytes.
+
+    A bucket's pointer is the place of its first suffix; suffixes beyond the end count as smaller than any.
+    """
     n = len(data)
-    padded = np.concatenate((data.astype(np.int64) + 1, np.zeros(GRAM, np.int64)))
-    key = np.zeros(n, np.int64)
     known = min(GRAM, depth)
+    padded = np.zeros(n + known, np.uint64)
+    padded[:n] = data
+    key = np.zeros(n, np.uint64)
     for i in range(known):
-        key = key * 257 + padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+        key = (key << np.uint64(8)) | padded[i : i + n]
+    order = np.argsort(key)
     pointer = np.full(n + depth + 1, -1, np.int64)
-    sorted_key = key[order]
-    head = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
-    size = np.diff(np.append(head, n))
-    pointer[order] = np.repeat(head, size)
-    while known < depth:
+    key = key[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begins, n))
+    pointer[order] = np.repeat(begins, size)
+    place = np.flatnonzero(np.repeat(size > 1, size))  # places in the array whose bucket can still split
+    while known < depth and len(place):
         step = min(known, depth - known)
-        several = np.repeat(size > 1, size)
-        place = np.flatnonzero(several)  # suffixes whose bucket can still split
-        if not len(place):
-            break
         own = order[place]
-        first, later = pointer[own], pointer[own + step]
-        sort = np.lexsort((later, first))
-        own, first, later = own[sort], first[sort], later[sort]
+        key = (pointer[own] << 32) | (pointer[own + step] + 1)
+        sort = np.argsort(key)
+        own, key = own[sort], key[sort]
         order[place] = own
-        new = np.concatenate(([True], (first[1:] != first[:-1]) | (later[1:] != later[:-1])))
-        begins = place[new]
-        pointer[own] = np.repeat(begins, np.diff(np.append(np.flatnonzero(new), len(own))))
-        head = np.flatnonzero(np.bincount(pointer[order], minlength=n) > 0)
-        size = np.diff(np.append(head, n))
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(own)))
+        pointer[own] = np.repeat(place[first], size)
+        place = place[np.repeat(size > 1, size)]
         known += step
     return order, pointer[:n]
 
@@ -77,16 +77,22 @@ class Bytes(Unit):
     def compare(self, segments: list[bytes], anchors: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int]]:
         data = np.frombuffer(b"".join(segments), np.uint8)
         start = np.cumsum([0] + [len(x) for x in segments])
-        _, pointer = buckets(data, self.width)
-        place = np.arange(len(data))
+        array, pointer = buckets(data, self.width)
+        bucket = pointer[array]
+        # only suffixes that share their bucket, and whose bytes all belong to their segment
+        alike = np.concatenate(([False], bucket[1:] == bucket[:-1]))
+        alike[:-1] |= alike[1:]
+        place, bucket = array[alike], bucket[alike]
         segment = np.searchsorted(start, place, "right") - 1
         whole = place + self.width <= start[segment + 1]
-        place, segment, bucket = place[whole], segment[whole], pointer[whole]
+        place, bucket, segment = place[whole], bucket[whole], segment[whole]
+        if not len(place):
+            return []
         when = order[segment] * (1 << 32) + (place - start[segment])
-        earliest = np.full(len(data), np.iinfo(np.int64).max)
-        np.minimum.at(earliest, bucket, when)
-        late = when > earliest[bucket]
-        place, segment = place[late], segment[late]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        late = when > np.repeat(np.minimum.reduceat(when, first), np.diff(np.append(first, len(when))))
+        place = np.sort(place[late])
+        segment = np.searchsorted(start, place, "right") - 1
         if not len(place):
             return []
         cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(segment) != 0)) + 1
