@@ -253,8 +253,10 @@ def repeated_spans(rows: DataFrame, unit: Unit) -> DataFrame:
     plain = rows.select("k", "t", "text")
     found = plain.mapInArrow(unit.segments, "h long, g int, k long, t long, s int, n int")
     seen = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1")
-    hits = materialize(found.join(seen.select("h", (F.col("g0") != F.col("g1")).alias("differ")), "h"), "segments")
-    # count as a sum of ones and the first place: copies collapse before they are shuffled
+    # a table of its own: the join then has an exchange on both sides, and a hot anchor's rows can be split
+    seen = materialize(seen.select("h", (F.col("g0") != F.col("g1")).alias("differ")), "anchors")
+    hits = materialize(found.join(seen, "h"), "segments")
+    # copies collapse before they are shuffled
     place = F.struct("k", "t", "s")
     kinds = hits.groupBy("h", "g", "differ").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "t", "s", "n")).alias("first"))
     kinds = materialize(kinds, "segment-kinds")
