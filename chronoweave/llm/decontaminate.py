@@ -54,7 +54,7 @@ def template(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _BLANKS), lambda w: w != "")
+    return F.array_remove(F.split(line, _BLANKS), "")
 
 
 def plain_words(text: Column) -> Column:
@@ -63,11 +63,13 @@ def plain_words(text: Column) -> Column:
 
 def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``(*keep, pos, w)``: the hash of every window of template words and its place."""
-    hashed = rows.select(*keep, F.transform(_words(template(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
-    starts = F.slice("h", F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(0)))
-    windows = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, WINDOW)]))
+    words = rows.select(*keep, _words(template(F.col("text"))).alias("words"))
+    shifted = [F.slice("words", F.lit(1 + j), F.size("words")) for j in range(WINDOW)]
+    zipped = words.select(*keep, F.arrays_zip(*[x.alias(f"w{j}") for j, x in enumerate(shifted)]).alias("windows"))
     # outer: an inner explode makes the optimizer repeat the whole expression in a filter below
-    spread = hashed.select(*keep, windows.alias("windows")).select(*keep, F.posexplode_outer("windows").alias("pos", "w"))
+    spread = zipped.select(*keep, F.posexplode_outer("windows").alias("pos", "v"))
+    names = [f"v.{name}" for name in zipped.schema["windows"].dataType.elementType.names]
+    spread = spread.where(F.col(names[-1]).isNotNull()).select(*keep, "pos", F.xxhash64(*names).alias("w"))
     return spread.where("w is not null")
 
 
