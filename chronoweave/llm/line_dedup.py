@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.rowkeys import keyed
+from chronoweave.plans.storage import materialize
 
 WINDOW = 3
 #: Lines of a document at most, as a power of two; orders (document, line) in one number.
@@ -51,6 +52,8 @@ def _kept(rows: DataFrame) -> DataFrame:
     windows = _windows(rows)
     # one number per occurrence keeps the aggregation in fixed-width buffers (hash aggregation)
     first = windows.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own: the join then has an exchange on both sides, and a hot window's rows can be split
+    first = materialize(first, "repeated-lines")
     later = windows.join(first, ["h1", "h2"]).where(_order() > F.col("first"))
     found = later.groupBy("k", "t").agg(F.collect_set("pos").alias("starts"))
     joined = rows.join(found, ["k", "t"], "left").withColumn("lines", F.split("text", "\n", -1))
