@@ -41,7 +41,7 @@ _DIGITS = "[-+]?\\d[\\d.,:/]*"
 _NUMBER_UNIT = f"(?<!\\S)[(\\[{{\"'$]*{_DIGITS}(?i:{UNITS}){_TAIL}"
 _NUMBER = f"(?<!\\S)[(\\[{{\"'$#]*{_DIGITS}(?:st|nd|rd|th)?%?{_TAIL}"
 _UNIT = f"(?<={NUMBER} )(?i:{UNITS}){_TAIL}"
-_NAME = f"(?<=[\\p{{Ll}},;] )\\p{{Lu}}[\\p{{L}}'-]*{_TAIL}"
+_NAME = f"(?<=[\\p{{Ll}},;{NUMBER}-{NAME}] )\\p{{Lu}}[\\p{{L}}'-]*{_TAIL}"
 _PUNCTUATION = "\\p{Punct}+"
 _BLANKS = "[\\x20\\t-\\r]+"
 
@@ -123,9 +123,9 @@ def contaminated(
     item_text_col: str = "text",
     coverage: float = COVERAGE,
 ) -> DataFrame:
-    """``(doc_id, item_id, n_matched, n_windows, coverage, n_slots, reworded)`` of every contaminated document and item.
+    """``(doc_id, t, item_id, n_matched, n_windows, coverage, n_slots, reworded)`` of every contaminated document and item.
 
-    reworded: some slot holds another value than the item's.
+    t is the text's 64-bit hash; reworded: some slot holds another value than the item's.
     """
     found = alignments(docs, bench, id_col, text_col, item_col, item_text_col)
     asked = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))
@@ -137,15 +137,15 @@ def contaminated(
     )
     share = F.round(F.col("n_matched") / F.col("n_windows"), 6)
     return merged.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")).select(
-        "doc_id", "item_id", "n_matched", "n_windows", share.alias("coverage"), "n_slots", "reworded"
+        "doc_id", "t", "item_id", "n_matched", "n_windows", share.alias("coverage"), "n_slots", "reworded"
     )
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id no benchmark item contaminates, all columns kept."""
-    gone = contaminated(docs, bench, id_col, text_col).select("doc_id").distinct()
-    return without(docs, materialize(gone, "contaminated"), id_col)
+    """The rows of ``docs`` that no benchmark item contaminates, all columns kept."""
+    gone = contaminated(docs, bench, id_col, text_col).select("doc_id", "t").distinct()
+    return without(docs, materialize(gone, "contaminated"), id_col, text_col)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("t")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.plans.storage import broadcast_if_small
@@ -25,15 +25,24 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     doc_id, text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
     k = F.coalesce(doc_id.cast("long"), F.lit(LAST))
     repeated = rows.select(k.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    t = F.xxhash64(F.coalesce(text, F.lit(""))) if repeated else F.lit(0).cast("long")
+    t = text_hash(text) if repeated else F.lit(0).cast("long")
     rest = rows.columns if whole else []
     return rows.select(*rest, doc_id.alias("doc_id"), text.alias("text"), k.alias("k"), t.alias("t"))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in the one column of ``gone`` (a written table); null matches null."""
-    name = "_gone"
-    while name in docs.columns:
-        name += "_"
-    gone = broadcast_if_small(gone.toDF(name), MAX_BROADCAST_IDS)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col(name)), "left_anti")
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a written table ``(doc_id, t)`` doesn't name by doc_id and the text's hash.
+
+    A null doc_id matches null, and a null text counts as empty; all columns of ``docs`` stay as they are.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
+    gone = broadcast_if_small(gone.toDF("_gone", "_t"), MAX_BROADCAST_IDS)
+    # the hash is the equi-join key: it spreads rows without a doc_id too
+    same = (text_hash(text) == F.col("_t")) & doc_id.eqNullSafe(F.col("_gone"))
+    return rows.join(gone, same, "left_anti").toDF(*names)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.anchors import mixed
-from chronoweave.llm.rowkeys import without
+from chronoweave.llm.rowkeys import text_hash, without
 from chronoweave.operators.graph import connected_components
 from chronoweave.plans.storage import materialize, pick
 
@@ -276,7 +276,7 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, component_id)`` where texts link at a similarity of about 0.8 of their shingles or more.
+    """``(doc_id, t, component_id)``, t the text's 64-bit hash, where texts link at a similarity of about 0.8 of their shingles or more.
 
     At that similarity fingerprints differ in some 15 of 100 bits, too many for 64 bits to tell or for exact
     grids to find. So fingerprints are of ``WIDE`` words, link at ``WIDE_BITS`` or fewer differing bits, and
@@ -286,8 +286,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i]) for i in range(WIDE)]], ["doc_id", *words])
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            columns = [batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(WIDE)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", *words])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,34 +297,36 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             taken = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(cell), *taken.columns], ["cell", "node", *words])
 
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_hash(F.col("text")).alias("t"), "text")
     longs = ", ".join(f"{w} long" for w in words)
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {longs}")
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t long, {longs}")
     found = materialize(found.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
     first = materialize(found.groupBy("node", *words).agg(F.min("doc_id").alias("first")), "distinct-wide-fingerprints")
     cells_ = first.select("node", *words).mapInArrow(spread, f"cell long, node long, {longs}")
     met = cells_.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_wide_links, "a long, b long")
-    return _classes(found.select("doc_id", "node"), first.select("node", "first"), met.distinct()).select("doc_id", "component_id")
+    return _classes(found.select("doc_id", "t", "node"), first.select("node", "first"), met.distinct()).select("doc_id", "t", "component_id")
 
 
 def _classes(found: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:
-    """Adds component_id to ``(doc_id, node)`` rows, from the nodes' smallest doc_ids and their links."""
-    labels = connected_components(met).withColumnRenamed("node", "_node")
-    members = first.join(labels, F.col("node") == F.col("_node"), "left").select(
-        "node", "first", F.coalesce("component", "node").alias("component")
-    )
-    smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    return found.join(members.join(smallest, "component").select("node", "component_id"), "node")
+    """Adds component_id to rows with a ``node``, from the nodes' smallest doc_ids and their links."""
+    labels = connected_components(met)
+    linked = first.join(labels, "node")
+    # a table of its own: the join then has an exchange on both sides, and a large component can be split
+    smallest = materialize(linked.groupBy("component").agg(F.min("first").alias("component_id")), "components")
+    of_node = linked.join(smallest, "component").select("node", "component_id", F.lit(True).alias("linked"))
+    whole = first.join(of_node, "node", "left")
+    whole = whole.select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return found.join(whole, "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
     """The rows of ``docs`` without those of a component of similar texts other than its smallest doc_id's.
 
-    Rows without doc_id stay only where nothing linked to them has one. Repeated rows of the kept doc_id stay.
+    Rows without doc_id stay only where nothing linked to them has one. Repeated rows of the one kept stay.
     """
     classes = similar_texts(docs, id_col, text_col, shingle)
     gone = classes.where("doc_id <> component_id or doc_id is null and component_id is not null")
-    return without(docs, materialize(gone.select("doc_id").distinct(), "near-duplicates"), id_col)
+    return without(docs, materialize(gone.select("doc_id", "t").distinct(), "near-duplicates"), id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

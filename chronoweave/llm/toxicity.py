@@ -165,7 +165,7 @@ def sentence_scores(texts: list[bytes], weight: np.ndarray, bias: float) -> tupl
 def scores(texts: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:
     """Noisy-or of each text's sentences; a text without words scores as one empty sentence."""
     p, owner = sentence_scores(texts, weight, bias)
-    clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))
+    clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)).astype(float)  # of nothing it counts in integers
     empty = np.bincount(owner, minlength=len(texts)) == 0
     clean[empty] = np.log1p(-_sigmoid(np.float64(bias)))
     return -np.expm1(clean)
