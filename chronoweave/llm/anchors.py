@@ -277,7 +277,7 @@ def repeated_spans(rows: DataFrame, unit: Unit) -> DataFrame:
 
     windows = cut.where("many").mapInArrow(unit._windows, "w1 long, w2 long, k long, t long, s int")
     counted = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1")
-    again = windows.join(counted, ["w1", "w2"])
+    again = windows.join(materialize(counted, "repeated-windows"), ["w1", "w2"])
     if unit.keep_first:
         again = again.where(place != F.col("first"))
     spans = spans.unionByName(again.select("k", "t", "s", (F.col("s") + F.lit(unit.width)).cast("int").alias("e")))
