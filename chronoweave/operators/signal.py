@@ -154,7 +154,7 @@ def spectra(trace: DataFrame, fs: float, size: int, overlap: float = 0.0, window
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) != size:
-            return pd.DataFrame({"grp": [], "channel": [], "win": [], "freq": [], "psd": []})
+            return pdf.iloc[:0][["grp", "channel", "win"]].assign(freq=0.0, psd=0.0)
         v = pdf.sort_values("frame").value.to_numpy(dtype=float)
         p = np.abs(np.fft.rfft((v - v.mean()) * w)) ** 2 * scale
         p[1 : len(p) - (size % 2 == 0)] *= 2
