@@ -1,7 +1,7 @@
 """Operators on event trains: rows of (grp, unit, frame), frames 64-bit, everything within a group.
 
-Tolerance joins take one shuffle: both sides are united, and a window over the group's frames looks up the
-nearest reference on either side, so a busy group costs a sort rather than a product of its sides. Band
+Tolerance joins take one shuffle: both sides are united, and a window over a bucket of the group's frames looks
+up the nearest reference on either side, so a busy group costs sorts rather than a product of its sides. Band
 joins meet in buckets as wide as the band.
 """
 
@@ -27,10 +27,25 @@ def nearest_gap(query: DataFrame, ref: DataFrame, by: list[str] | None = None) -
     return both.where("_side = 1").select(*names, gap.alias("gap"))
 
 
+#: Buckets of a tolerance join are this many tolerances wide: few references are repeated at their edges, and
+#: a group's frames still spread over many tasks.
+BUCKET_TOLERANCES = 256
+
+
 def within_tol(query: DataFrame, ref: DataFrame, tol: int, by: list[str] | None = None) -> DataFrame:
-    """``query`` with ``hit``: whether a reference lies within the tolerance, both ends included (JN1)."""
-    found = nearest_gap(query, ref, by)
-    return found.withColumn("hit", F.coalesce(F.col("gap") <= tol, F.lit(False))).drop("gap")
+    """``query`` with ``hit``: whether a reference lies within the tolerance, both ends included (JN1).
+
+    Frames are cut into buckets; references within the tolerance of an edge also go to the bucket beyond it.
+    So neither a busy group nor a long recording ends in one task.
+    """
+    by = by or ["grp"]
+    width = BUCKET_TOLERANCES * (tol + 1)
+    bucket = F.floor(F.col("frame") / F.lit(width))
+    inside = F.col("frame") - bucket * width
+    near = F.array(bucket, F.when(inside < tol, bucket - 1), F.when(inside >= width - tol, bucket + 1))
+    r = ref.select(*by, "frame", F.explode(F.array_compact(near)).alias("_bucket"))
+    found = nearest_gap(query.withColumn("_bucket", bucket), r, [*by, "_bucket"])
+    return found.withColumn("hit", F.coalesce(F.col("gap") <= tol, F.lit(False))).drop("gap", "_bucket")
 
 
 def outside_tol(query: DataFrame, ref: DataFrame, tol: int, by: list[str] | None = None) -> DataFrame:

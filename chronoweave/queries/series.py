@@ -42,16 +42,16 @@ def wn3_slice_table(spark, sf):
 
 @query(
     "jn16_frame_to_time",
-    f"""WITH {_SLICES}, q AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS f FROM orders)
-    SELECT o_orderkey, m, round(t_start + (f - start_sample) / 0.001, 3)::DOUBLE AS t FROM q JOIN sl ON f >= start_sample AND f < end_sample WHERE o_orderkey % 7 = 0""",
+    f"""WITH {_SLICES}, t AS (SELECT max(end_sample) AS total FROM sl), q AS (SELECT o_orderkey, (o_orderkey * 7919) % total AS f FROM orders, t)
+    SELECT o_orderkey, m, round(t_start + (f - start_sample) / 0.001, 3)::DOUBLE AS t FROM q JOIN sl ON f >= start_sample AND f < end_sample""",
 )
 def jn16_frame_to_time(spark, sf):
-    # frames are places in the whole session; the sample below is the operator's own projection
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o_orderdate", "o_orderkey")) - 1
-    q = table(spark, sf, "orders").select("o_orderkey", "o_orderdate").withColumn("f", place)
     sl = S.slice_table(_months(spark, sf), "m", "n", "t0", 0.001).select("m", "start_sample", "end_sample", "t_start")
+    total = sl.agg(F.max("end_sample").alias("total"))  # one row
+    q = table(spark, sf, "orders").select("o_orderkey").join(F.broadcast(total))
+    q = q.select("o_orderkey", ((F.col("o_orderkey") * 7919) % F.col("total")).alias("f"))
     met = q.join(F.broadcast(sl), (F.col("f") >= F.col("start_sample")) & (F.col("f") < F.col("end_sample")))  # a row per segment
-    return met.where("o_orderkey % 7 = 0").select("o_orderkey", "m", F.round(F.col("t_start") + (F.col("f") - F.col("start_sample")) / 0.001, 3).alias("t"))
+    return met.select("o_orderkey", "m", F.round(F.col("t_start") + (F.col("f") - F.col("start_sample")) / 0.001, 3).alias("t"))
 
 
 _TRANSITIONS = f"""tr AS (SELECT unit, min(frame) AS t, CASE WHEN (frame // {DAY}) % 2 = 0 THEN 'light' ELSE 'dark' END AS label FROM ev WHERE kind = 'signup' GROUP BY unit, frame // {DAY}, 3),
