@@ -178,3 +178,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = """
+WITH w AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w
+), c AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(ws[i:i + 34], ' ')) AS n FROM p
+), x AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w
+), y AS (
+    SELECT x.doc_id, x.pos, x.word, max(CASE WHEN c.n > 1 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY x.doc_id ORDER BY x.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+    FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.pos
+)
+SELECT w.doc_id, count(y.pos) AS n_words, coalesce(sum(y.gone), 0)::BIGINT AS n_removed,
+    sha256(coalesce(string_agg(y.word, ' ' ORDER BY y.pos) FILTER (WHERE y.gone = 0), '')) AS kept_sha256
+FROM w LEFT JOIN y ON y.doc_id = w.doc_id
+GROUP BY w.doc_id
+"""

@@ -98,9 +98,10 @@ def test_columns(spark, name):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-def test_line_dedup_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = sorted(con.execute(llm.oracle_sql()["op1_line_dedup"]).fetchall())
-    got = llm.queries()["op1_line_dedup"](spark, SF)
+    want = sorted(con.execute(llm.oracle_sql()[name]).fetchall())
+    got = llm.queries()[name](spark, SF)
     assert sorted(tuple(r) for r in got.collect()) == want
