@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,20 +31,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back (cuts the lineage)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no later plan reads."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if base.removeprefix("file://").rstrip("/") in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+        if any(path.endswith(made.rpartition("/")[2]) for made in _MADE.get(spark.sparkContext.applicationId, [])):
+            _delete(spark, path)
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Delete every table the session has made so far; results that still read them must be written first."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        _delete(spark, path)
+    return len(made)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
