@@ -13,7 +13,7 @@ is exact and leaves large groups of copies with a few rows.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, and no query of
 theirs has rows; vectors of different lengths are never compared; fewer than k candidates: all are given;
-null vec_ids take no part; ties go to the smaller vec_id; rows that repeat a vec_id count once; extra
+null vec_ids take no part; ties go to the smaller vec_id; rows that repeat a vec_id count once, with the smallest vector; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -75,7 +75,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     rows = pick(vectors, id_col, vector_col).toDF("vec_id", "v").withColumn("v", F.col("v").cast("array<double>"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(~bad & F.exists("v", lambda x: x != 0))
-    return rows.withColumn("vec_id", F.col("vec_id").cast("long")).dropDuplicates(["vec_id"])
+    return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
