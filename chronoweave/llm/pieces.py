@@ -10,8 +10,8 @@ the shorter ones. The programme follows them and relaxes the best way to reach t
   result of merging exactly if all its neighbours are stable, and every prefix has one such sequence, so
   the programme yields the library's pieces, and its count for every prefix, in a single pass.
 
-Texts are cut into chunks where no piece can span (before a run of U+2581 that follows another character,
-and around characters that occur in no longer piece), so chunks can be solved once and remembered.
+Texts are cut into chunks where no piece can span, i.e. between characters that no piece has side by side, so
+chunks can be solved once and remembered.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ REMEMBERED_LENGTH = 64
 #: Chunks remembered by a worker in each of two generations.
 REMEMBERED_CHUNKS = 150_000
 #: Stable and unstable pairs remembered by a worker.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 400_000
 #: A character outside the pieces costs a unigram model its smallest score and this much more.
 UNKNOWN_PENALTY = 10.0
 
@@ -85,6 +85,35 @@ class Remembered(dict):
         return found
 
 
+def _chunk_pattern(longer: list[str]) -> re.Pattern | None:
+    """Cuts marked text where no piece has the two characters beside each other; None if spaces end no chunk.
+
+    Characters that pieces ever have side by side form a family; a chunk is a run of one family, with the
+    spaces before it, or one character outside all families.
+    """
+    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer):
+        return None
+    head: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    for piece in longer:
+        inner = piece.lstrip(SPACE)
+        for a, b in zip(inner, inner[1:], strict=False):
+            for c in (a, b):
+                head.setdefault(c, c)
+            head[find(a)] = find(b)
+    families: dict[str, list[str]] = {}
+    for c in sorted(head):
+        families.setdefault(find(c), []).append(re.escape(c))
+    runs = [f"{SPACE}*[{''.join(f)}]+" for f in sorted(families.values(), key=len, reverse=True)]
+    return re.compile("|".join([*runs, f"{SPACE}*[^{SPACE}]", f"{SPACE}+"]))
+
+
 class PieceModel:
     """Pieces of a ``.model`` file, or a table of (piece, score, type) rows; see the module's text."""
 
@@ -97,11 +126,7 @@ class PieceModel:
         self._unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self._floor = min((s for _, s, kind in pieces if kind == NORMAL), default=0.0) - UNKNOWN_PENALTY
         longer = [p for p in self._ids if len(p) > 1]
-        self._inner = set("".join(longer))
-        #: Whether chunks may be cut before a run of spaces, and around line ends.
-        self._cut_at_spaces = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer)
-        alone = "" if "\n" in self._inner else "\n"
-        self._chunks = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""))
+        self._chunks = _chunk_pattern(longer)
         self._rank = {p: (-pieces[i][1], i) for p, i in self._ids.items()}
         self._texts = [p for p, _, _ in pieces]
         self._stable: dict[tuple[int, int], bool] = {}
@@ -144,7 +169,7 @@ class PieceModel:
         if not text:
             return []
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return self._chunks.findall(marked) if self._cut_at_spaces else [marked]
+        return self._chunks.findall(marked) if self._chunks else [marked]
 
     def _text(self, piece: int) -> str:
         return self._texts[piece] if piece >= 0 else chr(-2 - piece)
