@@ -316,7 +316,8 @@ def _classes(found: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:
     of_node = linked.join(smallest, "component").select("node", "component_id", F.lit(True).alias("linked"))
     whole = first.join(of_node, "node", "left")
     whole = whole.select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return found.join(whole, "node")
+    # likewise: copies share a node, and a large group's rows can be split
+    return found.join(materialize(whole, "node-components"), "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
