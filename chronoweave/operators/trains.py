@@ -78,16 +78,18 @@ def isi_violation(train: DataFrame, refractory: int, by: list[str] | None = None
     )
 
 
-def band_pairs(a: DataFrame, b: DataFrame, lag: int, by: list[str] | None = None) -> DataFrame:
+def band_pairs(a: DataFrame, b: DataFrame, lag: int, by: list[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """``(*by, unit_a, unit_b, frame_a, frame_b)`` with -lag <= frame_b - frame_a < lag (JN3).
 
-    Sides meet in buckets of ``lag`` frames and their neighbours, so a group's product never forms.
+    Sides meet in buckets of ``lag`` frames and their neighbours, so a group's product never forms. Columns
+    named in ``extra`` come along from both sides, with the same endings.
     """
     by = by or ["grp"]
     bucket = lambda f: F.floor(f / F.lit(lag))
-    left = a.select(*by, F.col("unit").alias("unit_a"), F.col("frame").alias("frame_a"))
+    side = lambda df, end: df.select(*by, *[F.col(c).alias(f"{c}_{end}") for c in ("unit", "frame", *extra)])
+    left = side(a, "a")
     left = left.withColumn("_b", F.explode(F.array(*[bucket(F.col("frame_a")) + i for i in (-1, 0, 1)])))
-    right = b.select(*by, F.col("unit").alias("unit_b"), F.col("frame").alias("frame_b")).withColumn("_b", bucket(F.col("frame_b")))
+    right = side(b, "b").withColumn("_b", bucket(F.col("frame_b")))
     d = F.col("frame_b") - F.col("frame_a")
     return left.join(right, [*by, "_b"]).where((d >= -lag) & (d < lag)).drop("_b")
 
@@ -123,13 +125,16 @@ def ccg_verdicts(
         train.select("grp", F.col("unit").alias("unit_b")).distinct(), "grp"
     ).where("unit_a < unit_b")
     n_co = shared.groupBy("grp", "unit_a", "unit_b").agg(F.count(F.lit(1)).alias("n_co"))
+    # an event knows whether its unit is also active in the windows beside its own; as a lag reaches no further,
+    # that tells whether both events of a pair lie in windows where both units are active
+    if lag > window:
+        raise ValueError("lags may not exceed the window")
+    order = Window.partitionBy("grp", "unit").orderBy("win")
+    beside = active.withColumns({"back": F.lag("win").over(order) == F.col("win") - 1, "ahead": F.lead("win").over(order) == F.col("win") + 1})
     win = F.floor(F.col("frame") / F.lit(window)).alias("win")
-    active_events = train.select("grp", "unit", "frame", win).join(active, ["grp", "unit", "win"], "left_semi").select("grp", "unit", "frame")
-    met = band_pairs(active_events, active_events, lag).where("unit_a < unit_b")
-    met = met.withColumns({"wa": F.floor(F.col("frame_a") / F.lit(window)), "wb": F.floor(F.col("frame_b") / F.lit(window))})
-    left = shared.select("grp", "unit_a", "unit_b", F.col("win").alias("wa"))
-    right = shared.select("grp", "unit_a", "unit_b", F.col("win").alias("wb"))
-    met = met.join(left, ["grp", "unit_a", "unit_b", "wa"], "left_semi").join(right, ["grp", "unit_a", "unit_b", "wb"], "left_semi")
+    active_events = train.select("grp", "unit", "frame", win).join(beside, ["grp", "unit", "win"])
+    met = band_pairs(active_events, active_events, lag, extra=("win", "back", "ahead")).where("unit_a < unit_b")
+    met = met.where("win_a = win_b or (win_b = win_a + 1 and ahead_a and back_b) or (win_a = win_b + 1 and ahead_b and back_a)")
     # lags run from b to a, so the open end of the band is at +lag of a against b
     d = F.abs(F.col("frame_a") - F.col("frame_b"))
     counts = met.where(F.col("frame_a") - F.col("frame_b") < lag).groupBy("grp", "unit_a", "unit_b").agg(
