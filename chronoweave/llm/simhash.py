@@ -259,7 +259,7 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(edges)[:whole]
         size = np.repeat(sizes, sizes)
         a, b = [], []
-        for lag in range(1, SMALL):  # cells of a few rows: all pairs at once
+        for lag in range(1, min(SMALL, len(size))):  # cells of a few rows: all pairs at once
             first = np.flatnonzero((size[:-lag] <= SMALL) & (cell[: len(size) - lag] == cell[lag : len(size)]))
             first = first[_wide_near(fps[first], fps[first + lag])]
             a.append(node[first])
@@ -269,7 +269,7 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links = np.array(_wide_forest(fps[first : edges[at + 1]]), dtype=np.int64).reshape(-1, 2) + first
             a.append(node[links[:, 0]])
             b.append(node[links[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
         held = held[edges[whole] :]

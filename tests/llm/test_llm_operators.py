@@ -246,6 +246,24 @@ def test_similar_texts_keep_one(spark):
     assert left.columns == ["doc_id", "text", "h", "Text2", "shard"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 40])
+def test_wide_links_of_one_cell(n):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 62, simhash.WIDE)
+    rows = [(7, i, *(base ^ (i & 1))) for i in range(n)]
+    columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+    names = ["cell", "node", *[f"f{i}" for i in range(simhash.WIDE)]]
+    batch = pa.RecordBatch.from_arrays(columns, names)
+    for batches in ([batch], [batch.slice(0, n // 2), batch.slice(n // 2)]):
+        group = list(range(n))
+        for out in simhash._wide_links(iter(batches)):
+            for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                group = [group[b] if g == group[a] else g for g in group]
+        assert len(set(group)) == 1
+
+
 # sharding
 
 
