@@ -39,12 +39,14 @@ SEED = 42
 SEGMENT_BITS = 2
 BLOCKS = 7
 AGREEING = BLOCKS - MAX_BITS
-#: Wide fingerprints: words of 64 bits, differing bits that link, and the grids where they meet.
+#: Wide fingerprints: words of 64 bits, differing bits of pairs that are tried first, and of pairs that are tried at all.
 WIDE = 4
 WIDE_SHINGLE = 5
 WIDE_BITS = 46
-WIDE_GRIDS = 64
-WIDE_SEGMENTS = 12
+FAR_BITS = 84
+#: One in so many texts tells which shingles are frequent, and how many of these go last in the order of a set. Any order finds all links.
+SAMPLED = 64
+MAX_COMMON = 1 << 16
 #: Rows of a cell whose pairs are all compared at once.
 SMALL = 6
 #: Rows of hash bits counted at once.
@@ -192,24 +194,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes.select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """A SimHash of ``WIDE`` words of 64 bits; each word takes another mix of the same shingle hashes."""
-    hashes = shingle_hashes(text, shingle)
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """A SimHash of ``WIDE`` words of 64 bits; each word takes another mix of the same different shingle hashes."""
     out = np.zeros(WIDE, np.uint64)
-    for word in range(WIDE if len(hashes) else 0):
-        out[word] = majority(mixed(hashes * np.uint64(2 * word + 1) + np.uint64(word)) if word else hashes)
+    for word in range(WIDE if len(found) else 0):
+        out[word] = majority(mixed(found * np.uint64(2 * word + 1) + np.uint64(word)) if word else found)
     return out
 
 
-def wide_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row) of every wide fingerprint in every wide grid."""
-    counts = np.concatenate([segment_counts(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)], axis=1).astype(np.int64)
-    chosen = np.random.default_rng(SEED)
-    out = []
-    for grid in range(WIDE_GRIDS):
-        segments = chosen.choice(counts.shape[1], WIDE_SEGMENTS, replace=False)
-        out.append((counts[:, segments] @ 3 ** np.arange(WIDE_SEGMENTS)) * WIDE_GRIDS + grid)
-    return np.concatenate(out), np.tile(np.arange(len(fps)), WIDE_GRIDS)
+def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, as many as any set of similarity 0.8 must share one of; of no shingles, zero.
+
+    Such a set shares at least 0.8 of these n, so one of the first n - ceil(0.8 n) + 1 of either set, in any
+    order that all sets agree on: here ``common`` (most common first) goes last, and hashes decide otherwise.
+    """
+    if not len(found):
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(len(found), np.int64)
+    if len(common):
+        by = np.argsort(common)
+        at = np.minimum(np.searchsorted(common, found, sorter=by), len(common) - 1)
+        rank = np.where(common[by[at]] == found, len(common) - by[at], 0)
+    return found[np.lexsort((found, rank))[: len(found) + 1 - -(-4 * len(found) // 5)]]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets of different hashes is 0.8 or more; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
 def _wide_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,36 +287,121 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = held[edges[whole] :]
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, t, component_id)``, t the text's 64-bit hash, where texts link at a similarity of about 0.8 of their shingles or more.
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition sorted by its first column whose value there another row has too."""
+    held = None
+    batches = iter(batches)
+    end = False
+    while not end:
+        batch = next(batches, None)
+        end = batch is None
+        if not end:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if held is None or not held.num_rows:
+            continue
+        cell = held.column(0).to_numpy()
+        same = cell[1:] == cell[:-1]
+        more = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        whole = len(cell) if end else int(np.flatnonzero(cell == cell[-1])[0])
+        if more[:whole].any():
+            yield held.slice(0, whole).filter(pa.array(more[:whole]))
+        held = held.slice(whole)
+
+
+def _wide_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one cell that may be similar and have different labels; rows (cell, node, words, n, label) are sorted by cell and node."""
+    held = np.zeros((0, WIDE + 4), np.int64)
+    batches = iter(batches)
+    end = False
+    while not end:
+        batch = next(batches, None)
+        end = batch is None
+        if not end:
+            held = np.concatenate((held, np.stack([x.to_numpy() for x in batch.columns], axis=1)))
+        if not len(held):
+            continue
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(held[:, 0])) + 1, [len(held)]))
+        whole = len(edges) - 1 if end else len(edges) - 2
+        for first, last in zip(edges[:whole], edges[1 : whole + 1], strict=True):
+            part = held[first:last]
+            node, n, label = part[:, 1], part[:, -2], part[:, -1]
+            if (label == label[0]).all():
+                continue
+            fps = np.ascontiguousarray(part[:, 2 : 2 + WIDE]).view(np.uint64)
+            for i in range(len(part) - 1):
+                other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                other = other[(5 * n[other] >= 4 * n[i]) & (5 * n[i] >= 4 * n[other])]
+                other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= FAR_BITS]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), node[i])), pa.array(node[other])], ["a", "b"])
+        held = held[edges[whole] :]
 
-    At that similarity fingerprints differ in some 15 of 100 bits, too many for 64 bits to tell or for exact
-    grids to find. So fingerprints are of ``WIDE`` words, link at ``WIDE_BITS`` or fewer differing bits, and
-    meet in ``WIDE_GRIDS`` grids of ``WIDE_SEGMENTS`` segments drawn at random from the same embedding.
-    """
-    words = [f"f{i}" for i in range(WIDE)]
+
+def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of frequent shingles, most common first, as a sample of the texts shows them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            columns = [batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(WIDE)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", *words])
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64))], ["h"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.stack([batch.column(i + 1).to_numpy() for i in range(WIDE)], axis=1)
-            cell, row = wide_cells(rows.view(np.uint64))
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), *taken.columns], ["cell", "node", *words])
+    sample = texts.where(F.pmod("node", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
+    often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.col("c").desc(), "h").limit(MAX_COMMON)
+    return np.array([r.h for r in often.collect()], np.int64).view(np.uint64)
 
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_hash(F.col("text")).alias("t"), "text")
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """``(doc_id, t, component_id)``, t the text's 64-bit hash, where texts link at a Jaccard similarity of 0.8 or more of their shingles.
+
+    At that similarity fingerprints differ in some 15 % of bits, too many for 64 bits to tell or for grids of
+    segments to find. So texts meet in cells of a rare shingle (:func:`prefix`, which misses no link), and every
+    link is a pair whose sets of shingles were compared. Cells first give forests of fingerprints of ``WIDE``
+    words at ``WIDE_BITS`` or fewer differing bits, so a large group of near copies is joined by few pairs; then
+    all pairs between the groups so found, but those of sizes too unlike or of more than ``FAR_BITS`` differing
+    bits, which at 0.8 happens to fewer than 1 pair in 10 million.
+    """
+    words = [f"f{i}" for i in range(WIDE)]
     longs = ", ".join(f"{w} long" for w in words)
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t long, {longs}")
-    found = materialize(found.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
-    first = materialize(found.groupBy("node", *words).agg(F.min("doc_id").alias("first")), "distinct-wide-fingerprints")
-    cells_ = first.select("node", *words).mapInArrow(spread, f"cell long, node long, {longs}")
-    met = cells_.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_wide_links, "a long, b long")
-    return _classes(found.select("doc_id", "t", "node"), first.select("node", "first"), met.distinct()).select("doc_id", "t", "component_id")
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_hash(F.col("text")).alias("t"), "text")
+    found = rows.select("doc_id", "t", F.col("t").alias("node"))
+    texts = rows.groupBy(F.col("t").alias("node")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+    texts = materialize(texts, "distinct-texts")
+    common = _common_shingles(texts, shingle)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for at in range(0, len(node), 256):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)[at : at + 256]]
+                cells_ = [prefix(x, common) for x in sets]
+                times = [len(x) for x in cells_]
+                fps = np.stack([wide_fingerprint(x) for x in sets]).view(np.int64)
+                columns = [node[at : at + 256], *fps.T, np.array([len(x) for x in sets])]
+                arrays = [np.concatenate(cells_).view(np.int64), *[np.repeat(x, times) for x in columns]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["cell", "node", *words, "n"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ((np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(i)) for i in (2, 3))
+            near = pa.array([similar(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(near)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell", "node")
+    shape = f"cell long, node long, {longs}, n long"
+    met = materialize(by_cell(texts.select("node", "text").mapInArrow(spread, shape)).mapInArrow(_met, shape), "shingle-cells")
+    tried = by_cell(met.select("cell", "node", *words)).mapInArrow(_wide_links, "a long, b long")
+    tried = materialize(ordered(tried), "near-pairs")
+    labels = materialize(connected_components(verified(tried)), "near-components")
+    labelled = met.join(labels, "node", "left").select("cell", "node", *words, "n", F.coalesce("component", "node").alias("label"))
+    rest = ordered(by_cell(labelled).mapInArrow(_wide_rest, "a long, b long")).join(tried, ["a", "b"], "left_anti")
+    linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(materialize(rest, "other-pairs")))
+    return _classes(found, texts.select("node", "first"), linked).select("doc_id", "t", "component_id")
 
 
 def _classes(found: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:

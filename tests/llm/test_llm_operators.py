@@ -264,6 +264,57 @@ def test_wide_links_of_one_cell(n):
         assert len(set(group)) == 1
 
 
+def at_similarity(rng, shared, own):
+    """Two texts of one-word lines whose five-word shingles share ``shared`` and have ``own`` of their own each."""
+    word = lambda: str(rng.randrange(10**9))
+    head = [word() for _ in range(shared + 4)]
+    return [" ".join(head + [word() for _ in range(own)]) for _ in range(2)]
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_similar_texts_are_exact_near_the_threshold(spark, monkeypatch, common):
+    if common:
+        monkeypatch.setattr(simhash, "SAMPLED", 1)
+    rng = random.Random(11)
+    shapes = [(4, 0), (8, 1), (80, 10), (81, 10), (82, 9), (240, 30), (255, 24), (79, 10), (70, 15), (75, 13), (239, 30)]
+    rows, alike = [], {}
+    passage = " ".join(str(rng.randrange(10**9)) for _ in range(8))
+    for shape, (shared, own) in enumerate(shapes):
+        for _ in range(12):
+            a, b = at_similarity(rng, shared, own)
+            if own > 9 and common:
+                a, b = a.split(), b.split()
+                a[50:58] = b[50:58] = passage.split()  # shared by many pairs, changes no similarity
+                a, b = " ".join(a), " ".join(b)
+            alike[len(rows)] = 5 * shared >= 4 * (shared + 2 * own)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    # repeated words: the set of shingles counts, not how often
+    rows += [(len(rows), "a b c d e f g h i j k l"), (len(rows) + 1, "a b c d e f g h i j k l " * 1 + "a b c d e f g h i j k l")]
+    group = {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, rows)).collect()}
+    recall = [group[i + 1] == i for i, near in alike.items() if near]
+    wrong = [group[i + 1] == i for i, near in alike.items() if not near]
+    assert all(recall) and not any(wrong) and len(recall) == 7 * 12 and len(wrong) == 4 * 12
+
+
+def test_similar_texts_of_a_group_are_exact(spark):
+    rng = random.Random(12)
+    base = [str(rng.randrange(10**6)) for _ in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for place in rng.sample(range(200), rng.randint(1, 6)):
+            w[place] = str(rng.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    group = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, rows)).collect()} == dict(enumerate(group))
+
+
 # sharding
 
 
