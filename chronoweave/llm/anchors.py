@@ -7,7 +7,7 @@ windows with one anchor make a segment, and within a segment all windows differ.
 
 * an anchor that occurs once proves its windows unique; segments are counted by anchor with map-side
   pre-aggregation, and only those of repeating anchors go on;
-* equal segments (a 96-bit hash) are settled by counting alone, however many copies there are;
+* equal segments (a 64-bit hash of the content beside the anchor's) are settled by counting alone, however many copies there are;
 * different segments of one anchor are cut out of their texts, gathered by anchor into reference shards of
   bounded size and compared there by the operator's own kernel (suffix automata for words, suffix arrays
   for bytes);
@@ -184,7 +184,7 @@ class Unit(ABC):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor.view(np.int64)),
-                    pa.array((content & np.uint64(0x7FFFFFFF)).astype(np.int32)),
+                    pa.array(content.view(np.int64)),
                     pa.array(k[row]),
                     pa.array(t[row]),
                     pa.array(start.astype(np.int32)),
@@ -251,7 +251,7 @@ class Unit(ABC):
 def repeated_spans(rows: DataFrame, unit: Unit) -> DataFrame:
     """``(k, t, spans array<struct<s, e>>)``: symbols s to e - 1 are covered by windows that repeat; of keyed rows."""
     plain = rows.select("k", "t", "text")
-    found = plain.mapInArrow(unit.segments, "h long, g int, k long, t long, s int, n int")
+    found = plain.mapInArrow(unit.segments, "h long, g long, k long, t long, s int, n int")
     seen = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1")
     # a table of its own: the join then has an exchange on both sides, and a hot anchor's rows can be split
     seen = materialize(seen.select("h", (F.col("g0") != F.col("g1")).alias("differ")), "anchors")

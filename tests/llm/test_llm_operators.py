@@ -384,6 +384,26 @@ def test_substring_dedup_cuts_long_texts_in_blocks(spark, monkeypatch):
     assert np.array_equal(substring_dedup.word_hashes(rows[4][1].encode()), np.concatenate([substring_dedup.word_hashes(w) for w in rows[4][1].encode().split()]))
 
 
+@pytest.mark.parametrize("unit", [substring_dedup.Words(), suffix_array.Bytes()])
+def test_segments_of_one_anchor_are_told_apart_by_64_bits(monkeypatch, unit):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    passage = " ".join(str(rng.randrange(50)) for _ in range(40))
+    texts = [" ".join([*(str(rng.randrange(50)) for _ in range(20)), passage, *(str(rng.randrange(50)) for _ in range(20))]) for _ in range(50)]
+    real = anchors.range_hash
+    # contents that differ in their upper 33 bits only
+    monkeypatch.setattr(anchors, "range_hash", lambda *x: real(*x) & ~np.uint64(0x7FFFFFFF))
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts)], ["k", "t", "text"])
+    found = [s for out in unit.segments([batch]) for s in out.to_pylist()]
+    contents = collections.defaultdict(set)
+    for s in found:
+        contents[s["h"], s["g"]] |= set(unit.cut(texts[s["k"]].encode(), [(s["s"], s["s"] + s["n"] - 1 + unit.width)]))
+    assert len({h for h, _ in contents}) < len(contents)
+    assert all(len(x) == 1 for x in contents.values())
+
+
 def test_automaton_counts():
     rng = random.Random(1)
     sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 25))] for _ in range(20)]
