@@ -41,8 +41,19 @@ _DIGITS = "[-+]?\\d[\\d.,:/]*"
 _NUMBER_UNIT = f"(?<!\\S)[(\\[{{\"'$]*{_DIGITS}(?i:{UNITS}){_TAIL}"
 _NUMBER = f"(?<!\\S)[(\\[{{\"'$#]*{_DIGITS}(?:st|nd|rd|th)?%?{_TAIL}"
 _UNIT = f"(?<={NUMBER} )(?i:{UNITS}){_TAIL}"
-_NAME = f"(?<=[\\p{{Ll}},;{NUMBER}-{NAME}] )\\p{{Lu}}[\\p{{L}}'-]*{_TAIL}"
-_PUNCTUATION = "\\p{Punct}+"
+#: Words that open sentences and are no names, wherever they are capitalised: an item reads alike at any place of a text.
+OPENERS = (
+    "The|A|An|I|He|She|It|We|You|They|This|That|These|Those|There|Here|My|His|Her|Its|Our|Your|Their|One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|"
+    "In|On|At|Of|By|For|From|With|Without|To|And|But|Or|So|If|As|After|Before|During|Between|Among|Over|Under|Through|About|Into|Against|Until|Unless|Since|"
+    "When|Where|While|What|Which|Who|Whose|Whom|Why|How|Whether|Because|Although|Though|However|Thus|Hence|Therefore|Then|Now|Once|Also|Not|No|Yes|"
+    "Is|Are|Was|Were|Be|Do|Does|Did|Has|Have|Had|Can|Could|Should|Would|Each|Every|All|Some|Any|Many|Most|Both|Another|Other|Such|"
+    "First|Second|Third|Next|Last|Finally|Let|Find|Given|Suppose|Consider|Calculate|Compute|Determine|Evaluate|Explain|Solve|Write|Assume|Question|Answer"
+)
+_NO_OPENER = f"(?!(?:{OPENERS})(?![\\p{{L}}'’-]))"
+#: Any capitalised word after a lower-case word, comma, semicolon or placeholder; anywhere else only one with small letters, or an initial.
+_CAPITALISED = f"(?<=[\\p{{Ll}},;{NUMBER}-{NAME}] ){_NO_OPENER}\\p{{Lu}}[\\p{{L}}'’-]*|(?<!\\S)[(\\[{{\"'“‘«]*{_NO_OPENER}\\p{{Lu}}(?=[\\p{{L}}'’-]*\\p{{Ll}}|\\.)[\\p{{L}}'’-]*"
+_NAME = f"(?:{_CAPITALISED})[.,;:!?)\\]}}\"'”’»]*(?!\\S)"
+_PUNCTUATION = "[\\p{Punct}“”‘’«»]+"
 _BLANKS = "[\\x20\\t-\\r]+"
 
 

@@ -524,6 +524,19 @@ def test_decontamination(spark, nothing):
     assert decontaminate.contaminated(d, bench.where("item_id > 5")).count() == 0
 
 
+def test_names_that_open_sentences_are_slots(spark):
+    item = "Tom has 3 apples. Jane has 5 apples. How many do Tom and Jane have?"
+    asked = lambda *names: "{0} has 7 apples. {1} has 9 apples. How many do {0} and {1} have?".format(*names)
+    quoted = "Question: \"Tom has 3 pears\", said Ann.\nJane has 5 plums. J. Smith has (Tom says) 4 figs."
+    again = "so we ask: \"Mia has 6 pears\", said Eva.\nBob has 8 plums. K. Jones has (Mia says) 5 figs."
+    rows = [(1, asked("Bob", "Mia")), (2, "well then " + asked("Bob", "Mia")), (3, asked("Bob", "Mia").replace("do Bob", "do Zoe")), (4, again), (5, "“Bob” has 7 apples. ‘Mia’ has 9 apples. How many do Bob and Mia have?")]
+    rows += [(6, "BOB HAS SEVEN APPLES AND MIA HAS NINE PEARS TODAY AND EVER")]
+    bench = spark.createDataFrame([(0, item), (1, quoted), (2, "WHAT IS THE NAME OF THE CAPITAL")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(got) == {(1, 0), (2, 0), (4, 1), (5, 0)}
+    assert got[1, 0].coverage == got[2, 0].coverage == got[5, 0].coverage == 1.0 and got[1, 0].reworded
+
+
 def test_decontamination_plan_has_no_python(spark, docs):
     bench = spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string")
     plan = decontaminate.contaminated(docs, bench)._jdf.queryExecution().toString()
