@@ -9,7 +9,8 @@ Work is done in blocks: an axis is cut by the hash of vec_id into blocks of abou
 ``BLOCK`` queries, whatever its size, so no task holds more than two blocks, and a block gives the nearest
 few of each query instead of its pairs. Equal vectors are ranked by vec_id, so of each distinct vector only
 the ``k`` + 1 smallest vec_ids can be answers; the others are dropped before the tables are built, which
-is exact and leaves large groups of copies with a few rows.
+is exact and leaves large groups of copies with a few rows. Queries that meet fewer than k vectors, though
+more of their length exist, are ranked against all of these.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, and no query of
 theirs has rows; vectors of different lengths are never compared; fewer than k candidates: all are given;
@@ -163,7 +164,25 @@ def nearest(
     kept = kept.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).select("vec_id", "raw")
     asked = to_bytes.where(F.col("vec_id") % every == 0)
     index = materialize(kept.mapInArrow(_spread(False, probed), "key long, vec_id long, raw binary"), "axes")
-    probes = materialize(asked.mapInArrow(_spread(True, probed), "key long, vec_id long, raw binary"), "probes")
+    found = materialize(_ranked(index, materialize(asked.mapInArrow(_spread(True, probed), "key long, vec_id long, raw binary"), "probes"), k), "nearest")
+    # queries whose axes hold too few are asked again of all vectors of their length: exact, in blocks as before
+    width = F.length("raw").alias("key")
+    whole = kept.select(width, "vec_id", "raw")
+    most = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("met"))
+    # of itself and n vectors kept, a query has at least n - 1 to meet; a query that was dropped as a copy has n
+    had = kept.select("vec_id", F.lit(1).alias("own"))
+    few = asked.select(width, "vec_id", "raw").join(met, "vec_id", "left").join(F.broadcast(most), "key").join(had, "vec_id", "left")
+    few = few.where(F.coalesce("met", F.lit(0)) < F.least(F.lit(k), F.col("n") - F.coalesce("own", F.lit(0))))
+    few = materialize(few.select(F.col("key").cast("long"), "vec_id", "raw"), "queries-asked-again")
+    if few.limit(1).count():
+        again = _ranked(whole.select(F.col("key").cast("long"), "vec_id", "raw"), few, k)
+        found = found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: the nearest ``k`` of the vectors of each query's keys; rows are (key, vec_id, raw)."""
     # tables x signed axes rows: how many blocks an axis takes
     cut = lambda df, name: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     blocks = F.broadcast(cut(index, "cs").join(cut(probes, "qs"), "key"))
@@ -175,8 +194,7 @@ def nearest(
     both = c.select(*columns).unionByName(q.select(*columns))
     found = both.groupBy("key", "cb", "qb").applyInArrow(_rank_block(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -586,6 +586,25 @@ def test_copies_are_ranked_by_number(spark):
     assert ann.nearest(df.where("vec_id < 3")).count() == 2 and ann.nearest(df.where("vec_id < 0")).count() == 0
 
 
+def test_queries_that_meet_few_are_asked_of_all(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64))
+    x[:290] = x[0] + 1e-3 * rng.normal(size=(290, 64))  # a cluster; the others lie on other axes
+    x[50] = -x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + 10 * i, rng.normal(size=32).tolist()) for i in range(7)]
+    rows += [(2000 + 10 * i, [1.0, 2.0, 3.0]) for i in range(20)] + [(3000, [3.0, -1.0]), (3001, [-3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got, want = collections.defaultdict(list), {}
+    for r in ann.nearest(df, every=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q, v in rows:
+        if q % 10 == 0:
+            near = [(-np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), i) for i, w in rows if len(w) == len(v) and i != q]
+            want[q] = len(near[:5]), [i for _, i in sorted((round(s, 12), i) for s, i in near)[:5]]
+    assert {q: len(x) for q, x in got.items()} == {q: n for q, (n, _) in want.items()}
+    assert all(got[q] == want[q][1] for q in (50, *range(1000, 1070, 10), *range(2000, 2200, 10), 3000))
+
+
 def test_blocks_do_not_change_neighbours(spark, monkeypatch):
     df = spark.createDataFrame([(i, v) for i, v, _ in vectors()[:700]], "vec_id long, embedding array<float>")
     want = sorted(tuple(r) for r in ann.nearest(df).collect())
