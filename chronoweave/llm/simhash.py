@@ -309,7 +309,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one cell that may be similar and have different labels; rows (cell, node, words, n, label) are sorted by cell and node."""
+    """Rows that may be similar to one of another label in their cell; rows (cell, node, words, n, label) are sorted by cell and node."""
+    names = ["cell", "node", *[f"f{i}" for i in range(WIDE)], "n", "label"]
     held = np.zeros((0, WIDE + 4), np.int64)
     batches = iter(batches)
     end = False
@@ -328,15 +329,40 @@ def _wide_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (label == label[0]).all():
                 continue
             fps = np.ascontiguousarray(part[:, 2 : 2 + WIDE]).view(np.uint64)
+            some = np.zeros(len(part), bool)
             for i in range(len(part) - 1):
-                other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                other = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ~(some[i] & some[i + 1 :]))
                 other = other[(5 * n[other] >= 4 * n[i]) & (5 * n[i] >= 4 * n[other])]
                 other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= FAR_BITS]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), node[i])), pa.array(node[other])], ["a", "b"])
+                some[other] = True
+                some[i] |= len(other) > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part[some].T], names)
         held = held[edges[whole] :]
 
 
+def _set_links(sets: list[np.ndarray], fps: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Positions (a, b) of similar sets that join what any similar sets of different labels join."""
+    n = np.array([len(x) for x in sets])
+    start = np.cumsum(n) - n
+    shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
+    label, links = label.copy(), []
+    for i in range(len(sets) - 1):
+        other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        other = other[(5 * n[other] >= 4 * n[i]) & (5 * n[i] >= 4 * n[other])]
+        other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= FAR_BITS]
+        if not len(other):
+            continue
+        here = np.zeros(len(shingles), bool)
+        here[code[start[i] : start[i] + n[i]]] = True
+        both = np.array([np.count_nonzero(here[code[start[j] : start[j] + n[j]]]) for j in other])
+        for j in other[5 * both >= 4 * (n[i] + n[other] - both)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((i, int(j)))
+    return links
+
+
 def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of frequent shingles, most common first, as a sample of the texts shows them."""
 
@@ -357,8 +383,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segments to find. So texts meet in cells of a rare shingle (:func:`prefix`, which misses no link), and every
     link is a pair whose sets of shingles were compared. Cells first give forests of fingerprints of ``WIDE``
     words at ``WIDE_BITS`` or fewer differing bits, so a large group of near copies is joined by few pairs; then
-    all pairs between the groups so found, but those of sizes too unlike or of more than ``FAR_BITS`` differing
-    bits, which at 0.8 happens to fewer than 1 pair in 10 million.
+    sets of different groups so found are compared within their cells, but those of sizes too unlike or of more
+    than ``FAR_BITS`` differing bits, which at 0.8 happens to fewer than 1 pair in 10 million.
     """
     words = [f"f{i}" for i in range(WIDE)]
     longs = ", ".join(f"{w} long" for w in words)
@@ -386,6 +412,26 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             near = pa.array([similar(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(near)
 
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sets = np.zeros((0, WIDE + 3), np.int64), []
+        batches = iter(batches)
+        end = False
+        while not end:
+            batch = next(batches, None)
+            end = batch is None
+            if not end:
+                rows = np.concatenate((rows, np.stack([x.to_numpy() for x in batch.columns[:-1]], axis=1)))
+                sets += [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.columns[-1]]
+            if not len(rows):
+                continue
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
+            whole = len(edges) - 1 if end else len(edges) - 2
+            for a, b in zip(edges[:whole], edges[1 : whole + 1], strict=True):
+                links = _set_links(sets[a:b], np.ascontiguousarray(rows[a:b, 2:-1]).view(np.uint64), rows[a:b, -1])
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[a + np.array(x), 1]) for x in zip(*links, strict=True)], ["a", "b"])
+            rows, sets = rows[edges[whole] :], sets[edges[whole] :]
+
     def verified(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
@@ -399,8 +445,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = materialize(ordered(tried), "near-pairs")
     labels = materialize(connected_components(verified(tried)), "near-components")
     labelled = met.join(labels, "node", "left").select("cell", "node", *words, "n", F.coalesce("component", "node").alias("label"))
-    rest = ordered(by_cell(labelled).mapInArrow(_wide_rest, "a long, b long")).join(tried, ["a", "b"], "left_anti")
-    linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(materialize(rest, "other-pairs")))
+    rest = materialize(by_cell(labelled).mapInArrow(_wide_rest, f"{shape}, label long"), "cells-to-compare")
+    rest = rest.join(texts.select("node", "text"), "node").select("cell", "node", *words, "label", "text")
+    more = by_cell(rest).mapInArrow(in_cells, "a long, b long")
+    linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return _classes(found, texts.select("node", "first"), linked).select("doc_id", "t", "component_id")
 
 
