@@ -49,10 +49,13 @@ OPENERS = (
     "Is|Are|Was|Were|Be|Do|Does|Did|Has|Have|Had|Can|Could|Should|Would|Each|Every|All|Some|Any|Many|Most|Both|Another|Other|Such|"
     "First|Second|Third|Next|Last|Finally|Let|Find|Given|Suppose|Consider|Calculate|Compute|Determine|Evaluate|Explain|Solve|Write|Assume|Question|Answer"
 )
-_NO_OPENER = f"(?!(?:{OPENERS})(?![\\p{{L}}'’-]))"
+_BY_LETTER = "|".join(f"{c}(?:{'|'.join(w[1:] for w in OPENERS.split('|') if w[0] == c)})" for c in sorted({w[0] for w in OPENERS.split("|")}))
 #: Any capitalised word after a lower-case word, comma, semicolon or placeholder; anywhere else only one with small letters, or an initial.
-_CAPITALISED = f"(?<=[\\p{{Ll}},;{NUMBER}-{NAME}] ){_NO_OPENER}\\p{{Lu}}[\\p{{L}}'’-]*|(?<!\\S)[(\\[{{\"'“‘«]*{_NO_OPENER}\\p{{Lu}}(?=[\\p{{L}}'’-]*\\p{{Ll}}|\\.)[\\p{{L}}'’-]*"
-_NAME = f"(?:{_CAPITALISED})[.,;:!?)\\]}}\"'”’»]*(?!\\S)"
+_CAPITALISED = (
+    f"(?<!\\S)[(\\[{{\"'“‘«]*+\\p{{Lu}}(?:(?<=[\\p{{Ll}},;{NUMBER}-{NAME}] \\p{{Lu}})|(?=[\\p{{L}}'’-]*\\p{{Ll}}|\\.))"
+    f"(?<!(?=(?:{_BY_LETTER})(?![\\p{{L}}'’-])).)[\\p{{L}}'’-]*+"
+)
+_NAME = f"{_CAPITALISED}[.,;:!?)\\]}}\"'”’»]*(?!\\S)"
 _PUNCTUATION = "[\\p{Punct}“”‘’«»]+"
 _BLANKS = "[\\x20\\t-\\r]+"
 
