@@ -344,7 +344,7 @@ def _wide_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _set_links(sets: list[np.ndarray], fps: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     """Positions (a, b) of similar sets that join what any similar sets of different labels join."""
     n = np.array([len(x) for x in sets])
-    start = np.cumsum(n) - n
+    start, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
     shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
     label, links = label.copy(), []
     for i in range(len(sets) - 1):
@@ -355,7 +355,10 @@ def _set_links(sets: list[np.ndarray], fps: np.ndarray, label: np.ndarray) -> li
             continue
         here = np.zeros(len(shingles), bool)
         here[code[start[i] : start[i] + n[i]]] = True
-        both = np.array([np.count_nonzero(here[code[start[j] : start[j] + n[j]]]) for j in other])
+        if 4 * len(other) > len(sets):
+            both = np.bincount(owner, here[code], len(sets)).astype(np.int64)[other]
+        else:
+            both = np.array([np.count_nonzero(here[code[start[j] : start[j] + n[j]]]) for j in other])
         for j in other[5 * both >= 4 * (n[i] + n[other] - both)]:
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
