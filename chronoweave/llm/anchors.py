@@ -7,14 +7,18 @@ windows with one anchor make a segment, and within a segment all windows differ.
 
 * an anchor that occurs once proves its windows unique; segments are counted by anchor with map-side
   pre-aggregation, and only those of repeating anchors go on;
-* equal segments (a 64-bit hash of the content beside the anchor's) are settled by counting alone, however many copies there are;
-* different segments of one anchor are cut out of their texts, gathered by anchor into reference shards of
-  bounded size and compared there by the operator's own kernel (suffix automata for words, suffix arrays
-  for bytes);
-* an anchor with more than ``MAX_SEGMENTS`` different segments would make a shard too large: its windows
-  are spread over the cluster by their own 128-bit hash instead and counted there, exactly as well.
-
-Everything is keyed by hashes and spread by them; the two joins back to segments are plain equi-joins that
+* equal segments (a 64-bit hash of the content beside the anchor's) are one kind with a multiplicity, so a
+  copy costs a row here and nothing in a comparison;
+* kinds are cut out of their first texts, gathered by anchor into reference shards of bounded size and
+  compared there by the operator's own kernel (suffix automata for words, suffix arrays for bytes), which
+  takes multiplicities; its findings go back to every copy of a kind;
+* an anchor with more than ``KINDS`` kinds would make a shard too large. All windows of an anchor know the
+  same stretch of symbols, and need ``rest`` more, left and right of it. So either half of ``rest`` lies to
+  the left, and the stretch grows by these, or the other half lies to the right: each kind splits into two
+  parts under longer stretches. That is repeated for the stretches that are still too frequent. A part never
+  becomes a row per window unless its window is all known, and after log2(width) rounds all are.
+
+Everything is keyed by hashes and spread by them; the joins back to segments are plain equi-joins that
 adaptive execution splits where an anchor is hot.
 """
 
@@ -28,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm.rowkeys import REPEATED
 from chronoweave.plans.storage import materialize
 
 #: Symbols handled at once, and bits that name a place among them.
@@ -35,8 +40,8 @@ PLACE_BITS = 20
 BLOCK = 1 << 19
 #: Bytes of text gathered before symbols are made.
 SLICE = 1 << 19
-#: Different segments of one anchor that are compared in a shard, at most.
-MAX_SEGMENTS = 2000
+#: Kinds of one anchor (or longer stretch) that are compared in a shard, at most; shards are of this size and that of their last stretch.
+KINDS = 2000
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _MULTIPLY = np.uint64(0xBF58476D1CE4E5B9)
@@ -92,8 +97,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def block_segments(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int):
-    """Segments of the documents that ``bounds`` cuts out of one block: (anchor, content, document, start, windows)."""
+def block_segments(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int, contents: bool = True):
+    """Segments of the documents that ``bounds`` cuts out of one block: (anchor, content, document, start, windows, anchor's place in it)."""
     n = len(symbols)
     if n < width:
         return None
@@ -111,20 +116,23 @@ def block_segments(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: in
     start = np.flatnonzero(valid & (change | began))
     if not len(start):
         return None
+    anchor = grams[place[start]]
+    if not contents:
+        return (anchor,)
     stops = np.flatnonzero(~valid | change)
     stops = np.append(stops, len(place))
     end = stops[np.searchsorted(stops, start, "right")]
-    total = running(symbols)
-    content = range_hash(total, start, end - 1 + width)
+    content = range_hash(running(symbols), start, end - 1 + width)
     document = np.searchsorted(bounds, start, "right") - 1
-    return grams[place[start]], content, document, start - bounds[document], end - start
+    return anchor, content, document, start - bounds[document], end - start, place[start] - start
 
 
 class Unit(ABC):
-    """What windows are made of, and how segments of one anchor are compared."""
+    """What windows are made of, and how kinds of one anchor are compared."""
 
     width: int
     gram: int
+    #: Whether a window's first occurrence is no repeat.
     keep_first: bool
     #: Symbols in a reference shard, about.
     shard: int
@@ -138,15 +146,32 @@ class Unit(ABC):
         """The symbols from and to the places of each span, as bytes."""
 
     @abstractmethod
-    def compare(self, segments: list[bytes], anchors: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int]]:
-        """(segment, first, last + 1) of runs of windows that other segments of the shard repeat.
+    def compare(self, kinds: list[bytes], times: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        """(kind, first, last + 1, every) of runs of windows that repeat, in the shard or by a kind's ``times``.
 
-        ``order`` ranks the segments by document and place; with ``keep_first`` a window's first
-        occurrence is no repeat.
+        ``order`` ranks the kinds by the place of their first copy. Not ``every``: the first copy's windows
+        are the first of the shard, and only the other copies repeat them.
         """
 
+    def anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The anchor of every segment; rows are (k, t, text)."""
+        for symbols, bounds, _, _, _ in self._blocks(batches):
+            if found := block_segments(symbols, bounds, self.width, self.gram, False):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64))], ["h"])
+
     def segments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of whole texts; rows are (k, t, text)."""
+        for symbols, bounds, before, k, t in self._blocks(batches):
+            found = block_segments(symbols, bounds, self.width, self.gram)
+            if found is None:
+                continue
+            anchor, content, document, start, windows, place = found
+            packed = ((start + before[document]) << 32) | (windows << 16) | place
+            columns = [anchor.view(np.int64), content.view(np.int64), k[document], t[document], packed]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "g", "k", "t", "p"])
+
+    def _blocks(self, batches: Iterator[pa.RecordBatch]):
+        """(symbols, bounds of documents, symbols of each document before this block, k, t) of texts in blocks of bounded size."""
         for batch in batches:
             texts = batch.column(2)
             k, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -160,134 +185,196 @@ class Unit(ABC):
                     if len(found) < self.width:
                         continue
                 if held and (row == batch.num_rows or size + len(found) > BLOCK):
-                    yield from self._rows(held, rows, k, t)
+                    symbols = held[0] if len(held) == 1 else np.concatenate(held)
+                    bounds = np.cumsum([0] + [len(x) for x in held])
+                    # one text may be longer than a block: blocks overlap by a window less a symbol
+                    for at in range(0, len(symbols) - self.width + 1, BLOCK - self.width + 1):
+                        part = symbols[at : at + BLOCK]
+                        yield part, np.clip(bounds - at, 0, len(part)), np.maximum(0, at - bounds[:-1]), k[rows], t[rows]
                     held, rows, size = [], [], 0
                 if row < batch.num_rows:
                     held.append(found)
                     rows.append(row)
                     size += len(found)
 
-    def _rows(self, held: list[np.ndarray], rows: list[int], k: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
-        symbols = held[0] if len(held) == 1 else np.concatenate(held)
-        bounds = np.cumsum([0] + [len(x) for x in held])
-        owner = np.array(rows)
-        # one text may be longer than a block: blocks overlap by a window less a symbol
-        for at in range(0, len(symbols) - self.width + 1, BLOCK - self.width + 1):
-            part = symbols[at : at + BLOCK]
-            inside = np.clip(bounds - at, 0, len(part))
-            found = block_segments(part, inside, self.width, self.gram)
-            if found is None:
-                continue
-            anchor, content, document, start, windows = found
-            start = start + np.maximum(0, at - bounds[document])
-            row = owner[document]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(anchor.view(np.int64)),
-                    pa.array(content.view(np.int64)),
-                    pa.array(k[row]),
-                    pa.array(t[row]),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(windows.astype(np.int32)),
-                ],
-                ["h", "g", "k", "t", "s", "n"],
-            )
-
     def _cut_out(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments' contents; rows are (k, t, text, segments)."""
+        """Contents of kinds; rows are (text, k, t, kinds)."""
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = (batch.column(2)[row].as_py() or "").encode("utf-8", errors="replace")
-                own = batch.column(3)[row].as_py()
-                content = self.cut(raw, [(x["s"], x["s"] + x["n"] - 1 + self.width) for x in own])
-                some = len(own)
-                columns = [
-                    pa.array([x["h"] for x in own], pa.int64()),
-                    pa.array(np.full(some, batch.column(0)[row].as_py())),
-                    pa.array(np.full(some, batch.column(1)[row].as_py())),
-                    pa.array([x["s"] for x in own], pa.int32()),
-                    pa.array(content, pa.binary()),
-                    pa.array([x["many"] for x in own], pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "k", "t", "s", "content", "many"])
+                raw = (batch.column(0)[row].as_py() or "").encode("utf-8", errors="replace")
+                own = batch.column(3).slice(row, 1).flatten().flatten()  # h, g, p, c
+                p = own[2].to_numpy()
+                start, windows = p >> 32, (p >> 16) & 0xFFFF
+                content = self.cut(raw, list(zip(start.tolist(), (start + windows - 1 + self.width).tolist(), strict=True)))
+                k, t = (pa.array(np.full(len(p), batch.column(i)[row].as_py())) for i in (1, 2))
+                arrays = [own[0], own[1], k, t, pa.array(p), own[3], pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "g", "k", "t", "p", "c", "content"])
+
+    def _halves(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of kinds under longer stretches; rows are (h, g, known, from, at, c, content, ...), see :func:`_leaves`."""
+        for batch in batches:
+            out: list[tuple] = []
+            keep: list[int] = []
+            h, _, known, first, at, c, content = (batch.column(i).to_pylist() for i in range(7))
+            for row, raw in enumerate(content):
+                symbols = self.symbols(raw)
+                total = running(symbols)
+                lo, size = at[row], known[row]
+                rest = self.width - size
+                half = -(-rest // 2)
+                last = len(symbols) - self.width  # windows start at 0 to last, each holds the stretch from lo
+                sides = []
+                if half and lo - half >= 0:
+                    sides.append((0, min(last, lo - half), lo - half, lo, size + half, lo - half))
+                if rest and lo - half + 1 <= last:
+                    start = max(0, lo - half + 1)
+                    sides.append((start, last, lo + size, lo + size + rest - half + 1, size + rest - half + 1, lo - start))
+                for a, b, new, until, longer, place in sides:
+                    key = range_hash(total, np.array([new]), np.array([until]))
+                    side = np.uint64(longer if new < lo else longer + self.width)
+                    key = mixed(mixed(key + side) ^ np.uint64(h[row] * int(_ODD) & (1 << 64) - 1))
+                    whole = range_hash(total, np.array([a]), np.array([b + self.width]))
+                    out.append((int(key.view(np.int64)[0]), int(whole.view(np.int64)[0]), longer, first[row] + a, place, c[row], (raw, (a, b + self.width))))
+                    keep.append(row)
+            if out:
+                *numbers, parts = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                columns = [pa.array(x, kind) for x, kind in zip(numbers, kinds, strict=True)]
+                columns.append(pa.array([self.cut(raw, [span])[0] for raw, span in parts], pa.binary()))
+                rest = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*columns, *rest.columns[7:]], batch.schema.names)
 
     def _shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compares segments sorted by anchor, whole anchors at a time, in shards of bounded size."""
+        """Compares kinds (h, g, k, t, s, c, content) sorted by h, those of one h together, in shards of bounded size."""
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for row in zip(*columns, strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if size >= self.shard and row[0] != held[-1][0]:
                     yield self._compared(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) if self.keep_first else row[4].count(b" ") + 1
+                size += self.length(row[6])
         if held:
             yield self._compared(held)
 
+    @abstractmethod
+    def length(self, content: bytes) -> int:
+        """Symbols of a content that :meth:`cut` made."""
+
     def _compared(self, held: list[tuple]) -> pa.RecordBatch:
-        rank = sorted(range(len(held)), key=lambda i: held[i][1:4])
+        rank = sorted(range(len(held)), key=lambda i: held[i][2:5])
         order = np.empty(len(held), np.int64)
         order[rank] = np.arange(len(held))
-        found = self.compare([x[4] for x in held], np.array([x[0] for x in held], np.int64), order)
-        rows = [(held[i][1], held[i][2], held[i][3] + a, held[i][3] + b - 1 + self.width) for i, a, b in found]
-        k, t, s, e = zip(*rows, strict=True) if rows else ((), (), (), ())
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((k, t, s, e), kinds, strict=True)], ["k", "t", "s", "e"])
-
-    def _windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every window of the segments by its 128-bit hash; rows are (h, k, t, s, content, many)."""
+        found = self.compare([x[6] for x in held], np.array([x[5] for x in held], np.int64), order)
+        row, a, b, every = zip(*found, strict=True) if found else ((), (), (), ())
+        of = [held[i] for i in row]
+        columns = [*(pa.array([x[i] for x in of], pa.int64()) for i in range(4)), pa.array([x[4] for x in of], pa.int32())]
+        columns += [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(every, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["h", "g", "k", "t", "s", "a", "b", "every"])
+
+    def _merged(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans (k, t, s, e) sorted by k, t and s, as one row (k, t, spans) a document: pairs of 32-bit places, those that touch made one."""
+        key, runs, end = None, [], 0
         for batch in batches:
-            for h, k, t, s, content in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                symbols = self.symbols(content)
-                first = np.arange(len(symbols) - self.width + 1)
-                one, two = (range_hash(running(x), first, first + self.width).view(np.int64) for x in (symbols, mixed(symbols + _ODD)))
-                some = len(first)
-                columns = [pa.array(one), pa.array(two), pa.array(np.full(some, k)), pa.array(np.full(some, t)), pa.array((first + s).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "k", "t", "s"])
+            made = []
+            for k, t, s, e in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (k, t) != key:
+                    if key is not None:
+                        made.append((*key, np.array([*runs, end], np.int32).tobytes()))
+                    key, runs, end = (k, t), [s], e
+                elif s <= end:
+                    end = max(end, e)
+                else:
+                    runs += (end, s)
+                    end = e
+            yield self._spans(made)
+        if key is not None:
+            yield self._spans([(*key, np.array([*runs, end], np.int32).tobytes())])
+
+    def _spans(self, made: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*made, strict=True) if made else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k", "t", "spans"])
+
+
+_SPANS = "h long, g long, k long, t long, s int, a int, b int, every boolean"
+
+
+def _repeats(unit: Unit, kinds: DataFrame) -> DataFrame:
+    """``(h, g, k, t, s, a, b, every)``: runs of windows that repeat, of kinds ``(h, g, k, t, s, c, content)`` with few to an h."""
+    sorted_ = kinds.select("h", "g", "k", "t", "s", "c", "content").repartition("h").sortWithinPartitions("h", "k", "t", "s")
+    return sorted_.mapInArrow(unit._shards, _SPANS)
+
+
+def _leaves(unit: Unit, kinds: DataFrame) -> DataFrame:
+    """As :func:`_repeats`, of all kinds ``(h, g, k, t, p, c, content)``: anchors of many kinds go by longer stretches."""
+    place = F.col("p").bitwiseAND(0xFFFF).cast("int")
+    start = F.shiftright("p", 32).cast("int")
+    frequent = lambda df: df.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > KINDS).select("h")
+    hot = materialize(frequent(kinds), "hot-anchors")
+    if not hot.limit(1).count():
+        return _repeats(unit, kinds.withColumn("s", start))
+    out = _repeats(unit, kinds.join(hot, "h", "left_anti").withColumn("s", start))
+    # parts: stretch h, content g, symbols known, place of the part in its kind, place of the stretch in the part; of the kind: h, g, k, t, s
+    parts = kinds.join(hot, "h", "left_semi").select(
+        "h", "g", F.lit(unit.gram).alias("known"), F.lit(0).alias("from"), place.alias("at"), "c", "content",
+        F.col("h").alias("kh"), F.col("g").alias("kg"), "k", "t", start.alias("s"),
+    )
+    shape = "h long, g long, known int, from int, at int, c long, content binary, kh long, kg long, k long, t long, s int"
+    while True:
+        parts = materialize(parts.mapInArrow(unit._halves, shape), "parts")
+        # a stretch that one part of one copy has is done: nothing repeats it
+        met = parts.groupBy("h", "g").agg(F.sum("c").alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"))
+        met = materialize(met.where("c > 1").select("h", (F.col("kinds") > KINDS).alias("hot")), "stretches")
+        few = parts.join(met.where("not hot").select("h"), "h")
+        first = F.min(F.struct("k", "t", (F.col("s") + F.col("from")).alias("s"), "content"))
+        alike = few.groupBy("h", "g").agg(F.sum("c").alias("c"), first.alias("f"))
+        alike = materialize(alike.select("h", "g", "c", "f.k", "f.t", "f.s", "f.content"), "part-kinds")
+        spans = materialize(_repeats(unit, alike).toDF("h", "g", "k1", "t1", "s1", "a", "b", "every"), "part-spans")
+        # a part that isn't its kind's first copy at the first place of all repeats it, in every copy
+        back = few.select("h", "g", "from", "kh", "kg", "k", "t", "s").join(spans, ["h", "g"])
+        same = (F.col("k") == F.col("k1")) & (F.col("t") == F.col("t1")) & (F.col("s") + F.col("from") == F.col("s1"))
+        out = out.unionByName(
+            back.select(
+                F.col("kh").alias("h"), F.col("kg").alias("g"), "k", "t", "s",
+                (F.col("a") + F.col("from")).alias("a"), (F.col("b") + F.col("from")).alias("b"), (F.col("every") | ~same).alias("every"),
+            )
+        )
+        hot = met.where("hot").select("h")
+        if not hot.limit(1).count():
+            return out
+        parts = parts.join(hot, "h", "left_semi")
 
 
 def repeated_spans(rows: DataFrame, unit: Unit) -> DataFrame:
-    """``(k, t, spans array<struct<s, e>>)``: symbols s to e - 1 are covered by windows that repeat; of keyed rows."""
+    """``(k, t, spans)``: which symbols are covered by windows that repeat, of keyed rows; :func:`covered` reads spans."""
     plain = rows.select("k", "t", "text")
-    found = plain.mapInArrow(unit.segments, "h long, g long, k long, t long, s int, n int")
-    seen = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1")
+    seen = plain.mapInArrow(unit.anchors, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     # a table of its own: the join then has an exchange on both sides, and a hot anchor's rows can be split
-    seen = materialize(seen.select("h", (F.col("g0") != F.col("g1")).alias("differ")), "anchors")
+    seen = materialize(seen, "anchors")
+    found = plain.mapInArrow(unit.segments, "h long, g long, k long, t long, p long")
     hits = materialize(found.join(seen, "h"), "segments")
     # copies collapse before they are shuffled
-    place = F.struct("k", "t", "s")
-    kinds = hits.groupBy("h", "g", "differ").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "t", "s", "n")).alias("first"))
-    kinds = materialize(kinds, "segment-kinds")
-    copies = hits.join(kinds.where("c > 1").select("h", "g", "first"), ["h", "g"])
-    if unit.keep_first:
-        copies = copies.where(place != F.struct("first.k", "first.t", "first.s"))
-    end = (F.col("s") + F.col("n") + F.lit(unit.width - 1)).cast("int")
-    spans = copies.select("k", "t", "s", end.alias("e"))
-
-    unlike = kinds.where("differ")
-    many = unlike.groupBy("h").agg((F.count(F.lit(1)) > MAX_SEGMENTS).alias("many"))
-    unlike = unlike.join(many, "h").select("h", "many", "first.k", "first.t", "first.s", "first.n")
-    wanted = unlike.groupBy("k", "t").agg(F.collect_list(F.struct("h", "s", "n", "many")).alias("own"))
-    cut = plain.join(wanted, ["k", "t"]).select("k", "t", "text", "own")
-    cut = materialize(cut.mapInArrow(unit._cut_out, "h long, k long, t long, s int, content binary, many boolean"), "segment-contents")
-    few = cut.where("not many").select("h", "k", "t", "s", "content").repartition("h").sortWithinPartitions("h", "k", "t", "s")
-    spans = spans.unionByName(few.mapInArrow(unit._shards, "k long, t long, s int, e int"))
-
-    windows = cut.where("many").mapInArrow(unit._windows, "w1 long, w2 long, k long, t long, s int")
-    counted = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1")
-    again = windows.join(materialize(counted, "repeated-windows"), ["w1", "w2"])
+    kinds = hits.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "t", "p")).alias("f"))
+    wanted = kinds.groupBy("f.k", "f.t").agg(F.collect_list(F.struct("h", "g", "f.p", "c")).alias("kinds"))
+    cut = plain.join(wanted, ["k", "t"]).select("text", "k", "t", "kinds")
+    if rows.schema["t"].metadata.get(REPEATED):
+        cut = cut.dropDuplicates(["k", "t"])
+    cut = materialize(cut.mapInArrow(unit._cut_out, "h long, g long, k long, t long, p long, c long, content binary"), "kinds")
+    runs = _leaves(unit, cut).toDF("h", "g", "k0", "t0", "s0", "a", "b", "every")
+    copies = hits.join(materialize(runs, "repeats"), ["h", "g"])
+    s = F.shiftright("p", 32).cast("int")
     if unit.keep_first:
-        again = again.where(place != F.col("first"))
-    spans = spans.unionByName(again.select("k", "t", "s", (F.col("s") + F.lit(unit.width)).cast("int").alias("e")))
-    return spans.groupBy("k", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        copies = copies.where(F.col("every") | (F.col("k") != F.col("k0")) | (F.col("t") != F.col("t0")) | (s != F.col("s0")))
+    spans = copies.select("k", "t", (s + F.col("a")).alias("s"), (s + F.col("b") + F.lit(unit.width - 1)).cast("int").alias("e"))
+    return spans.repartition("k", "t").sortWithinPartitions("k", "t", "s").mapInArrow(unit._merged, "k long, t long, spans binary")
 
 
-def covered(spans: list[dict] | None, size: int) -> np.ndarray:
+def covered(spans: bytes | None, size: int) -> np.ndarray:
     """Which of ``size`` symbols the spans cover."""
-    step = np.zeros(size + 1, np.int64)
+    step = np.zeros(size + 1, np.int8)
     if spans:
-        np.add.at(step, [x["s"] for x in spans], 1)
-        np.add.at(step, [x["e"] for x in spans], -1)
-    return np.cumsum(step[:size]) > 0
+        places = np.frombuffer(spans, np.int32).reshape(-1, 2)
+        step[places[:, 0]] += 1
+        step[places[:, 1]] -= 1
+    return np.cumsum(step[:size], dtype=np.int8).astype(bool)

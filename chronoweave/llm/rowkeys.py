@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from chronoweave.plans.storage import broadcast_if_small
+from chronoweave.plans.storage import broadcast_if_small, materialize
 
 #: Missing doc_ids sort after all others and count as one document.
 LAST = (1 << 63) - 1
+INTEGERS = (ByteType, ShortType, IntegerType, LongType)
+#: Metadata of t where doc_ids repeat.
+REPEATED = "repeated"
 #: Doc_ids that are sent to every executor rather than joined by shuffle, at most.
 MAX_BROADCAST_IDS = 500_000
 
@@ -16,18 +20,25 @@ MAX_BROADCAST_IDS = 500_000
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``(doc_id, text, k, t)``, and with ``whole`` every input column too as ``_c0``, ``_c1``, ...
 
-    k orders documents, (k, t) names a row. t tells apart rows that share a doc_id by their text; where no
-    two do (one job over the doc_ids finds out) it is 0 everywhere and costs nothing in a shuffle. Rows
-    alike in doc_id and text share a key.
+    k orders documents as their doc_ids are ordered, whatever the type; doc_ids that are no integers are
+    numbered in their order first. (k, t) names a row. t tells apart rows that share a doc_id by their text;
+    where no two do (one job over the doc_ids finds out) it is 0 everywhere and costs nothing in a shuffle.
+    Rows alike in doc_id and text share a key.
     """
     names = docs.columns
     rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     doc_id, text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
-    k = F.coalesce(doc_id.cast("long"), F.lit(LAST))
+    rest = rows.columns if whole else []
+    if not isinstance(rows.schema[f"_c{names.index(id_col)}"].dataType, INTEGERS):
+        ids = rows.select(doc_id.alias("_id")).where("_id is not null").distinct().orderBy("_id")
+        ids = materialize(ids.withColumn("_k", F.monotonically_increasing_id()), "doc-ids")
+        rows = rows.join(ids, doc_id == F.col("_id"), "left")
+        k = F.coalesce("_k", F.lit(LAST))
+    else:
+        k = F.coalesce(doc_id.cast("long"), F.lit(LAST))
     repeated = rows.select(k.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     t = text_hash(text) if repeated else F.lit(0).cast("long")
-    rest = rows.columns if whole else []
-    return rows.select(*rest, doc_id.alias("doc_id"), text.alias("text"), k.alias("k"), t.alias("t"))
+    return rows.select(*rest, doc_id.alias("doc_id"), text.alias("text"), k.alias("k"), t.alias("t", metadata={REPEATED: bool(repeated)}))
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,9 @@
 """Operator 6: substring dedup by suffix automata of reference shards.
 
 A window is 35 consecutive words; every word covered by a window whose words also start anywhere else goes,
-in all places. :mod:`anchors` routes segments of windows that could be equal to the same reference shard; a
-shard's suffix automaton (over words) counts the occurrences of everything in it, the segments are streamed
-through it for matching statistics, and runs of windows at or above the length threshold that occur twice
+in all places. :mod:`anchors` routes segments of windows that could be equal to the same reference shard, each
+different segment once with its number of copies; a shard's suffix automaton (over words) counts the
+occurrences of everything in it, the segments are streamed through it for matching statistics, and runs of windows at or above the length threshold that occur twice
 become spans. The automata are built where their shard's segments are gathered instead of being broadcast:
 broadcasting every shard to every document would cost shards x corpus, and shards grow with the corpus.
 
@@ -54,21 +54,21 @@ def _one_slice(raw: bytes) -> np.ndarray:
 
 
 class Automaton:
-    """The suffix automaton of several sequences, with occurrence counts."""
+    """The suffix automaton of several sequences, with occurrence counts; each sequence counts ``times``."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], times: list[int] | None = None):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         ends = []
-        for sequence in sequences:
+        for sequence, often in zip(sequences, times or [1] * len(sequences), strict=True):
             last = 0
             for symbol in sequence:
                 last = self._extend(last, symbol)
-                ends.append(last)
+                ends.append((last, often))
         self.count = [0] * len(self.link)
-        for state in ends:
-            self.count[state] += 1
+        for state, often in ends:
+            self.count[state] += often
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[state]] += self.count[state]
 
@@ -134,15 +134,18 @@ class Words(Unit):
         words = raw.split()
         return [b" ".join(words[a:b]) for a, b in spans]
 
-    def compare(self, segments: list[bytes], anchors: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int]]:
+    def length(self, content: bytes) -> int:
+        return content.count(b" ") + 1
+
+    def compare(self, kinds: list[bytes], times: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int, bool]]:
         names: dict[bytes, int] = {}
-        sequences = [[names.setdefault(w, len(names)) for w in x.split(b" ")] for x in segments]
-        automaton = Automaton(sequences)
+        sequences = [[names.setdefault(w, len(names)) for w in x.split(b" ")] for x in kinds]
+        automaton = Automaton(sequences, times.tolist())
         out = []
         for number, sequence in enumerate(sequences):
             flags = np.array([False, *automaton.repeats(sequence, self.width), False])
             edge = np.flatnonzero(np.diff(flags))
-            out += [(number, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            out += [(number, int(a), int(b), True) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         return out
 
 

@@ -1,8 +1,8 @@
 """Operator 7: suffix-array dedup by bucket-pointer refinement.
 
 Every byte covered by a 100-byte string that also starts earlier (smaller doc_id, or earlier in the same
-document) goes. :mod:`anchors` gathers segments of strings that could be equal into reference shards; a
-shard's suffix array starts from buckets of 8-grams, and each pass sorts the suffixes within a bucket by the
+document) goes. :mod:`anchors` gathers segments of strings that could be equal into reference shards, each
+different segment once with its number of copies; a shard's suffix array starts from buckets of 8-grams, and each pass sorts the suffixes within a bucket by the
 bucket pointers at a later offset. Pointers are updated as buckets split, so each pass doubles the depth
 that the next one reuses; only buckets of several suffixes are sorted again, and refinement stops at depth
 100, where suffixes share a bucket exactly if their 100 bytes are equal.
@@ -74,30 +74,36 @@ class Bytes(Unit):
     def cut(self, raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
         return [raw[a:b] for a, b in spans]
 
-    def compare(self, segments: list[bytes], anchors: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int]]:
-        data = np.frombuffer(b"".join(segments), np.uint8)
-        start = np.cumsum([0] + [len(x) for x in segments])
+    def length(self, content: bytes) -> int:
+        return len(content)
+
+    def compare(self, kinds: list[bytes], times: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        # a kind of several copies repeats itself: all but its first copy go
+        out = [(int(i), 0, len(kinds[i]) - self.width + 1, False) for i in np.flatnonzero(times > 1)]
+        data = np.frombuffer(b"".join(kinds), np.uint8)
+        start = np.cumsum([0] + [len(x) for x in kinds])
         array, pointer = buckets(data, self.width)
         bucket = pointer[array]
-        # only suffixes that share their bucket, and whose bytes all belong to their segment
+        # only suffixes that share their bucket, and whose bytes all belong to their kind
         alike = np.concatenate(([False], bucket[1:] == bucket[:-1]))
         alike[:-1] |= alike[1:]
         place, bucket = array[alike], bucket[alike]
-        segment = np.searchsorted(start, place, "right") - 1
-        whole = place + self.width <= start[segment + 1]
-        place, bucket, segment = place[whole], bucket[whole], segment[whole]
+        kind = np.searchsorted(start, place, "right") - 1
+        whole = place + self.width <= start[kind + 1]
+        place, bucket, kind = place[whole], bucket[whole], kind[whole]
         if not len(place):
-            return []
-        when = order[segment] * (1 << 32) + (place - start[segment])
+            return out
+        when = order[kind] * (1 << 32) + (place - start[kind])
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         late = when > np.repeat(np.minimum.reduceat(when, first), np.diff(np.append(first, len(when))))
         place = np.sort(place[late])
-        segment = np.searchsorted(start, place, "right") - 1
+        kind = np.searchsorted(start, place, "right") - 1
         if not len(place):
-            return []
-        cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(segment) != 0)) + 1
+            return out
+        cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(kind) != 0)) + 1
         first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(place)])) - 1
-        return [(int(segment[a]), int(place[a] - start[segment[a]]), int(place[b] - start[segment[b]]) + 1) for a, b in zip(first, last, strict=True)]
+        ends = zip(kind[first].tolist(), (place[first] - start[kind[first]]).tolist(), (place[last] - start[kind[last]] + 1).tolist(), strict=True)
+        return out + [(*x, True) for x in ends]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bytes_left: bool = False) -> DataFrame:

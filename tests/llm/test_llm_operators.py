@@ -361,7 +361,7 @@ def brute_words(rows, width):
 
 @pytest.mark.parametrize("most", [2000, 1])
 def test_substring_dedup(docs, rows, nothing, monkeypatch, most):
-    monkeypatch.setattr(anchors, "MAX_SEGMENTS", most)
+    monkeypatch.setattr(anchors, "KINDS", most)
     got = collections.Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).collect())
     assert got == collections.Counter(brute_words(rows, 35))
     assert substring_dedup.remove_repeats(nothing).count() == 0
@@ -379,7 +379,7 @@ def test_substring_dedup_cuts_long_texts_in_blocks(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["k", "t", "text"])
     segments = pa.Table.from_batches(list(unit.segments([batch]))).to_pylist()
     for d, t in rows:
-        own = sorted((s["s"], s["n"]) for s in segments if s["k"] == d)
+        own = sorted((s["p"] >> 32, s["p"] >> 16 & 0xFFFF) for s in segments if s["k"] == d)
         assert [x for s, n in own for x in range(s, s + n)] == list(range(len(t.split()) - 34))
     assert np.array_equal(substring_dedup.word_hashes(rows[4][1].encode()), np.concatenate([substring_dedup.word_hashes(w) for w in rows[4][1].encode().split()]))
 
@@ -399,7 +399,8 @@ def test_segments_of_one_anchor_are_told_apart_by_64_bits(monkeypatch, unit):
     found = [s for out in unit.segments([batch]) for s in out.to_pylist()]
     contents = collections.defaultdict(set)
     for s in found:
-        contents[s["h"], s["g"]] |= set(unit.cut(texts[s["k"]].encode(), [(s["s"], s["s"] + s["n"] - 1 + unit.width)]))
+        start, windows = s["p"] >> 32, s["p"] >> 16 & 0xFFFF
+        contents[s["h"], s["g"]] |= set(unit.cut(texts[s["k"]].encode(), [(start, start + windows - 1 + unit.width)]))
     assert len({h for h, _ in contents}) < len(contents)
     assert all(len(x) == 1 for x in contents.values())
 
@@ -442,12 +443,89 @@ def xxh(t):
 
 @pytest.mark.parametrize("most", [2000, 1])
 def test_suffix_array_dedup(docs, rows, nothing, monkeypatch, most):
-    monkeypatch.setattr(anchors, "MAX_SEGMENTS", most)
+    monkeypatch.setattr(anchors, "KINDS", most)
     got = collections.Counter(tuple(r) for r in suffix_array.remove_repeats(docs).collect())
     assert got == collections.Counter(brute_bytes(rows, 100))
     assert suffix_array.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("unit", [substring_dedup.Words(35, 8), suffix_array.Bytes(100, 32)])
+def test_kinds_of_a_frequent_line_split_without_a_row_per_window(spark, monkeypatch, unit):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(4))
+    line = [word() for _ in range(30)]
+    around = [[word() for _ in range(30)] for _ in range(12)]
+    # contexts repeat in parts: to the left of the line, to its right, or on both sides by only a few words
+    rows = []
+    for i in range(150):
+        left, right = (rng.choice(around)[-rng.randrange(1, 30) :], rng.choice(around)[: rng.randrange(1, 30)])
+        rows.append((i, " ".join([word(), *left, *line, *right, word(), str(i)])))
+    monkeypatch.setattr(anchors, "KINDS", 4)
+    made = collections.defaultdict(list)
+    real = anchors.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(anchors, "materialize", watched)
+    operator = suffix_array if unit.keep_first else substring_dedup
+    got = collections.Counter(tuple(r) for r in operator.remove_repeats(frame(spark, rows)).collect())
+    assert got == collections.Counter(brute_bytes(rows, 100) if unit.keep_first else brute_words(rows, 35))
+    rounds = [*made["kinds"], *made["parts"]]
+    assert made["hot-anchors"] != [0] and len(rounds) > 2
+    assert all(b <= 2 * a for a, b in zip(rounds, rounds[1:]))
+
+
+def test_doc_ids_of_any_type_order_documents(spark):
+    rows = [r for r in corpus(4, 40) if r[0] is not None]
+    # the order of the texts of ids is that of the numbers
+    named = frame(spark, rows).withColumn("doc_id", F.format_string("n%05d", "doc_id"))
+    for findings in (line_dedup.line_findings, substring_dedup.remove_repeats, suffix_array.remove_repeats):
+        got = collections.Counter((int(r[0][1:]), *r[1:]) for r in findings(named).collect())
+        assert got == collections.Counter(tuple(r) for r in findings(frame(spark, rows)).collect())
+
+
+def test_long_bytes_are_cut_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (5000, 99, 100, 700, 3000)]
+    monkeypatch.setattr(anchors, "BLOCK", 256)
+    unit = suffix_array.Bytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([0] * 5), pa.array(texts)], ["k", "t", "text"])
+    segments = pa.Table.from_batches(list(unit.segments([batch]))).to_pylist()
+    for d, t in enumerate(texts):
+        own = sorted((s["p"] >> 32, s["p"] >> 16 & 0xFFFF) for s in segments if s["k"] == d)
+        assert [x for s, n in own for x in range(s, s + n)] == list(range(len(t) - 99))
+    assert sorted(s["h"] for s in segments) == sorted(h for b in unit.anchors([batch]) for h in b.column(0).to_pylist())
+
+
+def test_kernels_count_copies():
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = list({" ".join(rng.choice("ab") for _ in range(rng.randrange(6, 14))) for _ in range(6)})
+        times = np.array([rng.choice([1, 1, 3]) for _ in texts])
+        order = np.array(rng.sample(range(len(texts)), len(texts)))
+        want = collections.Counter()
+        for t, n in zip(texts, times, strict=True):
+            w = t.split()
+            want.update({tuple(w[i : i + 5]): 0 for i in range(len(w) - 4)})
+            for i in range(len(w) - 4):
+                want[tuple(w[i : i + 5])] += int(n)
+        got = {(i, x) for i, a, b, _ in substring_dedup.Words(5, 2).compare([t.encode() for t in texts], times, order) for x in range(a, b)}
+        assert got == {(i, x) for i, t in enumerate(texts) for x in range(len(t.split()) - 4) if want[tuple(t.split()[x : x + 5])] > 1}
+        first = {}
+        for i in np.argsort(order):
+            for x in range(len(texts[i]) - 6):
+                first.setdefault(texts[i][x : x + 7], (i, x))
+        runs = suffix_array.Bytes(7, 2).compare([t.encode() for t in texts], times, order)
+        late = {(i, x) for i, a, b, every in runs if every for x in range(a, b)}
+        assert late == {(i, x) for i, t in enumerate(texts) for x in range(len(t) - 6) if first[t[x : x + 7]] != (i, x)}
+        assert {i for i, _, _, every in runs if not every} == set(np.flatnonzero(times > 1))
+
+
 def test_buckets_sort_suffixes():
     rng = np.random.default_rng(0)
     for depth in (1, 7, 20, 100):
