@@ -1,19 +1,23 @@
 """Operator 9: benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Words that hold numbers, units after numbers and names become typed placeholders; case and punctuation go.
-Windows of five template words of the documents are hash-joined to those of the benchmark items. Matches on
-one diagonal (document position minus item position) align a document with an item, slot by slot: such an
-alignment counts if each value of the item's slots always meets the same value of the document, as in a
-copy or a question asked again with other parameters. A document is contaminated by an item if counting
-alignments cover at least 0.8 of the item's windows.
-
-The benchmark's windows are broadcast only if they are at most ``MAX_BROADCAST``; beyond, the join is a
-shuffle join. Documents are read once and only matches are shuffled; a text reaches the join as a reference
-and gives up its five words where a window matches.
+Windows of five template words of the documents are hash-joined to those of the benchmark items. What is a
+name shows in its case, which a copy may have lost: windows that hold names are joined in lower case too,
+with the names as they are. Matches on one diagonal (document position minus item position) align a document
+with an item, word by word. An alignment is consistent if values of the item's slots and of the document go
+one to one, by type, as in a copy or a question asked again with other parameters. A document is contaminated
+by an item if at least 0.8 of the item's words are in matching windows of one consistent alignment, of those
+alignments that change no slot, or of all alignments if they are consistent with each other.
+
+Windows meet as (row, position, hash): the benchmark's are broadcast only if they are at most
+``MAX_BROADCAST``, and shuffled by hash beyond. Texts never join windows; those of the documents found are
+read again by their keys, to fill the slots.
 
 Cases: null or empty texts and items, and those of fewer than five template words, have no windows and match
-nothing; rows with a null doc_id take part and report null; rows alike in doc_id and text report once; extra
-columns are ignored; an empty table on either side gives an empty result.
+nothing; rows with a null doc_id take part and report null; rows alike in doc_id and text report once;
+items alike in item_id and text count once, and those that share only the item_id report each for itself;
+texts that differ only in case or punctuation report alike; extra columns are ignored; an empty table on
+either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm.rowkeys import without
+from chronoweave.llm.rowkeys import text_hash, without
 from chronoweave.plans.storage import broadcast_if_small, materialize, pick
 
 WINDOW = 5
 COVERAGE = 0.8
-MAX_BROADCAST = 50_000
+#: Rows (hash, item, position) of benchmark windows that are sent to every executor, at most.
+MAX_BROADCAST = 500_000
 
 #: Placeholders, in characters that survive the removal of punctuation.
 NUMBER, UNIT, NUMBER_UNIT, NAME = "\u0001", "\u0002", "\u0003", "\u0004"
@@ -61,10 +66,10 @@ _BLANKS = "[\\x20\\t-\\r]+"
 
 
 def template(text: Column) -> Column:
-    """The text with placeholders, lower case, without punctuation; word for word beside :func:`plain_words`."""
+    """The text with placeholders, lower case, without punctuation; names stay behind their mark. Word for word beside :func:`plain_words`."""
     with_numbers = F.regexp_replace(F.regexp_replace(text, _NUMBER_UNIT, NUMBER_UNIT), _NUMBER, NUMBER)
     numbered = F.when(text.rlike("\\d"), F.regexp_replace(with_numbers, _UNIT, UNIT)).otherwise(text)
-    return F.lower(F.regexp_replace(F.regexp_replace(numbered, _NAME, NAME), _PUNCTUATION, ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(numbered, _NAME, NAME + "$0"), _PUNCTUATION, ""))
 
 
 def _words(line: Column) -> Column:
@@ -76,56 +81,65 @@ def plain_words(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``(*keep, pos, w)``: the hash of every window of template words and its place."""
+    """``(*keep, pos, w)``: the hashes of every window of template words, names as their type and as they are, and its place."""
     words = rows.select(*keep, _words(template(F.col("text"))).alias("words"))
-    shifted = [F.slice("words", F.lit(1 + j), F.size("words")) for j in range(WINDOW)]
-    zipped = words.select(*keep, F.arrays_zip(*[x.alias(f"w{j}") for j, x in enumerate(shifted)]).alias("windows"))
+    typed = F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(NAME), F.lit(NAME)).otherwise(w)))
+    named = F.transform("words", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME))))
+    words = words.select(*keep, typed.alias("typed"), named.alias("named"))
+    shifted = [F.slice(kind, F.lit(1 + j), F.size(kind)).alias(f"{kind}{j}") for kind in ("typed", "named") for j in range(WINDOW)]
+    zipped = words.select(*keep, F.arrays_zip(*shifted).alias("windows"))
     # outer: an inner explode makes the optimizer repeat the whole expression in a filter below
     spread = zipped.select(*keep, F.posexplode_outer("windows").alias("pos", "v"))
     names = [f"v.{name}" for name in zipped.schema["windows"].dataType.elementType.names]
-    spread = spread.where(F.col(names[-1]).isNotNull()).select(*keep, "pos", F.xxhash64(*names).alias("w"))
-    return spread.where("w is not null")
+    spread = spread.where(F.col(names[-1]).isNotNull())
+    both = spread.select(*keep, "pos", F.xxhash64(*names[:WINDOW]).alias("w"), F.xxhash64(*names[WINDOW:]).alias("w2"))
+    hashes = F.when(F.col("w") == F.col("w2"), F.array("w")).otherwise(F.array("w", "w2"))
+    return both.select(*keep, "pos", F.explode(hashes).alias("w"))
 
 
 def alignments(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """``(doc_id, t, item_id, diagonal, windows, n_windows, slots)`` of every document, item and diagonal that match."""
+    """``(doc_id, t, item_id, item, n_words, alignments)`` of documents and items whose matching windows hold enough words.
+
+    An alignment is a struct of words (places in the item) and slots (type, value in the item, value in the document).
+    """
     items = pick(bench, item_col, item_text_col).toDF("item_id", "text").where("text is not null").distinct()
-    shown = _windows(items, ["item_id", "text"])
-    sliced = lambda words: F.slice(words, F.col("pos") + 1, F.lit(WINDOW))
-    shown = shown.select(
-        "item_id",
-        F.col("pos").alias("item_pos"),
-        "w",
-        sliced(_words(template(F.col("text")))).alias("kinds"),
-        sliced(plain_words(F.col("text"))).alias("item_words"),
-    )
-    total = shown.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    shown = broadcast_if_small(materialize(shown.join(total, "item_id"), "benchmark-windows"), MAX_BROADCAST)
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").where("text is not null")
-    met = _windows(rows, ["doc_id", "text"]).join(shown, "w")
-    slots = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(WINDOW - 1)),
-            lambda i: F.struct(
-                F.get("kinds", i).alias("kind"), F.get("item_words", i).alias("item"), F.get("doc_words", i).alias("doc")
-            ),
-        ),
-        lambda s: s["kind"].isin(NUMBER, UNIT, NUMBER_UNIT, NAME),
-    )
-    met = met.select(
-        "doc_id",
-        F.xxhash64("text").alias("t"),
-        "item_id",
-        "item_pos",
-        (F.col("pos") - F.col("item_pos")).alias("diagonal"),
-        "n_windows",
-        "kinds",
-        "item_words",
-        sliced(plain_words(F.col("text"))).alias("doc_words"),
-    ).withColumn("slots", slots)
-    return met.groupBy("doc_id", "t", "item_id", "diagonal", "n_windows").agg(
-        F.collect_set("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
-    )
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    kinds = F.transform(_words(template(F.col("text"))), lambda w: F.when(w.rlike(f"^[{NUMBER}-{NAME}]"), F.substring(w, 1, 1)))
+    asked = materialize(items.select("item", "item_id", kinds.alias("kinds"), plain_words(F.col("text")).alias("item_words")), "benchmark")
+    shown = materialize(_windows(items, ["item"]).toDF("item", "item_pos", "w").distinct(), "benchmark-windows")
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").where("text is not null").withColumn("t", text_hash(F.col("text")))
+    met = _windows(rows, ["doc_id", "t"]).join(broadcast_if_small(shown, MAX_BROADCAST), "w")
+    aligned = met.groupBy("doc_id", "t", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + (WINDOW - 1)))))
+    aligned = aligned.select("doc_id", "t", "item", F.struct("diagonal", covered.alias("words")).alias("a"))
+    reached = aligned.groupBy("doc_id", "t", "item").agg(F.collect_list("a").alias("alignments"))
+    reached = reached.join(asked.select("item", F.size("kinds").alias("n_words")), "item")
+    reached = materialize(reached.where(_enough(_places("alignments"), F.lit(COVERAGE))), "alignments")
+    texts = rows.join(broadcast_if_small(reached.select("t").distinct(), MAX_BROADCAST), "t", "left_semi")
+    texts = texts.select(F.col("doc_id").alias("_id"), "t", plain_words(F.col("text")).alias("doc_words")).dropDuplicates(["_id", "t"])
+    whole = reached.join(texts, ["t"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).join(asked, "item")
+
+    def slots(a: Column) -> Column:
+        held = F.filter(a["words"], lambda j: F.get("kinds", j).isNotNull())
+        one = lambda j: F.struct(F.get("kinds", j).alias("kind"), F.get("item_words", j).alias("item"), F.get("doc_words", j + a["diagonal"]).alias("doc"))
+        return F.array_distinct(F.transform(held, one))
+
+    filled = F.transform("alignments", lambda a: F.struct(a["words"].alias("words"), slots(a).alias("slots")))
+    return whole.select("doc_id", "t", "item_id", "item", "n_words", filled.alias("alignments"))
+
+
+def _places(alignments: str | Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(alignments, lambda a: a["words"])))
+
+
+def _enough(places: Column, coverage: Column) -> Column:
+    return F.size(places) >= coverage * F.col("n_words")
+
+
+def _one_to_one(slots: Column) -> Column:
+    """Whether different slots hold different values of the item and different values of the document, by type."""
+    several = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s[side]))))
+    return (several("item") == F.size(slots)) & (several("doc") == F.size(slots))
 
 
 def contaminated(
@@ -135,23 +149,32 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    coverage: float = COVERAGE,
 ) -> DataFrame:
-    """``(doc_id, t, item_id, n_matched, n_windows, coverage, n_slots, reworded)`` of every contaminated document and item.
+    """``(doc_id, t, item_id, n_matched, n_words, coverage, n_slots, reworded)`` of every contaminated document and item.
 
-    t is the text's 64-bit hash; reworded: some slot holds another value than the item's.
+    t is the text's 64-bit hash; n_matched and n_words count words of the item; reworded: only alignments in
+    which some slot holds another value than the item's cover enough.
     """
-    found = alignments(docs, bench, id_col, text_col, item_col, item_text_col)
-    asked = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))
-    counted = found.where(F.size("slots") == F.size(asked))
-    merged = counted.groupBy("doc_id", "t", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).cast("long").alias("n_matched"),
-        F.max(F.size("slots")).cast("long").alias("n_slots"),
-        F.max(F.exists("slots", lambda s: s["item"] != s["doc"])).alias("reworded"),
+    found = materialize(alignments(docs, bench, id_col, text_col, item_col, item_text_col), "slots")
+    same = F.filter("alignments", lambda a: F.forall(a["slots"], lambda s: s["item"] == s["doc"]))
+    consistent = F.filter("alignments", lambda a: _one_to_one(a["slots"]))
+    every = F.array_distinct(F.flatten(F.transform("alignments", lambda a: a["slots"])))
+    found = found.withColumns({"same": same, "consistent": consistent, "every": every})
+    found = found.withColumns(
+        {
+            "as_is": F.size(_places("same")),
+            "n_matched": F.greatest(
+                F.size(_places("same")),
+                F.coalesce(F.array_max(F.transform("consistent", lambda a: F.size(a["words"]))), F.lit(0)),
+                F.when(_one_to_one(F.col("every")), F.size(_places("alignments"))).otherwise(0),
+            ),
+        }
     )
-    share = F.round(F.col("n_matched") / F.col("n_windows"), 6)
-    return merged.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")).select(
-        "doc_id", "t", "item_id", "n_matched", "n_windows", share.alias("coverage"), "n_slots", "reworded"
+    enough = F.lit(COVERAGE) * F.col("n_words")
+    return found.where(F.col("n_matched") >= enough).select(
+        "doc_id", "t", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_words").cast("long").alias("n_words"),
+        F.round(F.col("n_matched") / F.col("n_words"), 6).alias("coverage"), F.size("every").cast("long").alias("n_slots"),
+        (F.col("as_is") < enough).alias("reworded"),
     )
 
 

@@ -615,6 +615,106 @@ def test_names_that_open_sentences_are_slots(spark):
     assert got[1, 0].coverage == got[2, 0].coverage == got[5, 0].coverage == 1.0 and got[1, 0].reworded
 
 
+def test_copies_in_another_case_and_merged_names(spark):
+    item = "Tom gives 2 apples to Ann. Ann gives 3 km of rope to Bob Smith, who lives in Old Town with Tom. Is Ann happy?"
+    rows = [(1, item.upper()), (2, item.lower()), (3, "well, " + item.lower().replace("?", " ?!")), (4, item.replace("Tom", "Zed").replace("Ann", "Zed"))]
+    rows += [(5, item.replace("Tom", "Ann_").replace("Ann.", "Tom.").replace("Ann ", "Tom ").replace("Ann_", "Ann")), (6, item.replace("km", "miles").replace("2", "40")), (7, item.lower().replace("ann", "eve"))]
+    # two other words: each costs itself, not the five windows over it
+    rows += [(8, item.replace("rope", "wire").replace("Old", "the"))]
+    # a copy in two halves, and two askings of one item with other parameters
+    half = item.index("Bob")
+    rows += [(9, item[:half] + "so to say " + item[half:]), (10, item[:half].replace("Ann", "Eve") + "so to say " + item[half:]), (11, item.replace("Ann", "Eve") + " " + item.replace("Ann", "Kim"))]
+    bench = spark.createDataFrame([(0, item), (0, "an other text of item zero with 5 words more"), (1, "An other text of ITEM zero, with 5 words more!")], "item_id long, text string")
+    rows += [(12, "an other text of item zero with 6 words more")]
+    got = collections.Counter((r.doc_id, r.item_id, r.reworded) for r in decontaminate.contaminated(frame(spark, rows), bench).collect())
+    assert got == {(1, 0, False): 1, (2, 0, False): 1, (3, 0, False): 1, (5, 0, True): 1, (6, 0, True): 1, (7, 0, False): 1, (8, 0, False): 1, (9, 0, False): 1, (11, 0, True): 1, (12, 0, True): 1, (12, 1, True): 1}
+
+
+def plain_contaminated(rows, items, share=0.8):
+    """The operator's definition in loops, with its patterns."""
+    import string
+
+    import regex
+
+    java = lambda p: p.replace("\\p{Punct}", regex.escape(string.punctuation, special_only=False))
+    d = decontaminate
+
+    def words(text):
+        x = text
+        if regex.search(r"[0-9]", text):
+            x = regex.sub(java(d._NUMBER_UNIT), d.NUMBER_UNIT, x, flags=regex.ASCII)
+            x = regex.sub(java(d._UNIT), d.UNIT, regex.sub(java(d._NUMBER), d.NUMBER, x, flags=regex.ASCII), flags=regex.ASCII)
+        x = regex.sub(java(d._NAME), lambda m: d.NAME + m[0], x)
+        clean = lambda y: regex.split(r"[\x20\t-\r]+", regex.sub(java(d._PUNCTUATION), "", y).lower())
+        typed = [w for w in clean(x) if w]
+        values = [w for w in clean(text) if w]
+        kinds = [w[0] if w[0] in d.NUMBER + d.UNIT + d.NUMBER_UNIT + d.NAME else None for w in typed]
+        return [d.NAME if k == d.NAME else w for k, w in zip(kinds, typed, strict=True)], [w.lstrip(d.NAME) for w in typed], kinds, values
+
+    def ok(slots):
+        return len(slots) == len({(k, a) for k, a, _ in slots}) == len({(k, b) for k, _, b in slots})
+
+    out = set()
+    for item_id, item in {x for x in items if x[1]}:
+        t, n, kinds, values = words(item)
+        for doc_id, text in rows:
+            dt, dn, _, dv = words(text or "")
+            found = collections.defaultdict(set)
+            for p in range(len(dt) - 4):
+                doc = {tuple(dt[p : p + 5]), tuple(dn[p : p + 5])}
+                for q in range(len(t) - 4):
+                    if doc & {tuple(t[q : q + 5]), tuple(n[q : q + 5])}:
+                        found[p - q] |= set(range(q, q + 5))
+            slots = {g: {(kinds[j], values[j], dv[j + g]) for j in places if kinds[j]} for g, places in found.items()}
+            same = set().union(*(places for g, places in found.items() if all(a == b for _, a, b in slots[g])))
+            best = max([len(same), *(len(places) for g, places in found.items() if ok(slots[g]))])
+            every = set().union(*slots.values())
+            if ok(every):
+                best = max(best, len(set().union(*found.values())))
+            if found and best >= share * len(t):
+                out.add((doc_id, item_id, best, len(t), len(every), len(same) < share * len(t)))
+    return out
+
+
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST, 0])
+def test_decontamination_equals_its_definition(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
+    rng = random.Random(17)
+    names, units, plain = ["Tom", "Ann", "Bob", "Ms. Li", "É. Roy"], ["km", "kg", "hours", "%"], ["gives", "has", "the", "rope", "to", "été", "well-known", "and"]
+
+    def sentence(k):
+        word = lambda: rng.choice([rng.choice(names), f"{rng.randrange(1, 30)}", f"{rng.randrange(9)} {rng.choice(units)}", f"{rng.randrange(9)}{rng.choice(units)}", *[rng.choice(plain)] * 4])
+        return " ".join([rng.choice([*names, "The", "How"]), *(word() for _ in range(k))]) + rng.choice(".?!")
+
+    items = [(i, " ".join(sentence(rng.randrange(3, 9)) for _ in range(rng.randrange(1, 4)))) for i in range(14)] + [(3, "a a a a a a a b"), (20, None), (21, ""), (22, "too few words"), (0, "Tom has 3 km of rope, Ann has 4.")]
+    rows = []
+    for i in range(70):
+        text = rng.choice(items[:15])[1]
+        for _ in range(rng.randrange(3)):
+            a, b = rng.choice([("Tom", "Zoe"), ("Ann", "Tom"), ("has", "holds"), ("3", "17"), ("km", "miles"), ("rope", "wire"), (".", " !"), ("the ", "")])
+            text = text.replace(a, b)
+        text = rng.choice([str.upper, str.lower, str, str, str])(text)
+        rows.append((i, " ".join([sentence(4), text, sentence(3)])))
+    rows += [(100, None), (101, ""), (102, "a " * 50), (None, items[0][1]), rows[3], (104, " ".join(sentence(9) for _ in range(400)) + items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(getattr(r, c) for c in ("doc_id", "item_id", "n_matched", "n_words", "n_slots", "reworded")) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    want = plain_contaminated(rows, items)
+    assert len(want) > 20 and any(x[-1] for x in want) and got == want
+
+
+def test_texts_do_not_travel_with_windows(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    plans = []
+    real = decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), real(df, name))[1])
+    bench = spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string")
+    decontaminate.contaminated(docs, bench)
+    windows = next(p for p in plans if "diagonal" in p)
+    optimized = windows[windows.index("== Optimized") : windows.index("== Physical")]
+    join = optimized[optimized.index("Join Inner") :]
+    assert "text" not in join.splitlines()[1]
+
+
 def test_decontamination_plan_has_no_python(spark, docs):
     bench = spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string")
     plan = decontaminate.contaminated(docs, bench)._jdf.queryExecution().toString()
