@@ -234,17 +234,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(features, sentence, np.repeat(np.arange(len(label)), [r.n for r in found]), label)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)`` of every whole text."""
+def located(text: str | None, weight: np.ndarray, bias: float, threshold: float) -> list[tuple[str, float]]:
+    """(sentence, probability) of the sentences of a text whose own probability reaches the threshold."""
+    raw = _raw(text)
+    cuts = np.concatenate(([0], np.flatnonzero(_STOP[np.frombuffer(raw, np.uint8)]) + 1, [len(raw)]))
+    parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if raw[a:b].strip()]
+    p = scores(parts, weight, bias) if parts else []
+    return [(s.decode(errors="replace").strip(), float(x)) for s, x in zip(parts, p, strict=True) if x >= threshold]
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", worst: bool = False) -> DataFrame:
+    """``(doc_id, score)`` of every whole text; with ``worst`` also the sentence that offends most where score is ``THRESHOLD`` or more.
+
+    ``worst_sentence`` and ``worst_p`` are null below; the first of equal sentences counts.
+    """
     weight, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _batch_scores(batch.column(1), weight, bias)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            columns = [batch.column(0), pa.array(out)]
+            if worst:
+                top: list[tuple] = [(None, None)] * len(out)
+                for row in np.flatnonzero(out >= THRESHOLD):
+                    found = located(batch.column(1)[row].as_py(), weight, bias, 0.0)
+                    top[row] = max(found, key=lambda x: x[1]) if found else (None, None)
+                columns += [pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", *["worst_sentence", "worst_p"] * worst])
 
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, score double" + ", worst_sentence string, worst_p double" * worst)
 
 
 def offending_sentences(
@@ -257,12 +277,7 @@ def offending_sentences(
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = _raw(text)
-                cuts = np.concatenate(([0], np.flatnonzero(_STOP[np.frombuffer(raw, np.uint8)]) + 1, [len(raw)]))
-                parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if raw[a:b].strip()]
-                if parts:
-                    p = scores(parts, weight, bias)
-                    out += [(doc_id, s.decode(errors="replace").strip(), float(x)) for s, x in zip(parts, p, strict=True) if x >= threshold]
+                out += [(doc_id, *x) for x in located(text, weight, bias, threshold)]
             ids, sentence, p = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(sentence, pa.string()), pa.array(p, pa.float64())],
@@ -290,6 +305,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select(
-        "doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return score(docs, model, worst=True).select("doc_id", is_held_out().alias("held_out"), "score", predicted, "worst_sentence", "worst_p")
