@@ -9,7 +9,8 @@ Manhattan distance bounds from below which pairs can link, and the fingerprints
 Only distinct fingerprints enter the grids, so copies cost nothing, and a cell yields a spanning forest of
 its links (at most one row per fingerprint) rather than its pairs. The forests of all cells have the same
 components as all links, so none is lost. A cell's search drops what it has reached: a dense cell is read
-a few times over instead of once per pair. Cells need 16 bytes for each distinct fingerprint in them.
+a few times over instead of once per pair. Cells need 16 bytes for each distinct fingerprint in them; one of
+more than ``CELL`` is dealt to blocks, and each pair of blocks is a cell of its own.
 
 Cases: a null text counts as empty; texts without words have the fingerprint zero and link like any other;
 rows with a null doc_id take part and get the component of their fingerprint (null if no row linked to them
@@ -47,8 +48,12 @@ FAR_BITS = 84
 #: One in so many texts tells which shingles are frequent, and how many of these go last in the order of a set. Any order finds all links.
 SAMPLED = 64
 MAX_COMMON = 1 << 16
+#: Cells that a text knows it has, to leave pairs to the smallest of their cells; pairs that share none of these are compared wherever they meet.
+FIRSTS = 16
 #: Rows of a cell whose pairs are all compared at once.
 SMALL = 6
+#: Rows of a cell that one task holds; a cell of more becomes cells of two blocks.
+CELL = 1 << 17
 #: Rows of hash bits counted at once.
 BIT_ROWS = 1 << 15
 
@@ -173,6 +178,19 @@ def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_cell, held = held_cell[edges[whole] :], held[edges[whole] :]
 
 
+def _bounded(cells_: DataFrame, member: str) -> DataFrame:
+    """The rows of cells, with cells of more than ``CELL`` rows as cells of every two blocks of theirs."""
+    dense = cells_.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_blocks")).where("_blocks > 1")
+    dense = materialize(dense, "dense-cells")
+    if not dense.limit(1).count():
+        return cells_
+    names = [c for c in cells_.columns if c != "cell"]
+    dealt = cells_.join(dense, "cell", "left").withColumn("_x", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_y", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks") - 1, F.lit(0)))))
+    pair = F.xxhash64("cell", F.least("_x", "_y"), F.greatest("_x", "_y"))
+    return dealt.select(F.when(F.col("_blocks").isNull(), F.col("cell")).otherwise(pair).alias("cell"), *names)
+
+
 def links(distinct_fps: DataFrame) -> DataFrame:
     """``(a, b)``: links between different fingerprints that keep all components."""
 
@@ -181,7 +199,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
             cell, fp = cells(batch.column(0).to_numpy().copy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp.view(np.int64))], ["cell", "fp"])
 
-    spread_out = distinct_fps.mapInArrow(spread, "cell long, fp long")
+    spread_out = _bounded(distinct_fps.mapInArrow(spread, "cell long, fp long"), "fp")
     sorted_cells = spread_out.repartition("cell").sortWithinPartitions("cell", "fp")
     return sorted_cells.mapInArrow(_cell_links, "a long, b long").distinct()
 
@@ -308,49 +326,62 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = held.slice(whole)
 
 
-def _wide_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that may be similar to one of another label in their cell; rows (cell, node, words, n, label) are sorted by cell and node."""
-    names = ["cell", "node", *[f"f{i}" for i in range(WIDE)], "n", "label"]
-    held = np.zeros((0, WIDE + 4), np.int64)
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """(numbers, first cells, rows) of each cell; rows (cell, node, words, n, label, firsts, ...) are sorted by cell and node."""
+    numbers = WIDE + 4
+    held = None
     batches = iter(batches)
     end = False
     while not end:
         batch = next(batches, None)
         end = batch is None
         if not end:
-            held = np.concatenate((held, np.stack([x.to_numpy() for x in batch.columns], axis=1)))
-        if not len(held):
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None or not held.num_rows:
             continue
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(held[:, 0])) + 1, [len(held)]))
+        cell = held.column(0).to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
         whole = len(edges) - 1 if end else len(edges) - 2
         for first, last in zip(edges[:whole], edges[1 : whole + 1], strict=True):
-            part = held[first:last]
-            node, n, label = part[:, 1], part[:, -2], part[:, -1]
-            if (label == label[0]).all():
-                continue
-            fps = np.ascontiguousarray(part[:, 2 : 2 + WIDE]).view(np.uint64)
-            some = np.zeros(len(part), bool)
-            for i in range(len(part) - 1):
-                other = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ~(some[i] & some[i + 1 :]))
-                other = other[(5 * n[other] >= 4 * n[i]) & (5 * n[i] >= 4 * n[other])]
-                other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= FAR_BITS]
-                some[other] = True
-                some[i] |= len(other) > 0
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part[some].T], names)
-        held = held[edges[whole] :]
+            part = held.slice(first, last - first)
+            firsts = np.full((part.num_rows, FIRSTS), cell[first], np.int64)
+            for row, cells_ in zip(firsts, part.column(numbers).to_pylist(), strict=True):
+                row[: len(cells_)] = cells_
+            yield np.stack([part.column(i).to_numpy() for i in range(numbers)], axis=1), firsts, part
+        held = held.slice(edges[whole])
+
 
+def _candidates(rows: np.ndarray, firsts: np.ndarray, label: np.ndarray, i: int) -> np.ndarray:
+    """Later rows of a cell that may be similar to row i and bear another label, but for pairs that a smaller cell has too."""
+    fps, n = rows[:, 2 : 2 + WIDE].view(np.uint64), rows[:, 2 + WIDE]
+    other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+    other = other[(5 * n[other] >= 4 * n[i]) & (5 * n[i] >= 4 * n[other])]
+    other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= FAR_BITS]
+    smaller = firsts[i][firsts[i] < rows[i, 0]]
+    return other[~np.isin(firsts[other], smaller).any(axis=1)] if len(smaller) and len(other) else other
 
-def _set_links(sets: list[np.ndarray], fps: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Positions (a, b) of similar sets that join what any similar sets of different labels join."""
+
+def _wide_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that :func:`_candidates` pairs."""
+    for rows, firsts, part in _cells(batches):
+        some = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            other = _candidates(rows, firsts, rows[:, -1], i)
+            some[other] = True
+            some[i] |= len(other) > 0
+        if some.any():
+            yield from part.filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _set_links(sets: list[np.ndarray], rows: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int]]:
+    """Positions (a, b) of similar sets that join what any similar sets of different labels join, of the pairs that are this cell's."""
     n = np.array([len(x) for x in sets])
     start, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
     shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
-    label, links = label.copy(), []
+    label, links = rows[:, -1].copy(), []
     for i in range(len(sets) - 1):
-        other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        other = other[(5 * n[other] >= 4 * n[i]) & (5 * n[i] >= 4 * n[other])]
-        other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= FAR_BITS]
+        other = _candidates(rows, firsts, label, i)
         if not len(other):
             continue
         here = np.zeros(len(shingles), bool)
@@ -387,7 +418,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     link is a pair whose sets of shingles were compared. Cells first give forests of fingerprints of ``WIDE``
     words at ``WIDE_BITS`` or fewer differing bits, so a large group of near copies is joined by few pairs; then
     sets of different groups so found are compared within their cells, but those of sizes too unlike or of more
-    than ``FAR_BITS`` differing bits, which at 0.8 happens to fewer than 1 pair in 10 million.
+    than ``FAR_BITS`` differing bits, which at 0.8 happens to fewer than 1 pair in 10 million. A pair that meets in
+    several cells is compared in the smallest: rows know the ``FIRSTS`` smallest cells of their text.
     """
     words = [f"f{i}" for i in range(WIDE)]
     longs = ", ".join(f"{w} long" for w in words)
@@ -416,24 +448,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(near)
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, sets = np.zeros((0, WIDE + 3), np.int64), []
-        batches = iter(batches)
-        end = False
-        while not end:
-            batch = next(batches, None)
-            end = batch is None
-            if not end:
-                rows = np.concatenate((rows, np.stack([x.to_numpy() for x in batch.columns[:-1]], axis=1)))
-                sets += [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.columns[-1]]
-            if not len(rows):
-                continue
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
-            whole = len(edges) - 1 if end else len(edges) - 2
-            for a, b in zip(edges[:whole], edges[1 : whole + 1], strict=True):
-                links = _set_links(sets[a:b], np.ascontiguousarray(rows[a:b, 2:-1]).view(np.uint64), rows[a:b, -1])
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[a + np.array(x), 1]) for x in zip(*links, strict=True)], ["a", "b"])
-            rows, sets = rows[edges[whole] :], sets[edges[whole] :]
+        for rows, firsts, part in _cells(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+            if links := _set_links(sets, rows, firsts):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[np.array(x), 1]) for x in zip(*links, strict=True)], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -444,12 +462,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell", "node")
     shape = f"cell long, node long, {longs}, n long"
     met = materialize(by_cell(texts.select("node", "text").mapInArrow(spread, shape)).mapInArrow(_met, shape), "shingle-cells")
+    met = _bounded(met, "node")
     tried = by_cell(met.select("cell", "node", *words)).mapInArrow(_wide_links, "a long, b long")
     tried = materialize(ordered(tried), "near-pairs")
     labels = materialize(connected_components(verified(tried)), "near-components")
-    labelled = met.join(labels, "node", "left").select("cell", "node", *words, "n", F.coalesce("component", "node").alias("label"))
-    rest = materialize(by_cell(labelled).mapInArrow(_wide_rest, f"{shape}, label long"), "cells-to-compare")
-    rest = rest.join(texts.select("node", "text"), "node").select("cell", "node", *words, "label", "text")
+    label = F.coalesce("component", "node").alias("label")
+    labelled = materialize(met.join(labels, "node", "left").select("cell", "node", *words, "n", label), "labelled-cells")
+    several = labelled.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+    open_ = materialize(labelled.join(materialize(several, "cells-of-several"), "cell"), "open-cells")
+    firsts = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("cell")), 1, FIRSTS).alias("firsts"))
+    shape += ", label long, firsts array<long>"
+    rest = by_cell(open_.join(firsts, "node").select("cell", "node", *words, "n", "label", "firsts"))
+    rest = materialize(rest.mapInArrow(_wide_rest, shape), "cells-to-compare")
+    rest = rest.join(texts.select("node", "text"), "node").select("cell", "node", *words, "n", "label", "firsts", "text")
     more = by_cell(rest).mapInArrow(in_cells, "a long, b long")
     linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return _classes(found, texts.select("node", "first"), linked).select("doc_id", "t", "component_id")

@@ -315,6 +315,26 @@ def test_similar_texts_of_a_group_are_exact(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, rows)).collect()} == dict(enumerate(group))
 
 
+def test_dense_cells_are_dealt_to_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [str(rng.randrange(10**6)) for _ in range(60)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for place in rng.sample(range(60), rng.randint(0, 3)):
+            w[place] = str(rng.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    d = frame(spark, rows)
+    groups = lambda: {r.doc_id: r.component_id for r in simhash.similar_texts(d).collect()}
+    prints = lambda: {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}
+    want = groups(), prints()
+    monkeypatch.setattr(simhash, "CELL", 7)
+    assert (groups(), prints()) == want and len(set(want[0].values())) < 80
+    # the smallest cells that a text knows spare comparisons and decide none
+    monkeypatch.setattr(simhash, "FIRSTS", 1)
+    assert groups() == want[0]
+
+
 # sharding
 
 
@@ -573,6 +593,56 @@ def test_toxicity_generalises_and_locates(spark, nothing):
     assert {r.score for r in toxicity.score(d, neutral).where("doc_id = 901").collect()} == {0.5}
 
 
+def test_training_and_scores_equal_plain_loops():
+    import math
+    import re
+
+    rng = random.Random(5)
+    texts = [". ".join(" ".join(rng.choice(["ab", "cdefg", "zork", "é", "Xy"]) for _ in range(rng.randrange(5))) for _ in range(rng.randrange(4))) for _ in range(40)]
+    label = np.array([int("zork" in t) for t in texts])
+    features, sentence, owner = toxicity.bags([t.encode() for t in texts])
+    got_weight, got_bias = toxicity.train(features, sentence, owner, label)
+
+    def feature(word):  # of one word and its stems
+        return toxicity.bags([word.encode()])[0].tolist()
+
+    parts = [[[f for w in re.findall(r"[a-zé]+", s.lower()) for f in feature(w)] for s in re.split(r"[.!?\n]", t)] for t in texts]
+    parts = [[s for s in t if s] for t in parts]
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    weight, bias, seen, seen_bias = collections.defaultdict(float), -4.0, collections.defaultdict(lambda: 1e-8), 1e-8
+    used = sorted({f for t in parts for s in t for f in s})
+    share = [0.5 / label.sum() if y else 0.5 / (1 - label).sum() for y in label]
+    for _ in range(toxicity.EPOCHS):
+        slope, slope_bias = {f: toxicity.DECAY * weight[f] for f in used}, 0.0
+        for t, y, v in zip(parts, label, share, strict=True):
+            ps = [sigmoid(sum(weight[f] for f in s) + bias) for s in t]
+            whole = max(1 - math.prod(1 - p for p in ps), 1e-9)
+            for s, p in zip(t, ps, strict=True):
+                pull = p * (1 - y / whole) * v
+                slope_bias += pull
+                for f in s:
+                    slope[f] += pull
+        for f in used:
+            seen[f] += slope[f] ** 2
+            weight[f] -= toxicity.RATE * slope[f] / math.sqrt(seen[f])
+        seen_bias += slope_bias**2
+        bias -= toxicity.RATE * slope_bias / math.sqrt(seen_bias)
+    assert abs(bias - got_bias) < 1e-4 and all(abs(weight[f] - got_weight[f]) < 1e-3 for f in used)
+    one = [1 - math.prod(1 - sigmoid(sum(weight[f] for f in s) + bias) for s in t) if t else sigmoid(bias) for t in parts]
+    assert np.allclose(toxicity.scores([t.encode() for t in texts], got_weight, got_bias), one, atol=1e-4)
+
+
+def test_worst_sentences(spark):
+    rows, labels = toxic_corpus()
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = toxicity.score(docs, model, worst=True).collect()
+    assert all((r.worst_sentence is None) == (r.score < toxicity.THRESHOLD) for r in found)
+    texts = dict(rows)
+    marked = [r for r in found if r.worst_sentence is not None]
+    assert len(marked) > 100 and all(r.worst_sentence in texts[r.doc_id] and "fool" in r.worst_sentence for r in marked)
+
+
 def test_scores_do_not_depend_on_their_batch():
     docs, _ = toxic_corpus(50)
     texts = [(t or "").encode() for _, t in docs]

@@ -1,14 +1,18 @@
 """The pipeline's stages on a small corpus, and the registered queries on the driver's tables."""
 
+import collections
 import random
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from chronoweave.llm import queries as llm
+from chronoweave.llm import toxicity
+from tests.llm.test_llm_operators import library, plain_contaminated, words_of  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 COLUMNS = {
@@ -84,6 +88,76 @@ def test_run_gives_the_last_stage(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == want
 
 
+def plain_lines(rows):
+    seen, out = {}, []
+    for d, t, *_ in rows:
+        lines = t.split("\n") if t is not None else []
+        for i in range(len(lines) - 2):
+            key = tuple(lines[i : i + 3])
+            seen[key] = min(seen.get(key, (1 << 63, 0)), ((1 << 63) - 1 if d is None else d, i))
+    for d, t, *rest in rows:
+        lines = t.split("\n") if t is not None else []
+        gone = {i + j for i in range(len(lines) - 2) if ((1 << 63) - 1 if d is None else d, i) > seen[tuple(lines[i : i + 3])] for j in range(3)}
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone) if t is not None else None, *rest))
+    return out
+
+
+def plain_near(rows):
+    sets = []
+    for r in rows:
+        w = [x.lower() for x in words_of(r[1])]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for g, r in zip(group, rows, strict=True):
+        if r[0] is not None:
+            first[g] = min(first.get(g, r[0]), r[0])
+    return [r for g, r in zip(group, rows, strict=True) if r[0] == first.get(g)]
+
+
+def test_stages_equal_plain_versions(spark, folder, library):
+    """Each stage's rows against loops over the stage's own input; the sentence model is tested beside its operator."""
+    load = lambda name: [tuple(r) for r in spark.read.parquet(f"{folder}/out-{name}").collect()]
+    key = lambda rows: collections.Counter(rows)
+    kept = load("toxicity")
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    assert key(kept) == key(r for r in docs if toxicity.scores([(r[1] or "").encode()], *model)[0] < toxicity.THRESHOLD)
+    assert key(load("line_dedup")) == key(plain_lines(kept))
+    assert key(load("simhash")) == key(plain_near(load("line_dedup")))
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    hit = {x[0] for x in plain_contaminated([r[:2] for r in load("simhash")], items)}
+    assert key(load("decontaminate")) == key(r for r in load("simhash") if r[0] not in hit)
+    want = collections.Counter((r[0], tuple(library.encode(r[1] or ""))) for r in load("decontaminate"))
+    got = spark.read.parquet(f"{folder}/out-sentencepiece").select("doc_id", "ids").collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables_and_clashing_columns(spark, folder, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name == "documents":
+            for extra in ("_c0", "t", "k", "spans", "label", "w", "item_id"):
+                df = df.withColumn(extra, F.lit(extra))
+        (df.limit(0) if name == empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert (out.count() == 0) == (empty == "documents")
+    assert out.columns[0] == "doc_id"
+
+
+def test_stage_tables_are_cleared(spark, folder):
+    from chronoweave.plans import storage
+
+    storage.clear_tables(spark)
+    corpus_pipeline.run(spark, folder)
+    assert storage.clear_tables(spark) >= len(corpus_pipeline.STAGES) - 1
+
+
 def test_queries_are_registered():
     found = __spark_entry__.queries()
     assert set(llm.queries()) == set(COLUMNS) and {*COLUMNS, "pipeline"} <= set(found)
