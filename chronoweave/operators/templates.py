@@ -6,11 +6,16 @@ and shuffles on the group otherwise.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoweave.functions.arrays import cosine, dot, norm_sq
+from chronoweave.functions.arrays import cosine, dot, max_shift_cosine, norm_sq
+
+#: Templates of a group that meet another block of as many in one task.
+BLOCK = 2048
 
 
 def all_cosines(snippets: DataFrame, bank: DataFrame) -> DataFrame:
@@ -62,12 +67,48 @@ def fit(snippets: DataFrame, bank: DataFrame) -> DataFrame:
     return snippets.join(b, "assigned").withColumns({"a": F.when(t > 0, d / t), "r": F.when((t > 0) & (x > 0), d / (F.sqrt(t) * F.sqrt(x)))}).drop("_t")
 
 
-def similar_pairs(bank: DataFrame, least: float) -> DataFrame:
-    """``(grp, a, b, cos)`` of templates of a group, a < b, with a cosine of at least ``least`` (JN11)."""
-    left = bank.select("grp", F.col("unit").alias("a"), F.col("wf").alias("_x"))
-    right = bank.select("grp", F.col("unit").alias("b"), F.col("wf").alias("_y"))
-    met = left.join(right, (left["grp"] == right["grp"]) & (F.col("a") < F.col("b"))).select(left["grp"], "a", "b", cosine(F.col("_x"), F.col("_y")).alias("cos"))
-    return met.where(F.col("cos") >= least)
+def _cosine_matrix(x: np.ndarray, y: np.ndarray, channels: int, shifts: int) -> np.ndarray:
+    """Largest cosine of each row of x with each of y over shifts of whole samples; -1 where none is defined."""
+    out = np.full((len(x), len(y)), -1.0)
+    for s in range(-shifts, shifts + 1):
+        size = x.shape[1] - abs(s) * channels
+        if size <= 0:
+            continue
+        left = x[:, max(0, s) * channels :][:, :size]
+        right = y[:, max(0, -s) * channels :][:, :size]
+        scale = np.sqrt((left * left).sum(axis=1))[:, None] * np.sqrt((right * right).sum(axis=1))[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = np.where(scale > 0, (left @ right.T) / scale, -1.0)
+        np.maximum(out, np.where(np.isnan(found), -1.0, found), out=out)
+    return out
+
+
+def similar_pairs(bank: DataFrame, least: float, channels: int = 1, shifts: int = 0) -> DataFrame:
+    """``(grp, a, b, cos)`` of templates of a group, a < b, with a cosine of at least ``least`` (JN11, JN12).
+
+    The cosine is the largest over shifts of up to ``shifts`` samples of ``channels`` values. Groups are cut by the
+    hash of the unit into blocks, and each pair of blocks is one product of matrices, so a task holds two blocks
+    and only pairs that reach ``least`` are written. Templates that are null or hold nulls take no part;
+    templates of different lengths never meet.
+    """
+
+    def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        unit, block = table.column("unit").to_numpy(), table.column("block").to_numpy()
+        wf = np.array(table.column("wf").to_pylist(), np.float64).reshape(table.num_rows, -1)
+        x, y = (np.flatnonzero(block == key[i].as_py()) for i in (2, 3))
+        near = _cosine_matrix(wf[x], wf[y], channels, shifts)
+        i, j = np.nonzero((near >= least) & ((unit[x][:, None] < unit[y][None, :]) if key[2].as_py() == key[3].as_py() else (unit[x][:, None] != unit[y][None, :])))
+        a, b = unit[x[i]], unit[y[j]]
+        grp = pa.array(np.zeros(len(a), np.int64)) if key[0].as_py() is None else pa.array(np.full(len(a), key[0].as_py(), np.int64))
+        return pa.table({"grp": grp, "a": np.minimum(a, b), "b": np.maximum(a, b), "cos": near[i, j]})
+
+    whole = bank.where("grp is not null and wf is not null").where(~F.exists("wf", lambda v: v.isNull()))
+    whole = whole.select(F.col("grp").cast("long").alias("grp"), F.col("unit").cast("long").alias("unit"), F.col("wf").cast("array<double>").alias("wf"), F.size("wf").alias("width"))
+    cut = whole.groupBy("grp", "width").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    dealt = whole.join(cut, ["grp", "width"]).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("grp", "width", F.least("block", "_other").alias("_x"), F.greatest("block", "_other").alias("_y"), "block", "unit", "wf")
+    return dealt.groupBy("grp", "width", "_x", "_y").applyInArrow(pairs, "grp long, a long, b long, cos double")
 
 
 def mean_templates(snippets: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -79,14 +120,15 @@ def mean_templates(snippets: DataFrame, by: list[str], most: int) -> DataFrame:
     return parts.groupBy(*by).agg(F.max("n").alias("n"), wf.alias("wf"))
 
 
-def mutual_links(ends: DataFrame, starts: DataFrame, gap: int, least: float, margin: float) -> DataFrame:
+def mutual_links(ends: DataFrame, starts: DataFrame, gap: int, least: float, margin: float, samples: int, channels: int, shifts: int) -> DataFrame:
     """Chain ends joined to chain starts up to ``gap`` chunks later, if each is the other's clear best (JN10).
 
-    ends and starts: ``(grp, unit, chunk, wf)``. Returns ``(grp, unit_a, unit_b, cos)``.
+    ends and starts: ``(grp, unit, chunk, wf)``, wf of ``samples`` by ``channels``; the cosine is the largest over
+    shifts of up to ``shifts`` samples. Returns ``(grp, unit_a, unit_b, cos)``.
     """
     a = ends.select("grp", F.col("unit").alias("unit_a"), F.col("chunk").alias("ca"), F.col("wf").alias("_x"))
     b = starts.select("grp", F.col("unit").alias("unit_b"), F.explode(F.sequence(F.col("chunk") - 1 - gap, F.col("chunk") - 1)).alias("ca"), F.col("wf").alias("_y"))
-    met = a.join(b, ["grp", "ca"]).withColumn("cos", cosine(F.col("_x"), F.col("_y"))).drop("_x", "_y").where("cos is not null")
+    met = a.join(b, ["grp", "ca"]).withColumn("cos", max_shift_cosine(F.col("_x"), F.col("_y"), samples, channels, shifts)).drop("_x", "_y")
     forth = Window.partitionBy("unit_a").orderBy(F.col("cos").desc(), F.col("unit_b").desc())
     back = Window.partitionBy("unit_b").orderBy(F.col("cos").desc(), F.col("unit_a").desc())
     met = met.withColumns({"fa": F.row_number().over(forth), "na": F.lead("cos").over(forth), "fb": F.row_number().over(back), "nb": F.lead("cos").over(back)})

@@ -11,13 +11,18 @@ from chronoweave.operators.graph import connected_components
 from chronoweave.plans.registry import query
 from chronoweave.sources.tables import TEMPLATES, templates
 
-SAMPLES, CHANNELS = 16, 4
+SAMPLES, CHANNELS, SHIFTS = 16, 4, 2
 
 
 def _bank(spark, sf):
     return templates(spark, sf).where("unit % 10 = 0")
 
 
+def _outside(spark, sf):
+    """All that the bank doesn't hold."""
+    return templates(spark, sf).where("unit % 10 <> 0")
+
+
 def _snippets(spark, sf):
     """Every other vector; it is assigned the bank unit whose rank its number names."""
     rank = F.row_number().over(Window.partitionBy("grp").orderBy("unit"))
@@ -65,17 +70,12 @@ def fn10_pack(spark, sf):
     return packed.select("unit", F.size("p").cast("long").alias("n_packed"), F.round(F.aggregate(dense, F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size(dense).cast("long").alias("n_dense"))
 
 
-@query("ag21_mean_template", f"WITH {TEMPLATES}, e AS (SELECT grp, wf, unnest(range(1, 65)) AS i FROM tp) SELECT grp, (i - 1)::BIGINT AS pos, round(avg(wf[i]), 6) AS mean FROM e GROUP BY 1, 2")
+@query("ag21_mean_template", f"WITH {TEMPLATES}, k AS (SELECT grp, wf, row_number() OVER (PARTITION BY grp ORDER BY (unit * 2654435761) % 1000003, unit) AS n FROM tp), e AS (SELECT grp, wf, unnest(range(1, 65)) AS i FROM k WHERE n <= 500) SELECT grp, (i - 1)::BIGINT AS pos, round(avg(wf[i]), 6) AS mean FROM e GROUP BY 1, 2")
 def ag21_mean_template(spark, sf):
-    mean = T.mean_templates(templates(spark, sf), ["grp"], 500)
+    mean = T.mean_templates(templates(spark, sf), ["grp"], 500)  # at most 500 snippets make a template: the feature
     return mean.select("grp", F.posexplode("wf").alias("pos", "x")).select("grp", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("mean"))
 
 
-@query("jn12_pair_cosine", f"WITH {TEMPLATES} SELECT a.grp, a.unit AS a, b.unit AS b, round(list_cosine_similarity(a.wf, b.wf), 6) AS cos FROM tp a JOIN tp b ON a.grp = b.grp AND a.unit < b.unit WHERE list_cosine_similarity(a.wf, b.wf) >= 0.25")
-def jn12_pair_cosine(spark, sf):
-    return T.similar_pairs(templates(spark, sf), 0.25).withColumn("cos", F.round("cos", 6))
-
-
 def _shift_sql(a: str, b: str) -> str:
     parts = []
     for s in range(-2, 3):
@@ -85,22 +85,27 @@ def _shift_sql(a: str, b: str) -> str:
     return f"greatest(-1.0, {', '.join(parts)})"
 
 
-@query("fn4_max_shift_cosine", f"WITH {TEMPLATES} SELECT a.unit AS a, b.unit AS b, round({_shift_sql('a.wf', 'b.wf')}, 6) AS cos FROM tp a JOIN tp b ON a.grp = b.grp WHERE a.unit % 10 = 5 AND b.unit % 10 = 0")
+@query("jn12_pair_cosine", f"WITH {TEMPLATES}, c AS (SELECT a.grp, a.unit AS a, b.unit AS b, {_shift_sql('a.wf', 'b.wf')} AS cos FROM tp a JOIN tp b ON a.grp = b.grp AND a.unit < b.unit) SELECT grp, a, b, round(cos, 6) AS cos FROM c WHERE cos >= 0.35")
+def jn12_pair_cosine(spark, sf):
+    return T.similar_pairs(templates(spark, sf), 0.35, CHANNELS, SHIFTS).withColumn("cos", F.round("cos", 6))
+
+
+@query("fn4_max_shift_cosine", f"WITH {TEMPLATES} SELECT a.unit AS a, b.unit AS b, round({_shift_sql('a.wf', 'b.wf')}, 6) AS cos FROM tp a JOIN tp b ON a.grp = b.grp WHERE a.unit % 10 <> 0 AND b.unit % 10 = 0")
 def fn4_max_shift_cosine(spark, sf):
-    a = templates(spark, sf).where("unit % 10 = 5").select("grp", F.col("unit").alias("a"), F.col("wf").alias("x"))
+    a = _outside(spark, sf).select("grp", F.col("unit").alias("a"), F.col("wf").alias("x"))
     b = _bank(spark, sf).select("grp", F.col("unit").alias("b"), F.col("wf").alias("y"))
-    return a.join(b, "grp").select("a", "b", F.round(A.max_shift_cosine(F.col("x"), F.col("y"), SAMPLES, CHANNELS, 2), 6).alias("cos"))
+    return a.join(b, "grp").select("a", "b", F.round(A.max_shift_cosine(F.col("x"), F.col("y"), SAMPLES, CHANNELS, SHIFTS), 6).alias("cos"))
 
 
 @query(
     "fn4_novelty",
-    f"""WITH {TEMPLATES}, c AS (SELECT a.unit, max({_shift_sql('a.wf', 'b.wf')}) AS best FROM tp a LEFT JOIN tp b ON a.grp = b.grp AND b.unit % 10 = 0 WHERE a.unit % 10 = 5 GROUP BY a.unit)
+    f"""WITH {TEMPLATES}, c AS (SELECT a.unit, max({_shift_sql('a.wf', 'b.wf')}) AS best FROM tp a LEFT JOIN tp b ON a.grp = b.grp AND b.unit % 10 = 0 WHERE a.unit % 10 <> 0 GROUP BY a.unit)
     SELECT unit, round(coalesce(best, -1.0), 6) AS best, coalesce(best, -1.0) < 0.3 AS is_new FROM c""",
 )
 def fn4_novelty(spark, sf):
-    a = templates(spark, sf).where("unit % 10 = 5")
+    a = _outside(spark, sf)
     b = _bank(spark, sf).select("grp", F.col("wf").alias("y"))
-    best = a.join(b, "grp", "left").groupBy("unit").agg(F.max(F.when(F.col("y").isNotNull(), A.max_shift_cosine(F.col("wf"), F.col("y"), SAMPLES, CHANNELS, 2))).alias("best"))
+    best = a.join(b, "grp", "left").groupBy("unit").agg(F.max(F.when(F.col("y").isNotNull(), A.max_shift_cosine(F.col("wf"), F.col("y"), SAMPLES, CHANNELS, SHIFTS))).alias("best"))
     best = best.withColumn("best", F.coalesce("best", F.lit(-1.0)))
     return best.select("unit", F.round("best", 6).alias("best"), (F.col("best") < 0.3).alias("is_new"))
 
@@ -161,22 +166,23 @@ def ag39_two_gates(spark, sf):
     return f.cube("by_a", "by_r").agg(F.count(F.lit(1)).alias("n")).na.fill("all", ["by_a", "by_r"])
 
 
-@query("jn9_propose", f"WITH {TEMPLATES}, c AS (SELECT e.unit AS event, b.unit AS cand, list_cosine_similarity(e.wf, b.wf) AS r FROM tp e LEFT JOIN tp b ON b.grp = e.grp AND b.unit % 10 = 0 AND b.grp < 8 WHERE e.unit % 10 = 3) SELECT event, coalesce(arg_max(cand, r), -1) AS proposed, round(max(r), 6) AS r FROM c GROUP BY event")
+@query("jn9_propose", f"WITH {TEMPLATES}, c AS (SELECT e.unit AS event, b.unit AS cand, list_cosine_similarity(e.wf, b.wf) AS r FROM tp e LEFT JOIN tp b ON b.grp = e.grp AND b.unit % 10 = 0 WHERE e.unit % 10 <> 0) SELECT event, coalesce(arg_max(cand, r), -1) AS proposed, round(max(r), 6) AS r FROM c GROUP BY event")
 def jn9_propose(spark, sf):
-    e = templates(spark, sf).where("unit % 10 = 3").select("grp", F.col("unit").alias("event"), "wf")
-    s = T.all_cosines(e, _bank(spark, sf).where("grp < 8"))
+    e = _outside(spark, sf).select("grp", F.col("unit").alias("event"), "wf")
+    s = T.all_cosines(e, _bank(spark, sf))
     best = s.groupBy("event").agg(F.max(F.when(F.col("r").isNotNull(), F.struct("r", "cand"))).alias("b"))
     return best.select("event", F.coalesce("b.cand", F.lit(-1)).alias("proposed"), F.round("b.r", 6).alias("r"))
 
 
-_COMPONENTS = f"""{TEMPLATES}, ed AS (SELECT a.unit AS a, b.unit AS b FROM tp a JOIN tp b ON a.grp = b.grp AND a.unit <> b.unit WHERE list_cosine_similarity(a.wf, b.wf) >= 0.3),
+ALIKE = 0.42
+_COMPONENTS = f"""{TEMPLATES}, ed AS (SELECT a.unit AS a, b.unit AS b FROM tp a JOIN tp b ON a.grp = b.grp AND a.unit <> b.unit WHERE {_shift_sql('a.wf', 'b.wf')} >= {ALIKE}),
     re AS (SELECT unit AS node, unit AS root FROM tp UNION SELECT ed.b, re.root FROM re JOIN ed ON ed.a = re.node),
     cc AS (SELECT node, min(root) AS component FROM re GROUP BY node)"""
 
 
 def _components(spark, sf):
     units = templates(spark, sf)
-    labels = connected_components(T.similar_pairs(units, 0.3)).withColumnRenamed("node", "unit")
+    labels = connected_components(T.similar_pairs(units, ALIKE, CHANNELS, SHIFTS)).withColumnRenamed("node", "unit")
     return units.select("grp", "unit").join(labels, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
 
 
@@ -201,7 +207,7 @@ def it1_chain_ids(spark, sf):
     return c.select("component", (F.row_number().over(w) - 1).cast("long").alias("global_id"))
 
 
-_LINKS = f"""{TEMPLATES}, ms AS (SELECT a.grp, a.unit AS unit_a, b.unit AS unit_b, list_cosine_similarity(a.wf, b.wf) AS cos FROM tp a JOIN tp b ON a.grp = b.grp
+_LINKS = f"""{TEMPLATES}, ms AS (SELECT a.grp, a.unit AS unit_a, b.unit AS unit_b, {_shift_sql('a.wf', 'b.wf')} AS cos FROM tp a JOIN tp b ON a.grp = b.grp
         AND b.unit % 20 BETWEEN a.unit % 20 + 1 AND a.unit % 20 + 2 WHERE a.unit % 2 = 0 AND b.unit % 2 = 1),
     rk AS (SELECT *, row_number() OVER x AS fa, lead(cos) OVER x AS na, row_number() OVER y AS fb, lead(cos) OVER y AS nb FROM ms
         WINDOW x AS (PARTITION BY unit_a ORDER BY cos DESC, unit_b DESC), y AS (PARTITION BY unit_b ORDER BY cos DESC, unit_a DESC)),
@@ -210,7 +216,7 @@ _LINKS = f"""{TEMPLATES}, ms AS (SELECT a.grp, a.unit AS unit_a, b.unit AS unit_
 
 def _links(spark, sf):
     t = templates(spark, sf).withColumn("chunk", F.col("unit") % 20)
-    return T.mutual_links(t.where("unit % 2 = 0"), t.where("unit % 2 = 1"), 1, 0.15, 0.03)
+    return T.mutual_links(t.where("unit % 2 = 0"), t.where("unit % 2 = 1"), 1, 0.15, 0.03, SAMPLES, CHANNELS, SHIFTS)
 
 
 @query("jn10_heal_links", f"WITH {_LINKS} SELECT grp, unit_a, unit_b, round(cos, 6) AS cos FROM lk")
