@@ -39,15 +39,6 @@ def prj14_prepare_features(spark, sf):
     return _metrics(spark, sf).select("unit", (-F.col("violation")).alias("neg_violation"), F.col("rate").alias("firing_rate"), F.lit(None).cast("double").alias("drift"))
 
 
-@query("ag22_metric_suite", "SELECT l_suppkey AS unit, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv, round(quantile_cont(l_quantity, 0.5), 6) AS median, min(l_quantity) AS least, max(l_quantity) AS most, round(avg(CASE WHEN l_quantity < 5 THEN 1.0 ELSE 0.0 END), 6) AS cutoff FROM lineitem GROUP BY 1")
-def ag22_metric_suite(spark, sf):
-    q = F.col("l_quantity")
-    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_pop(q) / F.avg(q), 6).alias("cv"), F.round(F.percentile(q, 0.5), 6).alias("median"),
-        F.min(q).alias("least"), F.max(q).alias("most"), F.round(F.avg((q < 5).cast("double")), 6).alias("cutoff"),
-    )
-
-
 @query("ag14_percentiles", "SELECT o_orderpriority AS p, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1")
 def ag14_percentiles(spark, sf):
     p = F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
