@@ -87,3 +87,84 @@ def local_peaks(rows: DataFrame, by: list[str], order: str, value: str, least: f
 def vector_strength(phase: Column) -> Column:
     """Length of the mean unit vector of phases (AG28)."""
     return F.sqrt(F.pow(F.avg(F.cos(phase)), 2) + F.pow(F.avg(F.sin(phase)), 2))
+
+
+def in_intervals(rows: DataFrame, intervals: DataFrame, at: str, start: str, end: str, names: list[str]) -> DataFrame:
+    """``rows`` with the columns ``names`` of each interval [start, end) that holds ``at`` (JN16, SNK5).
+
+    Both sides meet in buckets as wide as the mean interval, so the join is on equal buckets and an interval is in few;
+    the width takes one job over the intervals.
+    """
+    span = intervals.agg(F.min(start).alias("a"), F.max(end).alias("b"), F.count(F.lit(1)).alias("n")).first()  # three numbers
+    width = max(1, -(-(int(span.b) - int(span.a)) // int(span.n))) if span.n and span.b is not None else 1
+    bucket = lambda x: F.floor(x / F.lit(width)).cast("long")
+    held = intervals.where(F.col(start) < F.col(end)).select(F.col(start).alias("_s"), F.col(end).alias("_e"), *names)
+    held = held.withColumn("_b", F.explode(F.sequence(bucket(F.col("_s")), bucket(F.col("_e") - 1))))
+    met = rows.withColumn("_b", bucket(F.col(at))).join(held, "_b").where((F.col(at) >= F.col("_s")) & (F.col(at) < F.col("_e")))
+    return met.drop("_b", "_s", "_e")
+
+
+def phase_classes(strengths: DataFrame, nulls: DataFrame, by: list[str], edge: float) -> DataFrame:
+    """``(*by, r0, r_edge, class)`` of vector strengths ``(*by, lag, r)`` against ``(*by, null_r)`` (SP15).
+
+    SUSTAINED: the mean strength at lags of ``edge`` and more on either side is above twice the null; LEAKAGE: only
+    that at lag 0 is; NONE otherwise.
+    """
+    r = strengths.groupBy(*by).agg(F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("r0"), F.avg(F.when(F.abs("lag") >= edge, F.col("r"))).alias("r_edge"))
+    above = lambda c: F.coalesce(F.col(c) > 2 * F.col("null_r"), F.lit(False))
+    kind = F.when(above("r_edge"), "SUSTAINED").when(above("r0"), "LEAKAGE").otherwise("NONE")
+    return r.join(nulls, by).select(*by, "r0", "r_edge", kind.alias("class"))
+
+
+def shared_clock(rows: DataFrame, ladder: float) -> DataFrame:
+    """``rows`` with ``ratio``, ``rate_clean`` and ``verdict`` (SP16); they hold fundamental, n_sustained, period and resolution.
+
+    The ratio of the period to the ladder's is clean if the nearest whole or half number is off by less than the
+    resolution, one sample at least. A sustained fundamental at a clean rate is a shared clock, any sustained band
+    a likely one; either alone is suggestive.
+    """
+    ratio = F.col("period") / F.lit(float(ladder))
+    off = F.least(F.abs(ratio - F.round(ratio)), F.abs(ratio - F.round(2 * ratio) / 2)) * ladder
+    x = rows.withColumns({"ratio": ratio, "rate_clean": off < F.greatest(F.col("resolution"), F.lit(1.0))})
+    some = F.col("n_sustained") >= 1
+    verdict = (
+        F.when((F.col("fundamental") == "SUSTAINED") & F.col("rate_clean"), "SHARED CLOCK")
+        .when(some & F.col("rate_clean"), "LIKELY SHARED")
+        .when(some | F.col("rate_clean"), "SUGGESTIVE")
+        .otherwise("NONE")
+    )
+    return x.withColumn("verdict", verdict)
+
+
+def spatial_spectrum(rows: DataFrame, place: str, value: str) -> DataFrame:
+    """``(k, period, power)``: power at k cycles across equally spaced places, the mean taken off (SP12).
+
+    One row per place is expected: places are channels, so the transform is a small product of places and frequencies.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(place)  # a row per channel
+    x = rows.select((F.row_number().over(order) - 1).alias("_i"), F.col(value).alias("_v"))
+    whole = x.agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"))  # one row
+    x = x.join(F.broadcast(whole)).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))))
+    turn = 2 * F.pi() * F.col("k") * F.col("_i") / F.col("_n")
+    v = F.col("_v") - F.col("_m")
+    out = x.groupBy("k").agg(F.max("_n").alias("_n"), (F.pow(F.sum(v * F.cos(turn)), 2) + F.pow(F.sum(v * F.sin(turn)), 2)).alias("power"))
+    return out.select("k", F.when(F.col("k") > 0, F.col("_n") / F.col("k")).alias("period"), "power")
+
+
+def synthetic_emg(rows: DataFrame, window: int, channel: str = "channel", at: str = "frame", value: str = "value") -> DataFrame:
+    """``(win, per_window, global)``: mean correlation of all pairs of channels in windows of ``window`` frames (SP13).
+
+    per_window standardises each channel within the window, global over the whole recording. Then the mean over
+    pairs is ((sum z)^2 - sum z^2) / (n (n - 1)), averaged over frames, so no pair of channels is formed. Channels that
+    don't vary in a window take no part in it; every channel is expected at every frame.
+    """
+    x = rows.select(F.col(channel).alias("_c"), F.col(at).alias("_t"), F.col(value).cast("double").alias("_v"), F.floor(F.col(at) / F.lit(window)).alias("win"))
+    local = x.groupBy("win", "_c").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s")).where("_s > 0")
+    whole = x.groupBy("_c").agg(F.avg("_v").alias("_gm"), F.stddev_pop("_v").alias("_gs"))
+    z = (F.col("_v") - F.col("_m")) / F.col("_s")
+    g = F.when(F.col("_gs") > 0, (F.col("_v") - F.col("_gm")) / F.col("_gs"))
+    each = x.join(local, ["win", "_c"], "left").join(whole, "_c").groupBy("win", "_t").agg(
+        F.sum(z).alias("_a"), F.sum(z * z).alias("_aa"), F.count(z).alias("_n"), F.sum(g).alias("_b"), F.sum(g * g).alias("_bb"), F.count(g).alias("_k")
+    )
+    mean = lambda a, aa, n: F.avg(F.when(F.col(n) > 1, (F.col(a) * F.col(a) - F.col(aa)) / (F.col(n) * (F.col(n) - 1))))
+    return each.groupBy("win").agg(mean("_a", "_aa", "_n").alias("per_window"), mean("_b", "_bb", "_k").alias("global"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BLOCK = 1 << 16
 
@@ -254,6 +255,40 @@ def exclusive_peaks(trace: DataFrame, least: float, dead: int, block: int = BLOC
     return cut.groupBy("grp", "block").applyInPandas(run, "grp long, frame long, amp_mad double")
 
 
+def transients(trace: DataFrame, cutoff: float, distance: int, mads: float = 6.0, half: int = 64, block: int = BLOCK) -> DataFrame:
+    """``(grp, channel, frame, height, threshold)`` of sharp events: high pass, robust threshold, least distance (SP9).
+
+    Heights are those of local maxima of the rectified high-passed trace above median + mads x 1.4826 x MAD; of
+    peaks closer than ``distance`` the highest stays (of equal ones the later), taken from the highest down. Peaks
+    farther apart than that decide apart, so they are cut into runs, and a task holds a run of peaks.
+    """
+    low = lowpass_taps(cutoff, half)
+    high = by_block(trace, lambda _, v: np.abs(v - filtered(v, low)), half, block)
+    middle = high.groupBy("channel").agg(F.percentile("value", 0.5).alias("_c"))
+    spread = high.join(middle, "channel").groupBy("channel").agg(F.percentile(F.abs(F.col("value") - F.col("_c")), 0.5).alias("_d"))
+    level = middle.join(spread, "channel").select("channel", (F.col("_c") + mads * 1.4826 * F.col("_d")).alias("threshold"))
+    # neighbours across a block's edge come along with the halo of one frame
+    cut = with_halo(high, block, 1)
+    near = Window.partitionBy("channel", "block").orderBy("frame")
+    peaks = cut.withColumns({"_p": F.lag("value").over(near), "_n": F.lead("value").over(near)})
+    peaks = peaks.where((F.floor(F.col("frame") / F.lit(block)) == F.col("block")) & (F.col("value") > F.col("_p")) & (F.col("value") >= F.col("_n")))
+    peaks = peaks.join(level, "channel").where("value >= threshold").select("grp", "channel", "frame", F.col("value").alias("height"), "threshold")
+    order = Window.partitionBy("channel").orderBy("frame")  # of peaks, not of the trace
+    begins = F.coalesce(F.col("frame") - F.lag("frame").over(order) >= distance, F.lit(True)).cast("int")
+    runs = peaks.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order)).drop("_begins")
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        frame, left = pdf.frame.to_numpy(), np.ones(len(pdf), bool)
+        for i in np.argsort(pdf.height.to_numpy(), kind="stable")[::-1]:
+            if left[i]:
+                left[(np.abs(frame - frame[i]) < distance) & (np.arange(len(frame)) != i)] = False
+        return pdf[left].drop(columns="_run")
+
+    kind = peaks.schema["channel"].dataType.simpleString()
+    return runs.groupBy("channel", "_run").applyInPandas(thin, f"grp long, channel {kind}, frame long, height double, threshold double")
+
+
 def inband_error(trace: DataFrame, lossy: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
     """Residual RMS of a lossy copy in a band, and as a share of the noise floor, per channel (SP14, FN3)."""
     a = bandpass(trace, low, high, block=block).withColumnRenamed("value", "x")

@@ -120,9 +120,9 @@ def prj1_gain_scaling(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(((F.bround("s_acctbal", 0).cast("int") % 1000).cast("float") * F.lit(0.195).cast("float")).cast("double"), 3).alias("uv"))
 
 
-@query("prj2_attach_groups", "SELECT ((s_suppkey) // 4)::INT AS grp, (s_suppkey)::INT AS pos, 'CH' || (s_suppkey + 1) AS channel, 'TT' || (s_suppkey // 4 + 1) AS label FROM supplier WHERE s_suppkey < 64")
+@query("prj2_attach_groups", "SELECT ((s_suppkey) // 4)::INT AS grp, (s_suppkey)::INT AS pos, 'CH' || (s_suppkey + 1) AS channel, 'TT' || (s_suppkey // 4 + 1) AS label FROM supplier")
 def prj2_attach_groups(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey < 64").select(F.col("s_suppkey").cast("int").alias("i"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("i"))
     mapping = s.select(F.col("i").alias("pos"), F.col("i").alias("oe_index"), F.lit(1).alias("enabled"), (F.floor(F.col("i") / 4) + 1).cast("int").alias("tetrode"))
     channels = s.select(F.col("i").alias("oe_index"), F.concat(F.lit("CH"), (F.col("i") + 1).cast("string")).alias("channel"))
     return R.attach_map(channels, mapping).select("grp", "pos", "channel", "label")

@@ -50,7 +50,7 @@ def jn16_frame_to_time(spark, sf):
     total = sl.agg(F.max("end_sample").alias("total"))  # one row
     q = table(spark, sf, "orders").select("o_orderkey").join(F.broadcast(total))
     q = q.select("o_orderkey", ((F.col("o_orderkey") * 7919) % F.col("total")).alias("f"))
-    met = q.join(F.broadcast(sl), (F.col("f") >= F.col("start_sample")) & (F.col("f") < F.col("end_sample")))  # a row per segment
+    met = S.in_intervals(q, sl.withColumn("from", F.col("start_sample")), "f", "start_sample", "end_sample", ["m", "t_start", "from"]).withColumnRenamed("from", "start_sample")
     return met.select("o_orderkey", "m", F.round(F.col("t_start") + (F.col("f") - F.col("start_sample")) / 0.001, 3).alias("t"))
 
 
@@ -196,29 +196,49 @@ def ag28_vector_strength(spark, sf):
     return events(spark, sf).groupBy("unit").agg(F.round(S.vector_strength(phase), 6).alias("r"))
 
 
-@query(
-    "sp15_phase_class",
-    f"""WITH {EVENTS}, p AS (SELECT unit, unnest([0, 6, 12]) AS lag_h, frame FROM ev), q AS (SELECT unit, lag_h, 2 * pi() * ((frame + lag_h * {HOUR} * (unit % 3)) % {DAY}) / {DAY}.0::DOUBLE AS ph FROM p),
-    r AS (SELECT unit, lag_h, sqrt(power(avg(cos(ph)), 2) + power(avg(sin(ph)), 2)) AS r FROM q GROUP BY 1, 2)
-    SELECT unit, CASE WHEN min(r) FILTER (WHERE lag_h > 0) > 0.15 THEN 'SUSTAINED' WHEN max(r) FILTER (WHERE lag_h = 0) > 0.1 THEN 'LEAKAGE' ELSE 'NONE' END AS class FROM r GROUP BY unit""",
-)
+_STRENGTHS = f"""la AS (SELECT unnest([-12, -6, 0, 6, 12]) AS lag_h), pe AS (SELECT unnest([24, 12, 8]) AS period_h),
+    q AS (SELECT unit, lag_h AS lag, period_h, 2 * pi() * ((frame + lag_h * {HOUR} * (unit % 3)) % (period_h * {HOUR})) / (period_h * {HOUR})::DOUBLE AS ph FROM ev, la, pe),
+    st AS (SELECT unit, period_h, lag, count(*) AS n, sqrt(power(avg(cos(ph)), 2) + power(avg(sin(ph)), 2)) AS r FROM q GROUP BY 1, 2, 3),
+    cl AS (SELECT unit, period_h, max(r) FILTER (WHERE lag = 0) AS r0, avg(r) FILTER (WHERE abs(lag) >= 12) AS r_edge, max(0.5 * sqrt(3.0::DOUBLE / n)) AS null_r FROM st GROUP BY 1, 2),
+    kc AS (SELECT *, CASE WHEN r_edge > 2 * null_r THEN 'SUSTAINED' WHEN r0 > 2 * null_r THEN 'LEAKAGE' ELSE 'NONE' END AS class FROM cl)"""
+
+
+def _phase_classes(spark, sf):
+    """Bands are periods of the day; phases turn with the lag for two units in three. Half the Rayleigh law's 95th percentile stands for the null."""
+    numbers = lambda xs, name: F.explode(F.array(*map(F.lit, xs))).alias(name)
+    p = events(spark, sf).select("unit", "frame", numbers((-12, -6, 0, 6, 12), "lag")).select("*", numbers((24, 12, 8), "period_h"))
+    turn = F.col("period_h") * F.lit(HOUR)
+    ph = 2 * F.pi() * ((F.col("frame") + F.col("lag") * F.lit(HOUR) * (F.col("unit") % 3)) % turn) / turn
+    r = p.groupBy("unit", "period_h", "lag").agg(S.vector_strength(ph).alias("r"))
+    n = events(spark, sf).groupBy("unit").agg((0.5 * F.sqrt(3.0 / F.count(F.lit(1)))).alias("null_r"))
+    nulls = n.select("unit", "null_r", numbers((24, 12, 8), "period_h"))
+    return S.phase_classes(r, nulls, ["unit", "period_h"], 12.0)
+
+
+@query("sp15_phase_class", f"WITH {EVENTS}, {_STRENGTHS} SELECT unit, period_h, round(r0, 6) AS r0, round(r_edge, 6) AS r_edge, class FROM kc")
 def sp15_phase_class(spark, sf):
-    p = events(spark, sf).select("unit", F.explode(F.array(F.lit(0), F.lit(6), F.lit(12))).alias("lag_h"), "frame")
-    phase = 2 * F.pi() * ((F.col("frame") + F.col("lag_h") * F.lit(HOUR) * (F.col("unit") % 3)) % DAY) / float(DAY)
-    r = p.groupBy("unit", "lag_h").agg(S.vector_strength(phase).alias("r"))
-    far, near = F.min(F.when(F.col("lag_h") > 0, F.col("r"))), F.max(F.when(F.col("lag_h") == 0, F.col("r")))
-    return r.groupBy("unit").agg(F.when(far > 0.15, "SUSTAINED").when(near > 0.1, "LEAKAGE").otherwise("NONE").alias("class"))
+    return _phase_classes(spark, sf).withColumns({"r0": F.round("r0", 6), "r_edge": F.round("r_edge", 6)})
 
 
 @query(
-    "sp16_ratio_verdict",
-    f"""WITH {EVENTS}, c AS (SELECT unit, count(*) / 10.0::DOUBLE AS x FROM ev GROUP BY unit)
-    SELECT unit, CASE WHEN abs(x - round(x)) <= 0.11 THEN 'integer' WHEN abs(x - round(2 * x) / 2) <= 0.11 THEN 'half' ELSE 'unrelated' END AS verdict FROM c""",
+    "sp16_shared_clock",
+    f"""WITH {EVENTS}, {_STRENGTHS}, w AS (SELECT unit, (max(frame) - min(frame)) / {HOUR}::DOUBLE / count(*) AS period, count(*) AS n FROM ev GROUP BY 1),
+    x AS (SELECT w.unit, any_value(period) AS period, any_value(period) * any_value(period) * 0.005 AS resolution, max(class) FILTER (WHERE period_h = 24) AS fundamental, count(*) FILTER (WHERE class = 'SUSTAINED') AS n_sustained,
+        bool_or(class = 'SUSTAINED' AND period_h = 24) AS has_day, bool_or(class = 'LEAKAGE') AS has_leakage, bool_or(class = 'SUSTAINED' AND period_h < 24) AS has_harmonic FROM w JOIN kc ON kc.unit = w.unit GROUP BY w.unit),
+    c AS (SELECT *, period / 6.0 AS ratio, least(abs(period / 6.0 - round(period / 6.0)), abs(period / 6.0 - round(2 * period / 6.0) / 2)) * 6 < greatest(resolution, 1.0) AS rate_clean FROM x)
+    SELECT unit, n_sustained, round(ratio, 6) AS ratio, rate_clean, has_day, has_leakage, has_harmonic,
+        CASE WHEN fundamental = 'SUSTAINED' AND rate_clean THEN 'SHARED CLOCK' WHEN n_sustained >= 1 AND rate_clean THEN 'LIKELY SHARED' WHEN n_sustained >= 1 OR rate_clean THEN 'SUGGESTIVE' ELSE 'NONE' END AS verdict FROM c""",
 )
-def sp16_ratio_verdict(spark, sf):
-    x = F.col("x")
-    c = events(spark, sf).groupBy("unit").agg((F.count(F.lit(1)) / 10.0).alias("x"))
-    return c.select("unit", F.when(F.abs(x - F.round(x)) <= 0.11, "integer").when(F.abs(x - F.round(2 * x) / 2) <= 0.11, "half").otherwise("unrelated").alias("verdict"))
+def sp16_shared_clock(spark, sf):
+    w = events(spark, sf).groupBy("unit").agg(((F.max("frame") - F.min("frame")) / float(HOUR) / F.count(F.lit(1))).alias("period"))
+    sustained = F.col("class") == "SUSTAINED"
+    k = _phase_classes(spark, sf).groupBy("unit").agg(
+        F.max(F.when(F.col("period_h") == 24, F.col("class"))).alias("fundamental"), F.count_if(sustained).alias("n_sustained"), F.bool_or(sustained & (F.col("period_h") == 24)).alias("has_day"),
+        F.bool_or(F.col("class") == "LEAKAGE").alias("has_leakage"), F.bool_or(sustained & (F.col("period_h") < 24)).alias("has_harmonic"),
+    )
+    x = w.withColumn("resolution", F.col("period") * F.col("period") * 0.005).join(k, "unit")
+    x = S.shared_clock(x, 6.0).withColumn("ratio", F.round("ratio", 6))
+    return x.select("unit", "n_sustained", "ratio", "rate_clean", "has_day", "has_leakage", "has_harmonic", "verdict")
 
 
 @query(
@@ -248,10 +268,39 @@ def sp12_event_triggered_average(spark, sf):
 
 @query(
     "sp13_pairwise_correlation",
-    f"""WITH {DAILY}, x AS (SELECT channel, day // 30 AS win, day, value FROM dl WHERE channel < 6)
+    f"""WITH {DAILY}, x AS (SELECT channel, day // 30 AS win, day, value FROM dl)
     SELECT a.channel AS a, b.channel AS b, count(*) AS n, round(corr(a.value, b.value), 6) AS r FROM x a JOIN x b ON a.day = b.day AND a.channel < b.channel GROUP BY 1, 2 HAVING count(*) > 2""",
 )
 def sp13_pairwise_correlation(spark, sf):
-    x = daily(spark, sf).where("channel < 6")
+    x = daily(spark, sf)
     a, b = x.select("day", F.col("channel").alias("a"), F.col("value").alias("va")), x.select("day", F.col("channel").alias("b"), F.col("value").alias("vb"))
     return a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("va", "vb"), 6).alias("r")).where("n > 2")
+
+
+_GRID = f"""{DAILY}, ds AS (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM dl), gd AS (SELECT c.channel, ds.day, coalesce(dl.value, 0)::DOUBLE AS value FROM (SELECT DISTINCT channel FROM dl) c CROSS JOIN ds LEFT JOIN dl ON dl.channel = c.channel AND dl.day = ds.day)"""
+
+
+@query(
+    "sp13_synthetic_emg",
+    f"""WITH {_GRID}, lo AS (SELECT *, day // 90 AS win, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, avg(value) OVER g AS gm, stddev_pop(value) OVER g AS gs FROM gd WINDOW w AS (PARTITION BY channel, day // 90), g AS (PARTITION BY channel)),
+    z AS (SELECT win, day, CASE WHEN s > 0 THEN (value - m) / s END AS z, CASE WHEN gs > 0 THEN (value - gm) / gs END AS g FROM lo),
+    t AS (SELECT win, day, sum(z) AS a, sum(z * z) AS aa, count(z) AS n, sum(g) AS b, sum(g * g) AS bb, count(g) AS k FROM z GROUP BY 1, 2)
+    SELECT win, round(avg(CASE WHEN n > 1 THEN (a * a - aa) / (n * (n - 1)) END), 6) AS per_window, round(avg(CASE WHEN k > 1 THEN (b * b - bb) / (k * (k - 1)) END), 6) AS "global" FROM t GROUP BY win""",
+)
+def sp13_synthetic_emg(spark, sf):
+    d = daily(spark, sf)
+    span = d.agg(F.sequence(F.min("day"), F.max("day")).alias("days")).select(F.explode("days").alias("day"))
+    grid = d.select("channel").distinct().crossJoin(span)  # the recording: every channel at every day
+    x = grid.join(d, ["channel", "day"], "left").select("channel", F.col("day").cast("long").alias("frame"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    return S.synthetic_emg(x, 90).select("win", F.round("per_window", 6).alias("per_window"), F.round("global", 6).alias("global"))
+
+
+@query(
+    "sp12_spatial_spectrum",
+    f"""WITH {DAILY}, a AS (SELECT channel, avg(value) AS v FROM dl GROUP BY 1), i AS (SELECT row_number() OVER (ORDER BY channel) - 1 AS i, v - avg(v) OVER () AS v, count(*) OVER () AS n FROM a),
+    k AS (SELECT unnest(range(0, n // 2 + 1)) AS k FROM (SELECT count(*) AS n FROM a))
+    SELECT k, round(CASE WHEN k > 0 THEN any_value(n) / k::DOUBLE END, 6) AS period, round(pow(sum(v * cos(2 * pi() * k * i / n)), 2) + pow(sum(v * sin(2 * pi() * k * i / n)), 2), 4) AS power FROM i, k GROUP BY k""",
+)
+def sp12_spatial_spectrum(spark, sf):
+    a = daily(spark, sf).groupBy("channel").agg(F.avg("value").cast("double").alias("v"))
+    return S.spatial_spectrum(a, "channel", "v").select(F.col("k").cast("long").alias("k"), F.round("period", 6).alias("period"), F.round("power", 4).alias("power"))

@@ -62,6 +62,11 @@ def sp10_exclusive_peaks(spark, sf):
     return G.exclusive_peaks(trace(spark, sf).withColumn("value", -F.col("value")), 3.0, 5, BLOCK)
 
 
+@query("sp9_transients")
+def sp9_transients(spark, sf):
+    return G.transients(trace(spark, sf), 0.1, 5, 3.0, block=BLOCK)
+
+
 @query("sp11_narrowband_phase")
 def sp11_narrowband_phase(spark, sf):
     return G.phase(trace(spark, sf), 0.08, 0.12, block=BLOCK)
@@ -112,9 +117,9 @@ FEATURES = ["n", "q", "d", "e"]
 @query("ml3_label_units")
 def ml3_label_units(spark, sf):
     x = _unit_features(spark, sf)
-    return L.score(L.train(x, FEATURES, "label", 20), x).select("unit", F.round("p", 6).alias("p"), "predicted")
+    return L.score(L.train(x, FEATURES, "label"), x).select("unit", F.round("p", 6).alias("p"), "predicted")
 
 
 @query("ml2_cross_validation")
 def ml2_cross_validation(spark, sf):
-    return L.cross_validate(_unit_features(spark, sf), FEATURES, "label", "unit", 5, 3)
+    return L.cross_validate(_unit_features(spark, sf), FEATURES, "label", "unit")

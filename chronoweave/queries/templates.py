@@ -302,11 +302,11 @@ def it7_window_bank(spark, sf):
 @query(
     "it10_twin_births",
     f"""WITH {TEMPLATES}, p AS (SELECT b.unit, a.unit AS twin, list_cosine_similarity(a.wf, b.wf) AS c, row_number() OVER (PARTITION BY b.unit ORDER BY list_cosine_similarity(a.wf, b.wf) DESC, a.unit) AS k
-        FROM tp b LEFT JOIN tp a ON a.grp = b.grp AND a.unit < b.unit WHERE b.unit % 10 = 7)
+        FROM tp b LEFT JOIN tp a ON a.grp = b.grp AND a.unit < b.unit)
     SELECT unit, coalesce(twin, -1) AS twin, CASE WHEN twin IS NULL THEN 'no-neighbour' WHEN c < 0.15 THEN 'distinct' WHEN c < 0.25 THEN 'borderline' ELSE 'twin' END AS state FROM p WHERE k = 1""",
 )
 def it10_twin_births(spark, sf):
-    b = templates(spark, sf).where("unit % 10 = 7").select("grp", "unit", "wf")
+    b = templates(spark, sf).select("grp", "unit", "wf")
     a = templates(spark, sf).select(F.col("grp").alias("g"), F.col("unit").alias("twin"), F.col("wf").alias("y"))
     met = b.join(a, (F.col("grp") == F.col("g")) & (F.col("twin") < F.col("unit")), "left").withColumn("c", A.cosine(F.col("wf"), F.col("y")))
     k = F.row_number().over(Window.partitionBy("unit").orderBy(F.col("c").desc(), "twin"))
@@ -317,15 +317,15 @@ def it10_twin_births(spark, sf):
 
 @query(
     "ag31_yield_summary",
-    f"""WITH {TEMPLATES}, p AS (SELECT b.unit, max(list_cosine_similarity(a.wf, b.wf)) AS c FROM tp b LEFT JOIN tp a ON a.grp = b.grp AND a.unit < b.unit WHERE b.unit % 10 = 7 GROUP BY 1)
-    SELECT count(*) AS n_born, count(*) FILTER (WHERE c < 0.15) AS n_distinct, count(*) FILTER (WHERE c >= 0.15 AND c < 0.25) AS n_borderline, count(*) FILTER (WHERE c >= 0.25) AS n_twin, count(*) FILTER (WHERE c < 0.15 AND unit % 20 = 7) AS n_genuine FROM p""",
+    f"""WITH {TEMPLATES}, p AS (SELECT b.unit, max(list_cosine_similarity(a.wf, b.wf)) AS c FROM tp b LEFT JOIN tp a ON a.grp = b.grp AND a.unit < b.unit GROUP BY 1)
+    SELECT count(*) AS n_born, count(*) FILTER (WHERE c < 0.15) AS n_distinct, count(*) FILTER (WHERE c >= 0.15 AND c < 0.25) AS n_borderline, count(*) FILTER (WHERE c >= 0.25) AS n_twin, count(*) FILTER (WHERE c < 0.15 AND unit % 2 = 1) AS n_genuine FROM p""",
 )
 def ag31_yield_summary(spark, sf):
-    b = templates(spark, sf).where("unit % 10 = 7").select("grp", "unit", "wf")
+    b = templates(spark, sf).select("grp", "unit", "wf")
     a = templates(spark, sf).select(F.col("grp").alias("g"), F.col("unit").alias("twin"), F.col("wf").alias("y"))
     c = b.join(a, (F.col("grp") == F.col("g")) & (F.col("twin") < F.col("unit")), "left").groupBy("unit").agg(F.max(A.cosine(F.col("wf"), F.col("y"))).alias("c"))
     x = F.col("c")
     return c.agg(
         F.count(F.lit(1)).alias("n_born"), F.count_if(x < 0.15).alias("n_distinct"), F.count_if((x >= 0.15) & (x < 0.25)).alias("n_borderline"),
-        F.count_if(x >= 0.25).alias("n_twin"), F.count_if((x < 0.15) & (F.col("unit") % 20 == 7)).alias("n_genuine"),
+        F.count_if(x >= 0.25).alias("n_twin"), F.count_if((x < 0.15) & (F.col("unit") % 2 == 1)).alias("n_genuine"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators import series as S
 from chronoweave.operators import trains as T
 from chronoweave.plans.registry import query
 from chronoweave.sources.tables import DAY, EVENTS, HOUR, MINUTE, events
@@ -266,7 +267,7 @@ def ag12_isi_bands(spark, sf):
 
 @query(
     "ag13_binned_rate",
-    f"""WITH {EVENTS}, b AS (SELECT unnest(range(0, 30)) AS bin), s AS (SELECT min(frame) // {DAY} * {DAY} AS t0 FROM ev),
+    f"""WITH {EVENTS}, s AS (SELECT min(frame) // {DAY} * {DAY} AS t0, max(frame) AS t1 FROM ev), b AS (SELECT unnest(range(0, (t1 - t0) // {DAY} + 1)) AS bin FROM s),
     c AS (SELECT (frame - t0) // {DAY} AS bin, count(*) AS n FROM ev, s GROUP BY 1)
     SELECT b.bin::BIGINT AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / 24.0, 6) AS rate FROM b LEFT JOIN c ON c.bin = b.bin""",
 )
@@ -274,7 +275,8 @@ def ag13_binned_rate(spark, sf):
     ev = events(spark, sf)
     t0 = ev.agg((F.floor(F.min("frame") / F.lit(DAY)) * DAY).alias("t0"))
     n = ev.join(F.broadcast(t0)).groupBy(F.floor((F.col("frame") - F.col("t0")) / F.lit(DAY)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(30).withColumnRenamed("id", "bin")
+    last = n.agg(F.max("bin").alias("last"))
+    grid = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"))
     return grid.join(n, "bin", "left").na.fill(0, ["n"]).withColumn("rate", F.round(F.col("n") / 24.0, 6))
 
 
@@ -536,7 +538,7 @@ def jn13_assemble(spark, sf):
     owned = T.ownership(_chunks(spark, sf)).select("chunk", "start_frame", "lo", "hi")  # a row per chunk
     base = ev.agg(F.min("frame").alias("a"))
     f = ev.join(F.broadcast(base)).withColumn("f", F.col("frame") - F.col("a"))
-    mine = f.join(F.broadcast(owned), (F.col("f") >= F.col("lo")) & (F.col("f") < F.col("hi")))
+    mine = S.in_intervals(f, owned, "f", "lo", "hi", ["chunk"])
     return mine.groupBy((F.col("unit") % 40).alias("global_id"), "grp", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("first"), F.max("f").alias("last"))
 
 
