@@ -1,7 +1,7 @@
 """Lineage cuts and size checks that hold on a cluster.
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which every executor and the
-driver share. Only where that setting is absent (tests on one machine) is a temporary folder made.
+driver share. Only where that setting is absent and one machine does all (tests) is a temporary folder made.
 """
 
 from __future__ import annotations
@@ -21,17 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="chronoweave-")
     return _LOCAL[app]
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; :func:`clear_tables` deletes what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back (cuts the lineage)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = own_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from chronoweave.operators import quality as Q
 from chronoweave.operators import trains as T
 from chronoweave.plans.registry import query
+from chronoweave.plans.storage import own_path
+from chronoweave.sources import stores as W
 from chronoweave.sources.tables import EVENTS, HOUR, MINUTE, events, table
 
 _METRICS = """me AS (SELECT l_suppkey AS unit, count(*) AS n, avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0 END) AS violation,
@@ -206,10 +208,14 @@ def it9_production_stages(spark, sf):
     return out
 
 
-@query("snk10_append_new_labels", "SELECT s_nationkey AS label, count(*) AS n FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) GROUP BY 1")
+@query("snk10_append_new_labels", "SELECT s_nationkey AS label, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN -1 ELSE count(*) END AS n FROM supplier GROUP BY 1 UNION ALL SELECT n_nationkey, -1 FROM nation WHERE n_regionkey = 0 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def snk10_append_new_labels(spark, sf):
-    done = table(spark, sf, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("s_nationkey"))
-    return table(spark, sf, "supplier").join(done, "s_nationkey", "left_anti").groupBy(F.col("s_nationkey").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    # what the first run wrote stays; the second, over all labels, adds those it lacks
+    path = own_path(spark, "scores")
+    first = table(spark, sf, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("label"), F.lit(-1).cast("long").alias("n"))
+    W.append_new(first, path, "label")
+    W.append_new(table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("label")).agg(F.count(F.lit(1)).alias("n")), path, "label")
+    return spark.read.parquet(path)
 
 
 _MATCHED = f"""{EVENTS}, a AS (SELECT DISTINCT grp, unit, frame FROM ev WHERE kind <> 'error'), b AS (SELECT DISTINCT grp, unit, frame FROM ev WHERE kind <> 'signup'),

@@ -7,13 +7,27 @@ from pyspark.sql.window import Window
 
 from chronoweave.operators import trains as T
 from chronoweave.plans.registry import query
+from chronoweave.operators import quality as Q
 from chronoweave.sources import recordings as R
+from chronoweave.sources import stores as W
 from chronoweave.sources.tables import DAY, EVENTS, events, table
 
 
-@query("src16_json_params", "SELECT event_id, coalesce(json_extract(props, '$.k')::INT, 0) AS k FROM events")
+@query(
+    "src16_json_params",
+    """SELECT c_custkey, c_mktsegment AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'UTC' ELSE 'zone' || c_nationkey END AS timezone, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal::DOUBLE END AS t0_unix,
+    CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END::INT AS n_lights, c_custkey % 7 = 0 AS broken FROM customer WHERE c_custkey % 7 <> 0
+    UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, true FROM customer WHERE c_custkey % 7 = 0""",
+)
 def src16_json_params(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(0)).alias("k"))
+    key = F.col("c_custkey")
+    made = F.struct(
+        F.col("c_mktsegment").alias("subject"), F.col("c_name").alias("experiment"), F.when(key % 3 != 0, F.concat(F.lit("zone"), F.col("c_nationkey").cast("string"))).alias("timezone"),
+        F.when(key % 5 != 0, F.col("c_acctbal").cast("double")).alias("t0_unix"), F.when(key % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("lightsOn"), F.lit(1).alias("unknown"),
+    )
+    c = table(spark, sf, "customer").select("c_custkey", F.when(key % 7 != 0, F.to_json(made)).alias("text"))
+    p = c.select("c_custkey", R.params_of(F.col("text")).alias("p"))
+    return p.select("c_custkey", "p.subject", "p.timezone", "p.t0_unix", F.when(F.col("p").isNotNull(), F.size("p.lightsOn")).alias("n_lights"), F.col("p").isNull().alias("broken"))
 
 
 @query("src7_sync_anchor", "SELECT event_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0 FROM events")
@@ -44,16 +58,17 @@ def src1_channel_map(spark, sf):
 @query("src2_settings_names", "SELECT n_nationkey + 1 AS experiment, CASE WHEN n_nationkey = 0 THEN 'settings.xml' ELSE 'settings_' || (n_nationkey + 1) || '.xml' END AS name FROM nation")
 def src2_settings_names(spark, sf):
     e = (F.col("n_nationkey") + 1).alias("experiment")
-    x = table(spark, sf, "nation").select(e)
-    return x.withColumn("name", F.when(F.col("experiment") == 1, "settings.xml").otherwise(F.concat(F.lit("settings_"), F.col("experiment").cast("string"), F.lit(".xml"))))
+    return table(spark, sf, "nation").select(e).withColumn("name", R.settings_names(F.concat(F.lit("experiment"), F.col("experiment").cast("string"))))
 
 
-@query("src4_session_tree", "SELECT 'node' || (conv_id % 3) AS node, conv_id % 7 AS experiment, role AS stream, count(*) AS n, sum(length(text))::BIGINT AS samples FROM conversations GROUP BY 1, 2, 3")
+@query("src4_session_tree", "SELECT 'Record Node ' || (conv_id % 3) AS node, (conv_id % 7)::INT AS experiment, (conv_id % 2 + 1)::INT AS recording, role AS stream, sum(length(text))::BIGINT AS bytes FROM conversations WHERE turn <> 1 GROUP BY 1, 2, 3, 4")
 def src4_session_tree(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.groupBy(F.concat(F.lit("node"), (F.col("conv_id") % 3).cast("string")).alias("node"), (F.col("conv_id") % 7).alias("experiment"), F.col("role").alias("stream")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("samples")
-    )
+    # a file per turn; the second turn of each conversation lies outside the streams
+    n = lambda x: x.cast("string")
+    folder = F.concat(F.lit("file:/d/Record Node "), n(F.col("conv_id") % 3), F.lit("/experiment"), n(F.col("conv_id") % 7), F.lit("/recording"), n(F.col("conv_id") % 2 + 1))
+    stream = F.when(F.col("turn") != 1, F.concat(F.lit("/continuous/"), "role")).otherwise("/events")
+    files = table(spark, sf, "conversations").select(F.concat(folder, stream, F.lit("/f"), n(F.col("turn"))).alias("path"), F.length("text").cast("long").alias("length"))
+    return R.session_tree(files)
 
 
 @query("src12_typed_scan", "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, contains(html, '<table') AS has_table FROM pages")
@@ -99,13 +114,12 @@ def fn7_palette(spark, sf):
 
 @query("fn8_nested_paths", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '-') AS k, coalesce(json_extract_string(props, '$.none.such'), '-') AS none FROM events")
 def fn8_nested_paths(spark, sf):
-    dig = lambda p: F.coalesce(F.get_json_object("props", p), F.lit("-"))
-    return table(spark, sf, "events").select("event_id", dig("$.k").alias("k"), dig("$.none.such").alias("none"))
+    return table(spark, sf, "events").select("event_id", Q.dig(F.col("props"), "k").alias("k"), Q.dig(F.col("props"), "none", "such").alias("none"))
 
 
-@query("fn9_paths", "SELECT c_custkey, 'data/' || c_mktsegment || '/' || c_name AS path FROM customer")
+@query("fn9_paths", "SELECT c_custkey, 'data/' || c_mktsegment || '/' || c_name || '/experiment_params.json' AS path FROM customer")
 def fn9_paths(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.concat_ws("/", F.lit("data"), "c_mktsegment", "c_name").alias("path"))
+    return table(spark, sf, "customer").select("c_custkey", R.experiment_paths(F.col("c_mktsegment"), F.col("c_name")).alias("path"))
 
 
 @query("fn11_chunk_columns", f"WITH {EVENTS}, t AS (SELECT max(frame) - min(frame) + 1 AS n FROM ev), c AS (SELECT i AS chunk, i * {DAY} AS a, least((i + 1) * {DAY}, n) AS b FROM t, (SELECT unnest(range(0, 400)) AS i) WHERE i * {DAY} < n) SELECT chunk, (b - a) AS n_frames, a / 1000000.0::DOUBLE AS t_start_s, b / 1000000.0::DOUBLE AS t_end_s FROM c")
@@ -134,8 +148,13 @@ def prj3_lead_channels(spark, sf):
     return R.lead_channels(s)
 
 
-@query("snk5_spike_table", f"WITH {EVENTS}, t AS (SELECT min(frame) AS a FROM ev) SELECT event_id, round((frame - a) / 1000000.0::DOUBLE, 3) AS time, unit::INT AS unit_id, 'TT' || (grp + 1) AS tetrode FROM ev, t")
+_SEGMENTS = f"""sg AS (SELECT frame // {5 * DAY} AS seg, min(frame) AS s, max(frame) + 1 AS e FROM ev GROUP BY 1), st AS (SELECT *, seg * 1000.0::DOUBLE AS t_start FROM sg WHERE seg % 4 <> 1)"""
+
+
+@query("snk5_spike_table", f"WITH {EVENTS}, {_SEGMENTS} SELECT event_id, round(t_start + (frame - s) / 1000000.0::DOUBLE, 3) AS time, unit::INT AS unit_id, 'TT' || (grp + 1) AS tetrode FROM ev JOIN st ON frame >= s AND frame < e")
 def snk5_spike_table(spark, sf):
+    # segments of five days; of one in four the samples were lost
     ev = events(spark, sf)
-    a = ev.agg(F.min("frame").alias("a"))
-    return ev.join(F.broadcast(a)).select("event_id", F.round((F.col("frame") - F.col("a")) / 1e6, 3).alias("time"), F.col("unit").cast("int").alias("unit_id"), F.concat(F.lit("TT"), (F.col("grp") + 1).cast("string")).alias("tetrode"))
+    seg = F.floor(F.col("frame") / F.lit(5 * DAY))
+    cut = ev.groupBy(seg.alias("seg")).agg(F.min("frame").alias("start_sample"), (F.max("frame") + 1).alias("end_sample")).where("seg % 4 <> 1")
+    return W.spike_table(ev, cut.withColumn("t_start", F.col("seg") * 1000.0), 1e6, ("event_id",)).withColumn("time", F.round("time", 3))

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,12 +43,25 @@ def settings_name(experiment: int | str) -> str:
     return "settings.xml" if number == 1 else f"settings_{number}.xml"
 
 
+def settings_names(experiment: Column) -> Column:
+    """As :func:`settings_name`, of a column; null where there is no number from 1 on."""
+    number = F.regexp_replace(experiment.cast("string"), r"\D", "").try_cast("int")
+    return F.when(number == 1, "settings.xml").when(number > 1, F.concat(F.lit("settings_"), number.cast("string"), F.lit(".xml")))
+
+
 def settings_for_block(folder: str, block: int) -> str:
-    """Path of the settings of the ``block``-th experiment folder, in numeric order (SRC2)."""
-    numbers = sorted(int(m[1]) for name in os.listdir(folder) if (m := re.fullmatch(r"experiment(\d+)", name)))
+    """Path of the settings of the ``block``-th experiment folder, in numeric order (SRC2); in any file system."""
+    files, inside = _file_system(folder)
+    names = [x.base_name for x in files.get_file_info(pafs.FileSelector(inside))]
+    numbers = sorted(int(m[1]) for name in names if (m := re.fullmatch(r"experiment(\d+)", name)))
     if not 0 <= block < len(numbers):
         raise IndexError(f"block {block} of {len(numbers)}")
-    return os.path.join(folder, settings_name(numbers[block]))
+    return f"{folder.rstrip('/')}/{settings_name(numbers[block])}"
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+]*:/", path) else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
 def attach_map(channels: DataFrame, mapping: DataFrame, selected: list[int] | None = None, spacing: float = 300.0, geometry: bool = True) -> DataFrame:
@@ -131,8 +145,9 @@ class ExperimentParams:
 
     @classmethod
     def load(cls, path: str) -> ExperimentParams:
-        with open(path) as f:
-            raw = json.load(f)
+        files, inside = _file_system(path)
+        with files.open_input_file(inside) as f:
+            raw = json.loads(f.read())
         return cls(**{k: v for k, v in raw.items() if k in {x.name for x in fields(cls)}})
 
     def save(self, path: str) -> None:
@@ -141,15 +156,31 @@ class ExperimentParams:
         out = asdict(self)
         if self.t0_unix is not None:
             out["t0"] = datetime.fromtimestamp(self.t0_unix, UTC).isoformat()
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "w") as f:
-            json.dump(out, f, indent=2)
+        files, inside = _file_system(path)
+        files.create_dir(os.path.dirname(inside), recursive=True)
+        with files.open_output_stream(inside) as f:
+            f.write(json.dumps(out, indent=2).encode())
+
+
+def params_of(text: Column) -> Column:
+    """Experiment parameters of JSON texts as a struct, with the defaults of :class:`ExperimentParams` (SRC16); null for no JSON."""
+    kinds = {"t0_unix": "double", "lightsOn": "array<string>", "lightsOff": "array<string>", "badChannels": "array<string>", "badTetrodes": "array<string>"}
+    names = [x.name for x in fields(ExperimentParams)]
+    raw = F.from_json(text, ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names))
+    empty = lambda n: F.array().cast("array<string>") if kinds.get(n) == "array<string>" else F.lit("UTC")
+    held = [F.coalesce(raw[n], empty(n)) if n == "timezone" or kinds.get(n) == "array<string>" else raw[n] for n in names]
+    return F.when(raw.isNotNull(), F.struct(*[x.alias(n) for x, n in zip(held, names, strict=True)]))
 
 
 def experiment_path(subject: str, experiment: str, root: str = "data") -> str:
     return "/".join((root, subject, experiment, "experiment_params.json"))
 
 
+def experiment_paths(subject: Column, experiment: Column, root: str = "data") -> Column:
+    """As :func:`experiment_path`, of columns."""
+    return F.concat_ws("/", F.lit(root), subject, experiment, F.lit("experiment_params.json"))
+
+
 def session_seconds(local: Column, zone: str, t0: float) -> Column:
     """Seconds since the session's start of a naive local time in a zone (FN2)."""
     return F.unix_micros(F.to_utc_timestamp(local, zone)) / 1e6 - t0
@@ -169,6 +200,8 @@ class _Chunk(InputPartition):
 class RawSamples(DataSource):
     """Little-endian int16 samples, frame by frame: ``spark.read.format("raw_samples")`` (SRC5, SRC6).
 
+    The path may be a URI of any file system that Arrow knows (``file:``, ``hdfs:``, object stores).
+
     Options: path, channels (in a frame), gains (comma-separated, or one), selected (channel numbers, in
     order), start and end frames, chunk (frames in a partition). Rows are (channel, frame, value): only the
     selected channels and frames are read, a partition at a time.
@@ -193,7 +226,8 @@ class _RawReader(DataSourceReader):
         self.selected = [int(x) for x in options.get("selected", ",".join(map(str, range(self.channels)))).split(",")]
         if bad := [c for c in self.selected if not 0 <= c < self.channels]:
             raise ValueError(f"no channels {bad} among {self.channels}")
-        frames = os.path.getsize(self.path) // (2 * self.channels)
+        files, inside = _file_system(self.path)
+        frames = files.get_file_info(inside).size // (2 * self.channels)
         self.first, self.last = int(options.get("start", 0)), min(int(options.get("end", frames)), frames)
         self.chunk = int(options.get("chunk", 1 << 20))
 
@@ -202,14 +236,17 @@ class _RawReader(DataSourceReader):
 
     def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 18) // max(1, len(self.selected)))
-        for a in range(partition.first, partition.last, step):
-            b = min(a + step, partition.last)
-            raw = np.fromfile(self.path, "<i2", (b - a) * self.channels, offset=2 * a * self.channels).reshape(-1, self.channels)
-            gain = np.array([self.gains[c] for c in self.selected], np.float32)
-            value = raw[:, self.selected].astype(np.float32) * gain
-            frame = np.repeat(np.arange(a, b), len(self.selected))
-            channel = np.tile(np.array(self.selected, np.int32), b - a)
-            yield pa.RecordBatch.from_arrays([pa.array(channel), pa.array(frame), pa.array(value.ravel())], ["channel", "frame", "value"])
+        files, inside = _file_system(self.path)
+        gain = np.array([self.gains[c] for c in self.selected], np.float32)
+        with files.open_input_file(inside) as f:
+            for a in range(partition.first, partition.last, step):
+                b = min(a + step, partition.last)
+                data = f.read_at(2 * (b - a) * self.channels, 2 * a * self.channels)
+                raw = np.frombuffer(data, "<i2").reshape(-1, self.channels)
+                value = raw[:, self.selected].astype(np.float32) * gain
+                frame = np.repeat(np.arange(a, b), len(self.selected))
+                channel = np.tile(np.array(self.selected, np.int32), b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(channel), pa.array(frame), pa.array(value.ravel())], ["channel", "frame", "value"])
 
 
 def read_raw(spark: SparkSession, path: str, channels: int, **options) -> DataFrame:

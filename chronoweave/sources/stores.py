@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.operators.series import in_intervals
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished table stands at the path (Spark's own success mark, in any file system)."""
@@ -31,16 +34,34 @@ def materialize_once(spark: SparkSession, path: str, make: Callable[[], DataFram
     return spark.read.parquet(path)
 
 
+@contextmanager
+def locked(spark: SparkSession, path: str) -> Iterator[None]:
+    """Holds a lock file beside the table at ``path``; an error if another writer holds it.
+
+    The file system creates it in one step or refuses. A writer that dies leaves it, to be deleted by hand.
+    """
+    jvm = spark.sparkContext._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.lock")
+    files = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.createNewFile(lock):
+        raise RuntimeError(f"{path} is being written: {lock.toString()} exists")
+    try:
+        yield
+    finally:
+        files.delete(lock, False)
+
+
 def append_new(results: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the table doesn't have yet; how many there were (SNK10)."""
+    """Append the rows whose key the table doesn't have yet; how many there were (SNK10). Writers take turns by a lock."""
     spark = results.sparkSession
-    if exists(spark, path):
-        results = results.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    results = results.persist()
-    n = results.count()
-    if n:
-        results.write.mode("append").parquet(path)
-    results.unpersist()
+    with locked(spark, path):
+        if exists(spark, path):
+            results = results.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+        results = results.persist()
+        n = results.count()
+        if n:
+            results.write.mode("append").parquet(path)
+        results.unpersist()
     return n
 
 
@@ -56,9 +77,8 @@ def manifest(items: DataFrame, provenance: dict[str, str]) -> DataFrame:
     return items.select(F.to_json(F.struct(known.alias("provenance"), F.struct(*items.columns).alias("item"))).alias("value"))
 
 
-def spike_table(events: DataFrame, segments: DataFrame, rate: float) -> DataFrame:
-    """``(time, unit_id, tetrode)`` by a range join to the segment table (SNK5, JN16)."""
-    inside = (F.col("frame") >= F.col("start_sample")) & (F.col("frame") < F.col("end_sample"))
-    met = events.join(F.broadcast(segments.select("start_sample", "end_sample", "t_start")), inside)  # a row per segment
-    time = F.col("t_start") + (F.col("frame") - F.col("start_sample")) / F.lit(rate)
-    return met.select(time.alias("time"), F.col("unit").cast("int").alias("unit_id"), F.concat(F.lit("TT"), (F.col("grp") + 1).cast("string")).alias("tetrode"))
+def spike_table(events: DataFrame, segments: DataFrame, rate: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keep, time, unit_id, tetrode)`` by a join of frames to the segments that hold them (SNK5, JN16)."""
+    met = in_intervals(events, segments.withColumn("_from", F.col("start_sample")), "frame", "start_sample", "end_sample", ["t_start", "_from"])
+    time = F.col("t_start") + (F.col("frame") - F.col("_from")) / F.lit(rate)
+    return met.select(*keep, time.alias("time"), F.col("unit").cast("int").alias("unit_id"), F.concat(F.lit("TT"), (F.col("grp") + 1).cast("string")).alias("tetrode"))

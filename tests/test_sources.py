@@ -98,6 +98,9 @@ def test_stores(spark, tmp_path):
     assert len(made) == 1
     assert stores.append_new(spark.range(3), str(tmp_path / "out"), "id") == 3
     assert stores.append_new(spark.range(5), str(tmp_path / "out"), "id") == 2
+    with stores.locked(spark, str(tmp_path / "out")), pytest.raises(RuntimeError, match="being written"):
+        stores.append_new(spark.range(9), str(tmp_path / "out"), "id")
+    assert stores.append_new(spark.range(6), str(tmp_path / "out"), "id") == 1
     trace = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0)], "grp long, frame long, value double")
     stores.write_trace(trace, str(tmp_path / "trace"))
     assert spark.read.parquet(str(tmp_path / "trace")).where("grp = 1").count() == 1
