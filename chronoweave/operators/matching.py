@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.signal import exclusive_peaks
+
 
 def pursue(trace: np.ndarray, bank: np.ndarray, threshold: float, most: int = 1000) -> list[tuple[int, int, float]]:
     """Matching pursuit of a (frames, channels) trace: (start, template, scale), best explained energy first (EX4).
@@ -52,77 +54,130 @@ def matcher_parameters(threshold: float | None = None, *, factor: float | None =
     return out | {"threshold": factor * float(np.median(norms_sq))}
 
 
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
+
+
+def _shifted(x: np.ndarray, y: np.ndarray, channels: int, shifts: int) -> float:
+    """Largest cosine of two templates over shifts of whole samples."""
+    best = -1.0
+    for s in range(-shifts, shifts + 1):
+        size = len(x) - abs(s) * channels
+        a, b = x[max(0, s) * channels :][: max(0, size)], y[max(0, -s) * channels :][: max(0, size)]
+        scale = float(np.linalg.norm(a) * np.linalg.norm(b))
+        best = max(best, float(a @ b) / scale) if scale > 0 else best
+    return best
+
+
 def carry_forward(
-    snippets: DataFrame, bank: DataFrame, gate: float, least: int, cap: float | None = None, every: int = 0, new_below: float = 0.8
-) -> DataFrame:
+    snippets: DataFrame, bank: DataFrame, gate: float, least: int, cap: float | None = None, every: int = 0, new_below: float = 0.8,
+    born: tuple[int, float] = (100, 5.0), shape: tuple[int, int] = (1, 0), parts: int = 3,
+) -> DataFrame:
     """Windows in order: match with the bank at hand, then learn from what matched (IT2, IT3).
 
     snippets: ``(grp, win, spike, wf)``; bank: ``(grp, unit, wf)``. A unit with at least ``least`` matches in a
     window takes their mean as its template unless that is less like the old one than ``cap``. Every ``every``
-    windows the mean of the unmatched snippets founds a unit if no template of the group is as like it as
-    ``new_below``. Returns ``(grp, win, spike, unit, r)``; founded units have negative numbers.
+    windows the unmatched snippets are clustered; a cluster founds a unit if it has born[0] snippets, its mean's peak is
+    born[1] times the spread of its snippets about it, and no template of the group, those just founded included, is
+    as like it as ``new_below``. Likeness is the largest cosine over shifts, by ``shape`` (channels, shifts).
+
+    Returns ``(grp, win, spike, unit, r)``; founded units have negative numbers, and each a row without a spike in
+    the window of its birth, r its likeness to the nearest (-1 in an empty bank).
     """
     both = snippets.select("grp", "win", "spike", F.lit(None).cast("long").alias("unit"), "wf").unionByName(
         bank.select("grp", F.lit(-1).cast("long").alias("win"), F.lit(None).cast("long").alias("spike"), "unit", "wf")
     )
 
-    def unit_rows(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.win < 0].sort_values("unit")
         templates = {int(u): np.asarray(w, float) for u, w in zip(own.unit, own.wf, strict=True)}
         out: list[tuple] = []
-        born = 0
+        grp, founded = int(pdf.grp.iloc[0]), 0
         for number, (win, part) in enumerate(pdf[pdf.win >= 0].groupby("win", sort=True), 1):
             part = part.sort_values("spike")
             x = np.stack(part.wf.to_numpy()).astype(float)
             names = list(templates)
-            r = unit_rows(x) @ unit_rows(np.stack([templates[n] for n in names])).T if names else np.zeros((len(x), 0))
+            r = _unit_rows(x) @ _unit_rows(np.stack([templates[n] for n in names])).T if names else np.zeros((len(x), 0))
             best = r.argmax(axis=1) if names else np.zeros(len(x), int)
             top = r[np.arange(len(x)), best] if names else np.full(len(x), -1.0)
             hit = top >= gate
-            out += [(int(pdf.grp.iloc[0]), int(win), int(s), names[b] if h else None, float(t)) for s, b, h, t in zip(part.spike, best, hit, top, strict=True)]
+            out += [(grp, int(win), int(s), names[b] if h else None, float(t)) for s, b, h, t in zip(part.spike, best, hit, top, strict=True)]
             for k, name in enumerate(names):
                 mine = hit & (best == k)
                 if mine.sum() >= least:
                     mean = x[mine].mean(axis=0)
-                    if cap is None or float(unit_rows(mean) @ unit_rows(templates[name])) >= cap:
+                    if cap is None or _shifted(mean, templates[name], *shape) >= cap:
                         templates[name] = mean
-            if every and number % every == 0 and (~hit).sum() >= least:
-                mean = x[~hit].mean(axis=0)
-                like = max((float(unit_rows(mean) @ unit_rows(t)) for t in templates.values()), default=-1.0)
-                if like < new_below:
-                    born += 1
-                    templates[-born] = mean
-        return pd.DataFrame(out, columns=["grp", "win", "spike", "unit", "r"]).astype({"unit": "Int64"})
+            if every and number % every == 0 and (~hit).sum() >= born[0]:
+                rest = x[~hit]
+                label = parted(rest, parts)
+                for k in sorted(set(label.tolist()), key=lambda k: (-int((label == k).sum()), k)):
+                    mine = rest[label == k]
+                    mean = mine.mean(axis=0)
+                    spread = float((mine - mean).std())
+                    like = max((_shifted(mean, t, *shape) for t in templates.values()), default=-1.0)
+                    if len(mine) >= born[0] and (spread == 0 or float(np.abs(mean).max()) / spread >= born[1]) and like < new_below:
+                        founded += 1
+                        templates[-founded] = mean
+                        out.append((grp, int(win), None, -founded, like))
+        return pd.DataFrame(out, columns=["grp", "win", "spike", "unit", "r"]).astype({"unit": "Int64", "spike": "Int64"})
 
     return both.groupBy("grp").applyInPandas(run, "grp long, win long, spike long, unit long, r double")
 
 
-def cluster(snippets: DataFrame, parts: int = 3, components: int = 3, rounds: int = 25) -> DataFrame:
-    """``(grp, spike, cluster)``: principal components, then k-means from spread-out seeds, per group (EX1, IT11).
+def window_counts(matches: DataFrame) -> DataFrame:
+    """``(grp, win, unit, n)``: the matrix of matches per window and unit of :func:`carry_forward`, zeros left out (IT2)."""
+    return matches.where("spike is not null and unit is not null").groupBy("grp", "win", "unit").agg(F.count(F.lit(1)).alias("n"))
+
 
-    Deterministic: the first seed is the snippet of most energy, each next the one farthest from those taken.
+def parted(x: np.ndarray, parts: int = 3, components: int = 3, rounds: int = 25) -> np.ndarray:
+    """Labels of rows: principal components, then k-means from spread-out seeds.
+
+    Deterministic: the first seed is the row of most energy, each next the one farthest from those taken.
     """
+    centred = x - x.mean(axis=0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    axes = axes[:components] * np.sign(axes[:components].sum(axis=1, keepdims=True) + 1e-12)
+    y = centred @ axes.T
+    seeds = [int(np.argmax((y**2).sum(axis=1)))]
+    while len(seeds) < min(parts, len(y)):
+        seeds.append(int(np.argmax(np.min([((y - y[s]) ** 2).sum(axis=1) for s in seeds], axis=0))))
+    middle = y[seeds]
+    for _ in range(rounds):
+        label = ((y[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1)
+        then = np.array([y[label == k].mean(axis=0) if (label == k).any() else middle[k] for k in range(len(middle))])
+        if np.allclose(then, middle):
+            break
+        middle = then
+    return label
+
+
+def cluster(snippets: DataFrame, parts: int = 3, components: int = 3, rounds: int = 25) -> DataFrame:
+    """``(grp, spike, cluster)``: the snippets of a group parted by shape (EX1, IT11)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("spike")
-        x = np.stack(pdf.wf.to_numpy()).astype(float)
-        centred = x - x.mean(axis=0)
-        _, _, axes = np.linalg.svd(centred, full_matrices=False)
-        axes = axes[:components] * np.sign(axes[:components].sum(axis=1, keepdims=True) + 1e-12)
-        y = centred @ axes.T
-        seeds = [int(np.argmax((y**2).sum(axis=1)))]
-        while len(seeds) < min(parts, len(y)):
-            seeds.append(int(np.argmax(np.min([((y - y[s]) ** 2).sum(axis=1) for s in seeds], axis=0))))
-        middle = y[seeds]
-        for _ in range(rounds):
-            label = ((y[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1)
-            then = np.array([y[label == k].mean(axis=0) if (label == k).any() else middle[k] for k in range(len(middle))])
-            if np.allclose(then, middle):
-                break
-            middle = then
+        label = parted(np.stack(pdf.wf.to_numpy()).astype(float), parts, components, rounds)
         return pd.DataFrame({"grp": pdf.grp.to_numpy(), "spike": pdf.spike.to_numpy(), "cluster": label})
 
     return snippets.select("grp", "spike", "wf").groupBy("grp").applyInPandas(run, "grp long, spike long, cluster long")
+
+
+def snippets(trace: DataFrame, peaks: DataFrame, before: int, after: int, channels: int) -> DataFrame:
+    """``(grp, spike, wf)`` of peaks ``(grp, frame)``: ``before`` + ``after`` frames of the group's channels, sample by sample (EX1).
+
+    A spike bears its frame's number; those whose frames are not all at hand go. Peaks meet the trace frame by frame.
+    """
+    wanted = peaks.select("grp", F.col("frame").alias("spike")).distinct()
+    wanted = wanted.withColumn("frame", F.explode(F.sequence(F.col("spike") - before, F.col("spike") + (after - 1))))
+    met = trace.join(wanted, ["grp", "frame"]).groupBy("grp", "spike").agg(F.array_sort(F.collect_list(F.struct("frame", "channel", "value"))).alias("_v"))
+    return met.where(F.size("_v") == (before + after) * channels).select("grp", "spike", F.transform("_v", lambda s: s["value"]).alias("wf"))
+
+
+def sort_trace(trace: DataFrame, least: float, dead: int, before: int, after: int, channels: int, parts: int = 3, block: int = 1 << 16) -> DataFrame:
+    """Detect, cut and cluster a trace by group: ``(grp, unit, frame)``; units count from 0 in their group (EX1).
+
+    Peaks are those of :func:`chronoweave.operators.signal.exclusive_peaks`.
+    """
+    cut = snippets(trace, exclusive_peaks(trace, least, dead, block), before, after, channels)
+    return cluster(cut, parts).select("grp", F.col("cluster").alias("unit"), F.col("spike").alias("frame"))

@@ -1,15 +1,17 @@
-"""Signal, matching and learning operators; without SQL forms, tested against direct computation."""
+"""Signal, matching and learning operators; filters and spectra in SQL are sums over the same fixed taps."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.operators import learning as L
 from chronoweave.operators import matching as M
+from chronoweave.operators import metrics as Q
 from chronoweave.operators import signal as G
 from chronoweave.plans.registry import query
-from chronoweave.sources.tables import events, table, templates
+from chronoweave.sources.tables import EVENTS, events, table, templates
 
 #: The events of a group, in order, are the samples of a channel.
 FS = 100.0
@@ -17,34 +19,77 @@ BLOCK = 4096
 
 
 def trace(spark, sf):
-    place = F.row_number().over(Window.partitionBy("grp").orderBy("frame")) - 1
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("frame", "event_id")) - 1
     x = events(spark, sf).select("grp", F.col("grp").alias("channel"), place.cast("long").alias("frame"), "value")
     return x.withColumn("grp", F.floor(F.col("channel") / 4))
 
 
-@query("sp1_decimate")
+_TRACE = f"{EVENTS}, tr AS (SELECT grp // 4 AS grp, grp AS channel, row_number() OVER (PARTITION BY grp ORDER BY frame, event_id) - 1 AS frame, value FROM ev)"
+
+
+def _numbers(x: np.ndarray) -> str:
+    return "[" + ", ".join(f"{v!r}" for v in np.asarray(x, float).tolist()) + "]::DOUBLE[]"
+
+
+def _filtered(out: str, source: str, taps: np.ndarray, step: int = 1) -> str:
+    """Rows of ``source`` convolved with the taps, ends padded with the end values, every ``step`` frames."""
+    half = len(taps) // 2
+    pad = lambda at: f"list_transform(range(0, {half}), lambda z: v[{at}])"
+    return f"""{out}_l AS (SELECT grp, channel, list(value ORDER BY frame) AS v FROM {source} GROUP BY 1, 2), {out}_p AS (SELECT grp, channel, len(v) AS n, {pad("1")} || v || {pad("len(v)")} AS p FROM {out}_l),
+    {out} AS (SELECT grp, channel, unnest(range(0, n, {step})) // {step} AS frame, unnest(list_transform(range(0, n, {step}), lambda i: list_dot_product(p[i + 1:i + {len(taps)}], {_numbers(taps[::-1])}))) AS value FROM {out}_p)"""
+
+
+_BAND = G.bandpass_taps(0.05, 0.3, 64)
+_DECIMATED = f"{_TRACE}, {_filtered('d1', 'tr', G.lowpass_taps(0.4 / 2, 32), 2)}, {_filtered('d2', 'd1', G.lowpass_taps(0.4 / 5, 80), 5)}"
+
+
+@query("sp1_decimate", f"WITH {_DECIMATED} SELECT grp, channel, frame, round(value, 6) AS value FROM d2")
 def sp1_decimate(spark, sf):
-    return G.downsample(trace(spark, sf), 100, (50, 10), BLOCK)
+    return Q.rounded(G.downsample(trace(spark, sf), 100, (50, 10), BLOCK))
 
 
-@query("sp2_bandpass_reference")
+@query(
+    "sp2_bandpass_reference",
+    f"WITH {_TRACE}, {_filtered('bp', 'tr', _BAND)}, md AS (SELECT frame, quantile_cont(value, 0.5) AS m FROM bp GROUP BY 1) SELECT frame, grp, channel, round(value - m, 6) AS value FROM bp JOIN md USING (frame)",
+)
 def sp2_bandpass_reference(spark, sf):
-    return G.common_reference(G.bandpass(trace(spark, sf), 0.05, 0.3, block=BLOCK), "global")
+    return Q.rounded(G.common_reference(G.bandpass(trace(spark, sf), 0.05, 0.3, block=BLOCK), "global"))
 
 
-@query("sp3_band_power")
+@query(
+    "sp3_band_power",
+    f"""WITH {_TRACE}, {_filtered('bp', 'tr', G.bandpass_taps(0.02, 0.1, 64))}, {_filtered('hb', 'bp', G.hilbert_taps(64))}
+    SELECT bp.grp, frame, round(avg(bp.value * bp.value + hb.value * hb.value), 4) AS power FROM bp JOIN hb USING (channel, frame) GROUP BY 1, 2""",
+)
 def sp3_band_power(spark, sf):
-    return G.band_power(trace(spark, sf), 0.02, 0.1, block=BLOCK)
+    return Q.rounded(G.band_power(trace(spark, sf), 0.02, 0.1, block=BLOCK), 4)
+
+
+def _spectra(size: int, step: int, window: np.ndarray) -> str:
+    """``ps``: (grp, channel, win, freq, psd) of all whole windows."""
+    scale = 1.0 / (FS * float((window**2).sum()))
+    return f"""wl AS (SELECT grp, channel, list(value ORDER BY frame) AS v FROM tr GROUP BY 1, 2), wn AS (SELECT grp, channel, v, unnest(range(0, (len(v) - {size}) // {step} + 1)) AS win FROM wl WHERE len(v) >= {size}),
+    wv AS (SELECT grp, channel, win, v[win * {step} + 1:win * {step} + {size}] AS v FROM wn), wc AS (SELECT grp, channel, win, list_transform(v, lambda y: y - list_avg(v)) AS v FROM wv),
+    kf AS (SELECT k, list_transform(range(0, {size}), lambda j: ({_numbers(window)})[j + 1] * cos(2 * pi() * k * j / {size})) AS c, list_transform(range(0, {size}), lambda j: ({_numbers(window)})[j + 1] * sin(2 * pi() * k * j / {size})) AS s FROM (SELECT unnest(range(0, {size // 2 + 1})) AS k)),
+    ps AS (SELECT grp, channel, win, k * {FS / size!r}::DOUBLE AS freq, (pow(list_dot_product(v, c), 2) + pow(list_dot_product(v, s), 2)) * {scale!r}::DOUBLE * CASE WHEN k IN (0, {size // 2}) THEN 1 ELSE 2 END AS psd FROM wc, kf)"""
+
+
+BANDS = {"delta": (0.5, 4), "vlad": (3, 7), "theta": (6, 10), "sigma": (9, 15)}
+_BANDS = ", ".join(f"('{name}', {a}, {b})" for name, (a, b) in BANDS.items())
 
 
-@query("sp4_stft_bands")
+@query(
+    "sp4_stft_bands",
+    f"""WITH {_TRACE}, {_spectra(200, 200, G.slepian(200))}, m AS (SELECT grp, win, freq, avg(psd) AS psd FROM ps GROUP BY 1, 2, 3)
+    SELECT grp, win, band, round(sum(psd), 4) AS power FROM m JOIN (VALUES {_BANDS}) b(band, lo, hi) ON freq BETWEEN lo AND hi GROUP BY 1, 2, 3""",
+)
 def sp4_stft_bands(spark, sf):
-    return G.stft_bands(trace(spark, sf), FS, 200, {"delta": (0.5, 4), "vlad": (3, 7), "theta": (6, 10), "sigma": (9, 15)})
+    return Q.rounded(G.stft_bands(trace(spark, sf), FS, 200, BANDS), 4)
 
 
-@query("sp6_welch")
+@query("sp6_welch", f"WITH {_TRACE}, {_spectra(128, 64, np.hanning(129)[:-1])} SELECT grp, channel, freq, round(avg(psd), 4) AS psd FROM ps GROUP BY 1, 2, 3")
 def sp6_welch(spark, sf):
-    return G.welch(trace(spark, sf), FS, 128)
+    return G.welch(trace(spark, sf), FS, 128).withColumn("psd", F.round("psd", 4))
 
 
 @query("sp7_prominent_peaks")
@@ -57,25 +102,37 @@ def sp8_harmonic_groups(spark, sf):
     return G.harmonic_groups(G.prominent_peaks(G.welch(trace(spark, sf), FS, 128), 1.0))
 
 
-@query("sp10_exclusive_peaks")
-def sp10_exclusive_peaks(spark, sf):
-    return G.exclusive_peaks(trace(spark, sf).withColumn("value", -F.col("value")), 3.0, 5, BLOCK)
-
-
 @query("sp9_transients")
 def sp9_transients(spark, sf):
     return G.transients(trace(spark, sf), 0.1, 5, 3.0, block=BLOCK)
 
 
-@query("sp11_narrowband_phase")
+@query(
+    "sp10_exclusive_peaks",
+    f"""WITH {_TRACE}, md AS (SELECT channel, quantile_cont(-value, 0.5) AS c FROM tr GROUP BY 1), nl AS (SELECT tr.channel, quantile_cont(abs(-value - c), 0.5) / 0.6745::DOUBLE AS noise FROM tr JOIN md ON md.channel = tr.channel GROUP BY 1),
+    dp AS (SELECT grp, tr.channel, frame, value / noise AS amp FROM tr JOIN nl ON nl.channel = tr.channel WHERE noise > 0 AND value / noise >= 3)
+    SELECT grp, frame, round(amp, 6) AS amp_mad FROM dp a WHERE NOT EXISTS (SELECT 1 FROM dp b WHERE b.grp = a.grp AND abs(b.frame - a.frame) <= 5 AND (b.amp > a.amp OR (b.amp = a.amp AND (b.frame < a.frame OR (b.frame = a.frame AND b.channel < a.channel)))))""",
+)
+def sp10_exclusive_peaks(spark, sf):
+    return Q.rounded(G.exclusive_peaks(trace(spark, sf).withColumn("value", -F.col("value")), 3.0, 5, BLOCK))
+
+
+@query(
+    "sp11_narrowband_phase",
+    f"WITH {_TRACE}, {_filtered('bp', 'tr', G.bandpass_taps(0.08, 0.12, 64))}, {_filtered('hb', 'bp', G.hilbert_taps(64))} SELECT bp.grp, channel, frame, round(atan2(hb.value, bp.value), 6) AS value FROM bp JOIN hb USING (channel, frame)",
+)
 def sp11_narrowband_phase(spark, sf):
-    return G.phase(trace(spark, sf), 0.08, 0.12, block=BLOCK)
+    return Q.rounded(G.phase(trace(spark, sf), 0.08, 0.12, block=BLOCK))
 
 
-@query("sp14_inband_error")
+@query(
+    "sp14_inband_error",
+    f"""WITH {_TRACE}, ro AS (SELECT grp, channel, frame, round(value)::DOUBLE AS value FROM tr), {_filtered('bp', 'tr', _BAND)}, {_filtered('lo', 'ro', _BAND)}
+    SELECT channel, round(stddev_pop(bp.value - lo.value), 6) AS rms, round(quantile_cont(abs(bp.value), 0.5) / 0.6745::DOUBLE, 6) AS floor, round(stddev_pop(bp.value - lo.value) / (quantile_cont(abs(bp.value), 0.5) / 0.6745::DOUBLE), 6) AS share FROM bp JOIN lo USING (channel, frame) GROUP BY channel""",
+)
 def sp14_inband_error(spark, sf):
     x = trace(spark, sf)
-    return G.inband_error(x, x.withColumn("value", F.round("value")), 0.05, 0.3, BLOCK)
+    return Q.rounded(G.inband_error(x, x.withColumn("value", F.round("value")), 0.05, 0.3, BLOCK))
 
 
 def _windows(spark, sf):
@@ -87,14 +144,22 @@ def _bank(spark, sf):
     return templates(spark, sf).where("unit % 10 = 0").select("grp", "unit", "wf")
 
 
+SHAPE = (4, 2)  # channels, shifts
+
+
 @query("it2_carry_forward")
 def it2_carry_forward(spark, sf):
-    return M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, 0.2)
+    return M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, 0.2, shape=SHAPE)
+
+
+@query("it2_match_counts")
+def it2_match_counts(spark, sf):
+    return M.window_counts(M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, 0.2, shape=SHAPE))
 
 
 @query("it3_carry_forward_reseed")
 def it3_carry_forward_reseed(spark, sf):
-    return M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, None, every=2, new_below=0.8)
+    return M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, None, every=2, new_below=0.8, born=(3, 1.0), shape=SHAPE)
 
 
 @query("ex1_cluster_groups")
@@ -102,6 +167,26 @@ def ex1_cluster_groups(spark, sf):
     return M.cluster(_windows(spark, sf))
 
 
+@query(
+    "ex1_snippets",
+    f"""WITH {_TRACE}, md AS (SELECT channel, quantile_cont(value, 0.5) AS c FROM tr GROUP BY 1), nl AS (SELECT tr.channel, quantile_cont(abs(value - c), 0.5) / 0.6745::DOUBLE AS noise FROM tr JOIN md ON md.channel = tr.channel GROUP BY 1),
+    dp AS (SELECT grp, tr.channel, frame, -value / noise AS amp FROM (SELECT grp, channel, frame, -value AS value FROM tr) tr JOIN nl ON nl.channel = tr.channel WHERE noise > 0 AND -value / noise >= 3),
+    pk AS (SELECT grp, frame FROM dp a WHERE NOT EXISTS (SELECT 1 FROM dp b WHERE b.grp = a.grp AND abs(b.frame - a.frame) <= 5 AND (b.amp > a.amp OR (b.amp = a.amp AND (b.frame < a.frame OR (b.frame = a.frame AND b.channel < a.channel))))))
+    SELECT pk.grp, pk.frame AS spike, count(*) AS n, round(sum(-value * (1 + channel % 4)), 5) AS total FROM pk JOIN tr ON tr.grp = pk.grp AND tr.frame >= pk.frame - 4 AND tr.frame < pk.frame + 8 GROUP BY 1, 2 HAVING count(*) = 48""",
+)
+def ex1_snippets(spark, sf):
+    x = trace(spark, sf).withColumn("value", -F.col("value"))
+    weight = F.array(*[F.lit(float(1 + c)) for _ in range(12) for c in range(4)])
+    total = F.aggregate(F.zip_with("wf", weight, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v)
+    s = M.snippets(x, G.exclusive_peaks(x, 3.0, 5, BLOCK), 4, 8, 4)
+    return s.select("grp", "spike", F.size("wf").cast("long").alias("n"), F.round(total, 5).alias("total"))
+
+
+@query("ex1_sort_trace")
+def ex1_sort_trace(spark, sf):
+    return M.sort_trace(trace(spark, sf).withColumn("value", -F.col("value")), 3.0, 5, 4, 8, 4, block=BLOCK)
+
+
 def _unit_features(spark, sf):
     m = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("unit")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.max("l_extendedprice").alias("e")
