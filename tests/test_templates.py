@@ -100,7 +100,12 @@ def test_carry_forward_follows_drift_and_founds_units(spark):
     b = spark.createDataFrame([(0, 7, turn(0.0))], "grp long, unit long, wf array<double>")
     moving = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 3).collect()}
     assert all(moving[x] == 7 for x in moving if x < 100) and all(moving[x] is None for x in moving if x >= 100)
-    reseeded = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 3, every=2).collect()}
+    reseeded = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 3, every=2, born=(3, 1.0), parts=1).collect()}
     assert reseeded[101] is None and reseeded[121] == -1 and reseeded[141] == -1
+    # births are rows without a spike; too few snippets, or too much spread, found none
+    assert [(r.win, r.unit) for r in M.carry_forward(s, b, 0.9, 3, every=2, born=(3, 1.0), parts=1).where("spike is null").collect()] == [(1, -1)]
+    for born in ((4, 1.0), (3, 50.0)):
+        assert M.carry_forward(s, b, 0.9, 3, every=2, born=born, parts=1).where("unit < 0").count() == 0
+    assert M.window_counts(M.carry_forward(s, b, 0.9, 3)).agg({"n": "sum"}).first()[0] == 20
     still = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 99).collect()}
     assert still[41] is None
