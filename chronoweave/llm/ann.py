@@ -38,8 +38,9 @@ EVERY = 50
 #: Candidates or queries in a block.
 BLOCK = 4096
 SEED = 20240
-#: Candidates of a block that are ranked anew with one fixed order of summing.
+#: Candidates of a block that are ranked anew with one fixed order of summing, and those within this of the last of them.
 RERANKED = 16
+ROUNDING = 1e-9
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def _spread(queries: bool, probed: float):
                 chosen = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(chosen))
                 v = _matrix(part.column(1))
-                unit = v / np.abs(v).max(axis=1, keepdims=True)
+                unit = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 width = max(2, 1 << (unit.shape[1] - 1).bit_length())
                 probes = max(1, int(np.ceil(2 * width * probed))) if queries else 1
@@ -124,6 +125,9 @@ def _rank_block(keep: int):
         q, c = np.flatnonzero(flags), np.flatnonzero(~flags)
         c = c[np.argsort(ids[c], kind="stable")]
         out_q, out_c, out_s = [], [], []
+        # by powers of two, so that no square overflows or vanishes and cosines keep every bit
+        if len(rows):
+            rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
         norm = rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         wide = max(keep, RERANKED)
         for at in range(0, len(q), 256):
@@ -132,11 +136,9 @@ def _rank_block(keep: int):
                 break
             near = norm[part] @ norm[c].T
             near[ids[part][:, None] == ids[c][None, :]] = -np.inf
-            top = np.argpartition(-near, min(wide, len(c)) - 1, axis=1)[:, :wide]
-            a = np.repeat(part, top.shape[1])
-            b = c[top.ravel()]
-            other = ids[a] != ids[b]
-            a, b = a[other], b[other]
+            last = -np.partition(-near, min(wide, len(c)) - 1, axis=1)[:, min(wide, len(c)) - 1]
+            row, column = np.nonzero((near >= last[:, None] - ROUNDING) & np.isfinite(near))
+            a, b = part[row], c[column]
             score = _cosines(rows[a], rows[b])
             order = np.lexsort((ids[b], -score, a))
             a, b, score = a[order], b[order], score[order]
