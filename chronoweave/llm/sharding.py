@@ -27,8 +27,8 @@ from chronoweave.plans.storage import materialize, pick
 
 SHARDS = 16
 BUNDLES = 4096
-#: Slices of a shard that are numbered apart, per shard.
-SLICES = 64
+#: Rows of a slice, about: slices of a shard are numbered apart, each by one task, and written as a file.
+SLICE_ROWS = 1 << 18
 #: Relative pull of the measures; the law is on bytes.
 WEIGHTS = (1.0, 0.25, 0.25)
 #: Rounds of moves and swaps that even out what the greedy placement leaves.
@@ -117,29 +117,30 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     table = [(r["k1"], r["k2"], r["part"], r["light"], int(p)) for r, p in zip(items, place, strict=True)]
     placed = spark.createDataFrame(table, "k1 long, k2 long, part int, light boolean, shard int")
     out = named.join(F.broadcast(placed), key)
-    return with_slots(out.select("doc_id", "size", "text_crc32", "shard", "g1")).select(
+    return with_slots(out.select("doc_id", "size", "text_crc32", "shard", "g1"), -(-whole[2] // (shards * SLICE_ROWS)) * 4).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def with_slots(rows: DataFrame) -> DataFrame:
+def with_slots(rows: DataFrame, slices: int) -> DataFrame:
     """Adds ``slot``, gapless from 0 within each shard: documents are numbered in slices, each after those before it."""
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(SLICES)).cast("int"))
-    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))  # shards x SLICES rows
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(slices)).cast("int"))
+    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))  # shards x slices rows
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("shard", "slice").orderBy("doc_id", "g1", "text_crc32")
     numbered = rows.withColumn("number", F.row_number().over(inside))
-    return numbered.join(F.broadcast(counts), ["shard", "slice"]).withColumn("slot", F.col("before") + F.col("number") - 1)
+    return numbered.join(counts, ["shard", "slice"]).withColumn("slot", F.col("before") + F.col("number") - 1)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` to one folder per shard, in slot order within each file."""
+    """Write ``docs`` to one folder per shard: files of about ``SLICE_ROWS`` rows, each a run of slots in order."""
     placed = assign(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
     placed = placed.dropDuplicates(["_id", "_crc"])
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.drop("shard", "slot").join(placed, F.col(id_col).eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc")
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    run = F.floor(F.col("slot") / F.lit(SLICE_ROWS))
+    joined.repartition("shard", run).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -368,6 +369,33 @@ def test_packing_is_near_even():
     assert load.max() / load.min() < 1.001
 
 
+def test_packing_equals_plain_loops(monkeypatch):
+    monkeypatch.setattr(sharding, "ROUNDS", 0)
+    rng = random.Random(4)
+    for n, shards in ((0, 3), (1, 3), (60, 4), (200, 7)):
+        v = [[rng.randrange(1, 900), rng.randrange(0, 90), rng.randrange(1, 5)] for _ in range(n)]
+        total = [max(sum(x[m] for x in v), 1e-12) for m in range(3)]
+        share = [[x[m] / total[m] * sharding.WEIGHTS[m] ** 0.5 for m in range(3)] for x in v]
+        left = [[sum(x[m] for x in share) / shards for m in range(3)] for _ in range(shards)]
+        place = [0] * n
+        for i in sorted(range(n), key=lambda i: (-share[i][0], i)):
+            square = sum(x * x for x in share[i])
+            fit = [round(sum(a * b for a, b in zip(r, share[i], strict=True)) / square, 12) for r in left]
+            place[i] = fit.index(max(fit))
+            left[place[i]] = [a - b for a, b in zip(left[place[i]], share[i], strict=True)]
+        assert sharding.pack(np.array(v, float).reshape(-1, 3), shards).tolist() == place
+
+
+def test_shards_in_slices_and_files(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 8)
+    out = sharding.assign(docs, 4).collect()
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter(rows)
+
+
 # repeated passages
 
 
@@ -826,6 +854,15 @@ def test_neighbours(spark):
     assert all(exact[q] == max((i for i in range(700) if i != q), key=lambda i: (round(unit[q] @ unit[i], 12), -i)) for q in out)
 
 
+def test_scaled_copies_and_extreme_components(spark):
+    # copies of one vector by powers of two tie exactly, in their bytes they differ; squares of the largest overflow, of the smallest vanish
+    rows = [(i, [math.ldexp(x, e) for x in (1.0, 2.0, 3.0, 4.0)]) for i, e in enumerate([*range(-40, 40), 1000, -1000, 900, -900])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df).collect()}
+    assert [out[0, k][0] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [out[50, k][0] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+    assert len({s for _, s in out.values()}) == 1 and abs(out[0, 1][1] - 1) < 1e-15
+
+
 def test_copies_are_ranked_by_number(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
