@@ -60,8 +60,40 @@ def with_interval(train: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def collapse(train: DataFrame, tol: int, by: list[str] | None = None) -> DataFrame:
-    """First event of each run whose successive gaps are at most ``tol``; gaps chain over dropped events (WN2)."""
-    return with_interval(train, by).where(F.col("d").isNull() | (F.col("d") > tol)).drop("d")
+    """First event of each run whose successive gaps are at most ``tol``; gaps chain over dropped events (WN2).
+
+    An event stays if none comes within ``tol`` before it, so frames are cut into buckets, and events within ``tol`` of a
+    bucket's end also go to the next: a busy group spreads over tasks.
+    """
+    by = by or ["unit"]
+    width = BUCKET_TOLERANCES * (tol + 1)
+    bucket = F.floor(F.col("frame") / F.lit(width))
+    near = F.array(bucket, F.when(F.col("frame") - bucket * width >= width - tol, bucket + 1))
+    cut = train.withColumns({"_own": bucket, "_bucket": F.explode(F.array_compact(near))})
+    d = F.col("frame") - F.lag("frame").over(Window.partitionBy(*by, "_bucket").orderBy("frame"))
+    return cut.withColumn("_d", d).where("_own = _bucket").where(F.col("_d").isNull() | (F.col("_d") > tol)).drop("_own", "_bucket", "_d")
+
+
+def nearest_within(query: DataFrame, ref: DataFrame, tol: int, carry: str, by: list[str] | None = None) -> DataFrame:
+    """``query`` with ``gap``, ``at`` and ``carry`` of the nearest reference within the tolerance, null where there is none (JN18).
+
+    Of equally near ones the earlier counts, of those at one frame the one of the smallest ``carry``. As in
+    :func:`within_tol`, both sides are united in buckets; no pair is formed.
+    """
+    by = by or ["grp"]
+    width = BUCKET_TOLERANCES * (tol + 1)
+    bucket = F.floor(F.col("frame") / F.lit(width))
+    inside = F.col("frame") - bucket * width
+    near = F.array(bucket, F.when(inside < tol, bucket - 1), F.when(inside >= width - tol, bucket + 1))
+    r = ref.select(*by, "frame", F.col(carry).alias("_c"), F.explode(F.array_compact(near)).alias("_bucket"), F.lit(0).alias("_side"))
+    q = query.withColumns({"_row": F.struct(*query.columns), "_bucket": bucket, "_side": F.lit(1), "_c": F.lit(None).cast(ref.schema[carry].dataType)})
+    both = q.select(*by, "frame", "_c", "_bucket", "_side", "_row").unionByName(r, allowMissingColumns=True)
+    both = both.withColumn("_ref", F.when(F.col("_side") == 0, F.struct(F.col("frame").alias("at"), F.col("_c").alias(carry))))
+    last = lambda order: F.last("_ref", True).over(Window.partitionBy(*by, "_bucket").orderBy(order, "_side", F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"_before": last(F.col("frame")), "_after": last(F.col("frame").desc())}).where("_side = 1")
+    away = lambda side: F.when(F.abs(F.col(f"{side}.at") - F.col("frame")) <= tol, F.struct(F.abs(F.col(f"{side}.at") - F.col("frame")).alias("gap"), f"{side}.at", f"{side}.{carry}"))
+    best = F.least(away("_before"), away("_after")).alias("_best")
+    return both.select("_row", best).select("_row.*", "_best.gap", "_best.at", F.col(f"_best.{carry}").alias(f"near_{carry}"))
 
 
 def isi_violation(train: DataFrame, refractory: int, by: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from chronoweave.functions import arrays as A
 from chronoweave.operators import templates as T
 from chronoweave.operators.graph import connected_components
+from chronoweave.plans.order import numbered
 from chronoweave.plans.registry import query
 from chronoweave.sources.tables import TEMPLATES, templates
 
@@ -203,8 +204,7 @@ def jn11_dedup_groups(spark, sf):
 )
 def it1_chain_ids(spark, sf):
     c = _components(spark, sf).groupBy("component").agg(F.min(F.col("unit") % 20).alias("first_chunk"), F.min("grp").alias("grp"), F.min("unit").alias("unit"))
-    w = Window.partitionBy(F.lit(0)).orderBy("first_chunk", "grp", "unit")  # a row per chain
-    return c.select("component", (F.row_number().over(w) - 1).cast("long").alias("global_id"))
+    return numbered(c, ["first_chunk", "grp", "unit"], "global_id").select("component", "global_id")
 
 
 _LINKS = f"""{TEMPLATES}, ms AS (SELECT a.grp, a.unit AS unit_a, b.unit AS unit_b, {_shift_sql('a.wf', 'b.wf')} AS cos FROM tp a JOIN tp b ON a.grp = b.grp

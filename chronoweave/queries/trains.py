@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from chronoweave.operators import series as S
 from chronoweave.operators import trains as T
+from chronoweave.plans.order import numbered
 from chronoweave.plans.registry import query
 from chronoweave.sources.tables import DAY, EVENTS, HOUR, MINUTE, events
 
@@ -376,7 +377,7 @@ def prj4_shift(spark, sf):
 def prj5_dense_ids(spark, sf):
     ev = events(spark, sf)
     units = ev.select("unit").distinct()  # the unit dimension
-    ids = units.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("unit")).cast("long") - 1)
+    ids = numbered(units, ["unit"], "idx")
     return ev.join(ids, "unit").groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -429,10 +430,9 @@ def jn17_depth_band_join(spark, sf):
     SELECT unit, other, n FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, other) AS k FROM c) WHERE k = 1""",
 )
 def jn18_nearest_vote(spark, sf):
-    met = T.band_pairs(_kind(spark, sf, "purchase"), _kind(spark, sf, "view"), DAY + 1)
-    near = met.withColumn("d", F.abs(F.col("frame_b") - F.col("frame_a"))).where(F.col("d") <= DAY)
-    best = near.groupBy("unit_a", "frame_a").agg(F.min(F.struct("d", "frame_b", "unit_b")).alias("m"))
-    votes = best.groupBy(F.col("unit_a").alias("unit"), F.col("m.unit_b").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    near = T.nearest_within(_kind(spark, sf, "purchase").select("grp", "unit", "frame"), _kind(spark, sf, "view"), DAY, "unit").where("near_unit is not null")
+    best = near.groupBy("unit", "frame").agg(F.min(F.struct("gap", "at", "near_unit")).alias("m"))
+    votes = best.groupBy("unit", F.col("m.near_unit").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("unit").orderBy(F.col("n").desc(), "other")
     return votes.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 

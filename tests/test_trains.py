@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from chronoweave.operators import quality as Q
@@ -61,11 +61,43 @@ def test_verdicts(spark, ratio, n, want):
 @settings(max_examples=12, deadline=None)
 @given(n=st.integers(1, 5000), chunk=st.integers(2, 700), overlap=st.sampled_from([0.0, 0.25, 0.5, 0.75]))
 def test_chunks_own_each_frame_once(spark, n, chunk, overlap):
+    assume(round(chunk * (1 - overlap)) >= 1)  # less is rejected, see below
     rows = sorted(T.ownership(T.plan_chunks(spark, n, chunk, overlap)).collect())
     assert rows[0].lo == 0 and rows[-1].hi == n
     assert all(a.hi == b.lo for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_collapse_in_buckets_equals_one_pass(spark):
+    rng = random.Random(3)
+    rows = sorted((g, rng.randrange(40_000)) for g in (0, 0, 1) for _ in range(1500)) + [(0, 256 * 11 * k) for k in range(10)] + [(2, -5), (2, -1), (2, 9)]
+    df = spark.createDataFrame(rows, "unit long, frame long").repartition(3)
+    want, last = [], {}
+    for g, f in sorted(rows):
+        if g not in last or f - last[g] > 10:
+            want.append((g, f))
+        last[g] = f
+    assert sorted(tuple(r) for r in T.collapse(df, 10).collect()) == want
+
+
+def test_nearest_within_equals_loops(spark):
+    rng = random.Random(4)
+    query = [(g, f) for g in (0, 1) for f in rng.sample(range(60_000), 120)]
+    ref = [(g, u, f) for g in (0, 1) for u in (1, 2, 3) for f in rng.sample(range(60_000), 100)] + [(0, 9, query[0][1]), (0, 4, query[0][1]), (1, 5, query[130][1] - 7), (1, 4, query[130][1] + 7)]
+    got = {(r.grp, r.frame): (r.gap, r.at, r.near_unit) for r in T.nearest_within(spark.createDataFrame(query, "grp long, frame long"), spark.createDataFrame(ref, "grp long, unit long, frame long"), 20, "unit").collect()}
+    for g, f in query:
+        near = [(abs(x - f), x, u) for k, u, x in ref if k == g and abs(x - f) <= 20]
+        assert got[g, f] == (min(near) if near else (None, None, None))
+
+
+def test_running_sums_over_a_whole_table(spark):
+    from chronoweave.plans.order import numbered
+
+    df = spark.createDataFrame([(i * 37 % 1009, "x") for i in range(1009)], "a long, b string").repartition(5)
+    out = numbered(df, ["a"], "at").collect()
+    assert sorted((r.a, r["at"]) for r in out) == [(i, i) for i in range(1009)]
+    assert numbered(df.limit(0), ["a"], "at").count() == 0
+
+
 def test_plan_chunks_rejects_full_overlap(spark):
     with pytest.raises(ValueError, match="overlap"):
         T.plan_chunks(spark, 10, 5, 1.0)
