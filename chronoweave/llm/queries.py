@@ -13,7 +13,7 @@ from chronoweave.llm.sentencepiece_codec import op3_sentencepiece
 from chronoweave.llm.sharding import op5_sharding
 from chronoweave.llm.simhash import op2_simhash
 from chronoweave.llm.substring_dedup import OP6_SQL, op6_substring_dedup
-from chronoweave.llm.suffix_array import op7_suffix_array
+from chronoweave.llm.suffix_array import OP7_SQL, op7_suffix_array
 from chronoweave.llm.token_counts import op4_token_counts
 from chronoweave.llm.toxicity import op8_toxicity
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL}

@@ -144,3 +144,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Texts are cut into overlapping pieces of 500 strings each, all of them, as slices of long texts are slow.
+OP7_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 99, 0), 500)) AS base FROM h
+), c AS (SELECT doc_id, base, x[2 * base + 1:2 * base + 1198] AS y FROM b
+), p AS (SELECT doc_id, base, y, unnest(range(0, len(y) // 2 - 99)) AS j FROM c
+), w AS (SELECT doc_id, base + j AS i, row_number() OVER (PARTITION BY y[2 * j + 1:2 * j + 200] ORDER BY doc_id, base + j) AS rn FROM p
+), l AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w WHERE rn > 1
+), r AS (SELECT doc_id, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l
+), s AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY 1, 2
+), k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), o AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(x[2 * before + 1:2 * a], '' ORDER BY a) AS kept FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY 1)
+SELECT h.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || x[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM h LEFT JOIN o ON o.doc_id = h.doc_id
+"""
