@@ -111,6 +111,38 @@ def similar_pairs(bank: DataFrame, least: float, channels: int = 1, shifts: int
     return dealt.groupBy("grp", "width", "_x", "_y").applyInArrow(pairs, "grp long, a long, b long, cos double")
 
 
+def cross_cosines(left: DataFrame, right: DataFrame, channels: int = 1, shifts: int = 0) -> DataFrame:
+    """``(grp, a, b, cos)`` of every template of ``left`` with every one of ``right`` in its group, -1 where no cosine is defined (JN12, FN4).
+
+    The cosine is the largest over shifts, as in :func:`similar_pairs`; blocks of the two sides meet in pairs.
+    Templates that are null or hold nulls take no part; those of different lengths never meet.
+    """
+
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        x = df.where("grp is not null and wf is not null").where(~F.exists("wf", lambda v: v.isNull()))
+        x = x.select(F.col("grp").cast("long").alias("grp"), F.col("unit").cast("long").alias("unit"), F.col("wf").cast("array<double>").alias("wf"), F.size("wf").alias("width"))
+        n = x.groupBy("grp", "width").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+        return x, n
+
+    (x, n), (y, m) = side(left, "_n"), side(right, "_m")
+    sizes = n.join(m, ["grp", "width"])  # a row per group
+    place = lambda df, own, other, mine, theirs: (
+        df.join(sizes, ["grp", "width"]).withColumns({own: F.pmod(F.xxhash64("unit"), F.col(mine)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))})
+    )
+    both = place(x, "_x", "_y", "_n", "_m").withColumn("_left", F.lit(True)).unionByName(place(y, "_y", "_x", "_m", "_n").withColumn("_left", F.lit(False)))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        unit, first = table.column("unit").to_numpy(), table.column("_left").to_numpy()
+        wf = np.array(table.column("wf").to_pylist(), np.float64).reshape(table.num_rows, -1)
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        near = _cosine_matrix(wf[a], wf[b], channels, shifts)
+        grp = np.full(near.size, table.column("grp")[0].as_py(), np.int64)
+        return pa.table({"grp": grp, "a": np.repeat(unit[a], len(b)), "b": np.tile(unit[b], len(a)), "cos": near.ravel()})
+
+    columns = ["grp", "width", "_x", "_y", "_left", "unit", "wf"]
+    return both.select(columns).groupBy("grp", "width", "_x", "_y").applyInArrow(pairs, "grp long, a long, b long, cos double")
+
+
 def mean_templates(snippets: DataFrame, by: list[str], most: int) -> DataFrame:
     """Element-wise mean of at most ``most`` snippets each, those with the smallest hashed id (AG21): ``(*by, n, wf)``."""
     order = Window.partitionBy(*by).orderBy(F.pmod(F.col("unit") * F.lit(2654435761), F.lit(1000003)), "unit")

@@ -93,9 +93,8 @@ def jn12_pair_cosine(spark, sf):
 
 @query("fn4_max_shift_cosine", f"WITH {TEMPLATES} SELECT a.unit AS a, b.unit AS b, round({_shift_sql('a.wf', 'b.wf')}, 6) AS cos FROM tp a JOIN tp b ON a.grp = b.grp WHERE a.unit % 10 <> 0 AND b.unit % 10 = 0")
 def fn4_max_shift_cosine(spark, sf):
-    a = _outside(spark, sf).select("grp", F.col("unit").alias("a"), F.col("wf").alias("x"))
-    b = _bank(spark, sf).select("grp", F.col("unit").alias("b"), F.col("wf").alias("y"))
-    return a.join(b, "grp").select("a", "b", F.round(A.max_shift_cosine(F.col("x"), F.col("y"), SAMPLES, CHANNELS, SHIFTS), 6).alias("cos"))
+    pairs = T.cross_cosines(_outside(spark, sf), _bank(spark, sf), CHANNELS, SHIFTS)
+    return pairs.select("a", "b", F.round("cos", 6).alias("cos"))
 
 
 @query(
@@ -104,9 +103,9 @@ def fn4_max_shift_cosine(spark, sf):
     SELECT unit, round(coalesce(best, -1.0), 6) AS best, coalesce(best, -1.0) < 0.3 AS is_new FROM c""",
 )
 def fn4_novelty(spark, sf):
-    a = _outside(spark, sf)
-    b = _bank(spark, sf).select("grp", F.col("wf").alias("y"))
-    best = a.join(b, "grp", "left").groupBy("unit").agg(F.max(F.when(F.col("y").isNotNull(), A.max_shift_cosine(F.col("wf"), F.col("y"), SAMPLES, CHANNELS, SHIFTS))).alias("best"))
+    a = _outside(spark, sf).select("unit")
+    best = T.cross_cosines(_outside(spark, sf), _bank(spark, sf), CHANNELS, SHIFTS).groupBy(F.col("a").alias("unit")).agg(F.max("cos").alias("best"))
+    best = a.join(best, "unit", "left")
     best = best.withColumn("best", F.coalesce("best", F.lit(-1.0)))
     return best.select("unit", F.round("best", 6).alias("best"), (F.col("best") < 0.3).alias("is_new"))
 

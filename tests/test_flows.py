@@ -58,6 +58,24 @@ def test_shifted_pairs_in_blocks(spark, monkeypatch):
     assert {(r.a, r.b): round(r.cos, 9) for r in T.similar_pairs(bank, 0.1, 2, 1).collect()} == whole
 
 
+def test_cross_cosines_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i % 2, i, rng.normal(size=8).tolist()) for i in range(30)] + [(0, 90, None), (0, 91, [0.0] * 8), (0, 92, [1.0, 2.0]), (7, 93, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "grp long, unit long, wf array<double>")
+    cut = lambda: {(r.a, r.b): round(r.cos, 9) for r in T.cross_cosines(df.where("unit % 3 <> 0"), df.where("unit % 3 = 0"), 2, 1).collect()}
+    whole = cut()
+    x = {u: np.array(w) for _, u, w in rows if w is not None}
+
+    def direct(a, b):
+        parts = [(a, b), (a[2:], b[:-2]), (a[:-2], b[2:])]
+        return max([-1.0, *(float(p @ q / (np.linalg.norm(p) * np.linalg.norm(q))) for p, q in parts if p.any() and q.any())])
+
+    group = {u: g for g, u, _ in rows}
+    assert whole == {(a, b): round(direct(x[a], x[b]), 9) for a in x for b in x if a % 3 and not b % 3 and group[a] == group[b] and len(x[a]) == len(x[b])}
+    monkeypatch.setattr(T, "BLOCK", 3)
+    assert cut() == whole
+
+
 def test_production_recovers_and_pools(spark):
     bank = spark.createDataFrame([(0, 1, [1.0, 0.0, 0.0]), (0, 2, [0.0, 1.0, 0.0])], "grp long, unit long, wf array<double>")
     merged = spark.createDataFrame([(0, 1, 100), (0, 1, 1000), (0, 2, 500)], "grp long, unit long, frame long")
