@@ -111,11 +111,12 @@ def similar_pairs(bank: DataFrame, least: float, channels: int = 1, shifts: int
     return dealt.groupBy("grp", "width", "_x", "_y").applyInArrow(pairs, "grp long, a long, b long, cos double")
 
 
-def cross_cosines(left: DataFrame, right: DataFrame, channels: int = 1, shifts: int = 0) -> DataFrame:
+def cross_cosines(left: DataFrame, right: DataFrame, channels: int = 1, shifts: int = 0, best: bool = False) -> DataFrame:
     """``(grp, a, b, cos)`` of every template of ``left`` with every one of ``right`` in its group, -1 where no cosine is defined (JN12, FN4).
 
     The cosine is the largest over shifts, as in :func:`similar_pairs`; blocks of the two sides meet in pairs.
-    Templates that are null or hold nulls take no part; those of different lengths never meet.
+    Templates that are null or hold nulls take no part; those of different lengths never meet. With ``best`` only the
+    most alike of ``right`` stays for each of ``left``, of equal ones the smallest: a block gives a row each.
     """
 
     def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -135,12 +136,21 @@ def cross_cosines(left: DataFrame, right: DataFrame, channels: int = 1, shifts:
         unit, first = table.column("unit").to_numpy(), table.column("_left").to_numpy()
         wf = np.array(table.column("wf").to_pylist(), np.float64).reshape(table.num_rows, -1)
         a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        b = b[np.argsort(unit[b], kind="stable")]
         near = _cosine_matrix(wf[a], wf[b], channels, shifts)
+        if best and near.size:
+            top = near.argmax(axis=1)
+            grp = np.full(len(a), table.column("grp")[0].as_py(), np.int64)
+            return pa.table({"grp": grp, "a": unit[a], "b": unit[b][top], "cos": near[np.arange(len(a)), top]})
         grp = np.full(near.size, table.column("grp")[0].as_py(), np.int64)
         return pa.table({"grp": grp, "a": np.repeat(unit[a], len(b)), "b": np.tile(unit[b], len(a)), "cos": near.ravel()})
 
     columns = ["grp", "width", "_x", "_y", "_left", "unit", "wf"]
-    return both.select(columns).groupBy("grp", "width", "_x", "_y").applyInArrow(pairs, "grp long, a long, b long, cos double")
+    met = both.select(columns).groupBy("grp", "width", "_x", "_y").applyInArrow(pairs, "grp long, a long, b long, cos double")
+    if not best:
+        return met
+    top = met.groupBy("grp", "a").agg(F.max(F.struct("cos", (-F.col("b")).alias("b"))).alias("t"))
+    return top.select("grp", "a", (-F.col("t.b")).alias("b"), "t.cos")
 
 
 def mean_templates(snippets: DataFrame, by: list[str], most: int) -> DataFrame:

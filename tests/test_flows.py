@@ -74,6 +74,8 @@ def test_cross_cosines_in_blocks(spark, monkeypatch):
     assert whole == {(a, b): round(direct(x[a], x[b]), 9) for a in x for b in x if a % 3 and not b % 3 and group[a] == group[b] and len(x[a]) == len(x[b])}
     monkeypatch.setattr(T, "BLOCK", 3)
     assert cut() == whole
+    top = {r.a: (round(r.cos, 9), -r.b) for r in T.cross_cosines(df.where("unit % 3 <> 0"), df.where("unit % 3 = 0"), 2, 1, best=True).collect()}
+    assert top == {a: max((c, -b) for (x, b), c in whole.items() if x == a) for a, _ in whole}
 
 
 def test_production_recovers_and_pools(spark):
