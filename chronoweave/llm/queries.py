@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronoweave.llm.ann import op10_ann
 from chronoweave.llm.decontaminate import op9_decontaminate
 from chronoweave.llm.line_dedup import OP1_SQL, op1_line_dedup
+from chronoweave.llm.periodic_runs import op11_periodic_runs
 from chronoweave.llm.sentencepiece_codec import op3_sentencepiece
 from chronoweave.llm.sharding import op5_sharding
 from chronoweave.llm.simhash import op2_simhash
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_decontaminate": op9_decontaminate,
         "op10_ann": op10_ann,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
