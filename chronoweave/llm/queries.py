@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoweave.llm.ann import op10_ann
 from chronoweave.llm.decontaminate import op9_decontaminate
+from chronoweave.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from chronoweave.llm.line_dedup import OP1_SQL, op1_line_dedup
 from chronoweave.llm.periodic_runs import op11_periodic_runs
 from chronoweave.llm.sentencepiece_codec import op3_sentencepiece
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_ann": op10_ann,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL, "op12_fill_in_middle": OP12_SQL}
