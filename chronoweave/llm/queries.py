@@ -18,6 +18,7 @@ from chronoweave.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from chronoweave.llm.suffix_array import OP7_SQL, op7_suffix_array
 from chronoweave.llm.token_counts import op4_token_counts
 from chronoweave.llm.toxicity import op8_toxicity
+from chronoweave.llm.vector_dedup import op13_vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ann": op10_ann,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_vector_dedup": op13_vector_dedup,
     }
 
 
