@@ -3,15 +3,18 @@
 Words that hold numbers, units after numbers and names become typed placeholders; case and punctuation go.
 Windows of five template words of the documents are hash-joined to those of the benchmark items. What is a
 name shows in its case, which a copy may have lost: windows that hold names are joined in lower case too,
-with the names as they are. Matches on one diagonal (document position minus item position) align a document
-with an item, word by word. An alignment is consistent if values of the item's slots and of the document go
-one to one, by type, as in a copy or a question asked again with other parameters. A document is contaminated
-by an item if at least 0.8 of the item's words are in matching windows of one consistent alignment, of those
-alignments that change no slot, or of all alignments if they are consistent with each other.
+with the names as they are. A window of numbers and units alone says nothing by its types, and every table of
+figures is full of them, so these are joined by their values. Matches on one diagonal (document position minus
+item position) align a document with an item, word by word; an alignment found so takes in the windows of
+placeholders alone whose types agree on it. An alignment is consistent if values of the item's slots and of
+the document go one to one, by type, as in a copy or a question asked again with other parameters. A document
+is contaminated by an item if at least 0.8 of the item's words are in matching windows of one consistent
+alignment, of those alignments that change no slot, or of all alignments if they are consistent with each other.
 
 Windows meet as (row, position, hash): the benchmark's are broadcast only if they are at most
 ``MAX_BROADCAST``, and shuffled by hash beyond. Texts never join windows; those of the documents found are
-read again by their keys, to fill the slots.
+read again by their keys, as a row per word, to fill the slots. An alignment is a row that grows with the item,
+never with the document: a document of a hundred thousand numbers has that many rows, not one row of them.
 
 Cases: null or empty texts and items, and those of fewer than five template words, have no windows and match
 nothing; rows with a null doc_id take part and report null; rows alike in doc_id and text report once;
@@ -63,6 +66,9 @@ _CAPITALISED = (
 _NAME = f"{_CAPITALISED}[.,;:!?)\\]}}\"'”’»]*(?!\\S)"
 _PUNCTUATION = "[\\p{Punct}“”‘’«»]+"
 _BLANKS = "[\\x20\\t-\\r]+"
+#: A window of numbers and units alone; what sets hashes of values apart from hashes of words.
+_FIGURES = f"(?:(?<!\\S)[{NUMBER}-{NUMBER_UNIT}]\\S*{_BLANKS}){{{WINDOW - 1}}}[{NUMBER}-{NUMBER_UNIT}]"
+VALUES = "\u0005"
 
 
 def template(text: Column) -> Column:
@@ -81,67 +87,89 @@ def plain_words(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``(*keep, pos, w)``: the hashes of every window of template words, names as their type and as they are, and its place."""
-    words = rows.select(*keep, _words(template(F.col("text"))).alias("words"))
+    """``(*keep, pos, w)``: the hashes of every window of template words, and its place.
+
+    Windows with a word that is no placeholder by types; with names, as they are too; of numbers and units alone by values.
+    """
+    line = template(F.col("text"))
+    values = F.when(line.rlike(_FIGURES), plain_words(F.col("text")))
+    words = rows.select(*keep, _words(line).alias("words"), values.alias("values"))
     typed = F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(NAME), F.lit(NAME)).otherwise(w)))
     named = F.transform("words", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME))))
-    words = words.select(*keep, typed.alias("typed"), named.alias("named"))
-    shifted = [F.slice(kind, F.lit(1 + j), F.size(kind)).alias(f"{kind}{j}") for kind in ("typed", "named") for j in range(WINDOW)]
+    # 0: number or unit, 1: name, 2: neither
+    sort = F.transform("words", lambda w: F.when(w.startswith(NAME), 1).when(w.rlike(f"^[{NUMBER}-{NUMBER_UNIT}]"), 0).otherwise(2))
+    words = words.select(*keep, typed.alias("typed"), named.alias("named"), sort.alias("sort"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+    shifted = [F.slice(kind, F.lit(1 + j), F.size(kind)).alias(f"{kind}{j}") for kind in ("typed", "named", "sort", "values") for j in range(WINDOW)]
     zipped = words.select(*keep, F.arrays_zip(*shifted).alias("windows"))
     # outer: an inner explode makes the optimizer repeat the whole expression in a filter below
     spread = zipped.select(*keep, F.posexplode_outer("windows").alias("pos", "v"))
-    names = [f"v.{name}" for name in zipped.schema["windows"].dataType.elementType.names]
-    spread = spread.where(F.col(names[-1]).isNotNull())
-    both = spread.select(*keep, "pos", F.xxhash64(*names[:WINDOW]).alias("w"), F.xxhash64(*names[WINDOW:]).alias("w2"))
-    hashes = F.when(F.col("w") == F.col("w2"), F.array("w")).otherwise(F.array("w", "w2"))
+    column = lambda kind: [f"v.{kind}{j}" for j in range(WINDOW)]
+    spread = spread.where(F.col(f"v.named{WINDOW - 1}").isNotNull())
+    most = F.greatest(*column("sort"))
+    both = spread.select(*keep, "pos", most.alias("most"), F.xxhash64(*column("typed")).alias("w"), F.xxhash64(*column("named")).alias("w2"), F.xxhash64(F.lit(VALUES), *column("values")).alias("w3"))
+    hashes = F.when(F.col("most") == 0, F.array("w3")).when(F.col("most") == 1, F.array("w2")).when(F.col("w") == F.col("w2"), F.array("w")).otherwise(F.array("w", "w2"))
     return both.select(*keep, "pos", F.explode(hashes).alias("w"))
 
 
-def alignments(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """``(doc_id, t, item_id, item, n_words, alignments)`` of documents and items whose matching windows hold enough words.
-
-    An alignment is a struct of words (places in the item) and slots (type, value in the item, value in the document).
-    """
-    items = pick(bench, item_col, item_text_col).toDF("item_id", "text").where("text is not null").distinct()
-    items = items.withColumn("item", F.xxhash64("item_id", "text"))
-    kinds = F.transform(_words(template(F.col("text"))), lambda w: F.when(w.rlike(f"^[{NUMBER}-{NAME}]"), F.substring(w, 1, 1)))
-    asked = materialize(items.select("item", "item_id", kinds.alias("kinds"), plain_words(F.col("text")).alias("item_words")), "benchmark")
-    shown = materialize(_windows(items, ["item"]).toDF("item", "item_pos", "w").distinct(), "benchmark-windows")
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").where("text is not null").withColumn("t", text_hash(F.col("text")))
-    met = _windows(rows, ["doc_id", "t"]).join(broadcast_if_small(shown, MAX_BROADCAST), "w")
-    aligned = met.groupBy("doc_id", "t", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + (WINDOW - 1)))))
-    aligned = aligned.select("doc_id", "t", "item", F.struct("diagonal", covered.alias("words")).alias("a"))
-    reached = aligned.groupBy("doc_id", "t", "item").agg(F.collect_list("a").alias("alignments"))
-    reached = reached.join(asked.select("item", F.size("kinds").alias("n_words")), "item")
-    reached = materialize(reached.where(_enough(_places("alignments"), F.lit(COVERAGE))), "alignments")
-    texts = rows.join(broadcast_if_small(reached.select("t").distinct(), MAX_BROADCAST), "t", "left_semi")
-    texts = texts.select(F.col("doc_id").alias("_id"), "t", plain_words(F.col("text")).alias("doc_words")).dropDuplicates(["_id", "t"])
-    whole = reached.join(texts, ["t"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).join(asked, "item")
-
-    def slots(a: Column) -> Column:
-        held = F.filter(a["words"], lambda j: F.get("kinds", j).isNotNull())
-        one = lambda j: F.struct(F.get("kinds", j).alias("kind"), F.get("item_words", j).alias("item"), F.get("doc_words", j + a["diagonal"]).alias("doc"))
-        return F.array_distinct(F.transform(held, one))
-
-    filled = F.transform("alignments", lambda a: F.struct(a["words"].alias("words"), slots(a).alias("slots")))
-    return whole.select("doc_id", "t", "item_id", "item", "n_words", filled.alias("alignments"))
-
+def _kinds(words: Column) -> Column:
+    return F.transform(words, lambda w: F.when(w.rlike(f"^[{NUMBER}-{NAME}]"), F.substring(w, 1, 1)))
 
-def _places(alignments: str | Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(alignments, lambda a: a["words"])))
 
-
-def _enough(places: Column, coverage: Column) -> Column:
-    return F.size(places) >= coverage * F.col("n_words")
+def _covered(at: Column) -> Column:
+    """The places of the windows that start ``at``, in an item."""
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + (WINDOW - 1)))))
 
 
 def _one_to_one(slots: Column) -> Column:
     """Whether different slots hold different values of the item and different values of the document, by type."""
-    several = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s[side]))))
+    several = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: F.concat(s["kind"], s[side]))))
     return (several("item") == F.size(slots)) & (several("doc") == F.size(slots))
 
 
+def alignments(rows: DataFrame, bench: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """``(t, u, item, item_id, n_words, diagonal, words, slots)``: alignments of texts and items whose matching windows may hold enough words.
+
+    ``rows`` are (doc_id, text, t, u), t and u the text's hashes. words are places in the item; slots are
+    different structs of type, value in the item and value in the document.
+    """
+    items = pick(bench, item_col, item_text_col).toDF("item_id", "text").where("text is not null").distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    asked = items.select("item", "item_id", _kinds(_words(template(F.col("text")))).alias("kinds"), plain_words(F.col("text")).alias("item_words"))
+    # windows of placeholders alone, which an alignment takes in if types agree
+    starts = F.filter(F.sequence(F.lit(0), F.size("kinds") - WINDOW), lambda i: F.forall(F.slice("kinds", i + 1, WINDOW), lambda k: k.isNotNull()))
+    asked = asked.withColumn("free", F.when(F.size("kinds") >= WINDOW, starts).otherwise(F.array().cast("array<int>")))
+    asked = materialize(asked.withColumn("n_words", F.size("kinds")), "benchmark")
+    shown = materialize(_windows(items, ["item"]).toDF("item", "item_pos", "w").distinct(), "benchmark-windows")
+    met = _windows(rows, ["t", "u"]).join(broadcast_if_small(shown, MAX_BROADCAST), "w")
+    key = ["t", "u", "item", "diagonal"]
+    aligned = met.withColumn("diagonal", F.col("pos") - F.col("item_pos")).groupBy(*key).agg(F.collect_set("item_pos").alias("at"))
+    aligned = materialize(aligned, "diagonals")
+    # an item's places bound what a pair of text and item gathers here
+    pairs = aligned.select("t", "u", "item", F.explode("at").alias("at")).groupBy("t", "u", "item").agg(F.collect_set("at").alias("at"))
+    pairs = pairs.join(asked.select("item", "free", "n_words"), "item")
+    pairs = pairs.where(F.size(_covered(F.concat("at", "free"))) >= COVERAGE * F.col("n_words"))
+    pairs = materialize(pairs.select("t", "u", "item"), "pairs")
+    kept = materialize(aligned.join(pairs, ["t", "u", "item"], "left_semi").join(asked, "item"), "alignments")
+    texts = rows.join(broadcast_if_small(pairs.select("t", "u").distinct(), MAX_BROADCAST), ["t", "u"], "left_semi")
+    texts = texts.groupBy("t", "u").agg(F.first("text").alias("text"))
+    kinds = _kinds(_words(template(F.col("text")))).alias("kind")
+    said = texts.select("t", "u", F.arrays_zip(kinds, plain_words(F.col("text")).alias("word")).alias("said"))
+    said = said.select("t", "u", F.posexplode("said").alias("place", "said"))
+    said = materialize(said.select("t", "u", F.col("place").cast("long"), "said.kind", "said.word"), "words-of-documents")
+    # a row for each slot of the item in each alignment: what the document says there
+    slots = F.filter(F.sequence(F.lit(0), F.col("n_words") - 1), lambda j: F.get("kinds", j).isNotNull())
+    open_ = kept.select(*key, F.explode(slots).alias("j")).withColumn("place", (F.col("j") + F.col("diagonal")).cast("long"))
+    here = open_.join(said, ["t", "u", "place"]).groupBy(*key).agg(F.collect_list(F.struct("j", "kind", "word")).alias("here"))
+    whole = kept.join(here, key, "left").withColumn("here", F.coalesce("here", F.array().cast(here.schema["here"].dataType)))
+    agree = F.transform(F.filter("here", lambda x: x["kind"] == F.get("kinds", x["j"])), lambda x: x["j"])
+    whole = whole.withColumn("agree", agree)
+    taken = F.filter("free", lambda i: F.forall(F.sequence(i, i + (WINDOW - 1)), lambda j: F.array_contains("agree", j)))
+    whole = whole.withColumn("words", _covered(F.concat("at", taken)))
+    filled = F.filter("here", lambda x: F.array_contains("words", x["j"]))
+    filled = F.transform(filled, lambda x: F.struct(F.get("kinds", x["j"]).alias("kind"), F.get("item_words", x["j"]).alias("item"), x["word"].alias("doc")))
+    return whole.select(*key, "item_id", "n_words", "words", F.array_distinct(filled).alias("slots"))
+
+
 def contaminated(
     docs: DataFrame,
     bench: DataFrame,
@@ -155,25 +183,26 @@ def contaminated(
     t is the text's 64-bit hash; n_matched and n_words count words of the item; reworded: only alignments in
     which some slot holds another value than the item's cover enough.
     """
-    found = materialize(alignments(docs, bench, id_col, text_col, item_col, item_text_col), "slots")
-    same = F.filter("alignments", lambda a: F.forall(a["slots"], lambda s: s["item"] == s["doc"]))
-    consistent = F.filter("alignments", lambda a: _one_to_one(a["slots"]))
-    every = F.array_distinct(F.flatten(F.transform("alignments", lambda a: a["slots"])))
-    found = found.withColumns({"same": same, "consistent": consistent, "every": every})
-    found = found.withColumns(
-        {
-            "as_is": F.size(_places("same")),
-            "n_matched": F.greatest(
-                F.size(_places("same")),
-                F.coalesce(F.array_max(F.transform("consistent", lambda a: F.size(a["words"]))), F.lit(0)),
-                F.when(_one_to_one(F.col("every")), F.size(_places("alignments"))).otherwise(0),
-            ),
-        }
-    )
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").where("text is not null")
+    rows = rows.withColumns({"t": text_hash(F.col("text")), "u": F.xxhash64(F.lit(1), "text")})
+    found = materialize(alignments(rows, bench, item_col, item_text_col), "slots")
+    pair = ["t", "u", "item"]
+    same = F.forall("slots", lambda s: s["item"] == s["doc"])
+    found = found.withColumns({"same": same.cast("int"), "one": F.when(_one_to_one(F.col("slots")), F.size("words"))})
+    best = found.groupBy(*pair).agg(F.first("item_id").alias("item_id"), F.first("n_words").alias("n_words"), F.coalesce(F.max("one"), F.lit(0)).alias("one"))
+    places = found.select(*pair, "same", F.explode("words").alias("place")).groupBy(*pair, "place").agg(F.max("same").alias("same"))
+    places = places.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_places"), F.sum("same").alias("as_is"))
+    every = found.select(*pair, F.explode("slots").alias("s")).select(*pair, F.col("s.kind").alias("kind"), F.col("s.item").alias("ours"), F.col("s.doc").alias("theirs")).distinct()
+    several = [F.count(F.lit(1)).alias("n_slots"), F.count_distinct("kind", "ours").alias("n_ours"), F.count_distinct("kind", "theirs").alias("n_theirs")]
+    best = best.join(places, pair).join(every.groupBy(*pair).agg(*several), pair, "left").fillna(0, ["n_slots", "n_ours", "n_theirs"])
+    all_agree = (F.col("n_ours") == F.col("n_slots")) & (F.col("n_theirs") == F.col("n_slots"))
+    best = best.withColumn("n_matched", F.greatest("as_is", "one", F.when(all_agree, F.col("n_places")).otherwise(0)))
     enough = F.lit(COVERAGE) * F.col("n_words")
-    return found.where(F.col("n_matched") >= enough).select(
+    best = materialize(best.where(F.col("n_matched") >= enough), "contaminated-texts")
+    named = rows.select("doc_id", "t", "u").join(broadcast_if_small(best, MAX_BROADCAST), ["t", "u"])
+    return named.dropDuplicates(["doc_id", *pair]).select(
         "doc_id", "t", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_words").cast("long").alias("n_words"),
-        F.round(F.col("n_matched") / F.col("n_words"), 6).alias("coverage"), F.size("every").cast("long").alias("n_slots"),
+        F.round(F.col("n_matched") / F.col("n_words"), 6).alias("coverage"), F.col("n_slots").cast("long").alias("n_slots"),
         (F.col("as_is") < enough).alias("reworded"),
     )
 

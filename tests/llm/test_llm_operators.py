@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -756,13 +757,24 @@ def plain_contaminated(rows, items, share=0.8):
     for item_id, item in {x for x in items if x[1]}:
         t, n, kinds, values = words(item)
         for doc_id, text in rows:
-            dt, dn, _, dv = words(text or "")
+            dt, dn, dk, dv = words(text or "")
+            figures, marks = set(d.NUMBER + d.UNIT + d.NUMBER_UNIT), set(d.NUMBER + d.UNIT + d.NUMBER_UNIT + d.NAME)
+
+            def keys(typed, named, plain):
+                if all(w[0] in figures for w in named):
+                    return {("values", *plain)}
+                return {tuple(named)} if all(w[0] in marks for w in typed) else {tuple(typed), tuple(named)}
+
             found = collections.defaultdict(set)
             for p in range(len(dt) - 4):
-                doc = {tuple(dt[p : p + 5]), tuple(dn[p : p + 5])}
+                doc = keys(dt[p : p + 5], dn[p : p + 5], dv[p : p + 5])
                 for q in range(len(t) - 4):
-                    if doc & {tuple(t[q : q + 5]), tuple(n[q : q + 5])}:
+                    if doc & keys(t[q : q + 5], n[q : q + 5], values[q : q + 5]):
                         found[p - q] |= set(range(q, q + 5))
+            for g, places in found.items():  # windows of placeholders alone on a diagonal that others found
+                for q in range(len(t) - 4):
+                    if all(kinds[q : q + 5]) and 0 <= q + g and dk[q + g : q + g + 5] == kinds[q : q + 5]:
+                        places |= set(range(q, q + 5))
             slots = {g: {(kinds[j], values[j], dv[j + g]) for j in places if kinds[j]} for g, places in found.items()}
             same = set().union(*(places for g, places in found.items() if all(a == b for _, a, b in slots[g])))
             best = max([len(same), *(len(places) for g, places in found.items() if ok(slots[g]))])
@@ -800,6 +812,30 @@ def test_decontamination_equals_its_definition(spark, monkeypatch, most):
     assert len(want) > 20 and any(x[-1] for x in want) and got == want
 
 
+def test_runs_of_numbers(spark):
+    rng = random.Random(2)
+    run = lambda k: " ".join(str(rng.randrange(1000)) for _ in range(k))
+    items = [(0, "Sort 31 14 15 92 65 35 89 79 now"), (1, "31 14 15 92 65 35 89 79"), (2, "What follows 1 2 3 4 5 6 7 8 9 10 km 11 in the series?"), (3, "0 0 0 0 0 0 0 0")]
+    rows = [(1, "Sort 7 8 9 10 11 12 13 14 now"), (2, "Sort 7 8 7 10 11 12 13 14 now"), (3, "31 14 15 92 65 35 89 79"), (4, "7 8 9 10 11 12 13 14"), (5, run(300)), (6, run(40) + " 31 14 15 92 65 35 89 79 " + run(40))]
+    rows += [(7, "What follows 2 4 6 8 10 12 14 16 18 20 miles 22 in the series?"), (8, "0 " * 60), (9, "Sort 7 8 9 10 11"), (10, "what follows " + run(9)), (11, "0 1 0 1 0 1 0 1 0 1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(getattr(r, c) for c in ("doc_id", "item_id", "n_matched", "n_words", "n_slots", "reworded")) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert got == plain_contaminated(rows, items)
+    assert {x[:2] for x in got} >= {(1, 0), (3, 1), (6, 1), (7, 2), (8, 3)} and not {x[0] for x in got} & {2, 4, 5, 9, 10, 11}
+
+
+def test_a_document_of_a_hundred_thousand_numbers(spark):
+    rng = random.Random(6)
+    numbers = [str(rng.randrange(100)) for _ in range(100_000)]
+    numbers[50_000:50_008] = "31 14 15 92 65 35 89 79".split()
+    items = [(i, "Sort " + " ".join(str(rng.randrange(100)) for _ in range(12))) for i in range(30)] + [(50, "31 14 15 92 65 35 89 79")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    start = time.time()
+    got = decontaminate.contaminated(frame(spark, [(1, " ".join(numbers)), (2, "0 " * 100_000)]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.n_matched) for r in got] == [(1, 50, 8)]
+    assert time.time() - start < 60
+
+
 def test_texts_do_not_travel_with_windows(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     plans = []
