@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators import carry as C
 from chronoweave.operators import learning as L
-from chronoweave.operators import matching as M
 from chronoweave.operators import metrics as Q
 from chronoweave.operators import signal as G
+from chronoweave.operators import sorting as S
 from chronoweave.plans.registry import query
 from chronoweave.sources.tables import EVENTS, events, table, templates
 
@@ -144,27 +145,47 @@ def _bank(spark, sf):
     return templates(spark, sf).where("unit % 10 = 0").select("grp", "unit", "wf")
 
 
-SHAPE = (4, 2)  # channels, shifts
+#: Windows of a fold, samples of a template (a bump on each channel of a group), and energy from which one is an event.
+WINDOW, LENGTH, ENERGY = 512, 8, 30000.0
+
+
+def bumps(spark, sf):
+    """A bank for the trace: a unit for each channel of a group."""
+    bump = [float(v) for v in 100 * np.exp(-((np.arange(LENGTH) - 3.0) ** 2) / 2)]
+    wf = F.array(*[F.when(F.col("unit") == c, F.lit(v)).otherwise(F.lit(0.0)) for v in bump for c in range(4)])
+    return trace(spark, sf).select("grp").distinct().crossJoin(spark.range(4).withColumnRenamed("id", "unit")).select("grp", "unit", wf.alias("wf"))  # 4 rows a group
+
+
+def fold(spark, sf, **more):
+    free = {"amplitude_variance": float("inf"), "jitter_factor": 1, "refractory_period_frames": 4}
+    return C.carry_forward(trace(spark, sf), bumps(spark, sf), WINDOW, LENGTH, 4, threshold=ENERGY, gate=0.6, least=5, cap=0.5, shifts=1, block=200, **free, **more)
+
+
+def _starts(part):
+    """The sorter's trains, at the frames where templates start."""
+    return S.sort_trace(part.withColumn("value", -F.col("value")), 3.0, 5, 3, 5, 4, block=BLOCK).withColumn("frame", F.col("frame") - 3)
 
 
 @query("it2_carry_forward")
 def it2_carry_forward(spark, sf):
-    return M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, 0.2, shape=SHAPE)
+    return fold(spark, sf).events.select("grp", "win", "frame", "unit", F.round("scale", 6).alias("scale"), F.round("r", 6).alias("r"))
 
 
 @query("it2_match_counts")
 def it2_match_counts(spark, sf):
-    return M.window_counts(M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, 0.2, shape=SHAPE))
+    return C.window_counts(fold(spark, sf).events)
 
 
 @query("it3_carry_forward_reseed")
 def it3_carry_forward_reseed(spark, sf):
-    return M.carry_forward(_windows(spark, sf), _bank(spark, sf), 0.15, 3, None, every=2, new_below=0.8, born=(3, 1.0), shape=SHAPE)
+    found = fold(spark, sf, every=2, sorter=_starts, born=(10, 0.5), new_below=0.99)
+    births = found.births.select("grp", "win", "unit", "n", F.round("likeness", 6).alias("likeness"))
+    return C.window_counts(found.events).join(births.drop("n"), ["grp", "win", "unit"], "full")
 
 
 @query("ex1_cluster_groups")
 def ex1_cluster_groups(spark, sf):
-    return M.cluster(_windows(spark, sf))
+    return S.cluster(_windows(spark, sf))
 
 
 @query(
@@ -178,13 +199,35 @@ def ex1_snippets(spark, sf):
     x = trace(spark, sf).withColumn("value", -F.col("value"))
     weight = F.array(*[F.lit(float(1 + c)) for _ in range(12) for c in range(4)])
     total = F.aggregate(F.zip_with("wf", weight, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v)
-    s = M.snippets(x, G.exclusive_peaks(x, 3.0, 5, BLOCK), 4, 8, 4)
+    s = S.snippets(x, G.exclusive_peaks(x, 3.0, 5, BLOCK), 4, 8, 4)
     return s.select("grp", "spike", F.size("wf").cast("long").alias("n"), F.round(total, 5).alias("total"))
 
 
+_WHOLE = f"""WITH {_TRACE}, mx AS (SELECT grp, min(m) AS m FROM (SELECT grp, channel, max(frame) AS m FROM tr GROUP BY 1, 2) GROUP BY 1), wt AS (SELECT tr.* FROM tr JOIN mx ON mx.grp = tr.grp WHERE frame <= m)"""
+
+
+def _whole(spark, sf):
+    """The trace as far as all channels of a group go."""
+    t = trace(spark, sf)
+    ends = t.groupBy("grp", "channel").agg(F.max("frame").alias("m")).groupBy("grp").agg(F.min("m").alias("m"))
+    return t.join(ends, "grp").where("frame <= m").drop("m")
+
+
+@query("ex1_covariance", f"{_WHOLE} SELECT a.grp, a.channel AS i, b.channel AS j, round(covar_pop(a.value, b.value), 5) AS cov FROM wt a JOIN wt b ON a.grp = b.grp AND a.frame = b.frame GROUP BY 1, 2, 3")
+def ex1_covariance(spark, sf):
+    return S.covariance(_whole(spark, sf)).withColumn("cov", F.round("cov", 5))
+
+
+@query("ex1_whitened", f"{_WHOLE}, c AS (SELECT DISTINCT grp, channel FROM wt) SELECT a.grp, a.channel AS i, b.channel AS j, CASE WHEN a.channel = b.channel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cov FROM c a JOIN c b ON a.grp = b.grp")
+def ex1_whitened(spark, sf):
+    t = _whole(spark, sf)
+    white = S.whitened(t, S.whitening(S.covariance(t)))
+    return S.covariance(white).withColumn("cov", F.round("cov", 6) + 0.0)  # no negative zeros
+
+
 @query("ex1_sort_trace")
 def ex1_sort_trace(spark, sf):
-    return M.sort_trace(trace(spark, sf).withColumn("value", -F.col("value")), 3.0, 5, 4, 8, 4, block=BLOCK)
+    return S.sort_trace(trace(spark, sf).withColumn("value", -F.col("value")), 3.0, 5, 4, 8, 4, block=BLOCK)
 
 
 def _unit_features(spark, sf):

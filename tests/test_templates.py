@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import arrays as A
-from chronoweave.operators import matching as M
 from chronoweave.operators import templates as T
 
 SAMPLES, CHANNELS = 90, 4
@@ -70,42 +69,3 @@ def test_purity_of_counts(spark):
     got = {r.unit: r for r in T.purity(T.match_counts(m, [])).collect()}
     assert (got[0].n, got[0].n_finite, got[0].best_match_frac, got[0].neighbor_win_frac, got[0].top_neighbor, got[0].top_neighbor_frac) == (11, 10, 0.7, 0.3, 1, 0.3)
     assert (got[1].n, got[1].best_match_frac, got[1].top_neighbor, got[1].top_neighbor_frac) == (4, 1.0, -1, 0.0)
-
-
-def test_pursuit_finds_planted_templates():
-    t = np.arange(40)
-    w = -100 * np.exp(-((t - 15.0) ** 2) / 8)
-    bank = np.zeros((2, 40, 4))
-    bank[0, :, 0], bank[0, :, 1], bank[1, :, 2], bank[1, :, 3] = w, 0.3 * w, w, 0.3 * w
-    trace = np.zeros((1500, 4))
-    trace[485:525] += bank[0]
-    trace[885:925] += 0.5 * bank[1]
-    found = M.pursue(trace, bank, 0.1 * (bank[0] ** 2).sum())
-    assert sorted((a, k) for a, k, _ in found) == [(485, 0), (885, 1)]
-    assert {k: round(s, 6) for _, k, s in found} == {0: 1.0, 1: 0.5}
-    assert M.pursue(trace[:10], bank, 1.0) == []
-
-
-def test_matcher_parameters():
-    assert M.matcher_parameters(3.0)["threshold"] == 3.0
-    assert M.matcher_parameters(factor=0.5, norms_sq=[1.0, 4.0, 9.0])["threshold"] == 2.0
-    with pytest.raises(ValueError, match="factor"):
-        M.matcher_parameters()
-
-
-def test_carry_forward_follows_drift_and_founds_units(spark):
-    turn = lambda a: [math.cos(a), math.sin(a), 0.0]
-    rows = [(0, w, 10 * w + i, turn(0.3 * w + 0.01 * i)) for w in range(5) for i in range(4)] + [(0, w, 100 + 10 * w + i, [0.0, 0.0, 1.0 + i]) for w in range(5) for i in range(3)]
-    s = spark.createDataFrame(rows, "grp long, win long, spike long, wf array<double>")
-    b = spark.createDataFrame([(0, 7, turn(0.0))], "grp long, unit long, wf array<double>")
-    moving = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 3).collect()}
-    assert all(moving[x] == 7 for x in moving if x < 100) and all(moving[x] is None for x in moving if x >= 100)
-    reseeded = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 3, every=2, born=(3, 1.0), parts=1).collect()}
-    assert reseeded[101] is None and reseeded[121] == -1 and reseeded[141] == -1
-    # births are rows without a spike; too few snippets, or too much spread, found none
-    assert [(r.win, r.unit) for r in M.carry_forward(s, b, 0.9, 3, every=2, born=(3, 1.0), parts=1).where("spike is null").collect()] == [(1, -1)]
-    for born in ((4, 1.0), (3, 50.0)):
-        assert M.carry_forward(s, b, 0.9, 3, every=2, born=born, parts=1).where("unit < 0").count() == 0
-    assert M.window_counts(M.carry_forward(s, b, 0.9, 3)).agg({"n": "sum"}).first()[0] == 20
-    still = {r.spike: r.unit for r in M.carry_forward(s, b, 0.9, 99).collect()}
-    assert still[41] is None
