@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from chronoweave.functions.arrays import norm_sq
 from chronoweave.operators.trains import band_pairs, with_interval
+from chronoweave.plans.order import median, selected
+from chronoweave.plans.storage import materialize
 
 #: Contaminations that are tried, as shares of the rate, and the confidence that one must reach.
 TRIED = tuple(i / 200 for i in range(1, 71))
@@ -56,13 +58,15 @@ def interval_violations(train: DataFrame, frames: int, refractory: int) -> DataF
 
 def _poisson(most: pd.Series, mean: pd.Series) -> pd.Series:
     """Probability that a Poisson count is at most ``most``; by the normal law where the mean is large."""
-    out = []
-    for k, m in zip(most.to_numpy(), mean.to_numpy(), strict=True):
-        if m > 1000:
-            out.append(0.5 * math.erfc((m - k - 0.5) / math.sqrt(2 * m)))
+    k, m = np.floor(most.to_numpy(float)), mean.to_numpy(float)
+    out = np.where(k < 0, 0.0, 1.0)
+    wide = 40 * np.sqrt(np.maximum(m, 1.0))
+    for i in np.flatnonzero((k >= 0) & (k < m + wide) & (m > 0)):
+        if m[i] > 1000:
+            out[i] = 0.5 * math.erfc((m[i] - k[i] - 0.5) / math.sqrt(2 * m[i]))
         else:
-            i = np.arange(int(k) + 1)
-            out.append(min(1.0, float(np.exp(-m + i * math.log(m) - np.concatenate(([0.0], np.cumsum(np.log(i[1:]))))).sum())))
+            at = np.arange(int(k[i]) + 1)  # below m + 40 sqrt(m): some 2300 terms at most
+            out[i] = min(1.0, float(np.exp(-m[i] + at * math.log(m[i]) - np.concatenate(([0.0], np.cumsum(np.log(at[1:]))))).sum()))
     return pd.Series(out, dtype=float)
 
 
@@ -94,8 +98,8 @@ def synchrony(train: DataFrame, width: int, sizes: tuple[int, ...] = (2, 4, 8))
 
 def noise_levels(train: DataFrame) -> DataFrame:
     """``(grp, noise)``: the robust standard deviation of a group's values about their median."""
-    middle = train.groupBy("grp").agg(F.percentile("value", 0.5).alias("_c"))
-    return train.join(middle, "grp").groupBy("grp").agg((F.percentile(F.abs(F.col("value") - F.col("_c")), 0.5) / 0.6745).alias("noise"))
+    middle = median(train, ["grp"], F.col("value"), "_c")
+    return median(train.join(middle, "grp"), ["grp"], F.abs(F.col("value") - F.col("_c")), "_m").select("grp", (F.col("_m") / 0.6745).alias("noise"))
 
 
 def amplitudes(train: DataFrame, start: int, bin_frames: int, least: int) -> DataFrame:
@@ -107,8 +111,8 @@ def amplitudes(train: DataFrame, start: int, bin_frames: int, least: int) -> Dat
     """
     order = Window.partitionBy("unit").orderBy("frame", "value")
     step = train.withColumn("_d", F.col("value") - F.lag("value").over(order))
-    one = step.groupBy("grp", "unit").agg(F.percentile("value", 0.5).alias("amplitude_median"), (F.stddev_pop("_d") / math.sqrt(2)).alias("_sd"))
-    one = one.join(noise_levels(train), "grp")
+    one = step.groupBy("grp", "unit").agg((F.stddev_pop("_d") / math.sqrt(2)).alias("_sd"))
+    one = one.join(median(train, ["grp", "unit"], F.col("value"), "amplitude_median"), ["grp", "unit"]).join(noise_levels(train), "grp")
     over = lambda x: F.when(F.col("noise") > 0, x / F.col("noise"))
     binned = train.groupBy("unit", F.floor((F.col("frame") - start) / F.lit(bin_frames)).alias("_bin"))
     cv = binned.agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("value").alias("_s"), F.avg("value").alias("_m")).where((F.col("_n") >= least) & (F.col("_m") != 0))
@@ -122,8 +126,9 @@ def amplitudes(train: DataFrame, start: int, bin_frames: int, least: int) -> Dat
 
 def drift(train: DataFrame, start: int, bin_frames: int, least: int, place: str = "value") -> DataFrame:
     """``(unit, drift_ptp, drift_std, drift_mad)`` of the medians of a place over time bins, about the median of all."""
-    whole = train.groupBy("unit").agg(F.percentile(place, 0.5).alias("_c"))
-    part = train.groupBy("unit", F.floor((F.col("frame") - start) / F.lit(bin_frames)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.percentile(place, 0.5).alias("_m"))
+    whole = median(train, ["unit"], F.col(place), "_c")
+    binned = train.withColumn("_bin", F.floor((F.col("frame") - start) / F.lit(bin_frames)))
+    part = binned.groupBy("unit", "_bin").agg(F.count(F.lit(1)).alias("_n")).join(median(binned, ["unit", "_bin"], F.col(place), "_m"), ["unit", "_bin"])
     d = part.where(F.col("_n") >= least).join(whole, "unit").withColumn("_d", F.col("_m") - F.col("_c"))
     middle = d.groupBy("unit").agg(F.percentile("_d", 0.5).alias("_e"))
     return d.join(middle, "unit").groupBy("unit").agg(
@@ -235,9 +240,11 @@ def mahalanobis(snippets: DataFrame, d: int) -> DataFrame:
     met = met.select("grp", F.col("_u").alias("unit"), "_n", far.alias("_d"))
     half = F.col("_d") / 2
     beyond = F.exp(-half) * sum((F.pow(half, F.lit(k)) / math.factorial(k) for k in range(d // 2)), F.lit(0.0))
-    near = met.withColumns({"_k": F.row_number().over(Window.partitionBy("grp", "unit").orderBy("_d"))})
-    last = F.max(F.when(F.col("_k") <= F.col("_n"), F.col("_d")))
-    return near.groupBy("grp", "unit").agg(last.alias("isolation_distance"), (F.sum(beyond) / F.max("_n")).alias("l_ratio"))
+    met = materialize(met, "distances")
+    others = met.groupBy("grp", "unit").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_m"), (F.sum(beyond) / F.max("_n")).alias("l_ratio"))
+    ranks = others.select("grp", "unit", (F.least("_n", "_m") - 1).alias("rank"))
+    reached = selected(met, ["grp", "unit"], F.col("_d"), ranks, "isolation_distance").drop("rank")
+    return others.join(reached, ["grp", "unit"]).select("grp", "unit", "isolation_distance", "l_ratio")
 
 
 def silhouette(snippets: DataFrame, d: int) -> DataFrame:
@@ -250,15 +257,15 @@ def silhouette(snippets: DataFrame, d: int) -> DataFrame:
     return each.groupBy("grp", "unit").agg(F.avg((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).alias("silhouette"))
 
 
-def nearest_neighbours(snippets: DataFrame, k: int = 4, most: int = 10_000) -> DataFrame:
+def nearest_neighbours(snippets: DataFrame, k: int = 4, most: int | None = None) -> DataFrame:
     """``(grp, unit, nn_hit_rate, nn_miss_rate)`` of the ``k`` nearest snippets of each in its group.
 
     hit: share of the unit's neighbours that are its own; miss: share of the neighbours of other units that are the
-    unit's. At most ``most`` snippets of a unit take part, those of the smallest hashed numbers, as the metric has it.
+    unit's. All snippets take part, or with ``most`` so many of a unit, those of the smallest hashed numbers.
     Blocks meet in pairs, and each gives the nearest k of its rows. Ties go to the smaller number.
     """
     order = Window.partitionBy("grp", "unit").orderBy(F.xxhash64("spike"), "spike")
-    taken = snippets.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    taken = snippets if most is None else snippets.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     taken = taken.select("grp", F.col("unit").cast("long").alias("unit"), F.col("spike").cast("long").alias("spike"), "features")
     cut = taken.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
     dealt = taken.join(cut, "grp").withColumn("_b", F.pmod(F.xxhash64("spike"), F.col("_n")).cast("int"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.plans.order import median
+
 BLOCK = 1 << 16
 
 
@@ -281,9 +283,8 @@ def exclusive_peaks(trace: DataFrame, least: float, dead: int, block: int = BLOC
 
     Returns ``(grp, frame, amp_mad)``; of equal depths the earlier frame and lower channel stay.
     """
-    mad = trace.groupBy("channel").agg(F.percentile("value", 0.5).alias("_c"))
-    x = trace.join(mad, "channel")
-    noise = x.groupBy("channel").agg((F.percentile(F.abs(F.col("value") - F.col("_c")), 0.5) / 0.6745).alias("_n"))
+    x = trace.join(median(trace, ["channel"], F.col("value"), "_c"), "channel")
+    noise = median(x, ["channel"], F.abs(F.col("value") - F.col("_c")), "_m").select("channel", (F.col("_m") / 0.6745).alias("_n"))
     deep = x.join(noise, "channel").where("_n > 0").withColumn("amp", -F.col("value") / F.col("_n")).where(F.col("amp") >= least)
     own = F.floor(F.col("frame") / F.lit(block))
     inside = F.col("frame") - own * block
@@ -310,8 +311,8 @@ def transients(trace: DataFrame, cutoff: float, distance: int, mads: float = 6.0
     """
     low = lowpass_taps(cutoff, half)
     high = by_block(trace, lambda _, v: np.abs(v - filtered(v, low)), half, block)
-    middle = high.groupBy("channel").agg(F.percentile("value", 0.5).alias("_c"))
-    spread = high.join(middle, "channel").groupBy("channel").agg(F.percentile(F.abs(F.col("value") - F.col("_c")), 0.5).alias("_d"))
+    middle = median(high, ["channel"], F.col("value"), "_c")
+    spread = median(high.join(middle, "channel"), ["channel"], F.abs(F.col("value") - F.col("_c")), "_d")
     level = middle.join(spread, "channel").select("channel", (F.col("_c") + mads * 1.4826 * F.col("_d")).alias("threshold"))
     # neighbours across a block's edge come along with the halo of one frame
     cut = with_halo(high, block, 1)
@@ -340,5 +341,5 @@ def inband_error(trace: DataFrame, lossy: DataFrame, low: float, high: float, bl
     a = bandpass(trace, low, high, block=block).withColumnRenamed("value", "x")
     b = bandpass(lossy, low, high, block=block).select("channel", "frame", F.col("value").alias("y"))
     d = a.join(b, ["channel", "frame"])
-    floor = F.percentile(F.abs(F.col("x")), 0.5) / 0.6745
-    return d.groupBy("channel").agg(F.stddev_pop(F.col("x") - F.col("y")).alias("rms"), floor.alias("floor")).withColumn("share", F.col("rms") / F.col("floor"))
+    floor = median(d, ["channel"], F.abs("x"), "_m").select("channel", (F.col("_m") / 0.6745).alias("floor"))
+    return d.groupBy("channel").agg(F.stddev_pop(F.col("x") - F.col("y")).alias("rms")).join(floor, "channel").withColumn("share", F.col("rms") / F.col("floor"))

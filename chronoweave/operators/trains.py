@@ -7,6 +7,8 @@ joins meet in buckets as wide as the band.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,9 @@ def nearest_gap(query: DataFrame, ref: DataFrame, by: list[str] | None = None) -
     return both.where("_side = 1").select(*names, gap.alias("gap"))
 
 
+#: Blocks of a sweep are this many lags wide; event pairs looked at together.
+SWEEP_LAGS = 4
+SWEPT = 1 << 20
 #: Buckets of a tolerance join are this many tolerances wide: few references are repeated at their edges, and
 #: a group's frames still spread over many tasks.
 BUCKET_TOLERANCES = 256
@@ -142,12 +147,65 @@ def verdict(ratio: Column, n_co: Column, dip: float = 0.30, fill: float = 0.70,
     )
 
 
+def _swept(events: DataFrame, refractory: float, flank: tuple[float, float], lag: int) -> DataFrame:
+    """``(grp, unit_a, unit_b, central, flank)``: event pairs of units a < b, frame_a - frame_b from -lag to below lag, counted as they are met.
+
+    events: ``(grp, unit, frame, win, back, ahead)``. Frames are cut into blocks; a block also sees the ``lag`` frames
+    after it and counts the pairs whose earlier event is its own. It goes through its events in order and keeps
+    counts per pair of units, ``SWEPT`` event pairs at a time: no event pair is a row, and none is held.
+    """
+    width = SWEEP_LAGS * lag
+    own = F.floor(F.col("frame") / F.lit(width))
+    near = F.array_compact(F.array(own, F.when(F.col("frame") - own * width <= lag, own - 1)))
+    beside = [F.coalesce(c, F.lit(False)).alias(c) for c in ("back", "ahead")]
+    cut = events.select("grp", "unit", "frame", "win", *beside, own.alias("own"), F.explode(near).alias("block"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, unit = np.unique(pdf.unit.to_numpy(), return_inverse=True)
+        order = np.argsort(pdf.frame.to_numpy(), kind="stable")
+        unit, frame, win = unit[order], pdf.frame.to_numpy(np.int64)[order], pdf.win.to_numpy(np.int64)[order]
+        back, ahead = (pdf[c].to_numpy(bool)[order] for c in ("back", "ahead"))
+        first = np.arange(len(frame))[(pdf.own.to_numpy() == key[1])[order]]
+        met = np.searchsorted(frame, frame[first] + lag, "right") - first - 1
+        size = len(names) ** 2
+        codes, numbers = (np.arange(size) if size <= SWEPT else np.zeros(0, np.int64)), np.zeros((2, size if size <= SWEPT else 0), np.int64)
+        ends = np.cumsum(met)
+        at = 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SWEPT, "right")))
+            times = met[at:to]
+            i = np.repeat(first[at:to], times)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+            at, d = to, frame[j] - frame[i]
+            central, side = d <= refractory, (d >= flank[0]) & (d <= flank[1])
+            # as a lag is no longer than a window, events lie in one window or in neighbouring ones
+            counted = (central | side) & ((win[i] == win[j]) | (ahead[i] & back[j]))
+            counted &= (d < lag) | (unit[i] < unit[j])  # a pair at the lag itself counts if the earlier event is of unit a
+            i, j, central, side = i[counted], j[counted], central[counted], side[counted]
+            pair = np.minimum(unit[i], unit[j]) * len(names) + np.maximum(unit[i], unit[j])
+            if size <= SWEPT:
+                numbers += [np.bincount(pair[central], minlength=size), np.bincount(pair[side], minlength=size)]
+                continue
+            codes, where = np.unique(np.concatenate((codes, pair)), return_inverse=True)
+            old, new = where[: numbers.shape[1]], where[numbers.shape[1] :]
+            more = np.array([np.bincount(new[central], minlength=len(codes)), np.bincount(new[side], minlength=len(codes))])
+            more[:, old] += numbers
+            numbers = more
+        a, b = np.divmod(codes, max(1, len(names)))
+        some = (a != b) & numbers.any(axis=0)
+        return pd.DataFrame({"grp": key[0], "unit_a": names[a[some]], "unit_b": names[b[some]], "central": numbers[0, some], "flank": numbers[1, some]})
+
+    unit = events.schema["unit"].dataType.simpleString()
+    found = cut.groupBy("grp", "block").applyInPandas(run, f"grp {events.schema['grp'].dataType.simpleString()}, unit_a {unit}, unit_b {unit}, central long, flank long")
+    return found.groupBy("grp", "unit_a", "unit_b").agg(F.sum("central").alias("central"), F.sum("flank").alias("flank"))
+
+
 def ccg_verdicts(
     train: DataFrame, window: int, refractory: float, flank: tuple[float, float], lag: int, least_events: int = 5, least_flank: int = 30
 ) -> DataFrame:
     """Per pair of units of a group: co-active windows, central and flank counts, ratio and verdict (JN4).
 
-    Only windows where both units have ``least_events`` count; the band join sees nothing else.
+    Only windows where both units have ``least_events`` count; the sweep sees nothing else.
     """
     active = co_active(train, window, least_events)
     a = active.select("grp", F.col("unit").alias("unit_a"), "win")
@@ -165,14 +223,7 @@ def ccg_verdicts(
     beside = active.withColumns({"back": F.lag("win").over(order) == F.col("win") - 1, "ahead": F.lead("win").over(order) == F.col("win") + 1})
     win = F.floor(F.col("frame") / F.lit(window)).alias("win")
     active_events = train.select("grp", "unit", "frame", win).join(beside, ["grp", "unit", "win"])
-    met = band_pairs(active_events, active_events, lag, extra=("win", "back", "ahead")).where("unit_a < unit_b")
-    met = met.where("win_a = win_b or (win_b = win_a + 1 and ahead_a and back_b) or (win_a = win_b + 1 and ahead_b and back_a)")
-    # lags run from b to a, so the open end of the band is at +lag of a against b
-    d = F.abs(F.col("frame_a") - F.col("frame_b"))
-    counts = met.where(F.col("frame_a") - F.col("frame_b") < lag).groupBy("grp", "unit_a", "unit_b").agg(
-        F.sum((d <= refractory).cast("long")).alias("central"),
-        F.sum(((d >= flank[0]) & (d <= flank[1])).cast("long")).alias("flank"),
-    )
+    counts = _swept(active_events, refractory, flank, lag)
     out = pairs.join(n_co, ["grp", "unit_a", "unit_b"], "left").join(counts, ["grp", "unit_a", "unit_b"], "left")
     out = out.na.fill(0, ["n_co", "central", "flank"])
     ratio = F.when(F.col("flank") >= least_flank, (F.col("central") / (2 * refractory)) / (F.col("flank") / (2 * (flank[1] - flank[0]))))

@@ -1,8 +1,10 @@
 import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.plans import storage
+from chronoweave.plans import order, storage
 
 
 def test_tables_are_written_and_cleared(spark):
@@ -31,3 +33,24 @@ def test_broadcast_only_within_the_bound(spark):
 def test_pick_is_exact(spark):
     df = spark.range(2).select(F.col("id").alias("Text"), (F.col("id") + 10).alias("text"), (F.col("id") + 20).alias("text"))
     assert [tuple(r) for r in storage.pick(df, "text").orderBy("text").collect()] == [(10,), (11,)]
+
+
+@pytest.mark.parametrize("held", [20, 100_000])
+def test_quantiles_and_ranks_by_refining_histograms(spark, monkeypatch, held):
+    monkeypatch.setattr(order, "HELD", held)
+    monkeypatch.setattr(order, "BINS", 8)
+    rng = np.random.default_rng(1)
+    groups = {
+        "normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 900).astype(float), "one": np.full(500, 2.5), "few": np.array([3.0, 1.0]), "single": np.array([7.0]),
+        "wide": np.concatenate((rng.normal(size=400) * 1e300, rng.normal(size=400) * 1e-300, [0.0, -0.0, 1.7e308, -1.7e308])), None: rng.exponential(size=800) ** 9,
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("few", None), ("few", float("nan")), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r.g: list(r.q) for r in order.quantiles(df, ["g"], F.col("v"), shares).collect()}
+    want = {r.g: list(r.q) for r in df.where("v is not null and not isnan(v)").groupBy("g").agg(F.percentile("v", shares).alias("q")).collect()}
+    assert got == want and set(got) == set(groups)
+    ranks = [(g, int(k)) for g, x in groups.items() for k in {0, len(x) // 3, len(x) - 1}] + [("few", 99), ("nothing", 0)]
+    found = order.selected(df, ["g"], F.col("v"), spark.createDataFrame(ranks, "g string, rank long"), "x").collect()
+    assert {(r.g, r.rank): r.x for r in found} == {(g, k): float(np.sort(groups[g])[k]) for g, k in ranks if g in groups and k < len(groups[g])}
+    assert order.median(df.limit(0), ["g"], F.col("v"), "m").collect() == []

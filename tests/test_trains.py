@@ -1,5 +1,7 @@
+import collections
 import random
 
+import numpy as np
 import pytest
 from hypothesis import assume, given, settings
 from hypothesis import strategies as st
@@ -164,3 +166,20 @@ def test_scoreboard_text():
     rows = [{"label": "a", "axis_a": {"overall": 99.5}, "axis_b": {"w": 0.91}}, {"label": "b"}]
     text = Q.scoreboard_text(rows, [("cover", ("axis_a", "overall")), ("purity", ("axis_b", "w"))])
     assert len(text.splitlines()) == 3 and "99.5" in text and "0.910" in text and "-" in text.splitlines()[2]
+
+
+@pytest.mark.parametrize("swept", [1 << 20, 50])
+def test_swept_counts_equal_all_pairs(spark, monkeypatch, swept):
+    monkeypatch.setattr(T, "SWEPT", swept)
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(u), int(f)) for g, u, f in zip(rng.integers(0, 2, 900), rng.integers(0, 7, 900), rng.integers(0, 4000, 900), strict=True)]
+    rows += [(0, 1, 100), (0, 2, 200), (0, 2, 300), (0, 1, 400), (0, 1, 1000), (0, 2, 1000), (0, 2, 1000)]
+    train = spark.createDataFrame(rows, "grp long, unit long, frame long").repartition(3)
+    lag, window, refractory, flank, least = 100, 250, 5.0, (20.0, 100.0), 4
+    got = {(r.grp, r.unit_a, r.unit_b): (r.n_co, r.central, r.flank) for r in T.ccg_verdicts(train, window, refractory, flank, lag, least, 3).collect()}
+    n = collections.Counter((g, u, f // window) for g, u, f in rows)
+    for (g, a, b), found in got.items():
+        both = {w for (h, u, w), k in n.items() if (h, u) == (g, a) and k >= least and n[g, b, w] >= least}
+        d = [abs(x - y) for h, u, x in rows if (h, u) == (g, a) and x // window in both for k, v, y in rows if (k, v) == (g, b) and y // window in both and -lag <= x - y < lag]
+        assert found == (len(both), sum(v <= refractory for v in d), sum(flank[0] <= v <= flank[1] for v in d))
+    assert len(got) == 42 and sum(f[2] for f in got.values()) > 500
