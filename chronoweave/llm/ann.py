@@ -41,6 +41,8 @@ SEED = 20240
 #: Candidates of a block that are ranked anew with one fixed order of summing, and those within this of the last of them.
 RERANKED = 16
 ROUNDING = 1e-9
+#: Candidates whose components are gathered at once.
+TIED = 1 << 14
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -139,7 +141,9 @@ def _rank_block(keep: int):
             last = -np.partition(-near, min(wide, len(c)) - 1, axis=1)[:, min(wide, len(c)) - 1]
             row, column = np.nonzero((near >= last[:, None] - ROUNDING) & np.isfinite(near))
             a, b = part[row], c[column]
-            score = _cosines(rows[a], rows[b])
+            # thousands may tie at the cut: their components are gathered a slice at a time
+            cut = range(0, max(1, len(a)), TIED)
+            score = np.concatenate([_cosines(rows[a[s : s + TIED]], rows[b[s : s + TIED]]) for s in cut])
             order = np.lexsort((ids[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             first = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1)) if len(a) else np.zeros(0, int)

@@ -899,6 +899,21 @@ def test_scaled_copies_and_extreme_components(spark):
     assert len({s for _, s in out.values()}) == 1 and abs(out[0, 1][1] - 1) < 1e-15
 
 
+def test_ten_thousand_scaled_copies_tie(spark):
+    """Bytes differ, so no copy is dropped beforehand; all tie at the cut of every query, and smaller numbers win."""
+    x = np.random.default_rng(3).normal(size=16)
+    rows = [(i, (x * 2.0 ** (i % 40 - 20) * (1 if i % 40 != 7 else 3.0)).tolist()) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(df, 5, 500).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 20
+    for q, found in got.items():
+        # scores of scaled copies are equal but for rounding; of exactly equal ones the smaller number is first
+        assert len(found) == 5 and all(s > 1 - 1e-12 for _, s in found) and q not in [v for v, _ in found]
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+
+
 def test_copies_are_ranked_by_number(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
