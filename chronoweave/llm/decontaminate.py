@@ -97,7 +97,7 @@ def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     typed = F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(NAME), F.lit(NAME)).otherwise(w)))
     named = F.transform("words", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME))))
     # 0: number or unit, 1: name, 2: neither
-    sort = F.transform("words", lambda w: F.when(w.startswith(NAME), 1).when(w.rlike(f"^[{NUMBER}-{NUMBER_UNIT}]"), 0).otherwise(2))
+    sort = F.transform("words", lambda w: F.when(w.startswith(NAME), 1).when((w >= NUMBER) & (w < NAME), 0).otherwise(2))
     words = words.select(*keep, typed.alias("typed"), named.alias("named"), sort.alias("sort"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
     shifted = [F.slice(kind, F.lit(1 + j), F.size(kind)).alias(f"{kind}{j}") for kind in ("typed", "named", "sort", "values") for j in range(WINDOW)]
     zipped = words.select(*keep, F.arrays_zip(*shifted).alias("windows"))
@@ -112,7 +112,7 @@ def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _kinds(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.rlike(f"^[{NUMBER}-{NAME}]"), F.substring(w, 1, 1)))
+    return F.transform(words, lambda w: F.when((w >= NUMBER) & (w < VALUES), F.substring(w, 1, 1)))
 
 
 def _covered(at: Column) -> Column:
