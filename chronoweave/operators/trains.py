@@ -31,7 +31,7 @@ def nearest_gap(query: DataFrame, ref: DataFrame, by: list[str] | None = None) -
 
 #: Blocks of a sweep are this many lags wide; event pairs looked at together.
 SWEEP_LAGS = 4
-SWEPT = 1 << 20
+SWEPT = 1 << 17
 #: Buckets of a tolerance join are this many tolerances wide: few references are repeated at their edges, and
 #: a group's frames still spread over many tasks.
 BUCKET_TOLERANCES = 256

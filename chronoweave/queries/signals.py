@@ -12,6 +12,8 @@ from chronoweave.operators import metrics as Q
 from chronoweave.operators import signal as G
 from chronoweave.operators import sorting as S
 from chronoweave.plans.registry import query
+from chronoweave.plans.storage import own_path
+from chronoweave.sources.blocks import read_blocks, write_blocks
 from chronoweave.sources.tables import EVENTS, events, table, templates
 
 #: The events of a group, in order, are the samples of a channel.
@@ -251,3 +253,16 @@ def ml3_label_units(spark, sf):
 @query("ml2_cross_validation")
 def ml2_cross_validation(spark, sf):
     return L.cross_validate(_unit_features(spark, sf), FEATURES, "label", "unit")
+
+
+STEP = 0.25
+
+
+@query("snk1_trace_blocks", f"WITH {_TRACE} SELECT grp, channel, count(*) AS n, min(frame) AS first, max(frame) AS last, sum(round(value / {STEP}))::BIGINT AS steps FROM tr WHERE channel % 2 = 1 AND frame >= 100 GROUP BY 1, 2")
+def snk1_trace_blocks(spark, sf):
+    # half of the channels and all but the first frames, so that the reader has something to spare
+    path = own_path(spark, "trace-blocks")
+    write_blocks(trace(spark, sf), path, 256, STEP)
+    x = read_blocks(spark, path).where(F.col("channel").isin(1, 3, 5, 7) & (F.col("frame") >= 100))
+    steps = F.sum(F.round(F.col("value") / STEP)).cast("long").alias("steps")
+    return x.groupBy("grp", F.col("channel").cast("long").alias("channel")).agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"), steps)

@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 from pyspark.sql.window import Window
 
+from chronoweave.sources.pushdown import Bounds, Wanted, enable
+
 PER_GROUP = 4
 _STREAM = "CUSTOM_PARAMETERS struct<STREAM: struct<CH: array<struct<_index: int, _enabled: int>>>>"
 _PROCESSOR = f"_name string, {_STREAM}"
@@ -51,7 +53,7 @@ def settings_names(experiment: Column) -> Column:
 
 def settings_for_block(folder: str, block: int) -> str:
     """Path of the settings of the ``block``-th experiment folder, in numeric order (SRC2); in any file system."""
-    files, inside = _file_system(folder)
+    files, inside = file_system(folder)
     names = [x.base_name for x in files.get_file_info(pafs.FileSelector(inside))]
     numbers = sorted(int(m[1]) for name in names if (m := re.fullmatch(r"experiment(\d+)", name)))
     if not 0 <= block < len(numbers):
@@ -59,7 +61,7 @@ def settings_for_block(folder: str, block: int) -> str:
     return f"{folder.rstrip('/')}/{settings_name(numbers[block])}"
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+]*:/", path) else (pafs.LocalFileSystem(), os.path.abspath(path))
 
@@ -145,7 +147,7 @@ class ExperimentParams:
 
     @classmethod
     def load(cls, path: str) -> ExperimentParams:
-        files, inside = _file_system(path)
+        files, inside = file_system(path)
         with files.open_input_file(inside) as f:
             raw = json.loads(f.read())
         return cls(**{k: v for k, v in raw.items() if k in {x.name for x in fields(cls)}})
@@ -156,7 +158,7 @@ class ExperimentParams:
         out = asdict(self)
         if self.t0_unix is not None:
             out["t0"] = datetime.fromtimestamp(self.t0_unix, UTC).isoformat()
-        files, inside = _file_system(path)
+        files, inside = file_system(path)
         files.create_dir(os.path.dirname(inside), recursive=True)
         with files.open_output_stream(inside) as f:
             f.write(json.dumps(out, indent=2).encode())
@@ -204,7 +206,8 @@ class RawSamples(DataSource):
 
     Options: path, channels (in a frame), gains (comma-separated, or one), selected (channel numbers, in
     order), start and end frames, chunk (frames in a partition). Rows are (channel, frame, value): only the
-    selected channels and frames are read, a partition at a time.
+    selected channels and frames are read, a partition at a time. Filters on frame spare partitions and reads,
+    filters on channel spare rows.
     """
 
     @classmethod
@@ -226,17 +229,28 @@ class _RawReader(DataSourceReader):
         self.selected = [int(x) for x in options.get("selected", ",".join(map(str, range(self.channels)))).split(",")]
         if bad := [c for c in self.selected if not 0 <= c < self.channels]:
             raise ValueError(f"no channels {bad} among {self.channels}")
-        files, inside = _file_system(self.path)
+        files, inside = file_system(self.path)
         frames = files.get_file_info(inside).size // (2 * self.channels)
         self.first, self.last = int(options.get("start", 0)), min(int(options.get("end", frames)), frames)
         self.chunk = int(options.get("chunk", 1 << 20))
+        self.wanted = Wanted({"channel": Bounds(), "frame": Bounds()})
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        self.wanted.take(filters)
+        frame = self.wanted.columns["frame"]
+        self.first = self.first if frame.low is None else max(self.first, frame.low)
+        self.last = self.last if frame.high is None else min(self.last, frame.high + 1)
+        self.selected = self.wanted.columns["channel"].among(self.selected)
+        yield from filters
 
     def partitions(self) -> list[InputPartition]:
-        return [_Chunk(a, min(a + self.chunk, self.last)) for a in range(self.first, self.last, self.chunk)] or [_Chunk(0, 0)]
+        frame = self.wanted.columns["frame"]
+        cut = [(a, min(a + self.chunk, self.last)) for a in range(self.first, self.last, self.chunk)] if self.selected else []
+        return [_Chunk(a, b) for a, b in cut if frame.wants(a, b - 1)] or [_Chunk(0, 0)]
 
     def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 18) // max(1, len(self.selected)))
-        files, inside = _file_system(self.path)
+        files, inside = file_system(self.path)
         gain = np.array([self.gains[c] for c in self.selected], np.float32)
         with files.open_input_file(inside) as f:
             for a in range(partition.first, partition.last, step):
@@ -250,6 +264,7 @@ class _RawReader(DataSourceReader):
 
 
 def read_raw(spark: SparkSession, path: str, channels: int, **options) -> DataFrame:
+    enable(spark)
     spark.dataSource.register(RawSamples)
     return spark.read.format("raw_samples").options(path=path, channels=str(channels), **{k: str(v) for k, v in options.items()}).load()
 

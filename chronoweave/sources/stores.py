@@ -19,8 +19,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_trace(trace: DataFrame, path: str, group: str = "grp", order: str = "frame") -> None:
-    """A folder per group, ordered by frame within files, so reads of a group or a time span skip the rest (SNK1)."""
-    trace.repartition(group).sortWithinPartitions(group, order).write.mode("overwrite").option("compression", "zstd").partitionBy(group).parquet(path)
+    """A folder per group, ordered by frame within files, so reads of a group or a time span skip the rest (SNK1).
+
+    Rows are dealt by ranges of group and frame, so a long group is several files. For quantised blocks see
+    :func:`chronoweave.sources.blocks.write_blocks`.
+    """
+    trace.repartitionByRange(group, order).sortWithinPartitions(group, order).write.mode("overwrite").option("compression", "zstd").partitionBy(group).parquet(path)
 
 
 def overwrite(df: DataFrame, path: str) -> None:
