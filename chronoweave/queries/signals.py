@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from chronoweave.operators import carry as C
 from chronoweave.operators import learning as L
 from chronoweave.operators import metrics as Q
+from chronoweave.operators import recursive as R
 from chronoweave.operators import signal as G
 from chronoweave.operators import sorting as S
 from chronoweave.plans.registry import query
@@ -266,3 +267,41 @@ def snk1_trace_blocks(spark, sf):
     x = read_blocks(spark, path).where(F.col("channel").isin(1, 3, 5, 7) & (F.col("frame") >= 100))
     steps = F.sum(F.round(F.col("value") / STEP)).cast("long").alias("steps")
     return x.groupBy("grp", F.col("channel").cast("long").alias("channel")).agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"), steps)
+
+
+_SECTIONS = R.butterworth(2, 0.05, 0.3)
+
+
+def _stepped(x: str, z: list[str]) -> tuple[str, list[str]]:
+    """SQL of a filter's output and next state."""
+    then = []
+    for i, (b0, b1, b2, a1, a2) in enumerate(_SECTIONS.tolist()):
+        y = f"({b0!r}::DOUBLE * {x} + {z[2 * i]})"
+        then += [f"{b1!r}::DOUBLE * {x} - {a1!r}::DOUBLE * {y} + {z[2 * i + 1]}", f"{b2!r}::DOUBLE * {x} - {a2!r}::DOUBLE * {y}"]
+        x = y
+    return x, then
+
+
+def _recursive_sql(out: str, source: str, step: int) -> str:
+    """Rows of ``source`` (channel, frame, value) filtered in one direction, a sample at a time."""
+    settled = R.Cascade(_SECTIONS).settled.tolist()
+    names = [f"z{i}" for i in range(len(settled))]
+    select = lambda x, z: ", ".join(f"{e} AS {n}" for e, n in zip((lambda y, then: [y, *then])(*_stepped(x, z)), ["value", *names], strict=True))
+    first = "min" if step > 0 else "max"
+    return f"""{out} AS (SELECT e.channel, e.frame, {select("e.value", [f"({v!r}::DOUBLE * e.value)" for v in settled])} FROM {source} e JOIN (SELECT channel, {first}(frame) AS frame FROM {source} GROUP BY 1) s ON s.channel = e.channel AND s.frame = e.frame
+    UNION ALL SELECT e.channel, e.frame, {select("e.value", [f"p.{n}" for n in names])} FROM {out} p JOIN {source} e ON e.channel = p.channel AND e.frame = p.frame + {step})"""
+
+
+_PAD = 3 * (2 * len(_SECTIONS) + 1)
+
+
+@query(
+    "sp2_recursive_bandpass",
+    f"""WITH RECURSIVE {_TRACE}, en AS (SELECT channel, max(frame) AS z, arg_min(value, frame) AS x0, arg_max(value, frame) AS x1 FROM tr GROUP BY 1),
+    ex AS (SELECT channel, frame, value FROM tr UNION ALL SELECT tr.channel, -frame, 2 * x0 - value FROM tr JOIN en ON en.channel = tr.channel WHERE frame BETWEEN 1 AND {_PAD}
+        UNION ALL SELECT tr.channel, 2 * z - frame, 2 * x1 - value FROM tr JOIN en ON en.channel = tr.channel WHERE frame BETWEEN z - {_PAD} AND z - 1),
+    {_recursive_sql("fw", "ex", 1)}, {_recursive_sql("bw", "fw", -1)}
+    SELECT tr.grp, tr.channel, tr.frame, round(bw.value, 5) AS value FROM tr JOIN bw ON bw.channel = tr.channel AND bw.frame = tr.frame""",
+)
+def sp2_recursive_bandpass(spark, sf):
+    return R.bandpass(trace(spark, sf), 0.05, 0.3, 2, BLOCK).withColumn("value", F.round("value", 5))
