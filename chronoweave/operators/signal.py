@@ -343,3 +343,27 @@ def inband_error(trace: DataFrame, lossy: DataFrame, low: float, high: float, bl
     d = a.join(b, ["channel", "frame"])
     floor = median(d, ["channel"], F.abs("x"), "_m").select("channel", (F.col("_m") / 0.6745).alias("floor"))
     return d.groupBy("channel").agg(F.stddev_pop(F.col("x") - F.col("y")).alias("rms")).join(floor, "channel").withColumn("share", F.col("rms") / F.col("floor"))
+
+
+def state_windows(trace: DataFrame, frames: int, apart: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """``(channel, label, centre)``: where a channel's smoothed trace is lowest and highest outside of intervals, and the intervals' middles (SP13).
+
+    Smoothing is the mean of ``frames`` neighbouring rows, fewer at the ends; apart: ``(start, end)`` in frames, both
+    included. Of equal values the first place counts. Labels: low, high, interval.
+    """
+    back, ahead = frames // 2, (frames - 1) // 2
+    cut = with_halo(trace.select("channel", "frame", "value"), block, max(1, back))
+    near = Window.partitionBy("channel", "block").orderBy("frame").rowsBetween(-back, ahead)
+    smooth = cut.withColumn("y", F.avg("value").over(near)).where(F.floor(F.col("frame") / F.lit(block)) == F.col("block"))
+    whole = [] if apart is None else [apart.select(F.col("start").alias("_s"), F.col("end").alias("_e"))]
+    for gaps in whole:
+        smooth = smooth.join(gaps, (F.col("frame") >= F.col("_s")) & (F.col("frame") <= F.col("_e")), "left_anti")
+    smooth = smooth.where("y is not null and not isnan(y)")
+    place = F.struct("y", (-F.col("frame")).alias("f"))
+    ends = smooth.groupBy("channel").agg(F.min(F.struct("y", F.col("frame").alias("f"))).alias("low"), F.max(place).alias("high"))
+    label = lambda name, at: F.struct(F.lit(name).alias("label"), at.cast("double").alias("centre"))
+    out = ends.select("channel", F.explode(F.array(label("low", F.col("low.f")), label("high", -F.col("high.f")))).alias("w")).select("channel", "w.*")
+    for gaps in whole:
+        middles = gaps.select(F.lit("interval").alias("label"), ((F.col("_s") + F.col("_e")) / 2).alias("centre"))
+        out = out.unionByName(ends.select("channel").crossJoin(middles).select("channel", "label", "centre"))  # a row for each channel and interval
+    return out

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from chronoweave.operators import metrics as Q
 from chronoweave.operators import quality as G
 from chronoweave.operators import trains as T
-from chronoweave.plans.registry import query
+from chronoweave.plans.registry import REGISTRY, query
+from chronoweave.queries import trains as _trains  # noqa: F401
 from chronoweave.sources.tables import DAY, EVENTS, HOUR, SECOND, TEMPLATES, events, templates
 
 LEAST = 3
@@ -182,9 +183,15 @@ def _suite(spark, sf):
     return Q.suite(parts, ev.select("unit").distinct())
 
 
-@query("ag22_suite")
+#: The SQL of each family, side by side; :mod:`chronoweave.queries.trains` has the contamination's.
+_PARTS = ("ag22_rates", "ag22_interval_violations", "ag5_rp_contamination", "ag22_sliding_rp", "ag22_synchrony", "ag22_amplitudes", "ag22_drift", "ag22_amplitude_cutoff", "ag22_noise_cutoff")
+_JOINED = " ".join(f"LEFT JOIN ({REGISTRY.sql[p]}) p{i} ON p{i}.unit = u.unit" for i, p in enumerate(_PARTS))
+_COLUMNS = ", ".join("p2.contamination AS rp_contamination" if p == "ag5_rp_contamination" else f"p{i}.* EXCLUDE (unit)" for i, p in enumerate(_PARTS))
+
+
+@query("ag22_suite", f"SELECT u.unit, {_COLUMNS} FROM (SELECT DISTINCT user_id AS unit FROM events) u {_JOINED}")
 def ag22_suite(spark, sf):
-    return Q.rounded(_suite(spark, sf))
+    return Q.rounded(_suite(spark, sf).withColumn("amplitude_cutoff", F.round("amplitude_cutoff", 5)))
 
 
 TIERS = {"strict": (0.22, 0.15, 2.0), "conservative": (0.3, 0.2, 1.9), "lenient": (0.4, 0.3, 1.8)}

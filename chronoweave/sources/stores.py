@@ -27,6 +27,18 @@ def write_trace(trace: DataFrame, path: str, group: str = "grp", order: str = "f
     trace.repartitionByRange(group, order).sortWithinPartitions(group, order).write.mode("overwrite").option("compression", "zstd").partitionBy(group).parquet(path)
 
 
+def open_traces(spark: SparkSession, path: str) -> DataFrame:
+    """A written trace with ``channel_name``: its own, else ``channel_names``, else the channel's number as text (SRC9).
+
+    Places (x, y) and labels stay as they are; nothing is read before a query asks for it.
+    """
+    rows = spark.read.parquet(path)
+    held = [F.col(c).cast("string") for c in ("channel_name", "channel_names", "channel") if c in rows.columns]
+    if not held:
+        raise ValueError(f"{path} has no channels")
+    return rows.withColumn("channel_name", F.coalesce(*held)).drop("channel_names")
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
