@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op9_decontaminate": ["doc_id", "item_id"],
     "op10_ann": ["query_id", "rank", "vec_id", "score"],
+    "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_vector_dedup": ["vec_id", "n_links", "component_id", "kept"],
 }
 
 

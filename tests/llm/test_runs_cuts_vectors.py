@@ -145,7 +145,7 @@ def drawn(doc_id):
 
 
 def plain_cut(doc_id, text, unit=r"(?s:.)"):
-    text = text or ""
+    text, unit = text or "", unit.replace("(?s).", "(?s:.)")
     units = [m.group() for m in re.finditer(f"(?:{unit})|(?s:.)", text)]
     n = len(units)
     if doc_id is None or not text or re.search("<[PSM]>", text) or drawn(doc_id)[2] % 100 >= 90:
