@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from chronoweave.functions.arrays import norm_sq
 from chronoweave.operators.trains import band_pairs, with_interval
-from chronoweave.plans.order import median, selected
+from chronoweave.plans.order import median, previous, selected
 from chronoweave.plans.storage import materialize
 
 #: Contaminations that are tried, as shares of the rate, and the confidence that one must reach.
@@ -109,8 +109,7 @@ def amplitudes(train: DataFrame, start: int, bin_frames: int, least: int) -> Dat
     doesn't enter; the variation coefficients are those of time bins with at least ``least`` events, their range
     the 95th less the 5th percentile.
     """
-    order = Window.partitionBy("unit").orderBy("frame", "value")
-    step = train.withColumn("_d", F.col("value") - F.lag("value").over(order))
+    step = previous(train, ["unit"], ["frame", "value"], "value", "_d").withColumn("_d", F.col("value") - F.col("_d"))
     one = step.groupBy("grp", "unit").agg((F.stddev_pop("_d") / math.sqrt(2)).alias("_sd"))
     one = one.join(median(train, ["grp", "unit"], F.col("value"), "amplitude_median"), ["grp", "unit"]).join(noise_levels(train), "grp")
     over = lambda x: F.when(F.col("noise") > 0, x / F.col("noise"))

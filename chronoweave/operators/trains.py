@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.plans.order import previous
+
 
 def nearest_gap(query: DataFrame, ref: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``query`` with ``gap``: distance from its frame to the nearest of ``ref`` in the group (null: none)."""
@@ -59,9 +61,8 @@ def outside_tol(query: DataFrame, ref: DataFrame, tol: int, by: list[str] | None
 
 
 def with_interval(train: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Adds ``d``, the frames since the previous event (WN1)."""
-    w = Window.partitionBy(*(by or ["unit"])).orderBy("frame")
-    return train.withColumn("d", F.col("frame") - F.lag("frame").over(w))
+    """Adds ``d``, the frames since the previous event (WN1); see :func:`chronoweave.plans.order.previous` for busy units."""
+    return previous(train, by or ["unit"], ["frame"], "frame", "d").withColumn("d", F.col("frame") - F.col("d"))
 
 
 def collapse(train: DataFrame, tol: int, by: list[str] | None = None) -> DataFrame:

@@ -30,8 +30,30 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     return running(rows, order, F.lit(1).cast("long"), name)
 
 
+def previous(rows: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: ``column`` of the row before, in the order, in the group; null for the first.
+
+    Groups of at most ``SORTED`` rows are sorted by a window. Where there are larger ones, rows are dealt by ranges of
+    group and order; inside a range a window does, and a range's first row of a group gets its value from the last
+    row of the group in the ranges before, of which there is one a range. Rows alike in the order may go either way.
+    """
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0  # one number
+    if largest <= SORTED:
+        return rows.withColumn(name, F.lag(column).over(Window.partitionBy(*by).orderBy(*order)))
+    dealt = materialize(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    out = dealt.withColumns({name: F.lag(column).over(inside), "_first": F.row_number().over(inside) == 1})
+    place = F.struct(*[F.col(c) for c in order])
+    ends = dealt.groupBy(*by, "_range").agg(F.max_by(F.struct(F.col(column).alias("v")), place).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end.v").over(Window.partitionBy(*by).orderBy("_range"))).drop("_end")  # a row a range
+    met = _same(out, ends, [*by, "_range"])
+    return met.withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(name))).drop("_first", "_before", "_range")
+
+
 #: Values of a group that one aggregate may hold; bins that an interval of more is cut into.
 HELD = 1 << 16
+#: Rows of a group that one window may sort.
+SORTED = 1 << 20
 BINS = 1 << 10
 MAX_INTERVALS = 100_000
 

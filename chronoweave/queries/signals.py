@@ -149,7 +149,12 @@ def _bank(spark, sf):
 
 
 #: Windows of a fold, samples of a template (a bump on each channel of a group), and energy from which one is an event.
-WINDOW, LENGTH, ENERGY = 512, 8, 30000.0
+WINDOWS, LENGTH, ENERGY = 3, 8, 30000.0
+
+
+def frames_of(t):
+    """Frames of a trace that starts at 0."""
+    return (t.agg(F.max("frame")).first()[0] or 0) + 1  # one number
 
 
 def bumps(spark, sf):
@@ -161,7 +166,8 @@ def bumps(spark, sf):
 
 def fold(spark, sf, **more):
     free = {"amplitude_variance": float("inf"), "jitter_factor": 1, "refractory_period_frames": 4}
-    return C.carry_forward(trace(spark, sf), bumps(spark, sf), WINDOW, LENGTH, 4, threshold=ENERGY, gate=0.6, least=5, cap=0.5, shifts=1, block=200, **free, **more)
+    t = trace(spark, sf)
+    return C.carry_forward(t, bumps(spark, sf), -(-frames_of(t) // WINDOWS), LENGTH, 4, threshold=ENERGY, gate=0.6, least=5, cap=0.5, shifts=1, block=200, **free, **more)
 
 
 def _starts(part):

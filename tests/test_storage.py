@@ -54,3 +54,17 @@ def test_quantiles_and_ranks_by_refining_histograms(spark, monkeypatch, held):
     found = order.selected(df, ["g"], F.col("v"), spark.createDataFrame(ranks, "g string, rank long"), "x").collect()
     assert {(r.g, r.rank): r.x for r in found} == {(g, k): float(np.sort(groups[g])[k]) for g, k in ranks if g in groups and k < len(groups[g])}
     assert order.median(df.limit(0), ["g"], F.col("v"), "m").collect() == []
+
+
+@pytest.mark.parametrize("most", [10, 1 << 20])
+def test_previous_rows_across_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(order, "SORTED", most)
+    rng = np.random.default_rng(2)
+    rows = [("busy", int(f), float(f % 7)) for f in rng.permutation(3000)] + [("few", 5, 1.0), ("few", 2, 2.0), ("one", 9, 3.0), (None, 4, 4.0), (None, 6, 5.0)]
+    df = spark.createDataFrame(rows, "g string, f long, v double").repartition(6)
+    got = {(r.g, r.f): r.p for r in order.previous(df, ["g"], ["f"], "v", "p").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((f, v) for h, f, v in rows if h == g)
+        want |= {(g, f): (mine[i - 1][1] if i else None) for i, (f, _) in enumerate(mine)}
+    assert got == want and order.previous(df.limit(0), ["g"], ["f"], "v", "p").columns == ["g", "f", "v", "p"]
