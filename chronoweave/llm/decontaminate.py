@@ -25,6 +25,9 @@ either side gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,22 +95,26 @@ def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     Windows with a word that is no placeholder by types; with names, as they are too; of numbers and units alone by values.
     """
     line = template(F.col("text"))
-    values = F.when(line.rlike(_FIGURES), plain_words(F.col("text")))
-    words = rows.select(*keep, _words(line).alias("words"), values.alias("values"))
+    values = F.when(line.rlike(_FIGURES), F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(F.lit(VALUES), w)))
+    words = rows.select(*keep, _words(line).alias("words"), F.coalesce(values, F.array().cast("array<long>")).alias("valued"))
     typed = F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(NAME), F.lit(NAME)).otherwise(w)))
     named = F.transform("words", lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME))))
-    # 0: number or unit, 1: name, 2: neither
-    sort = F.transform("words", lambda w: F.when(w.startswith(NAME), 1).when((w >= NUMBER) & (w < NAME), 0).otherwise(2))
-    words = words.select(*keep, typed.alias("typed"), named.alias("named"), sort.alias("sort"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
-    shifted = [F.slice(kind, F.lit(1 + j), F.size(kind)).alias(f"{kind}{j}") for kind in ("typed", "named", "sort", "values") for j in range(WINDOW)]
-    zipped = words.select(*keep, F.arrays_zip(*shifted).alias("windows"))
+    words = words.select(*keep, typed.alias("typed"), named.alias("named"), "valued")
+    shifts = lambda kind: [F.slice(kind, F.lit(1 + j), F.size(kind)).alias(f"{kind}{j}") for j in range(WINDOW)]
+    # hashes of values are made here, as few texts have any
+    by_values = F.transform(F.arrays_zip(*shifts("valued")), lambda z: F.xxhash64(*[z[f"valued{j}"] for j in range(WINDOW)]))
+    zipped = words.select(*keep, F.arrays_zip(*shifts("typed"), *shifts("named"), by_values.alias("w3")).alias("windows"))
     # outer: an inner explode makes the optimizer repeat the whole expression in a filter below
     spread = zipped.select(*keep, F.posexplode_outer("windows").alias("pos", "v"))
-    column = lambda kind: [f"v.{kind}{j}" for j in range(WINDOW)]
+    column = lambda kind: [F.col(f"v.{kind}{j}") for j in range(WINDOW)]
     spread = spread.where(F.col(f"v.named{WINDOW - 1}").isNotNull())
-    most = F.greatest(*column("sort"))
-    both = spread.select(*keep, "pos", most.alias("most"), F.xxhash64(*column("typed")).alias("w"), F.xxhash64(*column("named")).alias("w2"), F.xxhash64(F.lit(VALUES), *column("values")).alias("w3"))
-    hashes = F.when(F.col("most") == 0, F.array("w3")).when(F.col("most") == 1, F.array("w2")).when(F.col("w") == F.col("w2"), F.array("w")).otherwise(F.array("w", "w2"))
+    alone = lambda marks: reduce(and_, [c.isin(*[F.xxhash64(F.lit(m)) for m in marks]) for c in column("typed")])
+    figures, placeholders = alone((NUMBER, UNIT, NUMBER_UNIT)), alone((NUMBER, UNIT, NUMBER_UNIT, NAME))
+    both = spread.select(
+        *keep, "pos", figures.alias("figures"), placeholders.alias("placeholders"),
+        F.xxhash64(*column("typed")).alias("w"), F.xxhash64(*column("named")).alias("w2"), F.col("v.w3").alias("w3"),
+    )
+    hashes = F.when(F.col("figures"), F.array("w3")).when(F.col("placeholders"), F.array("w2")).when(F.col("w") == F.col("w2"), F.array("w")).otherwise(F.array("w", "w2"))
     return both.select(*keep, "pos", F.explode(hashes).alias("w"))
 
 
