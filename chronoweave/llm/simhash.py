@@ -418,7 +418,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     link is a pair whose sets of shingles were compared. Cells first give forests of fingerprints of ``WIDE``
     words at ``WIDE_BITS`` or fewer differing bits, so a large group of near copies is joined by few pairs; then
     sets of different groups so found are compared within their cells, but those of sizes too unlike or of more
-    than ``FAR_BITS`` differing bits, which at 0.8 happens to fewer than 1 pair in 10 million. A pair that meets in
+    than ``FAR_BITS`` differing bits: that alone can lose a link, at 0.8 fewer than 1 pair in 10 million (measured, not proven). A pair that meets in
     several cells is compared in the smallest: rows know the ``FIRSTS`` smallest cells of their text.
     """
     words = [f"f{i}" for i in range(WIDE)]
