@@ -24,7 +24,9 @@ PARTS = 24
 #: Distance of two distributions, times the root of the rows, from which a projection has two peaks.
 DIP = 0.9
 LEAST = 12
-MAX_GROUPS = 100_000
+#: Rows of whitening matrices, and groups with all their templates, that are sent to every executor at most.
+MAX_ENTRIES = 100_000
+MAX_BANKS = 1000
 
 
 def covariance(trace: DataFrame, block: int = 1 << 12, one_in: int = 1, seed: int = SEED) -> DataFrame:
@@ -56,7 +58,7 @@ def whitening(cov: DataFrame, floor: float = 1e-9) -> DataFrame:
 
 def whitened(trace: DataFrame, matrix: DataFrame) -> DataFrame:
     """The trace with each frame's channels multiplied by the group's matrix."""
-    matrix = broadcast_if_small(matrix, MAX_GROUPS)
+    matrix = broadcast_if_small(matrix, MAX_ENTRIES)
     parts = trace.select("grp", F.col("channel").alias("j"), "frame", "value").join(matrix, ["grp", "j"])
     return parts.groupBy("grp", F.col("i").alias("channel"), "frame").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
@@ -179,7 +181,7 @@ def nearest_template(snippets: DataFrame, bank: DataFrame, name: str) -> DataFra
     shown = bank.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct(name, "wf"))).alias("_bank"))
     gap = lambda t: F.aggregate(F.zip_with("wf", t["wf"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     best = F.array_min(F.transform("_bank", lambda t: F.struct(gap(t).alias("gap"), t[name].alias("name"))))
-    return snippets.join(broadcast_if_small(shown, MAX_GROUPS), "grp").withColumn(name, best["name"]).drop("_bank")
+    return snippets.join(broadcast_if_small(shown, MAX_BANKS), "grp").withColumn(name, best["name"]).drop("_bank")
 
 
 def cluster(snippets: DataFrame, train: int = TRAIN, components: int = COMPONENTS, dip: float = DIP, seed: int = SEED) -> DataFrame:
