@@ -183,3 +183,30 @@ def test_swept_counts_equal_all_pairs(spark, monkeypatch, swept):
         d = [abs(x - y) for h, u, x in rows if (h, u) == (g, a) and x // window in both for k, v, y in rows if (k, v) == (g, b) and y // window in both and -lag <= x - y < lag]
         assert found == (len(both), sum(v <= refractory for v in d), sum(flank[0] <= v <= flank[1] for v in d))
     assert len(got) == 42 and sum(f[2] for f in got.values()) > 500
+
+
+@pytest.mark.parametrize(("worth", "span"), [(0, 64), (1 << 30, 64), (64, 2)])
+def test_blocks_of_correlograms_equal_all_pairs(spark, monkeypatch, worth, span):
+    # a unit of a third of all events, bins wider than a frame, several blocks and spans; pairs asked for are those of all
+    for name, value in (("WORTH", worth), ("SPAN", span), ("UNITS", 4), ("STRIP", 50), ("SWEPT", 300), ("BINS", 40)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(u), int(f)) for g, u, f in zip(rng.integers(0, 2, 1500), rng.choice(9, 1500, p=[1 / 3] + [1 / 12] * 8), rng.integers(-2000, 4000, 1500), strict=True)]
+    rows += [(0, 1, 100), (0, 2, 600), (0, 2, -400), (0, 20, 5), (0, 21, 3000)]
+    train = spark.createDataFrame(rows, "grp long, unit long, frame long").repartition(3)
+    lag, window, refractory, flank, least = 500, 1250, 41.0, (120.0, 500.0), 4
+    found = T.ccg_counts(train, window, refractory, flank, lag, least)
+    got = {(r.grp, r.unit_a, r.unit_b): (r.n_co, r.central, r.flank) for r in found.collect()}
+    n = collections.Counter((g, u, f // window) for g, u, f in rows)
+    units = sorted({(g, u) for g, u, _ in rows})
+    want = {}
+    for g, a in units:
+        for h, b in units:
+            if g == h and a < b:
+                both = {w for (k, u, w), m in n.items() if (k, u) == (g, a) and m >= least and n[g, b, w] >= least}
+                d = [abs(x - y) for k, u, x in rows if (k, u) == (g, a) and x // window in both for m, v, y in rows if (m, v) == (g, b) and y // window in both and -lag <= x - y < lag]
+                want[g, a, b] = (len(both), sum(v <= refractory for v in d), sum(flank[0] <= v <= flank[1] for v in d))
+    assert got == want
+    asked = spark.createDataFrame([(0, 3, 1), (0, 2, 5), (1, 0, 8), (0, 20, 21), (0, 1, 99)], "grp long, unit_a long, unit_b long")
+    some = {(r.grp, r.unit_a, r.unit_b): (r.n_co, r.central, r.flank) for r in T.ccg_counts(train, window, refractory, flank, lag, least, asked).collect()}
+    assert some == {k: want[k] for k in [(0, 1, 3), (0, 2, 5), (1, 0, 8), (0, 20, 21)]}
