@@ -69,3 +69,29 @@ def test_purity_of_counts(spark):
     got = {r.unit: r for r in T.purity(T.match_counts(m, [])).collect()}
     assert (got[0].n, got[0].n_finite, got[0].best_match_frac, got[0].neighbor_win_frac, got[0].top_neighbor, got[0].top_neighbor_frac) == (11, 10, 0.7, 0.3, 1, 0.3)
     assert (got[1].n, got[1].best_match_frac, got[1].top_neighbor, got[1].top_neighbor_frac) == (4, 1.0, -1, 0.0)
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    # every template has copies, so most of the nearest are ties; ranks exclude some; a zero template is like nothing
+    monkeypatch.setattr(T, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    shapes = rng.normal(0, 1, (12, 8))
+    shapes[3] = 0
+    rows = [(i % 2, i, i % 5, [float(x) for x in shapes[rng.integers(0, 12)]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp int, unit long, rank long, wf array<double>")
+    for shifts, least in ((0, None), (1, -1.0)):
+        found = T.nearest(df.where("unit % 3 <> 0").select("grp", "unit", "wf", F.col("rank").alias("upto")), df, "unit", 2, shifts, 2, least=least)
+        got = sorted((r.unit, r.place, r.cand, round(r.cos, 9)) for r in found.collect())
+        want = []
+        for g, u, k, x in rows:
+            if u % 3 == 0:
+                continue
+            met = []
+            for h, v, m, y in rows:
+                if g == h and m < k:
+                    parts = [(x[max(0, s) * 2 : 8 - max(0, -s) * 2], y[max(0, -s) * 2 : 8 - max(0, s) * 2]) for s in range(-shifts, shifts + 1)]
+                    cos = [sum(a * b for a, b in zip(*p, strict=True)) / (sum(a * a for a in p[0]) * sum(b * b for b in p[1])) ** 0.5 for p in parts if any(p[0]) and any(p[1])]
+                    if cos or least is not None:
+                        met.append((-round(max([*cos, *([least] if least is not None else [])]), 9), v))
+            want += [(u, i, v, -c) for i, (c, v) in enumerate(sorted(met)[:2], 1)]
+        assert got == sorted(want)
