@@ -156,3 +156,26 @@ def test_intervals_hold_rows(spark):
     got = sorted(tuple(r) for r in S.in_intervals(spark.range(302).select(F.col("id").alias("at")), df, "at", "s", "e", ["name"]).collect())
     assert got == sorted((x, n) for x in range(302) for s, e, n in intervals if s <= x < e)
     assert S.in_intervals(spark.range(3).toDF("at"), df.limit(0), "at", "s", "e", ["name"]).count() == 0
+
+
+def test_verdicts_are_asked_for_matches_alone(spark):
+    units = spark.createDataFrame([(0, 1, None), (0, 2, 5), (0, 3, 9)], "grp int, unit long, birth long")
+    bank = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.9, 0.1]), (0, 3, [0.0, 1.0])], "grp int, unit long, wf array<double>")
+    asked = []
+
+    def verdicts(pairs):
+        asked.extend((r.grp, r.unit_a, r.unit_b) for r in pairs.collect())
+        return pairs.select("unit_a", "unit_b", F.lit(3).cast("long").alias("n_co"), F.lit(0.1).alias("ratio"), F.lit("duplicate").alias("verdict")).withColumns({"unit_a": F.least("unit_a", "unit_b"), "unit_b": F.greatest("unit_a", "unit_b")})
+
+    got = {r.unit: (r.match, r.verdict) for r in K.adjudicate(units, bank, verdicts, 2, 1, 0).collect()}
+    assert sorted(asked) == [(0, 2, 1), (0, 3, 2)] and got == {2: (1, "duplicate"), 3: (2, "duplicate")}
+
+
+def test_guarded_merge_of_groups_of_any_kind(spark):
+    bank = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.9, 0.5]), (0, 3, [0.9, 0.5]), (0, 4, [-1.0, 0.6])], "grp int, unit long, wf array<double>")
+    a = [500 + 200 * i + 10_000 * w for i in range(40) for w in range(3)]
+    rows = [(0, 1, f) for f in a] + [(0, 2, f + 300) for f in a] + [(0, 3, f + 7) for f in a] + [(0, 4, f) for f in a]
+    train = spark.createDataFrame(rows, "grp int, unit long, frame long")
+    ccg = {"window": 10_000, "refractory": 45.0, "flank": (150.0, 750.0), "lag": 750}
+    out = K.guarded_merge(train, bank, 0.5, 0.95, 3, 1, 0, **ccg)
+    assert sorted({r.unit for r in out.collect()}) == [1, 4]
