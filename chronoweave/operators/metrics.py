@@ -159,8 +159,9 @@ def amplitude_cutoff(train: DataFrame, least: int = 1) -> DataFrame:
         for x in counts:
             n = np.asarray(x, float)
             pdf = np.convolve(n / n.sum(), weight, mode="same")
-            top = int(np.argmax(pdf))
-            end = top + int(np.argmin(np.abs(pdf[top:] - pdf[0])))
+            # heights alike but for rounding are ties, which go to the lower bin
+            top = int(np.argmax(np.round(pdf, 12)))
+            end = top + int(np.argmin(np.round(np.abs(pdf[top:] - pdf[0]), 12)))
             out.append(min(0.5, float(pdf[end:].sum())) if n.sum() >= least else None)
         return pd.Series(out, dtype=float)
 

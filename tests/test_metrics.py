@@ -81,3 +81,11 @@ def test_cluster_metrics(spark, monkeypatch):
     assert want[1][0] > 0.99 and want[1][1] < 0.01 and want[2][0] < 0.9
     monkeypatch.setattr(Q, "BLOCK", 16)
     assert {r.unit: (r.nn_hit_rate, r.nn_miss_rate) for r in Q.nearest_neighbours(df).collect()} == want
+
+
+def test_cutoff_of_a_unit_whose_heights_are_alike_but_for_rounding(spark):
+    # unit 1061 of sf0.1: two bins are equally near to the first, so the lower one counts, as in the SQL
+    from chronoweave.sources.tables import events
+
+    ev = events(spark, "/root/testdata/sf0.1").where("unit = 1061")
+    assert round(Q.amplitude_cutoff(ev).first().amplitude_cutoff, 5) == 0.30518
