@@ -210,3 +210,39 @@ def test_blocks_of_correlograms_equal_all_pairs(spark, monkeypatch, worth, span)
     asked = spark.createDataFrame([(0, 3, 1), (0, 2, 5), (1, 0, 8), (0, 20, 21), (0, 1, 99)], "grp long, unit_a long, unit_b long")
     some = {(r.grp, r.unit_a, r.unit_b): (r.n_co, r.central, r.flank) for r in T.ccg_counts(train, window, refractory, flank, lag, least, asked).collect()}
     assert some == {k: want[k] for k in [(0, 1, 3), (0, 2, 5), (1, 0, 8), (0, 20, 21)]}
+
+
+@pytest.mark.parametrize(("near", "few"), [(1 << 20, 0), (5, 0), (5, 1 << 20)])
+def test_agreement_in_blocks_equals_plain_matching(spark, monkeypatch, near, few):
+    monkeypatch.setattr(Q, "FEW", few)
+    monkeypatch.setattr(Q, "UNITS", 3)
+    monkeypatch.setattr(Q, "NEAR", near)
+    rng = np.random.default_rng(8)
+    sides = [[(int(g), int(u), int(f)) for g, u, f in zip(rng.integers(0, 2, 500), rng.integers(0, 8, 500), rng.integers(-300, 900, 500), strict=True)] for _ in range(2)]
+    a, b = (spark.createDataFrame(rows, "grp long, unit long, frame long") for rows in sides)
+    got = {(r.grp, r.unit_a, r.unit_b): (r.n_match, round(r.jaccard, 9)) for r in Q.agreement(a, b, 9).collect()}
+    trains = [collections.defaultdict(set) for _ in range(2)]
+    for rows, train in zip(sides, trains, strict=True):
+        for g, u, f in rows:
+            train[g, u].add(f)
+    want = {}
+    for (g, u), x in trains[0].items():
+        for (h, v), y in trains[1].items():
+            free, n = sorted(y), 0
+            for f in sorted(x) if g == h else ():
+                while free and free[0] < f - 9:
+                    free.pop(0)
+                if free and free[0] <= f + 9:
+                    free.pop(0)
+                    n += 1
+            if n:
+                want[g, u, v] = (n, round(n / (len(x) + len(y) - n), 9))
+    assert got == want
+
+
+def test_units_are_matched_by_components(spark):
+    # 3000 units of one group, and two where the best pair alone isn't the best total: no task has a matrix of the group
+    rows = [(0, i, i, 0.9) for i in range(2, 3000)] + [(0, 0, 0, 0.8), (0, 0, 1, 0.7), (0, 1, 0, 0.75), (0, 5, 6, 0.3)]
+    scores = spark.createDataFrame(rows, "grp long, unit_a long, unit_b long, jaccard double")
+    got = {r.unit_a: (r.unit_b, r.reciprocal) for r in Q.matched_units(scores, 0.5).collect()}
+    assert got == {i: (i, True) for i in range(2, 3000)} | {0: (1, False), 1: (0, False)}
