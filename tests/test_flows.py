@@ -179,3 +179,34 @@ def test_guarded_merge_of_groups_of_any_kind(spark):
     ccg = {"window": 10_000, "refractory": 45.0, "flank": (150.0, 750.0), "lag": 750}
     out = K.guarded_merge(train, bank, 0.5, 0.95, 3, 1, 0, **ccg)
     assert sorted({r.unit for r in out.collect()}) == [1, 4]
+
+
+def test_correlations_equal_numpy_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SIDE", 3)
+    monkeypatch.setattr(S, "SLAB", 8)
+    rng = np.random.default_rng(5)
+    x = rng.integers(1, 50, (8, 40)).astype(float) + 1e6
+    x[3] = 7.0
+    x[4, 5] = np.nan
+    held = rng.random(x.shape) < 0.7
+    held[6, 2:] = False
+    rows = [(int(c) * 10, int(t) - 11, float(x[c, t])) for c, t in zip(*np.nonzero(held), strict=True)] + [(70, 500, None), (None, 1, 1.0), (5, None, 1.0)]
+    df = spark.createDataFrame(rows, "c long, t int, v double")
+    found = S.pairwise_correlation(df, "c", "t", "v", 3)
+    got = {(r.a, r.b): r for r in found.collect()}
+    want = {(a * 10, b * 10) for a in range(8) for b in range(a + 1, 8) if (held[a] & held[b]).sum() >= 3}
+    assert set(got) == want and len(want) == 21
+    for (a, b), r in got.items():
+        both = held[a // 10] & held[b // 10]
+        y, z = x[a // 10, both], x[b // 10, both]
+        assert r.n == both.sum()
+        if np.ptp(y) > 0 and np.ptp(z) > 0:  # NaN isn't above zero either
+            assert abs(r.r - np.corrcoef(y, z)[0, 1]) < 1e-9
+        else:
+            assert np.isnan(r.r)
+
+
+def test_pairs_of_channels_are_not_rows_before_their_result(spark):
+    df = spark.createDataFrame([(c, t, float(c * t % 7)) for c in range(20) for t in range(10)], "c long, t int, v double")
+    plan = S.pairwise_correlation(df, "c", "t", "v", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")] and "MapInArrow" in plan
