@@ -162,6 +162,28 @@ def spatial_spectrum(rows: DataFrame, place: str, value: str) -> DataFrame:
     return out.select("k", F.when(F.col("k") > 0, F.col("_n") / F.col("k")).alias("period"), "power")
 
 
+def triggered_sums(triggers: DataFrame, rows: DataFrame, by: str, at: str, value: str, width: int, lags: int) -> DataFrame:
+    """``(lag, n, mean)``: over all rows, ``lag`` to ``lag + 1`` times ``width`` after a trigger of the same group, at or above zero (SP12).
+
+    A pair of trigger and row is never a row: triggers are counted where rows lie, 0 to ``lags`` widths earlier. In buckets of a
+    width each, the triggers in a span that ends at a place are those up to it in its bucket and those beyond in the bucket before.
+    """
+    bucket, rest = F.floor(F.col(at) / F.lit(width)), F.pmod(F.col(at), F.lit(width))
+    a = triggers.where(F.col(by).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(by).alias("_g"), bucket.alias("_b"), rest.alias("_r")).agg(F.count(F.lit(1)).alias("_t"))
+    b = rows.where(F.col(by).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(by).alias("_g"), bucket.alias("_b"), rest.alias("_r"))
+    b = b.agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_k"), F.sum(F.col(value).cast("double")).alias("_s"))
+    b = b.select("_g", "_b", "_r", "_n", "_k", "_s", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("_lag")).withColumn("_b", F.col("_b") - F.col("_lag"))
+    w = Window.partitionBy("_g", "_b")
+    met = a.unionByName(b, allowMissingColumns=True).withColumns({
+        "_before": F.coalesce(F.sum("_t").over(w.orderBy("_r").rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)),
+        "_all": F.coalesce(F.sum("_t").over(w), F.lit(0)),
+    }).where("_lag is not null and _all > 0")
+    one = lambda lag, count: F.struct((F.col("_lag") + lag).cast("long").alias("lag"), count.alias("c"))
+    parts = met.select("_n", "_k", "_s", F.explode(F.array(one(0, F.col("_before")), one(-1, F.col("_all") - F.col("_before")))).alias("_p"))
+    parts = parts.select("_n", "_k", "_s", "_p.*").where(F.col("c") > 0).where(F.col("lag").between(0, lags - 1))
+    return parts.groupBy("lag").agg(F.sum(F.col("c") * F.col("_n")).alias("n"), F.try_divide(F.sum(F.col("c") * F.col("_s")), F.sum(F.col("c") * F.col("_k"))).alias("mean"))
+
+
 def _pair_sums(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], sums: np.ndarray) -> None:
     """Adds what two blocks of channels share in a slab of frames: rows, values, their sums, squares and products, values that aren't finite."""
     (px, qx, vx, ox), (py, qy, vy, oy) = x, y

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.operators import series as S
-from chronoweave.operators import trains as T
 from chronoweave.plans.registry import query
 from chronoweave.sources.tables import DAILY, DAY, EVENTS, HOUR, daily, events, table
 
@@ -259,11 +258,8 @@ def ag25_universal_peaks(spark, sf):
 )
 def sp12_event_triggered_average(spark, sf):
     ev = events(spark, sf)
-    b = ev.where("kind = 'view'").select("grp", "unit", "frame", "value")
-    met = T.band_pairs(ev.where("kind = 'error'"), b, 6 * HOUR).where("frame_b >= frame_a")
-    joined = met.join(b.select("grp", F.col("unit").alias("unit_b"), F.col("frame").alias("frame_b"), "value"), ["grp", "unit_b", "frame_b"])
-    lag = F.floor((F.col("frame_b") - F.col("frame_a")) / F.lit(HOUR)).alias("lag_h")
-    return joined.groupBy(lag).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    met = S.triggered_sums(ev.where("kind = 'error'"), ev.where("kind = 'view'"), "grp", "frame", "value", HOUR, 6)
+    return met.select(F.col("lag").alias("lag_h"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query(

@@ -210,3 +210,19 @@ def test_pairs_of_channels_are_not_rows_before_their_result(spark):
     df = spark.createDataFrame([(c, t, float(c * t % 7)) for c in range(20) for t in range(10)], "c long, t int, v double")
     plan = S.pairwise_correlation(df, "c", "t", "v", 3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan[: plan.index("MapInArrow")] and "MapInArrow" in plan
+
+
+def test_triggered_sums_equal_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    a = [(int(g), int(f)) for g, f in zip(rng.integers(0, 2, 80), rng.integers(-60, 200, 80), strict=True)]
+    b = [(int(g), int(f), None if i % 9 == 0 else float(v)) for i, (g, f, v) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(-60, 200, 90), rng.normal(size=90), strict=True))]
+    want = {}
+    for g, f in a:
+        for h, at, v in b:
+            if g == h and 0 <= at - f < 40:
+                want.setdefault((at - f) // 10, []).append(v)
+    out = S.triggered_sums(spark.createDataFrame([*a, (None, 3)], "g long, f long"), spark.createDataFrame(b, "g long, f long, v double"), "g", "f", "v", 10, 4)
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+    got = {r["lag"]: (r.n, r["mean"]) for r in out.collect()}
+    assert {k: len(v) for k, v in want.items()} == {k: v[0] for k, v in got.items()}
+    assert all(abs(got[k][1] - np.mean([x for x in v if x is not None])) < 1e-9 for k, v in want.items())
