@@ -16,6 +16,8 @@ from chronoweave.plans.storage import materialize
 
 #: Channels of a block at most, and blocks that fewer are cut into; frames whose products are taken at once.
 SIDE, SPREAD, SLAB = 2048, 8, 512
+#: Places, and frequencies, of a block of a transform.
+PLACES = 1024
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
@@ -150,15 +152,32 @@ def shared_clock(rows: DataFrame, ladder: float) -> DataFrame:
 def spatial_spectrum(rows: DataFrame, place: str, value: str) -> DataFrame:
     """``(k, period, power)``: power at k cycles across equally spaced places, the mean taken off (SP12).
 
-    One row per place is expected: places are channels, so the transform is a small product of places and frequencies.
+    One row per place is expected. Places are numbered by ranges and packed into blocks; each meets every block of frequencies,
+    and sums of blocks are rows that add up, so work is spread over pairs of blocks and no task holds all places.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(place)  # a row per channel
-    x = rows.select((F.row_number().over(order) - 1).alias("_i"), F.col(value).alias("_v"))
+    x = numbered(materialize(rows.select(F.col(place).alias("_p"), F.col(value).cast("double").alias("_v")), "places"), ["_p"], "_i")
     whole = x.agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"))  # one row
-    x = x.join(F.broadcast(whole)).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))))
-    turn = 2 * F.pi() * F.col("k") * F.col("_i") / F.col("_n")
-    v = F.col("_v") - F.col("_m")
-    out = x.groupBy("k").agg(F.max("_n").alias("_n"), (F.pow(F.sum(v * F.cos(turn)), 2) + F.pow(F.sum(v * F.sin(turn)), 2)).alias("power"))
+    block = F.floor(F.col("_i") / PLACES)
+    packed = x.join(F.broadcast(whole)).where(F.col("_v").isNotNull()).groupBy(block.alias("_b"), "_n")
+    packed = packed.agg(F.collect_list("_i").alias("_i"), F.collect_list(F.col("_v") - F.col("_m")).alias("_v"))
+    last = F.floor(F.floor(F.col("_n") / 2) / PLACES)
+    met = packed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    pairs = -(-x.count() // PLACES)
+    met = met.repartition(min(1 << 10, max(1, pairs * pairs // 2)), "_b", "_k")
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                k = np.arange(row["_k"] * PLACES, min((row["_k"] + 1) * PLACES, row["_n"] // 2 + 1))
+                i, v = np.array(row["_i"], np.float64), np.array(row["_v"])
+                re, im = np.zeros((2, len(k)))
+                for at in range(0, len(k), 64):  # fits a cache
+                    turn = (2 * np.pi * k[at : at + 64])[:, None] * i / row["_n"]
+                    re[at : at + 64], im[at : at + 64] = np.cos(turn) @ v, np.sin(turn) @ v
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), row["_n"])), pa.array(re), pa.array(im)], ["k", "_n", "_re", "_im"])
+
+    parts = met.select("_n", "_k", "_i", "_v").mapInArrow(transform, "k long, _n long, _re double, _im double")
+    out = parts.groupBy("k").agg(F.max("_n").alias("_n"), (F.pow(F.sum("_re"), 2) + F.pow(F.sum("_im"), 2)).alias("power"))
     return out.select("k", F.when(F.col("k") > 0, F.col("_n") / F.col("k")).alias("period"), "power")
 
 

@@ -226,3 +226,10 @@ def test_triggered_sums_equal_plain_loops(spark):
     got = {r["lag"]: (r.n, r["mean"]) for r in out.collect()}
     assert {k: len(v) for k, v in want.items()} == {k: v[0] for k, v in got.items()}
     assert all(abs(got[k][1] - np.mean([x for x in v if x is not None])) < 1e-9 for k, v in want.items())
+
+
+def test_spatial_spectrum_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "PLACES", 4)
+    v = np.random.default_rng(7).normal(size=23)
+    got = S.spatial_spectrum(spark.createDataFrame([(3 * i, float(x)) for i, x in enumerate(v)], "c long, v double"), "c", "v").orderBy("k").collect()
+    assert np.allclose([r.power for r in got], np.abs(np.fft.rfft(v - v.mean())) ** 2)
