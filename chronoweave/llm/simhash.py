@@ -410,9 +410,11 @@ def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r.h for r in often.collect()], np.int64).view(np.uint64)
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, bits: bool = False) -> DataFrame:
     """``(doc_id, t, component_id)``, t the text's 64-bit hash, where texts link at a Jaccard similarity of 0.8 or more of their shingles.
 
+    With ``bits`` texts link by :func:`near_duplicates` too, at fingerprints of ``MAX_BITS`` or fewer differing bits, and classes are those of both.
+
     At that similarity fingerprints differ in some 15 % of bits, too many for 64 bits to tell or for grids of
     segments to find. So texts meet in cells of a rare shingle (:func:`prefix`, which misses no link), and every
     link is a pair whose sets of shingles were compared. Cells first give forests of fingerprints of ``WIDE``
@@ -477,6 +479,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = rest.join(texts.select("node", "text"), "node").select("cell", "node", *words, "n", "label", "firsts", "text")
     more = by_cell(rest).mapInArrow(in_cells, "a long, b long")
     linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    if bits:
+        by_bits = near_duplicates(texts.select("node", "text"), "node", "text").where("doc_id <> component_id")
+        linked = linked.unionByName(by_bits.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     return _classes(found, texts.select("node", "first"), linked).select("doc_id", "t", "component_id")
 
 
@@ -494,11 +499,12 @@ def _classes(found: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without those of a component of similar texts other than its smallest doc_id's.
+    """The rows of ``docs`` without those of a component of near-duplicates other than its smallest doc_id's.
 
+    Texts link by their fingerprints, as :func:`near_duplicates` finds them in its grids, and beyond the reach of 64 bits by their sets of shingles.
     Rows without doc_id stay only where nothing linked to them has one. Repeated rows of the one kept stay.
     """
-    classes = similar_texts(docs, id_col, text_col, shingle)
+    classes = similar_texts(docs, id_col, text_col, shingle, bits=True)
     gone = classes.where("doc_id <> component_id or doc_id is null and component_id is not null")
     return without(docs, materialize(gone.select("doc_id", "t").distinct(), "near-duplicates"), id_col, text_col)
 

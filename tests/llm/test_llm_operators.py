@@ -248,6 +248,22 @@ def test_similar_texts_keep_one(spark):
     assert left.columns == ["doc_id", "text", "h", "Text2", "shard"]
 
 
+def test_keep_one_links_by_fingerprints_too(spark):
+    rng = random.Random(9)
+    while True:
+        base = [str(rng.randrange(10**6)) for _ in range(120)]
+        other = list(base)
+        for i in range(2, 120, 25):
+            other[i] = "changed"
+        x, y = " ".join(base), " ".join(other)
+        if (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() <= simhash.MAX_BITS:
+            break
+    sets = [np.unique(simhash.shingle_hashes(t, simhash.WIDE_SHINGLE)) for t in (x, y)]
+    assert not simhash.similar(*sets)
+    far = " ".join(str(rng.randrange(10**6)) for _ in range(120))
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, [(1, x), (2, y), (3, far)])).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 40])
 def test_wide_links_of_one_cell(n):
     import pyarrow as pa
