@@ -281,14 +281,20 @@ def nearest_neighbours(snippets: DataFrame, k: int = 4, most: int | None = None)
         c = c[np.argsort(spike[c], kind="stable")]
         far = ((x[q][:, None, :] - x[c][None, :, :]) ** 2).sum(axis=2)
         far[spike[q][:, None] == spike[c][None, :]] = np.inf
-        best = np.argsort(far, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(q)), best.shape[1])
-        d = far[row, best.ravel()]
-        row, other, d = row[np.isfinite(d)], c[best.ravel()[np.isfinite(d)]], d[np.isfinite(d)]
+        last = min(k, far.shape[1]) - 1
+        row, at = np.nonzero((far <= np.partition(far, last, axis=1)[:, last :][:, :1]) & np.isfinite(far))
+        d = far[row, at]
+        ranks = np.lexsort((at, d, row))
+        row, at, d = row[ranks], at[ranks], d[ranks]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, other, d = row[first], c[at[first]], d[first]
         return pa.table({"grp": table.column("grp").take(pa.array(q[row])), "unit": unit[q[row]], "spike": spike[q[row]], "other": unit[other], "n": spike[other], "d": d})
 
     kind = taken.schema["grp"].dataType.simpleString()
-    found = asked.unionByName(shown).groupBy("grp", "_x", "_y").applyInArrow(rank, f"grp {kind}, unit long, spike long, other long, n long, d double")
+    # blocks are few bytes but long work: as many partitions as pairs of blocks, which adaptive execution doesn't put together
+    pairs = cut.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 1  # one number
+    met = asked.unionByName(shown).repartition(min(1 << 11, pairs), "grp", "_x", "_y")
+    found = met.groupBy("grp", "_x", "_y").applyInArrow(rank, f"grp {kind}, unit long, spike long, other long, n long, d double")
     near = found.withColumn("_k", F.row_number().over(Window.partitionBy("grp", "unit", "spike").orderBy("d", "n"))).where(F.col("_k") <= k)
     pairs = near.groupBy("grp", "unit", "other").agg(F.count(F.lit(1)).alias("_n"))
     size = pairs.groupBy("grp").agg(F.sum("_n").alias("_all"))

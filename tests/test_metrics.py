@@ -108,3 +108,16 @@ def test_ties_with_bounds_of_tiers_do_not_depend_on_rounding(spark, tmp_path):
     table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.unit: r.tier for r in registry().queries["prj8_tier_mask"](spark, str(tmp_path)).collect()}
     assert got == {u: "none" if u % 11 == 0 else "lenient" if u % 2 else "conservative" for u in range(1, 41)}
+
+
+def test_blocks_of_neighbours_are_not_put_into_one_task(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 8)
+    rows = [(0, i % 3, i, [float(i % 5), float(i % 7)]) for i in range(60)]
+    found = Q.nearest_neighbours(spark.createDataFrame(rows, "grp long, unit long, spike long, features array<double>"))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    own = {u: [0, 0] for u in range(3)}
+    for _, u, i, x in rows:
+        near = sorted((sum((p - q) ** 2 for p, q in zip(x, y, strict=True)), j, v) for _, v, j, y in rows if j != i)[:4]
+        own[u][0] += sum(v == u for _, _, v in near)
+        own[u][1] += 4
+    assert {r.unit: r.nn_hit_rate for r in found.collect()} == {u: h / n for u, (h, n) in own.items()}
