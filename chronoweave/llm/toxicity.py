@@ -180,6 +180,13 @@ def _batch_scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarr
     return out
 
 
+def _below(batch: pa.RecordBatch, place: int, weight: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text scores below the threshold, some at a time, so that texts of a batch aren't held twice."""
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        yield part.filter(pa.array(_batch_scores(part.column(place), weight, bias) < threshold))
+
+
 def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
@@ -297,7 +304,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_batch_scores(batch.column(place), weight, bias) < threshold))
+            yield from _below(batch, place, weight, bias, threshold)
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 

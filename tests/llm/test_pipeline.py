@@ -5,6 +5,8 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,13 @@ def test_query_equals_sql(spark, name):
     want = sorted(con.execute(llm.oracle_sql()[name]).fetchall())
     got = llm.queries()[name](spark, SF)
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_toxicity_gives_a_batch_back_in_parts():
+    texts = [None, "", *[f"word{i} you fool. Fine {i}" for i in range(2 * toxicity.ROWS + 5)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    weight = np.random.default_rng(0).normal(size=1 << toxicity.BITS).astype(np.float32)
+    parts = list(toxicity._below(batch, 1, weight, -1.0, 0.5))
+    whole = batch.filter(pa.array(toxicity._batch_scores(batch.column(1), weight, -1.0) < 0.5))
+    assert max(p.num_rows for p in parts) <= toxicity.ROWS and 0 < whole.num_rows < len(texts)
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
