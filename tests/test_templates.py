@@ -95,3 +95,26 @@ def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
                         met.append((-round(max([*cos, *([least] if least is not None else [])]), 9), v))
             want += [(u, i, v, -c) for i, (c, v) in enumerate(sorted(met)[:2], 1)]
         assert got == sorted(want)
+
+
+def test_pairs_of_blocks_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
+    # sizes too many to be sent along: the join with them has the whole group in one task, the blocks' products must not
+    monkeypatch.setattr(T, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(0, i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(200)], "grp long, unit long, wf array<double>").repartition(4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent in (0, T.GROUPS_SENT):
+            monkeypatch.setattr(T, "GROUPS_SENT", sent)
+            asked, bank = df.where("unit % 2 = 1"), df.where("unit % 2 = 0")
+            ways = (
+                T.similar_pairs(df, -2.0).select("a"), T.cross_cosines(asked, bank).select("a"), T.nearest(asked, bank, "unit", most=3).select("unit"),
+            )
+            assert [w.count() for w in ways] == [200 * 199 // 2, 100 * 100, 300]
+            found = [w.withColumn("_task", F.spark_partition_id()) for w in (T.similar_pairs(df, -2.0), T.cross_cosines(asked, bank))]
+            assert all(w.select("_task").distinct().count() > 8 for w in found)
+            plan = T.nearest(asked, bank, "unit", most=3)._jdf.queryExecution().toString()
+            assert "REPARTITION_BY_NUM" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
