@@ -118,3 +118,16 @@ def test_pairs_of_blocks_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch
             assert "REPARTITION_BY_NUM" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_snippet_meets_the_template_of_its_rank_by_a_key(spark):
+    from pathlib import Path
+
+    from chronoweave.queries.templates import _snippets
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("needs the driver's tables")
+    joins = [line for line in _snippets(spark, sf)._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line]
+    # the top join is that of snippets and templates; the one below it meets a row per group
+    assert "k#" in joins[0] and "%" not in joins[0]
