@@ -288,20 +288,44 @@ def pairwise_correlation(rows: DataFrame, channel: str, at: str, value: str, lea
     return dealt.mapInArrow(meet, f"a {kind}, b {kind}, n long, r double")
 
 
-def synthetic_emg(rows: DataFrame, window: int, channel: str = "channel", at: str = "frame", value: str = "value") -> DataFrame:
+def synthetic_emg(rows: DataFrame, window: int, channel: str = "channel", at: str = "frame", value: str = "value", frames: DataFrame | None = None) -> DataFrame:
     """``(win, per_window, global)``: mean correlation of all pairs of channels in windows of ``window`` frames (SP13).
 
     per_window standardises each channel within the window, global over the whole recording. Then the mean over
     pairs is ((sum z)^2 - sum z^2) / (n (n - 1)), averaged over frames, so no pair of channels is formed. Channels that
-    don't vary in a window take no part in it; every channel is expected at every frame.
+    don't vary in a window take no part in it. Every channel is expected at every frame; with ``frames`` (a column ``at``: all frames
+    of the recording) a channel is 0 where it has no value. These zeros follow from counts and are no rows.
     """
     x = rows.select(F.col(channel).alias("_c"), F.col(at).alias("_t"), F.col(value).cast("double").alias("_v"), F.floor(F.col(at) / F.lit(window)).alias("win"))
-    local = x.groupBy("win", "_c").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s")).where("_s > 0")
+    v, m, s, gm, gs = (F.col(c) for c in ("_v", "_m", "_s", "_gm", "_gs"))
+    local = x.groupBy("win", "_c").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"))
     whole = x.groupBy("_c").agg(F.avg("_v").alias("_gm"), F.stddev_pop("_v").alias("_gs"))
-    z = (F.col("_v") - F.col("_m")) / F.col("_s")
-    g = F.when(F.col("_gs") > 0, (F.col("_v") - F.col("_gm")) / F.col("_gs"))
-    each = x.join(local, ["win", "_c"], "left").join(whole, "_c").groupBy("win", "_t").agg(
-        F.sum(z).alias("_a"), F.sum(z * z).alias("_aa"), F.count(z).alias("_n"), F.sum(g).alias("_b"), F.sum(g * g).alias("_bb"), F.count(g).alias("_k")
-    )
     mean = lambda a, aa, n: F.avg(F.when(F.col(n) > 1, (F.col(a) * F.col(a) - F.col(aa)) / (F.col(n) * (F.col(n) - 1))))
-    return each.groupBy("win").agg(mean("_a", "_aa", "_n").alias("per_window"), mean("_b", "_bb", "_k").alias("global"))
+    means = (mean("_a", "_aa", "_n").alias("per_window"), mean("_b", "_bb", "_k").alias("global"))
+    if frames is None:
+        z, g = F.when(s > 0, (v - m) / s), F.when(gs > 0, (v - gm) / gs)
+        each = x.join(local.join(whole, "_c"), ["win", "_c"]).groupBy("win", "_t").agg(
+            F.sum(z).alias("_a"), F.sum(z * z).alias("_aa"), F.count(z).alias("_n"), F.sum(g).alias("_b"), F.sum(g * g).alias("_bb"), F.count(g).alias("_k")
+        )
+        return each.groupBy("win").agg(*means)
+    x = x.where(F.col("_c").isNotNull() & F.col("_t").isNotNull()).withColumn("_v", F.coalesce("_v", F.lit(0.0)))
+    span = frames.select(F.col(at).alias("_t"), F.floor(F.col(at) / F.lit(window)).alias("win"))
+
+    def moments(by: list[str], sizes: DataFrame, m: str, s: str) -> DataFrame:
+        found = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_has"), F.avg("_v").alias("_mean"), F.var_pop("_v").alias("_var"))
+        found = found.join(F.broadcast(sizes), "win") if "win" in by else found.crossJoin(F.broadcast(sizes))  # a row a window, or one
+        share = F.col("_has") / F.col("_size")
+        spread = share * F.col("_var") + F.col("_mean") * F.col("_mean") * share * (1 - share)
+        return found.select(*by, (F.col("_mean") * share).alias(m), F.sqrt(spread).alias(s))
+
+    size = F.count(F.lit(1)).alias("_size")
+    local, whole = moments(["win", "_c"], span.groupBy("win").agg(size), "_m", "_s"), moments(["_c"], span.agg(size), "_gm", "_gs")
+    # where all channels have no value, and what the values that they have change of it
+    total = lambda m, s, a, aa, n: (F.sum(F.when(s > 0, -m / s)).alias(a), F.sum(F.when(s > 0, m * m / (s * s))).alias(aa), F.count_if(s > 0).alias(n))
+    change = lambda m, s, a, aa: (F.sum(F.when(s > 0, v / s)).alias(a), F.sum(F.when(s > 0, v * (v - 2 * m) / (s * s))).alias(aa))
+    own = x.join(local.join(whole, "_c"), ["win", "_c"]).groupBy("win", "_t").agg(*change(m, s, "_pa", "_paa"), *change(gm, gs, "_pb", "_pbb"))
+    none = local.groupBy("win").agg(*total(m, s, "_oa", "_oaa", "_n"))
+    never = whole.agg(*total(gm, gs, "_ob", "_obb", "_k"))
+    each = span.join(own, ["win", "_t"], "left").join(F.broadcast(none), "win", "left").crossJoin(F.broadcast(never)).na.fill(0)
+    each = each.withColumns({f"_{c}": F.col(f"_o{c}") + F.col(f"_p{c}") for c in ("a", "aa", "b", "bb")})
+    return each.groupBy("win").agg(*means)

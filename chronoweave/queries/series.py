@@ -283,10 +283,9 @@ _GRID = f"""{DAILY}, ds AS (SELECT unnest(range(min(day), max(day) + 1)) AS day
 )
 def sp13_synthetic_emg(spark, sf):
     d = daily(spark, sf)
-    span = d.agg(F.sequence(F.min("day"), F.max("day")).alias("days")).select(F.explode("days").alias("day"))
-    grid = d.select("channel").distinct().crossJoin(span)  # the recording: every channel at every day
-    x = grid.join(d, ["channel", "day"], "left").select("channel", F.col("day").cast("long").alias("frame"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
-    return S.synthetic_emg(x, 90).select("win", F.round("per_window", 6).alias("per_window"), F.round("global", 6).alias("global"))
+    span = d.agg(F.sequence(F.min("day"), F.max("day")).alias("days")).select(F.explode(F.col("days").cast("array<long>")).alias("frame"))
+    x = d.select("channel", F.col("day").cast("long").alias("frame"), "value")  # the recording: every channel at every day, 0 where it has no row
+    return S.synthetic_emg(x, 90, frames=span).select("win", F.round("per_window", 6).alias("per_window"), F.round("global", 6).alias("global"))
 
 
 @query(

@@ -138,6 +138,25 @@ def test_synthetic_emg_is_the_mean_of_pairs(spark):
     assert abs(got[0]["global"] - want) < 1e-9
 
 
+def test_synthetic_emg_needs_no_rows_of_zeros(spark):
+    # channels have values at few frames; one has the same at all, one none in the second window, one a single zero and a null
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((7, 60)) < 0.4, rng.integers(1, 50, (7, 60)), 0).astype(float)
+    x[4], x[5, 30:], x[6] = 3.0, 0.0, 0.0
+    rows = [(c, i, float(v)) for c, row in enumerate(x) for i, v in enumerate(row)]
+    few = [r for r in rows if r[2]] + [(6, 2, 0.0), (6, 40, None), (None, 3, 5.0), (1, None, 5.0)]
+    shape = "channel long, frame long, value double"
+    want = {r.win: r for r in S.synthetic_emg(spark.createDataFrame(rows, shape), 30).collect()}
+    frames = spark.range(60).withColumnRenamed("id", "frame")
+    asked = S.synthetic_emg(spark.createDataFrame(few, shape), 30, frames=frames)
+    got = {r.win: r for r in asked.collect()}
+    assert got.keys() == want.keys() == {0, 1}
+    for win, r in want.items():
+        assert abs(got[win].per_window - r.per_window) < 1e-9 and abs(got[win]["global"] - r["global"]) < 1e-9
+    none = S.synthetic_emg(spark.createDataFrame([(1, 2, 5.0)], shape), 30, frames=frames).collect()
+    assert sorted(tuple(r) for r in none) == [(0, None, None), (1, None, None)]
+
+
 def test_spatial_spectrum_is_a_transform(spark):
     v = np.random.default_rng(4).normal(size=12)
     got = S.spatial_spectrum(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "c long, v double"), "c", "v").orderBy("k").collect()
