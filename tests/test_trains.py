@@ -246,3 +246,25 @@ def test_units_are_matched_by_components(spark):
     scores = spark.createDataFrame(rows, "grp long, unit_a long, unit_b long, jaccard double")
     got = {r.unit_a: (r.unit_b, r.reciprocal) for r in Q.matched_units(scores, 0.5).collect()}
     assert got == {i: (i, True) for i in range(2, 3000)} | {0: (1, False), 1: (0, False)}
+
+
+def test_pairs_are_counted_however_many_units_there_are(spark, tmp_path):
+    """408 units, some of them active: the numbers of duplicate and distinct pairs are those of the SQL."""
+    import duckdb
+
+    from chronoweave.queries import registry
+
+    rng = np.random.default_rng(11)
+    frames = lambda n: rng.integers(0, 10 * 86400, n)
+    first = frames(60)
+    rows = [(u, int(f)) for u in range(408) for f in (frames(60) if u < 24 else frames(2))]
+    rows += [(u, int(f)) for u in (408, 416) for f in first + (u - 408) * 100]
+    made = spark.createDataFrame(rows, "user_id long, second long")
+    made = made.selectExpr("user_id", "timestamp_seconds(1704067200 + second) AS ts", "'view' AS event_type", "1.0D AS value", "user_id AS event_id")
+    made.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = tuple(registry().queries["ag30_axis_c"](spark, str(tmp_path)).first())
+    assert got[0] == 410 and None not in got[3:] and got[4] > 0
+    assert got == con.execute(registry().sql["ag30_axis_c"]).fetchone()
