@@ -268,3 +268,24 @@ def test_pairs_are_counted_however_many_units_there_are(spark, tmp_path):
     got = tuple(registry().queries["ag30_axis_c"](spark, str(tmp_path)).first())
     assert got[0] == 410 and None not in got[3:] and got[4] > 0
     assert got == con.execute(registry().sql["ag30_axis_c"]).fetchone()
+
+
+@pytest.mark.parametrize("days", [6, 400])
+def test_tally_equals_counted_pairs(spark, days):
+    """Pairs counted within tasks (one span) and over spans, against the pairs themselves; busy units need more than one product."""
+    rng = np.random.default_rng(days)
+    rows = [(u % 2, u, int(f)) for u in range(30) for f in rng.integers(0, days * 24, 300 if u < 20 else 3)]
+    ev, lags = events(spark, rows), (5 * 24, 2.0, (6.0, 24.0), 24)
+    v = T.ccg_verdicts(ev, *lags).collect()
+    want = collections.Counter((r.verdict, (r.unit_a * 7 + r.unit_b * 13) % 20) for r in v)
+    assert len(v) == 2 * 105 and len({r.verdict for r in v}) > 1
+    assert {(r.verdict, r.mix): r.n for r in T.ccg_tally(ev, *lags, mix=(7, 13, 20)).collect()} == want
+    frames = collections.defaultdict(list)
+    for _, u, f in rows:
+        frames[u].append(f)
+    a, b = (np.array(frames[u]) for u in (0, 2))
+    if days == 6:  # windows are 0-119 and 120-143, both units active in both
+        d = np.abs(a[:, None] - b[None, :])
+        got = next(r for r in v if (r.unit_a, r.unit_b) == (0, 2))
+        late = (b[None, :] - a[:, None] == 24).sum()
+        assert (got.central, got.flank) == ((d <= 2).sum(), ((d >= 6) & (d < 24)).sum() + late)
