@@ -27,8 +27,11 @@ CONFIDENCE = 0.9
 #: Bins of amplitude histograms; the standard deviation of the smoothing in bins, and how far it reaches.
 CUTOFF_BINS, SMOOTH, REACH = 500, 3, 12
 NOISE_BINS = 100
-#: Snippets of a block that meet another block of as many.
-BLOCK = 1024
+#: Snippets of a block that meet another block of as many: so many until a group has WIDE blocks, then up to MOST;
+#: a snippet is repeated for every block, and each block gives its nearest.
+BLOCK, WIDE, MOST = 1024, 8, 8192
+#: Distances that are held at a time.
+HELD = 1 << 20
 
 
 def rates(train: DataFrame, start: int, frames: int, second: int, bin_frames: int) -> DataFrame:
@@ -267,7 +270,7 @@ def nearest_neighbours(snippets: DataFrame, k: int = 4, most: int | None = None)
     order = Window.partitionBy("grp", "unit").orderBy(F.xxhash64("spike"), "spike")
     taken = snippets if most is None else snippets.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     taken = taken.select("grp", F.col("unit").cast("long").alias("unit"), F.col("spike").cast("long").alias("spike"), "features")
-    cut = taken.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    cut = taken.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MOST), F.least(F.lit(WIDE), F.ceil(F.count(F.lit(1)) / BLOCK))).cast("int").alias("_n"))
     dealt = taken.join(cut, "grp").withColumn("_b", F.pmod(F.xxhash64("spike"), F.col("_n")).cast("int"))
     grid = F.sequence(F.lit(0), F.col("_n") - 1)
     columns = ["grp", "_x", "_y", "_side", "unit", "spike", "features"]
@@ -279,16 +282,27 @@ def nearest_neighbours(snippets: DataFrame, k: int = 4, most: int | None = None)
         x = np.array(table.column("features").to_pylist(), float).reshape(table.num_rows, -1)
         q, c = np.flatnonzero(side), np.flatnonzero(~side)
         c = c[np.argsort(spike[c], kind="stable")]
-        far = ((x[q][:, None, :] - x[c][None, :, :]) ** 2).sum(axis=2)
-        far[spike[q][:, None] == spike[c][None, :]] = np.inf
-        last = min(k, far.shape[1]) - 1
-        row, at = np.nonzero((far <= np.partition(far, last, axis=1)[:, last :][:, :1]) & np.isfinite(far))
-        d = far[row, at]
-        ranks = np.lexsort((at, d, row))
-        row, at, d = row[ranks], at[ranks], d[ranks]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, other, d = row[first], c[at[first]], d[first]
-        return pa.table({"grp": table.column("grp").take(pa.array(q[row])), "unit": unit[q[row]], "spike": spike[q[row]], "other": unit[other], "n": spike[other], "d": d})
+        if not len(q) or not len(c):
+            q, c = q[:0], c[:0]
+        again, found = np.isin(spike[q], spike[c]), []
+        # some rows at a time, a feature at a time
+        for start in range(0, len(q), step := max(1, HELD // max(1, len(c)))):
+            mine = q[start : start + step]
+            far = np.zeros((len(mine), len(c)))
+            for feature in x.T:
+                far += (feature[mine][:, None] - feature[c][None, :]) ** 2
+            own = np.flatnonzero(again[start : start + step])
+            if len(own):
+                far[own] = np.where(spike[mine[own]][:, None] == spike[c][None, :], np.inf, far[own])
+            last = min(k, far.shape[1]) - 1
+            row, at = np.nonzero((far <= np.partition(far, last, axis=1)[:, last :][:, :1]) & np.isfinite(far))
+            d = far[row, at]
+            ranks = np.lexsort((at, d, row))
+            row, at, d = row[ranks], at[ranks], d[ranks]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((mine[row[first]], c[at[first]], d[first]))
+        row, other, d = (np.concatenate(part) for part in zip((q[:0], c[:0], np.zeros(0)), *found, strict=True))
+        return pa.table({"grp": table.column("grp").take(pa.array(row)), "unit": unit[row], "spike": spike[row], "other": unit[other], "n": spike[other], "d": d})
 
     kind = taken.schema["grp"].dataType.simpleString()
     # blocks are few bytes but long work: as many partitions as pairs of blocks, which adaptive execution doesn't put together

@@ -141,3 +141,18 @@ def test_share_of_ties_does_not_depend_on_the_parts_of_a_sum(spark, tmp_path):
         path = str(tmp_path / f"of-{files}")
         table.repartition(files).write.parquet(f"{path}/lineitem.parquet")
         assert [(r.tier, r.n, r.share) for r in registry().queries["ag40_pearson"](spark, path).collect()] == [("strict", 7, round(2 / 7, 6))]
+
+
+@pytest.mark.parametrize("block, most, held", [(1, 8, 3), (16, 32, 100), (1024, 8192, 1 << 20)])
+def test_nearest_neighbours_equal_brute_force_whatever_the_blocks(spark, monkeypatch, block, most, held):
+    """Few snippets to a block leave some blocks empty; distances tie, and are held some at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(g, int(rng.integers(0, 3)), 1000 * g + i, rng.integers(0, 6, 2).astype(float).tolist()) for g, n in ((0, 90), (1, 9)) for i in range(n)]
+    hits = {}
+    for g, u, s, x in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), t, v) for h, v, t, y in rows if h == g and t != s)[:4]
+        hits.setdefault((g, u), []).extend(v == u for _, _, v in near)
+    for name, value in (("BLOCK", block), ("MOST", most), ("HELD", held)):
+        monkeypatch.setattr(Q, name, value, raising=False)
+    found = Q.nearest_neighbours(spark.createDataFrame(rows, "grp long, unit long, spike long, features array<double>")).collect()
+    assert {(r.grp, r.unit): round(r.nn_hit_rate, 9) for r in found} == {k: round(float(np.mean(v)), 9) for k, v in hits.items()}
